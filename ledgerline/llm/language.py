@@ -55,8 +55,9 @@ class TextModel:
         return TEMPER * out
 
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+#: ASCII letters in lower case; what else is ASCII separates words.
+_LETTER = np.arange(256, dtype=np.uint8)
+_LETTER[:128] = [ord(chr(c).lower()) if chr(c).isalpha() else 32 for c in range(128)]
 
 
 def _slices(texts: list[bytes], most: int = 1 << 22) -> Iterator[tuple[int, int]]:
@@ -71,10 +72,10 @@ def _slices(texts: list[bytes], most: int = 1 << 22) -> Iterator[tuple[int, int]
 
 
 def _slots(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of the trigrams of each text, A-Z as a-z, and how many each has."""
+    """Slots of the trigrams of each text and how many each has."""
     sizes = np.array([len(t) for t in texts])
     count = np.maximum(sizes - 2, 0)
-    data = _LOWER[np.frombuffer(b"".join(texts), np.uint8)].astype(np.uint32)
+    data = _LETTER[np.frombuffer(b"".join(texts), np.uint8)].astype(np.uint32)
     if len(data) < 3:
         return np.zeros(0, np.int64), count
     key = data[:-2] << 16 | data[1:-1] << 8 | data[2:]
@@ -106,7 +107,7 @@ def code(declared: Column) -> Column:
 def fit_on(evidence: DataFrame, rows: int = SAMPLE_ROWS) -> TextModel:
     """Fits on at most ``rows`` rows that declare a language, the smallest by a hash of their text."""
     labelled = evidence.where("declared is not null and length(text) > 2").orderBy(F.xxhash64("text"), "declared").limit(rows)
-    return fit([(bytes(r.text), r.declared) for r in labelled.select(F.col("text").cast("binary").alias("text"), "declared").collect()])
+    return fit([(bytes(r.text), r.declared) for r in labelled.select(F.lower("text").cast("binary").alias("text"), "declared").collect()])
 
 
 def _posterior(model: TextModel):
@@ -140,7 +141,7 @@ def identify(evidence: DataFrame, model: TextModel | None = None, floor: float =
     kept = [c for c in evidence.columns if c != "text"]
     names = [*model.languages, UNDETERMINED]
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("has_letter")
-    ready = evidence.select(*kept, letter, F.coalesce("text", F.lit("")).cast("binary").alias("bytes"))
+    ready = evidence.select(*kept, letter, F.lower(F.coalesce("text", F.lit(""))).cast("binary").alias("bytes"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in ready.schema if f.name != "bytes"), "likelihood array<double>"])
     scored = materialize(ready.mapInArrow(_posterior(model), schema), "language-scores")
 

@@ -92,7 +92,7 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST
     sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("size"))
     units = materialize(sizes.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("rows")), "mix-units")
     goals = materialize(targets(units.select("source", (F.col("size") * F.col("rows")).alias("size")), weights, most), "mix-targets")
-    share = F.col("target") / F.col("source_size") * F.col("rows")
+    share = F.try_divide(F.col("target"), F.col("source_size")) * F.col("rows")  # null for a source without words
     joined = units.alias("u").join(goals.alias("t"), F.col("u.source").eqNullSafe(F.col("t.source"))).select("u.*", "source_size", "target", "units", F.coalesce(share, F.lit(0.0)).alias("share"))
     # a whole number of copies must not lose one to the last digit
     whole = F.floor(F.col("share") + 1e-9)
