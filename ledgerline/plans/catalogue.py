@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from ledgerline.plans import audits, figures, queue, records, relational, texts
+from ledgerline.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "audits", "figures", "queue", "records", "relational", "texts"]
