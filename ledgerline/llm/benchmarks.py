@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import materialize
+from ledgerline.llm.common import bounded, materialize
 
 GRAM = 3
 SCORE = 0.5
@@ -43,7 +43,7 @@ def best_scores(passages: list[np.ndarray], items: list[np.ndarray]) -> np.ndarr
     at = 0
     while at < len(order):
         size, end = 0, at
-        while end < len(order) and (end == at or (end - at + 1) * len(passages[order[end]]) <= 1 << 20):
+        while end < len(order) and (end == at or (end - at + 1) * len(passages[order[end]]) <= 1 << 18):
             end += 1
         pick = order[at:end]
         at = end
@@ -136,7 +136,7 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, score: float = SCORE) -> DataFrame:

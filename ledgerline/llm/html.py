@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.llm.common import bounded
+
 #: Labelled pages the model is trained on, and the seed that lays them out.
 TRAINING_PAGES = 600
 TRAINING_SEED = 7
@@ -374,4 +376,4 @@ def extract(pages: DataFrame, model: Model | None = None) -> DataFrame:
     not read.
     """
     model = model or trained()
-    return pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).mapInArrow(_extract(model), f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
+    return bounded(pages).select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).mapInArrow(_extract(model), f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import materialize
+from ledgerline.llm.common import bounded, materialize
 
 UNDETERMINED = "und"
 #: Rows the text models are fitted on; the models, unlike all counts below, need no more.
@@ -60,7 +60,7 @@ _LETTER = np.arange(256, dtype=np.uint8)
 _LETTER[:128] = [ord(chr(c).lower()) if chr(c).isalpha() else 32 for c in range(128)]
 
 
-def _slices(texts: list[bytes], most: int = 1 << 22) -> Iterator[tuple[int, int]]:
+def _slices(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     at, size = 0, 0
     for i, t in enumerate(texts):
         if size and size + len(t) > most:
@@ -105,9 +105,14 @@ def code(declared: Column) -> Column:
 
 
 def fit_on(evidence: DataFrame, rows: int = SAMPLE_ROWS) -> TextModel:
-    """Fits on at most ``rows`` rows that declare a language, the smallest by a hash of their text."""
-    labelled = evidence.where("declared is not null and length(text) > 2").orderBy(F.xxhash64("text"), "declared").limit(rows)
-    return fit([(bytes(r.text), r.declared) for r in labelled.select(F.lower("text").cast("binary").alias("text"), "declared").collect()])
+    """Fits on at most ``rows`` rows that declare a language, the smallest by a hash of their other columns.
+
+    The hashes are ranked alone, so that only the sample's texts leave the tasks.
+    """
+    hashed = evidence.where("declared is not null").withColumn("hash_", F.xxhash64(*(c for c in evidence.columns if c != "text")))
+    last = hashed.select("hash_").orderBy("hash_").limit(rows).agg(F.max("hash_")).first()[0]
+    sample = hashed.where(F.col("hash_") <= (last if last is not None else 0)).limit(rows)
+    return fit([(bytes(r.text), r.declared) for r in sample.select(F.lower(F.coalesce("text", F.lit(""))).cast("binary").alias("text"), "declared").collect()])
 
 
 def _posterior(model: TextModel):
@@ -141,7 +146,7 @@ def identify(evidence: DataFrame, model: TextModel | None = None, floor: float =
     kept = [c for c in evidence.columns if c != "text"]
     names = [*model.languages, UNDETERMINED]
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("has_letter")
-    ready = evidence.select(*kept, letter, F.lower(F.coalesce("text", F.lit(""))).cast("binary").alias("bytes"))
+    ready = bounded(evidence).select(*kept, letter, F.lower(F.coalesce("text", F.lit(""))).cast("binary").alias("bytes"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in ready.schema if f.name != "bytes"), "likelihood array<double>"])
     scored = materialize(ready.mapInArrow(_posterior(model), schema), "language-scores")
 

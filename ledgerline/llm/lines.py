@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import materialize
+from ledgerline.llm.common import bounded, materialize
 from ledgerline.llm.components import connected_components, spanning_links
 
 MIN_CHARS = 20
@@ -30,7 +30,7 @@ SHINGLE = 8
 BANDS, ROWS = 10, 4
 BUCKETS = BANDS * ROWS
 #: Code points that are hashed at once.
-SLICE = 1 << 21
+SLICE = 1 << 19
 #: Lines of a cell that one task compares; larger cells are compared in blocks by several.
 CELL_ROWS = 2000
 #: Up to so many candidate lines are looked up by a broadcast; more by a shuffle.
@@ -187,7 +187,7 @@ def similar_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(id, root) of the lines that are similar to another, different line; id is the line's XXH64."""
     if similarity < SIMILARITY:
         raise ValueError(f"the bands are made for similarities of {SIMILARITY} or more")
-    text = docs.select(F.coalesce("text", F.lit("")).alias("text"))
+    text = bounded(docs).select(F.coalesce("text", F.lit("")).alias("text"))
     banded = text.mapInArrow(_band_rows, "band long, id long")
     cells = banded.repartition("band").sortWithinPartitions("band", "id").mapInArrow(_cells, "cell long, id long, n long")
     cells = materialize(cells.distinct(), "cells")

@@ -23,24 +23,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import byte_text, materialize
+from ledgerline.llm.common import bounded, byte_text, materialize
 from ledgerline.llm.windows import WINDOW, anchors, core_rows, window_hashes
 
 BLOCK = 84
 #: Up to so many regions are looked up by a broadcast; more by a shuffle of the texts.
 BROADCAST_ROWS = 1_000_000
 #: A group's members are compared in one task up to this number, else window by window.
-GROUP_ROWS = 5_000
+GROUP_ROWS = 2_000
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """key tells documents apart: a hash of id and text, equal only for repeated rows."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), byte_text().alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), byte_text().alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [x.as_buffer().to_pybytes() for x in batch["text"]]
+        texts = [memoryview(x.as_buffer()) for x in batch["text"]]
         i, seed, region, at, first, last = anchors(texts)
         keys = batch["key"].to_numpy()[i]
         # first window, and from it the last one and the anchor
@@ -56,7 +56,7 @@ _CORE_NAMES = ("seed", "block", "core", "key", "start", "top", "bytes")
 def _cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for key, text, regions in zip(batch["key"].to_pylist(), batch["text"], batch["regions"]):
-            text = text.as_buffer().to_pybytes()
+            text = memoryview(text.as_buffer())
             rows = [(r["seed"], b, core, key, start, top, data) for r in regions.as_py() for b, core, start, top, data in core_rows(text, r["place"], BLOCK)]
             if rows:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), _CORE_TYPES)], names=_CORE_NAMES)

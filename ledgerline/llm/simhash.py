@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import byte_text, materialize
+from ledgerline.llm.common import bounded, byte_text, materialize
 from ledgerline.llm.components import connected_components, spanning_links
 
 SHINGLE = 3
@@ -76,7 +76,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp) of each row."""
-    return docs.select(F.col("doc_id").cast("long"), byte_text().alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    return bounded(docs).select(F.col("doc_id").cast("long"), byte_text().alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
 def _syndromes() -> np.ndarray:

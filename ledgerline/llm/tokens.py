@@ -19,7 +19,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import byte_text
+from ledgerline.llm.common import bounded, byte_text
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Fixed value: how the vocabulary's tokenizer cuts a text into pieces.
@@ -94,7 +94,7 @@ def section_tokens(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     with open(vocabulary, "rb") as file:
         ranks = docs.sparkSession.sparkContext.broadcast(file.read())
     schema = ", ".join(f"{c} long" for c in _NAMES)
-    return docs.select(F.col("doc_id").cast("long"), byte_text().alias("text")).mapInArrow(_count(ranks), schema)
+    return bounded(docs).select(F.col("doc_id").cast("long"), byte_text().alias("text")).mapInArrow(_count(ranks), schema)
 
 
 def document_tokens(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:

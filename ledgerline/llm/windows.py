@@ -17,8 +17,8 @@ import xxhash
 
 WINDOW = 400
 SEED = 64
-#: Bytes handled at once; the low 24 bits of a key hold a position in the slice.
-SLICE = 1 << 21
+#: Bytes handled at once, which bounds a task's memory; the low 24 bits of a key hold a position in the slice.
+SLICE = 1 << 19
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE2 = 0xD1B54A32D192ED03 | 1
@@ -65,7 +65,7 @@ def _sliding_min(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def anchors(texts: list[bytes]):
+def anchors(texts: list[memoryview]):
     """(text index, seed hash, region hash, anchor, first window, last window) per anchor.
 
     A region is what its windows cover: bytes first to last + WINDOW.  Its hash
@@ -89,9 +89,8 @@ def anchors(texts: list[bytes]):
                 first = np.flatnonzero(np.diff(own, prepend=-1))
                 last = np.append(first[1:], n) - 1
                 seed = own[first]
-                view = memoryview(text)
                 region = [
-                    xxhash.xxh3_64_intdigest(view[a + s : a + e + WINDOW], o)
+                    xxhash.xxh3_64_intdigest(text[a + s : a + e + WINDOW], o)
                     for s, e, o in zip(first.tolist(), last.tolist(), (seed - at - first).tolist())
                 ]
                 out[0].append(np.full(len(first), i))
@@ -104,7 +103,7 @@ def anchors(texts: list[bytes]):
     return [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
 
 
-def _slices(texts: list[bytes]):
+def _slices(texts: list[memoryview]):
     """Groups of (index, text, start, end) of at most SLICE + WINDOW bytes."""
     group, size = [], 0
     for i, text in enumerate(texts):
@@ -123,7 +122,7 @@ def _slices(texts: list[bytes]):
         yield group
 
 
-def core_rows(text: bytes, place: int, block: int):
+def core_rows(text: memoryview, place: int, block: int):
     """(block number, core hash, first window, last offset, bytes) for each block of a region's windows.
 
     A window's offset is how far it starts before the anchor; a block holds the
@@ -134,7 +133,7 @@ def core_rows(text: bytes, place: int, block: int):
     for b in range((anchor - last) // block, (anchor - first) // block + 1):
         low, high = max(anchor - last, b * block), min(anchor - first, b * block + block - 1)
         core = text[anchor - b * block : anchor - (b * block + block - 1) + WINDOW]
-        yield b, xxhash.xxh3_64_intdigest(core) - (1 << 63), anchor - high, high, text[anchor - high : anchor - low + WINDOW]
+        yield b, xxhash.xxh3_64_intdigest(core) - (1 << 63), anchor - high, high, bytes(text[anchor - high : anchor - low + WINDOW])
 
 
 def window_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -146,7 +145,7 @@ def window_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
         row[: len(t)] = np.frombuffer(t, np.uint8)
     mixed = None
     for base in (_BASE, _BASE2):
-        power, inverse = _powers(base, SLICE + WINDOW + 1)
+        power, inverse = _powers(base, 3 * WINDOW)
         prefix = np.zeros((len(texts), width + 1), np.uint64)
         np.cumsum(grid * power[:width], axis=1, out=prefix[:, 1:])
         h = (prefix[:, WINDOW:] - prefix[:, :-WINDOW]) * inverse[: width - WINDOW + 1]
