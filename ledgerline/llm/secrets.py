@@ -19,10 +19,13 @@ from pyspark.sql import functions as F
 #: Kinds, in the order they are listed in.
 PATTERNS = {
     "assign": r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
-    "access": r"AKIA[A-Z0-9]+",
-    "hex": r"[0-9a-f]+",
+    "access": r"AKIA[A-Z0-9]{16,}",
+    "hex": r"[0-9a-f]{24,}",
 }
+#: Of assign, what the second group must have.  The other two match whole runs, so their patterns hold the least size.
 LEAST = {"assign": 6, "access": 20, "hex": 24}
+#: Matches placed together; the work per match grows with it and with matches over it.
+BLOCK = 256
 #: What a text must hold before its matches are looked for.
 HINTS = {"assign": r"(?i:pass|secret|token|api)", "access": "AKIA", "hex": "[0-9a-f]{24}"}
 
@@ -71,7 +74,23 @@ def _found(text: Column, pattern: str, group: int | None = None) -> Column:
         return F.struct(end.alias("at"), F.concat(state["out"], F.array(one)).alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start: int, end: int, text: string, n: int>>").alias("out"))
-    return F.aggregate(zipped, start, place, lambda s: s["out"])
+
+    def placed(all_: Column) -> Column:
+        """Blocks are placed from 0 each and then moved by the ends of those before."""
+        number = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size(all_) / BLOCK).cast("int") - 1))
+        return F.transform(number, lambda b: F.aggregate(F.slice(all_, b * BLOCK + 1, F.lit(BLOCK)), start, place))
+
+    def moved(blocks: Column) -> Column:
+        before = F.aggregate(blocks, F.array(F.lit(0)), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x["at"])))
+        pairs = F.arrays_zip(blocks.alias("block"), before.alias("before"))
+        by_block = F.transform(F.slice(pairs, F.lit(1), F.size(blocks)), lambda p: F.transform(p["block"]["out"], lambda m: F.struct((m["start"] + p["before"]).alias("start"), (m["end"] + p["before"]).alias("end"), m["text"].alias("text"), m["n"].alias("n"))))
+        return F.flatten(by_block)
+
+    return F.when(F.size(matches) > 0, _let(_let(zipped, placed), moved)).otherwise(F.array().cast("array<struct<start: int, end: int, text: string, n: int>>"))
+
+
+def _let(value: Column, body) -> Column:
+    return F.transform(F.array(value), body)[0]
 
 
 def _spans(found: Column, kind: str) -> Column:
