@@ -136,19 +136,40 @@ def _shared(band: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch({"cell": pa.array(np.repeat(name, n)[several]), "id": pa.array(ids[several]), "n": pa.array(np.repeat(n, n)[several], pa.int64())})
 
 
-def shingles(line: str) -> set[str]:
-    return {line[i : i + SHINGLE] for i in range(len(line) - SHINGLE + 1)}
+def shingles(lines: list[str]) -> list[np.ndarray]:
+    """The shingles of each line as distinct, sorted numbers; equal numbers are equal shingles, without exception."""
+    ends = np.cumsum([len(x) for x in lines]).tolist()
+    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+    if codes.max(initial=0) > 255:
+        known, codes = np.unique(codes, return_inverse=True)
+        if len(known) > 256:
+            numbers: dict[str, int] = {}
+            return [np.array(sorted({numbers.setdefault(x[i : i + SHINGLE], len(numbers)) for i in range(len(x) - SHINGLE + 1)}), np.uint64) for x in lines]
+    # characters of a byte each: a shingle is its eight bytes read as one number
+    flat = codes.astype(np.uint8).tobytes()
+    words = np.ndarray((max(0, len(flat) - SHINGLE + 1),), np.uint64, flat, 0, (1,))
+    out = []
+    for line, end in zip(lines, ends):
+        own = np.sort(words[end - len(line) : end - SHINGLE + 1])
+        out.append(own[np.append(True, own[1:] != own[:-1])])
+    return out
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    both = np.concatenate((a, b))
+    both.sort()
+    return int(np.count_nonzero(both[1:] == both[:-1]))
 
 
 def _verify(similarity: float):
-    def links(group: pa.Table) -> list[tuple[int, int]]:
-        ids, sets = group["id"].to_pylist(), [shingles(x) for x in group["line"].to_pylist()]
+    def links(ids: list[int], lines: list[str]) -> list[tuple[int, int]]:
+        sets = shingles(lines)
         sizes = np.array([len(s) for s in sets])
 
         def near(i: int, others: np.ndarray) -> np.ndarray:
             out = np.zeros(len(others), bool)
             for k in np.flatnonzero((sizes[others] >= similarity * sizes[i]) & (sizes[i] >= similarity * sizes[others])):
-                common = len(sets[i] & sets[others[k]])
+                common = _common(sets[i], sets[others[k]])
                 out[k] = common >= similarity * (sizes[i] + sizes[others[k]] - common)
             return out
 
@@ -166,8 +187,9 @@ def _verify(similarity: float):
             yield send(rest, rest["cell"].to_numpy())
 
     def send(rows: pa.Table, cells: np.ndarray) -> pa.RecordBatch:
-        start = np.flatnonzero(np.append(True, np.diff(cells) != 0)) if len(cells) else []
-        found = [x for a, b in zip(start, np.append(start[1:], len(cells))) for x in links(rows.slice(a, b - a))]
+        start = np.flatnonzero(np.append(True, np.diff(cells) != 0)).tolist() if len(cells) else []
+        ids, lines = rows["id"].to_pylist(), rows["line"].to_pylist()
+        found = [x for a, b in zip(start, [*start[1:], len(cells)]) for x in links(ids[a:b], lines[a:b])]
         return pa.record_batch([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=("a", "b"))
 
     return run

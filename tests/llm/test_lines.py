@@ -9,7 +9,7 @@ from ledgerline.llm.components import UnionFind
 def brute(rows, similarity=0.8):
     placed = [(d if d is not None else -1, no, x) for d, t in rows for no, x in enumerate((t or "").split("\n")) if len(x) >= lines.MIN_CHARS]
     distinct = sorted({x for _, _, x in placed})
-    sets, sh = UnionFind(), [lines.shingles(x) for x in distinct]
+    sets, sh = UnionFind(), [{x[i : i + 8] for i in range(len(x) - 7)} for x in distinct]
     for i in range(len(distinct)):
         for j in range(i):
             if 0.8 * len(sh[i]) <= len(sh[j]) <= len(sh[i]) / 0.8:
@@ -69,3 +69,14 @@ def test_odd_rows(spark, odd, none):
     clash = spark.createDataFrame([(1, "x" * 30, 5), (2, "x" * 30, 6)], "doc_id long, text string, id long")
     out = lines.dedup_lines(clash)
     assert out.columns == ["doc_id", "text", "id"] and sorted((r.id, r.text) for r in out.collect()) == [(5, "x" * 30), (6, "")]
+
+
+def test_shingles_are_exact():
+    wide = "".join(chr(0x4E00 + i) for i in range(300))
+    for group in (["abcdefgh", "abcabcabcabcabcabcabc", "älter als zwölf Jahre"], ["price 5 € – ok 😀" * 3, "price 6 € – ok 😀" * 3], [wide, wide[1:] + wide[:9], "abcdefgh" * 4]):
+        sets = [{x[i : i + 8] for i in range(len(x) - 7)} for x in group]
+        found = lines.shingles(group)
+        assert [len(x) for x in found] == [len(x) for x in sets]
+        for a, x in zip(found, sets):
+            for b, y in zip(found, sets):
+                assert lines._common(a, b) == len(x & y)
