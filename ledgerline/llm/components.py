@@ -9,7 +9,7 @@ No step holds a node's neighbours in memory; each is a minimum by key and a join
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -65,14 +65,21 @@ def _state(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def connected_components(links: DataFrame) -> DataFrame:
+def joined_within(find: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow: the links (a, b) that find yields, joined in the same task and Python worker."""
+    return lambda batches: _contract(find(batches))
+
+
+def connected_components(links: DataFrame, joined: bool = False) -> DataFrame:
     """links (a long, b long) -> (node, root) for every node that has a link.
 
+    joined: the links come from joined_within(), so no task need join its own.
+
     root is the smallest node reachable.  Links of a node to itself and rows
     with a null are ignored; direction and repetition don't matter.
     """
     links = links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
-    now = materialize(links.mapInArrow(_contract, "a long, b long").distinct(), "links")
+    now = materialize((links if joined else links.mapInArrow(_contract, "a long, b long")).distinct(), "links")
     state = _state(now)
     while state[0]:
         both = now.union(now.select("b", "a")).toDF("u", "v")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import bounded, materialize
-from ledgerline.llm.components import connected_components, spanning_links
+from ledgerline.llm.components import connected_components, joined_within, spanning_links
 
 MIN_CHARS = 20
 SIMILARITY = 0.8
@@ -222,8 +222,8 @@ def similar_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     blocks = cells.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
     named = blocks.select(F.when(F.col("n") <= CELL_ROWS, F.col("cell")).otherwise(F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other"))).alias("cell"), "id")
     members = named.join(texts, "id").select("cell", "id", "line")
-    links = members.repartition("cell").sortWithinPartitions("cell", "id").mapInArrow(_verify(similarity), "a long, b long")
-    return connected_components(links).toDF("id", "root")
+    links = members.repartition("cell").sortWithinPartitions("cell", "id").mapInArrow(joined_within(_verify(similarity)), "a long, b long")
+    return connected_components(links, joined=True).toDF("id", "root")
 
 
 def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

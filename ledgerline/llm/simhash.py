@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import bounded, byte_text, materialize
-from ledgerline.llm.components import connected_components, spanning_links
+from ledgerline.llm.components import connected_components, joined_within, spanning_links
 
 SHINGLE = 3
 BITS = 3
@@ -169,8 +169,8 @@ def fingerprint_components(marks: DataFrame, bits: int = BITS) -> DataFrame:
     if not 0 <= bits <= 3:
         raise ValueError("the anchors cover thresholds up to 3 bits")
     cells = marks.select("fp").distinct().mapInArrow(_replicate, "cell long, fp long, own boolean")
-    links = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_compare(bits), "a long, b long")
-    return connected_components(links).toDF("fp", "root")
+    links = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(joined_within(_compare(bits)), "a long, b long")
+    return connected_components(links, joined=True).toDF("fp", "root")
 
 
 def near_duplicates(docs: DataFrame, bits: int = BITS) -> DataFrame:
