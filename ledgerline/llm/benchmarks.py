@@ -1,15 +1,18 @@
-"""Operator 3: benchmark decontamination by rare seeds and Smith-Waterman.
-
-Word trigrams of the test items are looked up in all documents.  An item's
-seeds are the rarer half of its trigrams, by the number of documents that hold
-them, so phrases everyone uses join nothing.  Around a seed the passage and the
-item are aligned (match 2, mismatch -1, gap -1); the score is the best local
-alignment over that of the item with itself.  Copies keep most of it, also
-edited and paraphrased ones.
+"""Operator 3: benchmark decontamination by trigram seeds and Smith-Waterman.
+
+Word trigrams of the test items are looked up in all documents.  Each is a seed,
+however many documents hold it, as leaks themselves make trigrams frequent.
+Around a seed the passage and the item are aligned (match 2, mismatch -1, gap
+-1); the score is the best local alignment over that of the item with itself.
+Copies keep most of it, also edited and paraphrased ones.  Passages that share
+too few words with the item to reach the score are not aligned, so phrases
+everyone uses cost little.  A copy without any three words in a row, such as one
+with a foreign word after every second, has no seed and is not found.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -17,7 +20,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import bounded, materialize
@@ -108,31 +110,39 @@ def _all_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array([key] * n, pa.int64()), pa.array([_gram(w[k : k + GRAM]) for k in range(n)], pa.int64()), pa.array(range(n), pa.int64())], names=("key", "gram", "place"))
 
 
-def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        numbers: dict[str, int] = {}
-        number = lambda ws: np.array([numbers.setdefault(w, len(numbers)) for w in ws], np.int64)
-        passages, items, rows = [], [], []
-        for doc, text, hits in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), batch["hits"].to_pylist()):
-            own = number(words(text))
-            for hit in hits:
-                item = number(hit["words"])
-                slack = max(8, len(item) // 2)
-                spans = sorted((max(0, a - slack), a + len(item) + slack) for a in {p["place"] - p["at"] for p in hit["places"]})
-                merged = [list(spans[0])]
-                for a, b in spans[1:]:
-                    if a <= merged[-1][1]:
-                        merged[-1][1] = max(b, merged[-1][1])
-                    else:
-                        merged.append([a, b])
-                for a, b in merged:
-                    passages.append(own[a:b])
-                    items.append(item)
-                    rows.append((doc, hit["item_id"], len(hit["places"]), 2 * len(item)))
-        if rows:
-            score = best_scores(passages, items)
-            doc, item, seeds, most = zip(*rows)
-            yield pa.record_batch([pa.array(doc, pa.int64()), pa.array(item, pa.int64()), pa.array(seeds, pa.int64()), pa.array(score / np.array(most))], names=("doc_id", "item_id", "seeds", "score"))
+def _align(least: float, known):
+    """Of few items the words are in known, by version; of more each hit has them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers: dict[str, int] = {}
+            number = lambda ws: np.array([numbers.setdefault(w, len(numbers)) for w in ws], np.int64)
+            passages, items, rows = [], [], []
+            for doc, text, hits in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), batch["hits"].to_pylist()):
+                own = number(words(text))
+                for hit in hits:
+                    item = number(known.value[hit["version"]] if known else hit["words"])
+                    # an alignment of the least score has no room for more gaps
+                    slack = max(8, math.ceil(2 * len(item) * (1 - least)))
+                    spans = sorted((max(0, a - slack), a + len(item) + slack) for a in hit["starts"])
+                    merged = [list(spans[0])]
+                    for a, b in spans[1:]:
+                        if a <= merged[-1][1]:
+                            merged[-1][1] = max(b, merged[-1][1])
+                        else:
+                            merged.append([a, b])
+                    for a, b in merged:
+                        # each word of the item matches once at most
+                        if np.isin(item, own[a:b]).sum() >= (least - 1e-6) * len(item):
+                            passages.append(own[a:b])
+                            items.append(item)
+                            rows.append((doc, hit["item_id"], hit["seeds"], 2 * len(item)))
+            if rows:
+                score = best_scores(passages, items)
+                doc, item, seeds, most = zip(*rows)
+                yield pa.record_batch([pa.array(doc, pa.int64()), pa.array(item, pa.int64()), pa.array(seeds, pa.int64()), pa.array(score / np.array(most))], names=("doc_id", "item_id", "seeds", "score"))
+
+    return run
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -160,18 +170,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, score: float = SCORE) -> DataFr
     else:
         matches = keyed.select("key", "text").mapInArrow(_all_grams, "key long, gram long, place long").join(grams.select("gram").distinct(), "gram", "left_semi").select("key", "gram", "place")
     matches = materialize(matches, "gram-matches")
-    documents = matches.groupBy("gram", "key").agg(F.lit(1)).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    item = W.partitionBy("item_id", "words")
-    ranked = grams.join(documents, "gram").withColumn("rank", F.percent_rank().over(item.orderBy("df", "gram")))
-    seeds = materialize(ranked.where("rank <= 0.5").select("item_id", "words", "gram", "at"), "seeds")
-    hits = materialize(matches.join(seeds.select("item_id", "gram", "at", F.xxhash64("words").alias("version")), "gram").select("key", "item_id", "version", F.struct("place", "at").alias("p")), "seed-hits")
+    seeds = grams.select("item_id", "gram", "at", F.xxhash64("words").alias("version"))
+    if size <= BROADCAST_WORDS:
+        seeds = F.broadcast(seeds)
+    hits = materialize(matches.join(seeds, "gram").select("key", "item_id", "version", F.struct("place", "at").alias("p")), "seed-hits")
     pairs = hits.groupBy("key", "item_id", "version").agg(F.collect_set("p").alias("places"))
-    texts = seeds.select("item_id", F.xxhash64("words").alias("version"), "words").distinct()
-    same = F.col("p.item_id").eqNullSafe(F.col("t.item_id")) & (F.col("p.version") == F.col("t.version"))
-    wanted = pairs.alias("p").join(texts.alias("t"), same).groupBy("p.key").agg(F.collect_list(F.struct("p.item_id", "words", "places")).alias("hits"))
+    found = (F.size("places").cast("long").alias("seeds"), F.array_distinct(F.transform("places", lambda p: p["place"] - p["at"])).alias("starts"))
+    texts = grams.select("item_id", F.xxhash64("words").alias("version"), "words").distinct()
+    if size <= BROADCAST_WORDS:
+        known = docs.sparkSession.sparkContext.broadcast({r.version: r.words for r in texts.select("version", "words").toLocalIterator()})
+        wanted = pairs.select("key", F.struct("item_id", "version", *found).alias("hit"))
+    else:
+        known = None
+        same = F.col("p.item_id").eqNullSafe(F.col("t.item_id")) & (F.col("p.version") == F.col("t.version"))
+        wanted = pairs.alias("p").join(texts.alias("t"), same).select("p.key", F.struct("p.item_id", "words", *found).alias("hit"))
+    wanted = wanted.groupBy("key").agg(F.collect_list("hit").alias("hits"))
     if hits.count() <= BROADCAST_HITS:
         wanted = F.broadcast(wanted)
-    aligned = keyed.join(wanted, "key").select("doc_id", "text", "hits").mapInArrow(_align, "doc_id long, item_id long, seeds long, score double")
+    aligned = keyed.join(wanted, "key").select("doc_id", "text", "hits").mapInArrow(_align(score, known), "doc_id long, item_id long, seeds long, score double")
     return aligned.groupBy("doc_id", "item_id").agg(F.max("seeds").alias("seeds"), F.round(F.max("score"), 6).alias("score")).where(F.col("score") >= score)
 
 

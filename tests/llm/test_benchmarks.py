@@ -58,6 +58,22 @@ def test_planted(planted, monkeypatch, most):
     assert all(s == brute[k] for k, s in got.items())
 
 
+def test_many_partial_copies(spark):
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(9))
+    item = [word() for _ in range(30)]
+    filler = lambda: [word() for _ in range(20)]
+    edited = [w if k % 5 else word() for k, w in enumerate(item)]
+    # words put in before the only seed
+    spread = [x for w in item[:27] for x in (w, word())][:44] + item[22:]
+    docs = [(0, filler() + item + filler())] + [(i, filler() + item[:16] + filler()) for i in range(1, 40)] + [(i, filler() + edited + filler()) for i in range(40, 80)]
+    docs += [(80, filler() + spread + filler()), (81, filler() + item[:14] + filler()), (82, filler() + item[4:7] + filler())]
+    brute = {i: round(plain(w, item) / 60, 6) for i, w in docs}
+    rows = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")
+    got = {x.doc_id: x.score for x in B.leaks(rows, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()}
+    assert got == {i: s for i, s in brute.items() if s >= B.SCORE} and set(range(81)) == set(got)
+
+
 def test_odd_rows(spark, odd, none):
     items = spark.createDataFrame([(1, "quick brown fox jumps over the lazy dog near the river"), (1, "quick brown fox jumps over the lazy dog near the river"), (2, None), (3, "two words"), (None, "Brown fox jumps over the lazy"), (4, "")], "item_id long, text string")
     got = sorted((r.doc_id, r.item_id or -1) for r in B.leaks(odd, items).collect())
