@@ -15,13 +15,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import bounded, materialize
 
 UNDETERMINED = "und"
-#: Rows the text models are fitted on; the models, unlike all counts below, need no more.
+#: Rows the text models are fitted on, shared equally by the declared languages; the models, unlike all counts below, need no more.
 SAMPLE_ROWS = 2000
+#: Characters of a row the models are fitted on, as the sample goes to the driver.
+SAMPLE_CHARS = 10_000
 SLOTS = 1 << 16
 #: A trigram shares two bytes with the next, so three count as about one.
 TEMPER = 1 / 3
@@ -105,14 +108,25 @@ def code(declared: Column) -> Column:
 
 
 def fit_on(evidence: DataFrame, rows: int = SAMPLE_ROWS) -> TextModel:
-    """Fits on at most ``rows`` rows that declare a language, the smallest by a hash of their other columns.
+    """Fits every language that any row declares, on about ``rows`` rows in all.
 
-    The hashes are ranked alone, so that only the sample's texts leave the tasks.
+    The languages are counted over all rows.  Each gives as many rows, one at
+    least, the smallest by a hash of their other columns, and of a text its
+    first SAMPLE_CHARS characters.  The hashes are bounded by the counts first,
+    so that few rows are ranked and only the sample's texts leave the tasks.
     """
     hashed = evidence.where("declared is not null").withColumn("hash_", F.xxhash64(*(c for c in evidence.columns if c != "text")))
-    last = hashed.select("hash_").orderBy("hash_").limit(rows).agg(F.max("hash_")).first()[0]
-    sample = hashed.where(F.col("hash_") <= (last if last is not None else 0)).limit(rows)
-    return fit([(bytes(r.text), r.declared) for r in sample.select(F.lower(F.coalesce("text", F.lit(""))).cast("binary").alias("text"), "declared").collect()])
+    counts = hashed.groupBy("declared").agg(F.count(F.lit(1)).alias("n"), F.min("hash_").alias("low")).collect()
+    if not counts:
+        return fit([])
+    each = max(1, rows // len(counts))
+    # twice the rows wanted and some, so that chance leaves enough
+    bounds = [(r.declared, max(r.low, min((1 << 63) - 1, ((2 * each + 30) << 64) // r.n - (1 << 63)))) for r in counts]
+    bounds = evidence.sparkSession.createDataFrame(bounds, "declared string, bound_ long")
+    few = hashed.join(F.broadcast(bounds), "declared").where("hash_ <= bound_")
+    text = F.lower(F.left(F.coalesce("text", F.lit("")), F.lit(SAMPLE_CHARS))).cast("binary").alias("text")
+    ranked = few.select("declared", "hash_", text).withColumn("rank_", F.row_number().over(W.partitionBy("declared").orderBy("hash_", "text")))
+    return fit([(bytes(r.text), r.declared) for r in ranked.where(F.col("rank_") <= each).select("text", "declared").collect()])
 
 
 def _posterior(model: TextModel):

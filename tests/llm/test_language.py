@@ -43,6 +43,26 @@ def test_evidence_is_fused(spark, model):
     assert len(found) == len(rows)
 
 
+def test_rare_languages_are_known_at_every_size(spark):
+    texts = {"en": "the dog and the cat are on the hill with that other one", "de": "der hund und die katze sind nicht auf dem berg", "sv": "hunden och katten ligger inte uppe vid den gamla sjön"}
+    rows = [(i, f"{texts[x]} {i}", x, "h", 0) for i, x in enumerate(["sv"] * 2 + ["en", "de"] * 1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    evidence = language.document_evidence(docs)
+    assert language.fit_on(evidence).languages == language.fit_on(evidence, 12).languages == ("de", "en", "sv")
+    found = {r.doc_id: r for r in language.identify(evidence, language.fit_on(evidence, 12)).collect()}
+    assert all(found[i].language == x and not found[i].rejected for i, _, x, _, _ in rows)
+    assert language.keep_known(docs).where("doc_id < 2").count() == 2
+
+
+def test_the_sample_is_bounded(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(language, "fit", lambda rows: taken.extend(rows))
+    monkeypatch.setattr(language, "SAMPLE_CHARS", 50)
+    same = [(None, "word " * 100, "en", "h", 0)] * 500
+    language.fit_on(language.document_evidence(spark.createDataFrame([*same, (1, "x", "fr", "h", 0)], "doc_id long, text string, lang string, source string, n_chars long")), 20)
+    assert sorted((x, len(t)) for t, x in taken) == [("en", 50)] * 10 + [("fr", 1)]
+
+
 def test_codes_and_addresses(spark):
     pages = spark.createDataFrame([(1, "https://u@www.Site.DE:80/x?y", '<html class="a" lang="de-AT"><script>var english = 1</script><p>Der Hund</p>'), (2, None, None), (3, "nowhere", "<p>x")], "page_id long, url string, html string")
     got = {r.page_id: r for r in language.page_evidence(pages).collect()}
