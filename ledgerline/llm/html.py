@@ -34,6 +34,8 @@ _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 OMIT = frozenset("script style noscript template svg math head title textarea select iframe object canvas audio video map".split())
 #: Elements whose content is plain characters up to their end tag.
 RAW = frozenset("script style noscript template textarea title iframe".split())
+#: Elements that can stand in a head; any other ends it, as its end tag can be left out.
+HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -73,6 +75,8 @@ class _Reader:
     omitted: int = 0
 
     def text(self, raw: str) -> None:
+        if self.stack and self.stack[-1][0] == "head" and not raw.isspace() and raw:
+            self.end_head()
         if raw and not self.omitted:
             text = entities.unescape(raw) if "&" in raw else raw
             self.parts.append(text)
@@ -90,10 +94,17 @@ class _Reader:
     def close(self, name: str) -> None:
         for k in range(len(self.stack) - 1, -1, -1):
             if self.stack[k][0] == name:
-                del self.stack[k:]
-                self.omitted = sum(n in OMIT for n, _ in self.stack)
+                self.cut(k)
                 return
 
+    def cut(self, k: int) -> None:
+        del self.stack[k:]
+        self.omitted = sum(n in OMIT for n, _ in self.stack)
+
+    def end_head(self) -> None:
+        while self.stack and self.stack[-1][0] == "head":
+            self.cut(len(self.stack) - 1)
+
     def open(self, name: str, attributes: str) -> None:
         inner, limit = ENDS.get(name, (frozenset(), frozenset()))
         if name in BLOCK and not inner:
@@ -102,7 +113,7 @@ class _Reader:
             if self.stack[k][0] in limit:
                 break
             if self.stack[k][0] in inner:
-                del self.stack[k:]
+                self.cut(k)
         groups = frozenset(g for found in _NAME.findall(attributes) for part in _PART.findall("".join(found)) if (g := _GROUP.get(part.lower()))) if "=" in attributes else frozenset()
         self.stack.append((name, groups))
         self.omitted += name in OMIT
@@ -124,7 +135,10 @@ def blocks(page: str) -> list[Block]:
                 r.in_link = False
             elif name in BLOCK or name in OMIT:
                 r.close(name)
-        elif name == "br":
+            continue
+        if name not in HEAD:
+            r.end_head()
+        if name == "br":
             r.text(" ")
         elif name in VOID:
             if name in BLOCK:

@@ -39,6 +39,12 @@ def test_viterbi_is_the_best_labelling():
         ("<div \n'broken>q</div>", ["q"]),
         ("  \n<p>\t&nbsp;a\n  b&#10;</p>", ["a b"]),
         ("<textarea>no</textarea><title>no</title><svg><text>no</text></svg>yes<script>open", ["yes"]),
+        ("<html><head><meta charset=utf-8><title>no</title><script>no</script><body><p>yes", ["yes"]),
+        ("<html><head>\n<title>no</title>\n<link rel=x>yes<p>more", ["yes", "more"]),
+        ("<head><title>no</title><div>a</div><span>b</span>", ["a", "b"]),
+        ("<head><svg><text>no</text></svg>yes", ["yes"]),
+        ("<div><p>a<svg><text>no</text><p>b</div>", ["a", "b"]),
+        ("<ul><li>a<object>no<li>b<p>c<video>no<p>d<select><option>no<div>no</select>e</ul>", ["a", "b", "c", "d", "e"]),
         ("", []),
         ("<", ["<"]),
     ],
