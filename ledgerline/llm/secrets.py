@@ -5,7 +5,11 @@ regexp_extract_all and the text between them from split with the same pattern;
 their lengths give every match's place.  Candidate strings of an entropy class
 are scanned window by window: counts per character change by the one that
 enters and the one that leaves, and a table holds c*log2(c), so the entropy of
-a window follows from the last one's by two look-ups.
+a window follows from the last one's by two look-ups.  Counts are kept twelve to
+a number, so that a step rewrites a few numbers and not the whole alphabet.
+
+Repeated groups of the patterns are possessive: Java then matches them by a loop
+instead of a call for each round, which long texts let run out of stack.
 """
 
 from __future__ import annotations
@@ -53,9 +57,11 @@ ALLOW = (
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
     r"(?i)abcdefghij|0123456789abcdef",
     r"(?i)example|placeholder|changeme",
-    r"^/?[a-z]+([-_/+][a-z0-9]{1,12})*/?$",
+    r"^/?[a-z]+(?:[-_/+][a-z0-9]{1,12})*+/?$",
 )
 _SCALE = 1_000_000
+#: Counts in a number, and the bits of each; a window must be shorter than 2**BITS.
+PACKED, BITS = 12, 5
 KINDS = (*PATTERNS, *(c.kind for c in CLASSES))
 _SPAN = "array<struct<start: int, rank: int, end: int, kind: string>>"
 
@@ -108,22 +114,31 @@ def _hot_part(run: Column, c: EntropyClass) -> Column:
     """(first, last) window start in run with enough entropy; (-1, -1) if none has."""
     table = F.array(*(F.lit(round(_SCALE * k * log2(k)) if k else 0).cast("long") for k in range(c.window + 2)))
     most = F.lit(round(_SCALE * c.window * (log2(c.window) - c.bits)))
+    # of a character's number (1 and up): which packed number counts it, and where in that
+    places = range(len(c.alphabet) + 1)
+    word = F.array(*(F.lit(max(0, k - 1) // PACKED) for k in places))
+    shift = F.array(*(F.lit(max(0, k - 1) % PACKED * BITS) for k in places))
+    one = F.array(*(F.lit(1 << (k - 1) % PACKED * BITS if k else 0).cast("long") for k in places))
     codes = F.transform(F.split(run, ""), lambda x: F.instr(F.lit(c.alphabet), x))
     gone = F.concat(F.array_repeat(F.lit(0), c.window), codes)
     steps = F.slice(F.arrays_zip(codes.alias("enter"), gone.alias("leave")), F.lit(1), F.size(codes))
 
+    def count(counts: Column, code: Column) -> Column:
+        return F.call_function("shiftright", F.get(counts, F.get(word, code)), F.get(shift, code)).bitwiseAND((1 << BITS) - 1).cast("int")
+
     def step(s: Column, x: Column) -> Column:
-        enter, leave = x["enter"], x["leave"]
-        # counts[0] takes what leaves before the first window is full
-        n = F.get(s["counts"], enter)
-        m = F.get(s["counts"], leave) + F.when(enter == leave, 1).otherwise(0)
+        enter, leave = x["enter"], x["leave"]  # leave is 0 before the first window is full
+        n = count(s["counts"], enter)
+        m = count(s["counts"], leave) + F.when(enter == leave, 1).otherwise(0)
         total = s["total"] + F.get(table, n + 1) - F.get(table, n) - F.when(leave > 0, F.get(table, m) - F.get(table, m - 1)).otherwise(0)
-        counts = F.transform(s["counts"], lambda v, k: v + (k == enter).cast("int") - ((k == leave) & (leave > 0)).cast("int"))
+        zero = F.lit(0).cast("long")
+        counts = F.transform(s["counts"], lambda v, k: v + F.when(k == F.get(word, enter), F.get(one, enter)).otherwise(zero) - F.when(k == F.get(word, leave), F.get(one, leave)).otherwise(zero))
         hot = (total <= most) & (s["i"] >= c.window - 1)
         at = s["i"] - (c.window - 1)
         return F.struct(counts.alias("counts"), total.alias("total"), (s["i"] + 1).alias("i"), F.when(hot & (s["first"] < 0), at).otherwise(s["first"]).alias("first"), F.when(hot, at).otherwise(s["last"]).alias("last"))
 
-    zero = F.struct(F.array_repeat(F.lit(0), len(c.alphabet) + 1).alias("counts"), F.lit(0).cast("long").alias("total"), F.lit(0).alias("i"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
+    numbers = (len(c.alphabet) - 1) // PACKED + 1
+    zero = F.struct(F.array_repeat(F.lit(0).cast("long"), numbers).alias("counts"), F.lit(0).cast("long").alias("total"), F.lit(0).alias("i"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
     return F.aggregate(steps, zero, step, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
 
 

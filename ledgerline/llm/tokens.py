@@ -10,6 +10,7 @@ Counts of sections therefore add up to the document's.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,6 +25,9 @@ from ledgerline.llm.common import bounded, byte_text
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Fixed value: how the vocabulary's tokenizer cuts a text into pieces.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Runs of white space from this length on are encoded apart; the pattern's engine fails on very long ones.
+RUN = 1000
+_RUN = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % RUN)
 
 
 @lru_cache(maxsize=2)
@@ -35,6 +39,22 @@ def _encoder(ranks: bytes) -> tuple[tiktoken.Encoding, np.ndarray]:
     return tiktoken.Encoding("vocabulary", pat_str=PIECES, mergeable_ranks=table, special_tokens={}), sizes
 
 
+def encode(encoder: tiktoken.Encoding, text: str) -> list[int]:
+    """What encode_ordinary() gives, for runs of white space of any length.
+
+    No piece goes on from other characters to white space, so a run begins a
+    piece.  That piece is the run less its last character, which belongs to
+    what follows; at the end of the text it is all of the run.
+    """
+    ids, at = [], 0
+    for run in _RUN.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        ids += encoder.encode_ordinary(text[at : run.start()])
+        ids += encoder._encode_single_piece(text[run.start() : end])
+        at = end
+    return ids + encoder.encode_ordinary(text[at:])
+
+
 def attribute(ends: np.ndarray, starts: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
     """(tokens, tokens that cross its end) of each section.
 
@@ -63,7 +83,7 @@ def _count(ranks):
                 data = x.as_buffer().to_pybytes()
                 raw = np.frombuffer(data, np.uint8)
                 starts = np.append(0, np.flatnonzero(raw == 10) + 1)
-                ids = np.array(encoder.encode_ordinary(data.decode("utf-8", "replace")), np.int64)
+                ids = np.array(encode(encoder, data.decode("utf-8", "replace")), np.int64)
                 ends = np.cumsum(sizes[ids])
                 n, cross = attribute(ends, starts, len(raw)) if len(ids) else (np.zeros(len(starts), int),) * 2
                 chars = np.append(0, np.cumsum((raw & 0xC0) != 0x80))  # code points before each byte

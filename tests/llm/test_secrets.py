@@ -67,6 +67,14 @@ def test_matches_brute_force(spark):
         assert [r.n_assign, r.n_access, r.n_hex] == [base.count(k + ":") for k in ("assign", "access", "hex")]
 
 
+@pytest.mark.parametrize("text", ["a" + "/b" * 100_000, "a" + "_b1" * 50_000 + "_", "qJ8xZr2LmN5vTb7KpW3yHs9D" * 20_000, "word " * 200_000, "token=" + "ab/c" * 100_000, "token:'" * 30_000, "-".join(["0af3"] * 50_000)], ids=len)
+def test_long_runs(spark, text):
+    """A task's thread has a small stack; neither it nor time may run out."""
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string").repartition(2)
+    r = op8_secrets_of(df).first()
+    assert (hashlib.sha256(r.spans.encode()).hexdigest(), r.n_assign) == (hashlib.sha256(brute(text)[1].encode()).hexdigest(), len(re.findall(r"(?i)assign:", brute(text)[0])))
+
+
 def test_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}

@@ -40,6 +40,22 @@ def test_against_plain(spark, documents):
     assert got(documents) == {r.doc_id: brute(r.text) for r in documents.collect()}
 
 
+def test_long_white_space(spark):
+    with open(tokens.VOCABULARY, "rb") as f:
+        encoder, sizes = tokens._encoder(f.read())
+    for n in (999, 1000, 1001, 30_000):
+        for run in (" " * n, "\n" * n, ("\u3000\t \x85" * n)[:n], " " * (n - 1) + "\n", "\x1c" * n):
+            for text in (run, "a" + run, run + "b", f"a{run}b", f"a{run}7 {run}!{run}", f".{run}'s"):
+                assert tokens.encode(encoder, text) == encoder.encode_ordinary(text), (n, text[:9])
+    texts = [c * 5_000_000 for c in (" ", "\n", "z", "!", "7")] + ["a" + " " * 3_000_000 + "b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    totals = {r.doc_id: r for r in tokens.document_tokens(df).collect()}
+    assert len(totals) == 6 and totals[1].n_sections == 5_000_001
+    for i, text in enumerate(texts):
+        assert totals[i].n_tokens == len(tokens.encode(encoder, text))
+        assert sizes[tokens.encode(encoder, text)].sum() == len(text)
+
+
 def test_odd_rows(odd, none):
     rows = got(odd)
     assert rows[3] == [(0, 0, 0, 0, 0)] and len(rows[2]) == 2 and len(rows[None]) == 2
