@@ -12,8 +12,9 @@ from __future__ import annotations
 import html as entities
 import random
 import re
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections import Counter
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -27,13 +28,18 @@ from ledgerline.llm.common import bounded
 TRAINING_PAGES = 600
 TRAINING_SEED = 7
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>""", re.S)
+_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
+_UNQUOTED = re.compile(r"""[^>"']*""")
+_COMMENT_END = re.compile(r"--!?>")
 _NAME = re.compile(r"""\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Elements whose content is no text of the page.
 OMIT = frozenset("script style noscript template svg math head title textarea select iframe object canvas audio video map".split())
 #: Elements whose content is plain characters up to their end tag.
-RAW = frozenset("script style noscript template textarea title iframe".split())
+RAW = frozenset("script style textarea title iframe".split())
+#: Elements with a syntax of their own, in which "/>" ends an element, and the HTML elements that end them.
+FOREIGN = ("svg", "math")
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 #: Elements that can stand in a head; any other ends it, as its end tag can be left out.
 HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -57,25 +63,46 @@ _LEXICAL = (
 )
 
 
+@dataclass(frozen=True, slots=True)
+class Element:
+    """An open element, and what it and all around it say together."""
+
+    name: str = ""
+    tags: frozenset[str] = frozenset()
+    groups: frozenset[str] = frozenset()
+    #: groups of the nearest element that has any
+    nearest: frozenset[str] = frozenset()
+    #: the nearest sectioning element
+    around: str = "none"
+    #: number of this chain of element names in its page
+    place: int = 0
+
+
+_ROOT = Element()
+_SECTIONS = frozenset("article main nav aside footer header form section".split())
+
+
 @dataclass
 class Block:
     text: str
-    tag: str
-    ancestors: tuple[tuple[str, frozenset[str]], ...]
+    element: Element
     linked: int = 0
 
 
-@dataclass
 class _Reader:
-    blocks: list[Block] = field(default_factory=list)
-    stack: list[tuple[str, frozenset[str]]] = field(default_factory=list)
-    parts: list[str] = field(default_factory=list)
-    linked: int = 0
-    in_link: bool = False
-    omitted: int = 0
+    """Blocks of a page, in time linear in its tags: every step looks only at what it opens or closes."""
+
+    def __init__(self) -> None:
+        self.blocks: list[Block] = []
+        self.stack: list[Element] = []
+        #: for each name the places in the stack, under "#block" those of all block elements but p
+        self.where: dict[str, list[int]] = {n: [] for n in (*BLOCK, *OMIT, "foreignobject", "#block")}
+        self.places: dict[tuple[int, str], int] = {}
+        self.parts: list[str] = []
+        self.linked, self.in_link, self.omitted = 0, False, 0
 
     def text(self, raw: str) -> None:
-        if self.stack and self.stack[-1][0] == "head" and not raw.isspace() and raw:
+        if self.stack and self.stack[-1].name == "head" and raw and not raw.isspace():
             self.end_head()
         if raw and not self.omitted:
             text = entities.unescape(raw) if "&" in raw else raw
@@ -87,100 +114,157 @@ class _Reader:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                self.blocks.append(Block(text, self.stack[-1][0] if self.stack else "", tuple(self.stack), self.linked))
+                self.blocks.append(Block(text, self.stack[-1] if self.stack else _ROOT, self.linked))
             self.parts = []
         self.linked, self.in_link = 0, False
 
-    def close(self, name: str) -> None:
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == name:
-                self.cut(k)
-                return
+    def top(self, names: Iterable[str]) -> int:
+        """Place of the innermost open element of these names; -1 if none is open."""
+        return max((self.where[n][-1] for n in names if self.where[n]), default=-1)
+
+    def foreign(self) -> bool:
+        return (k := self.top(FOREIGN)) >= 0 and k > self.top(("foreignobject",))
 
     def cut(self, k: int) -> None:
-        del self.stack[k:]
-        self.omitted = sum(n in OMIT for n, _ in self.stack)
+        """Closes the element at k and all inside it."""
+        while len(self.stack) > k:
+            name = self.stack.pop().name
+            self.where[name].pop()
+            if name in BLOCK and name != "p":
+                self.where["#block"].pop()
+            self.omitted -= name in OMIT
+
+    def close(self, name: str) -> None:
+        if self.where[name]:
+            self.cut(self.where[name][-1])
 
     def end_head(self) -> None:
-        while self.stack and self.stack[-1][0] == "head":
+        while self.stack and self.stack[-1].name == "head":
             self.cut(len(self.stack) - 1)
 
     def open(self, name: str, attributes: str) -> None:
-        inner, limit = ENDS.get(name, (frozenset(), frozenset()))
-        if name in BLOCK and not inner:
-            inner, limit = {"p"}, BLOCK - {"p"}
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] in limit:
-                break
-            if self.stack[k][0] in inner:
-                self.cut(k)
-        groups = frozenset(g for found in _NAME.findall(attributes) for part in _PART.findall("".join(found)) if (g := _GROUP.get(part.lower()))) if "=" in attributes else frozenset()
-        self.stack.append((name, groups))
+        inner, limit = ENDS.get(name) or ((("p",), ("#block",)) if name in BLOCK else ((), ()))
+        while (k := self.top(inner)) > self.top(limit):
+            self.cut(k)
+        own = frozenset(g for found in _NAME.findall(attributes) for part in _PART.findall("".join(found)) if (g := _GROUP.get(part.lower()))) if "=" in attributes else frozenset()
+        up = self.stack[-1] if self.stack else _ROOT
+        place = self.places.setdefault((up.place, name), len(self.places) + 1)
+        tags = up.tags if name in up.tags else up.tags | {name}
+        self.where[name].append(len(self.stack))
+        if name in BLOCK and name != "p":
+            self.where["#block"].append(len(self.stack))
+        self.stack.append(Element(name, tags, up.groups | own if own else up.groups, own or up.nearest, name if name in _SECTIONS else up.around, place))
         self.omitted += name in OMIT
 
 
+class _Tags:
+    """Where tags end: past the first ">" outside of quotes, or if there is none past the first ">"."""
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.last = {c: page.rfind(c) for c in "\"'>"}
+        #: quotes after which no ">" outside of quotes comes; so no stretch is searched twice
+        self.dead: set[int] = set()
+
+    def end(self, at: int) -> int:
+        page, i, seen = self.page, at, []
+        while (i := _UNQUOTED.match(page, i).end()) < len(page) and i not in self.dead:
+            if page[i] == ">":
+                return i + 1
+            seen.append(i)
+            if self.last[page[i]] == i:
+                break
+            i = page.index(page[i], i + 1) + 1
+        self.dead.update(seen)
+        return page.index(">", at) + 1
+
+    def at(self, start: int) -> tuple[int, bool, str, str] | None:
+        """(end, is an end tag, name, attributes) of the tag that begins at start; a comment has no name."""
+        page = self.page
+        if page.startswith("<!--", start):
+            found = _COMMENT_END.search(page, start + 2)
+            return (found.end() if found else len(page)), False, "", ""
+        if self.last[">"] < start:
+            return None
+        if page.startswith(("<!", "<?"), start):
+            return page.index(">", start) + 1, False, "", ""
+        m = _TAG.match(page, start)
+        if m is None:
+            return None
+        end = self.end(m.end())
+        return end, bool(m[1]), m[2].lower(), page[m.end() : end - 1]
+
+
 def blocks(page: str) -> list[Block]:
     """Leaf blocks in page order; white space, also that of references, is one space."""
-    r, at = _Reader(), 0
-    while (m := _TAG.search(page, at)) is not None:
-        r.text(page[at : m.start()])
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
-        if not name:
+    r, tags, at, look = _Reader(), _Tags(page), 0, 0
+    while (start := page.find("<", look)) >= 0:
+        tag = tags.at(start)
+        if tag is None:
+            look = start + 1
             continue
-        if m[1] or m[4]:
+        r.text(page[at:start])
+        at, closing, name, attributes = tag
+        if closing:
             if name in BLOCK:
                 r.flush()
             if name == "a":
                 r.in_link = False
-            elif name in BLOCK or name in OMIT:
+            elif name in r.where:
                 r.close(name)
-            continue
-        if name not in HEAD:
-            r.end_head()
-        if name == "br":
-            r.text(" ")
-        elif name in VOID:
-            if name in BLOCK:
-                r.flush()
-        elif name in RAW:
-            end = re.compile(rf"</{name}[\s/>]", re.I).search(page, at)
-            at = len(page) if end is None else (page.find(">", end.start()) + 1 or len(page))
-        elif name in BLOCK or name in OMIT:
-            if name in BLOCK:
-                r.flush()
-            r.open(name, m[3] or m[6] or "")
-        elif name == "a":
-            r.in_link = True
+        elif name:
+            at = _start(r, page, at, name, attributes)
+        look = at
     r.text(page[at:])
     r.flush()
     return r.blocks
 
 
+def _start(r: _Reader, page: str, at: int, name: str, attributes: str) -> int:
+    """Takes a start tag; where to read on."""
+    if name not in HEAD:
+        r.end_head()
+    if r.foreign():
+        if name in BREAKOUT:
+            r.cut(min(r.where[n][0] for n in FOREIGN if r.where[n]))
+        elif attributes.endswith("/"):
+            return at
+    if name in FOREIGN and attributes.endswith("/"):
+        return at
+    if name == "br":
+        r.text(" ")
+    elif name in VOID:
+        if name in BLOCK:
+            r.flush()
+    elif name in RAW:
+        end = re.compile(rf"</{name}[\s/>]", re.I).search(page, at)
+        return len(page) if end is None else (page.find(">", end.start()) + 1 or len(page))
+    elif name in BLOCK or name in OMIT or (name == "foreignobject" and r.foreign()):
+        if name in BLOCK:
+            r.flush()
+        r.open(name, attributes)
+    elif name == "a":
+        r.in_link = True
+    return at
+
+
 def _bucket(n: float, edges: tuple[float, ...]) -> int:
     return sum(n >= e for e in edges)
 
 
 def features(page: list[Block]) -> list[list[str]]:
     out = []
-    repeated: dict[tuple, int] = {}
-    for b in page:
-        place = tuple(n for n, _ in b.ancestors)
-        repeated[place] = repeated.get(place, 0) + 1
+    repeated = Counter(b.element.place for b in page)
     for i, b in enumerate(page):
-        tags = {n for n, _ in b.ancestors}
-        groups = frozenset().union(*(g for _, g in b.ancestors)) if b.ancestors else frozenset()
-        nearest = next((g for _, g in reversed(b.ancestors) if g), frozenset())
-        length, density = len(b.text), b.linked / max(1, len(b.text))
-        inside = "article" if "article" in tags else "main" if "main" in tags else "none"
-        around = next((n for n, _ in reversed(b.ancestors) if n in ("article", "main", "nav", "aside", "footer", "header", "form", "section")), "none")
-        f = ["bias", f"tag={b.tag}", f"in={inside}", f"around={around}", f"length={_bucket(length, (20, 60, 120, 250, 500))}", f"links={_bucket(density, (0.01, 0.3, 0.7))}"]
-        f += [f"ancestor={n}" for n in tags if n in ("nav", "aside", "footer", "header", "form", "ul", "ol", "table", "blockquote", "figure", "button", "dialog", "details", "label", "fieldset", "section")]
-        f += [f"name={g}" for g in groups] + [f"near={g}" for g in nearest]
+        e, length, density = b.element, len(b.text), b.linked / max(1, len(b.text))
+        inside = "article" if "article" in e.tags else "main" if "main" in e.tags else "none"
+        f = ["bias", f"tag={e.name}", f"in={inside}", f"around={e.around}", f"length={_bucket(length, (20, 60, 120, 250, 500))}", f"links={_bucket(density, (0.01, 0.3, 0.7))}"]
+        f += [f"ancestor={n}" for n in e.tags if n in ("nav", "aside", "footer", "header", "form", "ul", "ol", "table", "blockquote", "figure", "button", "dialog", "details", "label", "fieldset", "section")]
+        f += [f"name={g}" for g in e.groups] + [f"near={g}" for g in e.nearest]
         f += [f"says={k}" for k, p in _LEXICAL if length < 400 and p.search(b.text)]
         f.append(f"stop={b.text[-1] in '.!?…:;”\"' }")
         f.append(f"place={_bucket(i / max(1, len(page) - 1), (0.05, 0.2, 0.8, 0.95))}")
-        f.append(f"like={_bucket(repeated[tuple(n for n, _ in b.ancestors)], (2, 4, 8))}")
+        f.append(f"like={_bucket(repeated[e.place], (2, 4, 8))}")
         out.append(f)
     return out
 

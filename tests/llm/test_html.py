@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -45,6 +46,14 @@ def test_viterbi_is_the_best_labelling():
         ("<head><svg><text>no</text></svg>yes", ["yes"]),
         ("<div><p>a<svg><text>no</text><p>b</div>", ["a", "b"]),
         ("<ul><li>a<object>no<li>b<p>c<video>no<p>d<select><option>no<div>no</select>e</ul>", ["a", "b", "c", "d", "e"]),
+        ("<article><svg viewBox='0 0 1 1'/>a<p>b<svg><path d=x /><title/>no</svg>c<math/>d</p></article>", ["a", "b cd".replace(" ", "")]),
+        ("<p>a<svg><text>no<p>b</p>c", ["a", "b", "c"]),
+        ("<svg><foreignObject><div>no</div></foreignObject><text>no</text></svg>yes", ["yes"]),
+        ("<template><p>no<template>no</template>no</template><noscript><p>no</noscript>yes", ["yes"]),
+        ("a<!-->b<!--->c<!-- no --!>d<!x>e<?php no ?>f<!-- no", ["abcdef"]),
+        ("a < b <3 <p class='x>c</p>d<", ["a < b <3", "c", "d<"]),
+        ("<ul><li><div>a<li>b<ul><li>c</ul>d<li>e", ["a", "b", "c", "d", "e"]),
+        ("</p>a</div></nav>b", ["a", "b"]),
         ("", []),
         ("<", ["<"]),
     ],
@@ -53,6 +62,44 @@ def test_blocks(page, want):
     assert [b.text for b in H.blocks(page)] == want
 
 
+def test_tag_ends_against_plain():
+    """The first > outside of quotes, or else the first one, found anew for each tag."""
+    r = random.Random(8)
+
+    def plain(page, at):
+        quote = None
+        for i in range(at, len(page)):
+            if quote:
+                quote = None if page[i] == quote else quote
+            elif page[i] == ">":
+                return i + 1
+            elif page[i] in "\"'":
+                quote = page[i]
+        return page.index(">", at) + 1
+
+    for _ in range(3000):
+        page = "".join(r.choice("<a \"'>=") for _ in range(r.randint(1, 40))) + ">"
+        tags, at = H._Tags(page), 0
+        while (start := page.find("<a", at)) >= 0:
+            name = H._TAG.match(page, start).end()
+            at = tags.at(start)[0]
+            assert at == plain(page, name), page
+
+
+@pytest.mark.parametrize(
+    "part,n",
+    [("<div>", 200_000), ("<a ", 200_000), ("<a \">\" ", 100_000), ("<a '>\"", 100_000), ("<!", 200_000), ("<!--", 200_000), ("<ul><li>", 100_000), ("<svg><p>", 100_000), ("<p><svg>", 100_000), ("<svg>", 200_000), ("</div>x", 100_000), ("<td><p>x", 60_000), ("<", 200_000), ("<a<", 200_000), ("<title", 100_000), ("&amp", 200_000), ("<div class='", 50_000)],
+)
+def test_large_broken_pages_take_linear_time(part, n):
+    took = []
+    for k in (n // 4, n):
+        page = part * k + "<p>The end of it.</p>"
+        began = time.process_time()
+        H.main_text(page, H.trained())
+        took.append(time.process_time() - began)
+    assert took[1] < 12 and took[1] < 12 * took[0] + 0.5  # four times the page; 16 times the time would be quadratic
+
+
 def test_pages(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     texts = {r.page_id: r.html for r in pages.collect()}
