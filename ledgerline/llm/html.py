@@ -397,6 +397,17 @@ def labelled_page(r: random.Random) -> tuple[list[Block], list[bool]]:
             return f"<form{own}><label>{_words(r, 2)}</label><input type=text><p>{aside_text()}</p><button>{_words(r, 1)}</button></form>"
         if kind == "share":
             return f'<div class="{r.choice(["share", "social", "tags"])}"><a href="#">{_words(r, 1)}</a> <a href="#">{_words(r, 1)}</a></div>'
+        if kind == "bare":  # what a page without any names has
+            anchors = " ".join(f'<a href="/{i}">{_words(r, r.randint(1, 2))}</a>{r.choice(["", "<br>"])}' for i in range(r.randint(2, 6)))
+            t = r.choice(["div", "p", "td", "center"])
+            return r.choice([f"<{t}>{_words(r, r.randint(1, 3))}</{t}>", f"<{t}>{anchors}</{t}>", f"<{t}>{anchors}</{t}>"])
+        if kind == "imprint":
+            t = r.choice(["div", "p", "center", "address"])
+            return f"{r.choice(['', '<hr>'])}<{t}>{r.choice(['&copy; ', 'Copyright ', '(c) '])}{_words(r, r.randint(1, 5))}{r.choice(['', '. All rights reserved.', ' <a href=/x>Terms of use</a>'])}</{t}>"
+        if kind == "meta":
+            t = r.choice(["p", "div", "span", "div"])
+            own = r.choice(["", ' class="byline"', ' class="entry-meta"', ' class="author"', ' class="post-meta"'])
+            return f"<{t}{own}>{r.choice(['By ', 'Posted on ', 'Published ', ''])}{_words(r, r.randint(1, 4))} <a href=/x>{_words(r, r.randint(1, 2))}</a></{t}>"
         t = r.choice(["section", "div", "ol", "ul"])
         inner = "li" if t in ("ol", "ul") else r.choice(["div", "p", "article"])
         own = r.choice(["comments", "comment-list", "reader-comments", "discussion", "comments-area"])
@@ -406,7 +417,9 @@ def labelled_page(r: random.Random) -> tuple[list[Block], list[bool]]:
     def main() -> str:
         parts = []
         if r.random() < 0.9:
-            parts.append(f"<h1>{yes}{r.choice([_words(r, r.randint(2, 9)), _sentences(r, 1)])}</h1>")
+            title = f"<h1>{yes}{r.choice([_words(r, r.randint(2, 9)), _sentences(r, 1)])}</h1>"
+            top = r.random()
+            parts.append(f"<header{r.choice(['', ' class=entry-header'])}>{title}{r.choice(['', rest('meta')])}</header>" if top < 0.15 else title + rest("meta") if top < 0.25 else title)
         for _ in range(r.choice([1, 2, 4, 6, 9, 14])):
             kind = r.random()
             text = yes + (_sentences(r, r.choice([1, 1, 2, 4, 8])) if r.random() < 0.9 else _words(r, r.randint(1, 3)) + r.choice([".", ""]))
@@ -426,15 +439,25 @@ def labelled_page(r: random.Random) -> tuple[list[Block], list[bool]]:
                 parts.append(f"<pre>{text}</pre>")
         for kind in r.sample(["ad", "share", "side", "notice", "form", "comments"], r.choice([0, 0, 0, 1, 2])):
             parts.insert(len(parts) if kind == "comments" else r.randint(1, len(parts)), rest(kind))
+        if r.random() < 0.1:
+            parts.append(f"<footer{r.choice(['', ' class=entry-footer'])}>{_words(r, 1)} <a href=/x>{_words(r, 1)}</a></footer>")
+        if r.random() < 0.15:
+            parts = [f"<section>{''.join(parts[k : k + 3])}</section>" for k in range(0, len(parts), 3)]
+        if bare:
+            own = r.choice(["div", "div", "div", "table><tr><td"])
+            return r.choice([f"<{own}>{''.join(parts)}</{own.split('>')[0]}>", "".join(parts)])
         own = r.choice(['article', 'article', 'article', 'main', 'div class="content"', 'div id="main-content"', 'div class="post"', 'section class="article-body"'])
         body = f"<{own}>{''.join(parts)}</{own.split()[0]}>"
         return f"<main>{body}</main>" if r.random() < 0.2 else body
 
-    for kind in ("notice", "header", "nav", "ad", "form"):
-        if r.random() < (0.7 if kind == "nav" else 0.35):
+    bare = r.random() < 0.15
+    for kind in ("bare", "bare") if bare else ("notice", "header", "nav", "ad", "form"):
+        if r.random() < (0.7 if kind in ("nav", "bare") else 0.35):
             out.append(rest(kind))
     out.append(main())
-    for kind in ("comments", "side", "form", "ad", "share", "notice", "nav", "footer"):
+    if bare and r.random() < 0.8:
+        out.append(rest("imprint"))
+    for kind in () if bare else ("comments", "side", "form", "ad", "share", "notice", "nav", "footer"):
         if r.random() < (0.7 if kind == "footer" else 0.25):
             out.append(rest(kind))
     page = "<!DOCTYPE html><html><head><title>x</title></head><body>" + "".join(out) + "</body></html>"

@@ -100,6 +100,54 @@ def test_large_broken_pages_take_linear_time(part, n):
     assert took[1] < 12 and took[1] < 12 * took[0] + 0.5  # four times the page; 16 times the time would be quadratic
 
 
+#: Pages laid out by hand as blogs, newspapers, manuals and old pages are; the model has not seen them.
+LAYOUTS = {}
+LAYOUTS['wp']='''<!doctype html><html><head><title>t</title><body class="post-template single"><div id="page" class="site"><a class="skip-link" href="#content">Skip to content</a>
+<header id="masthead" class="site-header"><div class="site-branding"><p class="site-title"><a href="/">My Blog</a></p><p class="site-description">Just another site</p></div><nav id="site-navigation"><ul><li><a href="/">Home</a></li><li><a href="/about">About</a></li></ul></nav></header>
+<div id="content" class="site-content"><main id="main"><article class="post type-post"><header class="entry-header"><h1 class="entry-title">How to bake bread at home</h1><div class="entry-meta">Posted on <a href=x>May 3, 2020</a> by <a href=y>admin</a></div></header>
+<div class="entry-content"><p>Bread is simple. You need flour, water, salt and some patience, and nothing else at all.</p><div class="ad-container"><a href="#">Buy our new flour today!</a></div><h2>Ingredients</h2><ul><li>500 g flour</li><li>350 g water</li><li>10 g salt</li></ul><p>Mix all of it and wait for a day. Then bake it in a hot oven until the crust is dark.</p><blockquote><p>Good bread needs time.</p></blockquote></div>
+<footer class="entry-footer">Tagged <a href=z>bread</a></footer></article>
+<div id="comments" class="comments-area"><h2 class="comments-title">2 thoughts on bread</h2><ol class="comment-list"><li class="comment"><div class="comment-body"><p>Great recipe, I tried it yesterday and it worked.</p></div></li></ol><form class="comment-form"><label>Name</label><button>Post Comment</button></form></div></main></div>
+<aside id="secondary" class="widget-area"><section class="widget"><h2>Recent Posts</h2><ul><li><a href=q>Older post about cakes</a></li></ul></section></aside><footer id="colophon" class="site-footer">Proudly powered by software. &copy; 2020</footer></div></body></html>'''
+LAYOUTS['plain']='''<html><body><table><tr><td><a href=1>Home</a><br><a href=2>Papers</a><br><a href=3>Links</a></td><td><h1>On the growth of plants</h1><p>Plants grow toward the light. This has been known for a very long time, and yet the cause was found late.</p><p>Darwin studied it with his son. They covered the tips of young plants and saw that they no longer bent.</p></td></tr></table><hr><p>Copyright 1999 by the author. All rights reserved.</p></body></html>'''
+LAYOUTS['news']='''<body><div class="cookie-banner"><p>We use cookies to improve your visit.</p><button>Accept</button></div><div class="topbar"><ul class="menu"><li><a href=1>World</a><li><a href=2>Sport</a></ul></div><div class="story-body"><h1>Mayor opens new bridge</h1><div class="byline">By Jane Roe</div><p>The mayor opened the new bridge on Monday in front of a large crowd of people.</p><aside class="related"><h3>Related stories</h3><ul><li><a href=3>Old bridge closed</a></li></ul></aside><p>It took four years to build, two more than planned, and cost twice as much as the city had hoped.</p><div class="newsletter"><form><p>Sign up for our newsletter</p><input><button>Go</button></form></div><p>Residents were pleased.</p><div class="social-share"><a href=4>Tweet</a><a href=5>Share</a></div></div><div class="reader-comments"><div class="comment"><p>What a waste of money this is, if you ask me.</p></div></div><div id="footer"><p>Contact us | Terms of use</p></div></body>'''
+LAYOUTS['divs']='''<div><div>Site name</div><div><a href=/a>One</a> <a href=/b>Two</a> <a href=/c>Three</a></div></div><div><h1>A page with no classes</h1><div>It has a long first paragraph in a plain div, which goes on for a while, as texts do.</div><div>And a second one, which is also in a div, and says something else about the matter.</div><pre>code = 1</pre></div><div>&copy; 2021 Someone. All rights reserved.</div>'''
+LAYOUTS['docs']='''<body><nav class="toc"><a href=#a>Install</a><a href=#b>Use</a></nav><main><section><h2>Install</h2><p>Run the installer and follow what it says.</p><pre>pip install x</pre></section><section><h2>Use</h2><p>Call <code>run()</code> with a path. It returns the number of lines.</p><table><tr><th>Option</th><th>Meaning</th></tr><tr><td>-v</td><td>Says more.</td></tr></table></section></main><footer>Built with docs</footer></body>'''
+MAIN = {'wp': ['How to bake bread at home',
+        'Bread is simple. You need flour, water, salt and some patience, and nothing else at all.',
+        'Ingredients',
+        '500 g flour',
+        '350 g water',
+        '10 g salt',
+        'Mix all of it and wait for a day. Then bake it in a hot oven until the crust is dark.',
+        'Good bread needs time.'],
+ 'plain': ['On the growth of plants',
+           'Plants grow toward the light. This has been known for a very long time, and yet the cause was found late.',
+           'Darwin studied it with his son. They covered the tips of young plants and saw that they no longer bent.'],
+ 'news': ['Mayor opens new bridge',
+          'The mayor opened the new bridge on Monday in front of a large crowd of people.',
+          'It took four years to build, two more than planned, and cost twice as much as the city had hoped.',
+          'Residents were pleased.'],
+ 'divs': ['A page with no classes',
+          'It has a long first paragraph in a plain div, which goes on for a while, as texts do.',
+          'And a second one, which is also in a div, and says something else about the matter.',
+          'code = 1'],
+ 'docs': ['Install',
+          'Run the installer and follow what it says.',
+          'pip install x',
+          'Use',
+          'Call run() with a path. It returns the number of lines.',
+          'Option',
+          'Meaning',
+          '-v',
+          'Says more.']}
+
+
+@pytest.mark.parametrize("kind", LAYOUTS)
+def test_layouts_by_hand(kind):
+    assert H.main_text(LAYOUTS[kind], H.trained()).split("\n\n") == MAIN[kind]
+
+
 def test_pages(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     texts = {r.page_id: r.html for r in pages.collect()}
