@@ -1,14 +1,17 @@
 """Operator 5: fuzzy line deduplication by MinHash.
 
-Lines of MIN_CHARS characters or more are compared over the whole corpus.
-Equal lines are one line by their hash.  Different lines get a one-permutation
-MinHash of their character shingles, whose bands put similar lines into common
-cells; in a cell the exact Jaccard similarity of the shingle sets decides, and a
+Lines that hold anything but white space are compared over the whole corpus.
+Equal lines are one line by their hash, whatever their length.  Different lines
+are similar if their lengths, and their sets of SHINGLE-character shingles by
+Jaccard, agree to SIMILARITY.  MinHash signatures of the shingles put similar
+lines into common cells; in a cell the exact similarity decides, and a
 distributed union-find joins the links.  Of each component the line that comes
-first (by doc_id, then place) stays.
+first (by doc_id, then place; of rows that share both, the smaller hash) stays.
 
-A pair of similarity 0.8 shares a cell with probability 1 - (1 - 0.8**ROWS)**BANDS,
-99.5 %; one of 0.85 with 99.9 %.
+Lines of up to SHORT shingles have a signature of independent permutations,
+lines of SIMILARITY * SHORT or more a one-permutation signature; a similar pair
+shares at least one kind.  A pair of similarity 0.8 shares a cell with
+probability 1 - (1 - 0.8**ROWS)**BANDS, 99.2 %; one of 0.85 with 99.9 %.
 """
 
 from __future__ import annotations
@@ -24,10 +27,11 @@ from pyspark.sql import functions as F
 from ledgerline.llm.common import bounded, materialize
 from ledgerline.llm.components import connected_components, joined_within, spanning_links
 
-MIN_CHARS = 20
 SIMILARITY = 0.8
-SHINGLE = 8
-BANDS, ROWS = 10, 4
+SHINGLE = 5
+#: Shingles up to which a line has an independent permutation for each place of its signature.
+SHORT = 100
+BANDS, ROWS = 12, 5
 BUCKETS = BANDS * ROWS
 #: Code points that are hashed at once.
 SLICE = 1 << 19
@@ -35,6 +39,7 @@ SLICE = 1 << 19
 CELL_ROWS = 2000
 #: Up to so many candidate lines are looked up by a broadcast; more by a shuffle.
 BROADCAST_ROWS = 1_000_000
+_BLANK = " \t\n\v\f\r"
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 _EMPTY = np.uint64((1 << 64) - 1)
@@ -47,65 +52,98 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def bands(lines: list[str]) -> np.ndarray:
-    """BANDS keys of each line, which must have at least SHINGLE characters."""
-    out = np.empty((len(lines), BANDS), np.uint64)
-    at = 0
-    while at < len(lines):
-        end, size = at, 0
-        while end < len(lines) and (end == at or size + len(lines[end]) <= SLICE):
-            size += len(lines[end])
-            end += 1
-        out[at:end] = _bands(lines[at:end])
-        at = end
-    return out
-
-
-def _bands(lines: list[str]) -> np.ndarray:
+def _pieces(lines: list[str]) -> Iterator[tuple[list[int], list[str]]]:
+    """Line numbers and texts of SLICE characters in all; a longer line comes in pieces that share SHINGLE - 1."""
+    number, text, size = [], [], 0
+    for i, line in enumerate(lines):
+        for at in range(0, max(1, len(line) - SHINGLE + 1), SLICE):
+            piece = line[at : at + SLICE + SHINGLE - 1]
+            if text and size + len(piece) > SLICE:
+                yield number, text
+                number, text, size = [], [], 0
+            number.append(i)
+            text.append(piece)
+            size += len(piece)
+    if text:
+        yield number, text
+
+
+def _hashed(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(line, hash) of each shingle."""
     sizes = np.array([len(x) for x in lines])
     codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    h, step = codes, 1
-    power = _MULTIPLY
-    while step < SHINGLE:  # doubles the length each time: SHINGLE is a power of two
-        h = h[:-step] * power + h[step:]
-        power = np.uint64(int(power) ** 2 & (1 << 64) - 1)
-        step *= 2
-    h = _mix(h)
-    line = np.repeat(np.arange(len(lines)), sizes)
-    ok = np.ones(len(codes), bool)
-    ends = np.cumsum(sizes)
-    for back in range(1, SHINGLE):
-        ok[ends - back] = False
-    ok = ok[: len(h)]
-    h, line = h[ok], line[: len(ok)][ok]
-    bucket = ((h >> np.uint64(40)) * np.uint64(BUCKETS) >> np.uint64(24)).astype(np.int64)
-    low = np.full(len(lines) * BUCKETS, _EMPTY, np.uint64)
-    np.minimum.at(low, line * BUCKETS + bucket, h << np.uint64(24))
-    low = low.reshape(len(lines), BUCKETS)
+    h = codes
+    for k in range(1, SHINGLE):
+        h = h[:-1] * _MULTIPLY + codes[k:]
+    line = np.repeat(np.arange(len(lines)), sizes)[: len(h)]
+    inside = np.repeat(np.cumsum(sizes), sizes)[: len(h)] - np.arange(len(h)) >= SHINGLE
+    return line[inside], _mix(h[inside])
+
+
+def _keys(low: np.ndarray, kind: int) -> np.ndarray:
+    """A key for each band of signatures."""
+    keys = np.full((len(low), BANDS), 1, np.uint64) * np.arange(kind * BANDS + 1, (kind + 1) * BANDS + 1, dtype=np.uint64)
+    for r in range(ROWS):
+        keys = _mix((keys ^ low[:, r::ROWS]) * _MULTIPLY)
+    return keys
+
+
+def _filled(low: np.ndarray) -> np.ndarray:
+    """An empty bucket takes the next full one's, told apart by how far it is."""
     empty = low == _EMPTY
-    for shift in range(1, BUCKETS):  # an empty bucket takes the next full one's, told apart by how far it is
+    for _ in range(1, BUCKETS):
         if not empty.any():
             break
         other = np.roll(low, -1, axis=1)
         fill = empty & (other != _EMPTY)
         low = np.where(fill, other + np.uint64(0x632BE59BD9B4E019), low)
         empty = low == _EMPTY
-    keys = np.full((len(lines), BANDS), 1, np.uint64) * np.arange(1, BANDS + 1, dtype=np.uint64)
-    for r in range(ROWS):
-        keys = _mix((keys ^ low[:, r::ROWS]) * _MULTIPLY)
-    return keys
+    return low
+
+
+_SEEDS = _mix(np.arange(1, BUCKETS + 1, dtype=np.uint64) * _MULTIPLY)
+
+
+def _short_keys(lines: list[str]) -> np.ndarray:
+    """Signatures of lines of at most SHORT shingles each."""
+    line, h = _hashed(lines)
+    start = np.searchsorted(line, np.arange(len(lines)))
+    low = np.stack([np.minimum.reduceat(_mix((h ^ seed) * _MULTIPLY), start) for seed in _SEEDS], 1)
+    return _keys(low, 0)
+
+
+def _long_keys(lines: list[str]) -> np.ndarray:
+    low = np.full(len(lines) * BUCKETS, _EMPTY, np.uint64)
+    for number, pieces in _pieces(lines):
+        line, h = _hashed(pieces)
+        bucket = ((h >> np.uint64(40)) * np.uint64(BUCKETS) >> np.uint64(24)).astype(np.int64)
+        np.minimum.at(low, np.array(number)[line] * BUCKETS + bucket, h << np.uint64(24))
+    return _keys(_filled(low.reshape(len(lines), BUCKETS)), 1)
+
+
+def bands(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(line number, key) of every band of the lines, which must have at least SHINGLE characters."""
+    size = np.array([len(x) - SHINGLE + 1 for x in lines])
+    number, keys = [], []
+    for chosen, of in ((size <= SHORT, _short_keys), (size >= SIMILARITY * SHORT, _long_keys)):
+        which = np.flatnonzero(chosen)
+        if len(which):
+            number.append(np.repeat(which, BANDS))
+            keys.append(of([lines[i] for i in which]).ravel())
+    return np.concatenate(number), np.concatenate(keys)
 
 
 def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lines: dict[str, None] = {}
         for text in batch["text"].to_pylist():
-            lines.update(dict.fromkeys(x for x in text.split("\n") if len(x) >= MIN_CHARS))
+            lines.update(dict.fromkeys(x for x in text.split("\n") if len(x) >= SHINGLE and x.strip(_BLANK)))
         own = list(lines)
-        for at in range(0, len(own), 20_000):
-            part = own[at : at + 20_000]
+        for at in range(0, len(own), 5_000):
+            part = own[at : at + 5_000]
             ids = np.array([xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), 42) for x in part], np.uint64)
-            yield pa.record_batch({"band": pa.array(bands(part).ravel().view(np.int64)), "id": pa.array(np.repeat(ids, BANDS).view(np.int64))})
+            number, keys = bands(part)
+            yield pa.record_batch({"band": pa.array(keys.view(np.int64)), "id": pa.array(ids[number].view(np.int64))})
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,6 +153,7 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [batch["band"].to_numpy(), batch["id"].to_numpy()]
         if rest is not None:
             rows = [np.concatenate(x) for x in zip(rest, rows)]
+        rows = _once(*rows)
         if len(rows[0]) < 200_000:
             rest = rows
             continue
@@ -126,9 +165,12 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _shared(*rest)
 
 
+def _once(band: np.ndarray, ids: np.ndarray) -> list[np.ndarray]:
+    new = np.append(True, (np.diff(band) != 0) | (np.diff(ids) != 0))[: len(band)]  # rows come sorted; batches repeat lines
+    return [band[new], ids[new]]
+
+
 def _shared(band: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
-    new = np.append(True, (np.diff(band) != 0) | (np.diff(ids) != 0))  # rows come sorted; batches repeat lines
-    band, ids = band[new], ids[new]
     start = np.flatnonzero(np.append(True, np.diff(band) != 0))
     n = np.diff(np.append(start, len(band)))
     name = _mix(np.add.reduceat(_mix(ids.view(np.uint64) * _MULTIPLY), start)).view(np.int64)
@@ -138,23 +180,28 @@ def _shared(band: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
 
 def shingles(lines: list[str]) -> list[np.ndarray]:
     """The shingles of each line as distinct, sorted numbers; equal numbers are equal shingles, without exception."""
-    ends = np.cumsum([len(x) for x in lines]).tolist()
     codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
-    if codes.max(initial=0) > 255:
+    if codes.max(initial=0) >> _CODE_BITS:
         known, codes = np.unique(codes, return_inverse=True)
-        if len(known) > 256:
+        if len(known) >> _CODE_BITS:
             numbers: dict[str, int] = {}
             return [np.array(sorted({numbers.setdefault(x[i : i + SHINGLE], len(numbers)) for i in range(len(x) - SHINGLE + 1)}), np.uint64) for x in lines]
-    # characters of a byte each: a shingle is its eight bytes read as one number
-    flat = codes.astype(np.uint8).tobytes()
-    words = np.ndarray((max(0, len(flat) - SHINGLE + 1),), np.uint64, flat, 0, (1,))
-    out = []
-    for line, end in zip(lines, ends):
-        own = np.sort(words[end - len(line) : end - SHINGLE + 1])
+    codes = codes.astype(np.uint64)
+    words = codes
+    for k in range(1, SHINGLE):
+        words = words[:-1] << np.uint64(_CODE_BITS) | codes[k:]
+    out, at = [], 0
+    for line in lines:
+        own = np.sort(words[at : at + len(line) - SHINGLE + 1])
         out.append(own[np.append(True, own[1:] != own[:-1])])
+        at += len(line)
     return out
 
 
+#: Bits of a character in a shingle's number.
+_CODE_BITS = 64 // SHINGLE
+
+
 def _common(a: np.ndarray, b: np.ndarray) -> int:
     both = np.concatenate((a, b))
     both.sort()
@@ -165,10 +212,12 @@ def _verify(similarity: float):
     def links(ids: list[int], lines: list[str]) -> list[tuple[int, int]]:
         sets = shingles(lines)
         sizes = np.array([len(s) for s in sets])
+        length = np.array([len(x) - SHINGLE + 1 for x in lines])
 
         def near(i: int, others: np.ndarray) -> np.ndarray:
             out = np.zeros(len(others), bool)
-            for k in np.flatnonzero((sizes[others] >= similarity * sizes[i]) & (sizes[i] >= similarity * sizes[others])):
+            alike = (sizes[others] >= similarity * sizes[i]) & (sizes[i] >= similarity * sizes[others])
+            for k in np.flatnonzero(alike & (length[others] >= similarity * length[i]) & (length[i] >= similarity * length[others])):
                 common = _common(sets[i], sets[others[k]])
                 out[k] = common >= similarity * (sizes[i] + sizes[others[k]] - common)
             return out
@@ -202,7 +251,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def _lines(docs: DataFrame) -> DataFrame:
     lines = _keyed(docs).select("doc_id", "key", F.posexplode(F.split("text", "\n", -1)).alias("no", "line"))
-    return lines.where(F.char_length("line") >= MIN_CHARS).withColumn("id", F.xxhash64("line"))
+    return lines.where(F.translate("line", _BLANK, "") != "").withColumn("id", F.xxhash64("line"))
 
 
 def similar_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -216,16 +265,48 @@ def similar_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     wanted = materialize(cells.select("id").distinct(), "candidates")
     chosen = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     texts = _lines(docs).select("id", "line").join(chosen, "id", "left_semi").groupBy("id").agg(F.min("line").alias("line"))
-    # a large cell is compared in blocks: each line meets the lines of every block
-    parts = F.ceil(F.col("n") / CELL_ROWS)
-    own = F.pmod(F.xxhash64("id"), parts)
-    blocks = cells.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-    named = blocks.select(F.when(F.col("n") <= CELL_ROWS, F.col("cell")).otherwise(F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other"))).alias("cell"), "id")
-    members = named.join(texts, "id").select("cell", "id", "line")
-    links = members.repartition("cell").sortWithinPartitions("cell", "id").mapInArrow(joined_within(_verify(similarity)), "a long, b long")
+    small, large = F.col("n") <= CELL_ROWS, F.col("n") > CELL_ROWS
+
+    def compared(rows: DataFrame, *keys: str) -> DataFrame:
+        """Links of the lines of each group, joined within it."""
+        group = rows.select(F.xxhash64(*keys).alias("cell") if len(keys) > 1 else F.col(*keys), "id").join(texts, "id").select("cell", "id", "line")
+        return group.repartition("cell").sortWithinPartitions("cell", "id").mapInArrow(joined_within(_verify(similarity)), "a long, b long")
+
+    links = compared(cells.where(small), "cell")
+    if not cells.where(large).isEmpty():
+        links = links.union(_crowded(cells.where(large), compared))
     return connected_components(links, joined=True).toDF("id", "root")
 
 
+def _crowded(cells: DataFrame, compared) -> DataFrame:
+    """Links of cells that are too large for a task.
+
+    Each cell is dealt into blocks.  Lines are compared within their block, and
+    one line of each block's largest component with those of the other blocks.
+    What is then not joined to the cell's largest component meets the lines of
+    every block, so that no pair is left out but those joined already.
+    """
+    parts = F.ceil(F.col("n") / CELL_ROWS)
+    dealt = cells.withColumn("block", F.pmod(F.xxhash64("id"), parts)).withColumn("parts", parts)
+    within = materialize(compared(dealt, "cell", "block"), "block-links")
+
+    def rooted(links: DataFrame) -> DataFrame:
+        return dealt.join(connected_components(links).toDF("id", "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+
+    def largest(rows: DataFrame, *keys: str) -> DataFrame:
+        size = rows.groupBy(*keys, "root").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("id"))
+        return size.groupBy(*keys).agg(F.max(F.struct("size", "root", "id")).alias("most")).select(*keys, "most.root", "most.id")
+
+    between = materialize(compared(largest(rooted(within), "cell", "block"), "cell"), "between-links")
+    both = within.union(between)
+    now = materialize(rooted(both), "crowded")
+    known = largest(now, "cell").select("cell", F.col("root").alias("main"))
+    blocks = F.when(F.col("root") == F.col("main"), F.array("block")).otherwise(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    again = now.join(known, "cell").select("cell", "id", F.explode(blocks).alias("block"))
+    mixed = again.join(now.join(known, "cell").where("root <> main").select("cell").distinct(), "cell", "left_semi")
+    return both.union(compared(mixed, "cell", "block"))
+
+
 def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(key, gone): for each document that loses lines, their numbers from 0."""
     roots = materialize(similar_lines(docs, similarity), "line-roots")
@@ -247,25 +328,26 @@ def _without(texts: pa.Array, gone: pa.Array) -> pa.Array:
 
 
 def cut_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """dedup_lines() with a column ``removed_``: how many lines the row lost."""
+    """dedup_lines() with a last column ``removed_``, which replaces one of that name: how many lines the row lost."""
 
     def cut(text: pa.Array, gone: pa.Array) -> pa.Array:
         return _without(text, gone)
 
     cut.__annotations__ = {"text": pa.Array, "gone": pa.Array, "return": pa.Array}
-    drop = repeated_lines(docs, similarity).withColumnRenamed("key", "key_").withColumnRenamed("gone", "gone_")
-    keyed = docs.withColumn("key_", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))))
-    joined = keyed.join(drop, "key_", "left").withColumn("text", F.arrow_udf(cut, "string")(F.col("text"), F.col("gone_")))
-    if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return joined.select(*docs.columns, F.coalesce(F.size("gone_"), F.lit(0)).cast("long").alias("removed_"))
+    keyed = docs.select(F.struct("*").alias("row"), F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))).alias("key"))
+    joined = keyed.join(repeated_lines(docs, similarity), "key", "left")
+    new = joined.select("row", F.arrow_udf(cut, "string")(F.col("row.text"), F.col("gone")).alias("text"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("removed_"))
+    own = {c: F.col("row").getField(c) for c in docs.columns if c != "removed_"} | {"text": F.col("text")}
+    if "n_chars" in own:
+        own["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return new.select(*(value.alias(c) for c, value in own.items()), "removed_")
 
 
 def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """docs with the repeated lines cut out of text; n_chars, where there is one, is set anew.
 
-    Lines shorter than MIN_CHARS stay.  A document whose lines are all gone
-    keeps an empty text, a null text stays null.  Rows that repeat doc_id and
-    text keep and lose the same lines.  A null doc_id comes before all others.
+    Lines of white space stay.  A document whose lines are all gone keeps an
+    empty text, a null text stays null.  Rows that repeat doc_id and text keep
+    and lose the same lines.  A null doc_id comes before all others.
     """
     return cut_lines(docs, similarity).drop("removed_")
