@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +23,9 @@ UNIT = 576
 RATE = 8000
 #: WAVE format numbers.
 FORMATS = {"mulaw": 7, "alaw": 6, "adpcm": 17}
-#: ADPCM blocks decoded at once.
+#: ADPCM blocks decoded at once, and samples handled at once where one row may hold very many.
 BLOCKS = 8192
+SLICE = 1 << 20
 
 
 def _mulaw() -> np.ndarray:
@@ -59,24 +60,27 @@ def decode_adpcm(data: np.ndarray, align: int = UNIT) -> np.ndarray:
     """
     out = np.empty((len(data) // align, 1 + 2 * (align - 4)), np.int16)
     for at in range(0, len(out), BLOCKS):
-        blocks = data.reshape(-1, align)[at : at + BLOCKS]
-        now = blocks[:, 0].astype(np.int32) | blocks[:, 1].astype(np.int32) << 8
-        now = (now ^ 0x8000) - 0x8000
-        index = np.minimum(blocks[:, 2], 88).astype(np.int32)
-        codes = np.empty((2 * (align - 4), len(blocks)), np.uint8)  # a row holds one sample of all blocks
-        codes[0::2], codes[1::2] = blocks[:, 4:].T & 15, blocks[:, 4:].T >> 4
-        steps = np.empty((len(codes) + 1, len(blocks)), np.int16)
-        steps[0] = now
-        for k, code in enumerate(codes, 1):
-            step = STEPS[index]
-            move = (2 * (code & 7).astype(np.int32) + 1) * step >> 3
-            now = np.clip(np.where(code & 8, now - move, now + move), -32768, 32767)
-            index = np.clip(index + MOVES[code & 7], 0, 88)
-            steps[k] = now
-        out[at : at + BLOCKS] = steps.T
+        out[at : at + BLOCKS] = _decoded(data.reshape(-1, align)[at : at + BLOCKS])
     return out
 
 
+def _decoded(blocks: np.ndarray) -> np.ndarray:
+    now = blocks[:, 0].astype(np.int32) | blocks[:, 1].astype(np.int32) << 8
+    now = (now ^ 0x8000) - 0x8000
+    index = np.minimum(blocks[:, 2], 88).astype(np.int32)
+    codes = np.empty((2 * (blocks.shape[1] - 4), len(blocks)), np.uint8)  # a row holds one sample of all blocks
+    codes[0::2], codes[1::2] = blocks[:, 4:].T & 15, blocks[:, 4:].T >> 4
+    steps = np.empty((len(codes) + 1, len(blocks)), np.int16)
+    steps[0] = now
+    for k, code in enumerate(codes, 1):
+        step = STEPS[index]
+        move = (2 * (code & 7).astype(np.int32) + 1) * step >> 3
+        now = np.clip(np.where(code & 8, now - move, now + move), -32768, 32767)
+        index = np.clip(index + MOVES[code & 7], 0, 88)
+        steps[k] = now
+    return steps.T
+
+
 def encode(payload: bytes, codec: str = "mulaw", rate: int = RATE) -> bytes:
     """A WAV file whose data chunk is the payload."""
     head = struct.pack("<HHIIHH", FORMATS[codec], 1, rate, rate if codec != "adpcm" else rate * UNIT // (2 * (UNIT - 4) + 1), UNIT if codec == "adpcm" else 1, 4 if codec == "adpcm" else 8)
@@ -119,17 +123,32 @@ def resample(pcm: np.ndarray, rate: int, to: int) -> np.ndarray:
     if to == 2 * rate and len(pcm):
         out = np.empty(2 * len(pcm), np.int16)
         out[0::2] = pcm
-        out[1:-1:2] = (pcm[:-1].astype(np.int32) + pcm[1:]) >> 1
+        for k in range(0, len(pcm) - 1, SLICE):
+            here, after = pcm[k : k + SLICE], pcm[k + 1 : k + 1 + SLICE]
+            out[2 * k + 1 : 2 * (k + len(after)) : 2] = (here[: len(after)].astype(np.int32) + after) >> 1
         out[-1] = pcm[-1]
         return out
     at = np.arange(len(pcm) * to // rate) * (rate / to)
     return np.floor(np.interp(at, np.arange(len(pcm)), pcm)).astype(np.int16) if len(pcm) else pcm
 
 
-def _energy(pcm: np.ndarray) -> str:
-    """Mean square, zero crossings and peak, all integers."""
-    wide = pcm.astype(np.int64)
-    return f"{int(wide @ wide) // max(1, len(pcm))}:{int(np.count_nonzero((pcm[1:] < 0) != (pcm[:-1] < 0)))}:{int(np.abs(wide).max(initial=0))}"
+def _energy(parts: Iterable[np.ndarray]) -> str:
+    """Mean square, zero crossings and peak of all parts, all integers."""
+    square = crossings = peak = n = 0
+    last = None
+    for part in parts:
+        for k in range(0, len(part), SLICE):
+            wide = part[k : k + SLICE].astype(np.int64)
+            below = wide < 0
+            square += int(wide @ wide)
+            crossings += int(np.count_nonzero(below[1:] != below[:-1])) + (last is not None and last != below[0])
+            peak = max(peak, int(np.abs(wide).max()))
+            n, last = n + len(wide), below[-1]
+    return f"{square // max(1, n)}:{crossings}:{peak}"
+
+
+def _through(table: np.ndarray, payload: np.ndarray) -> Iterator[np.ndarray]:
+    return (table[payload[k : k + SLICE]] for k in range(0, len(payload), SLICE))
 
 
 def _encode(codec: str):
@@ -156,40 +175,52 @@ def to_media(docs: DataFrame, codec: str = "mulaw") -> DataFrame:
     return bounded(docs).select(F.col("doc_id").cast("long"), byte_text().alias("text")).mapInArrow(_encode(codec), "doc_id long, n_bytes long, media binary")
 
 
+def _together(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Rows from, to of about BLOCKS blocks; a larger row stands alone."""
+    at = 0
+    while at < len(sizes):
+        end, blocks = at, 0
+        while end < len(sizes) and (end == at or blocks + sizes[end] <= BLOCKS):
+            blocks += sizes[end]
+            end += 1
+        yield at, end
+        at = end
+
+
 def _features(to: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            codecs, rates, payloads = zip(*(read(x.as_buffer()) for x in batch["media"])) if batch.num_rows else ((), (), ())
-            as_arrays = [np.frombuffer(p, np.uint8) for p in payloads]
-            at = 0
-            while at < len(as_arrays):  # whole rows of about BLOCKS blocks together
-                end, blocks = at, 0
-                while end < len(as_arrays) and (end == at or blocks + len(as_arrays[end]) // UNIT <= BLOCKS):
-                    blocks += len(as_arrays[end]) // UNIT
-                    end += 1
-                decoded = decode_adpcm(np.concatenate(as_arrays[at:end]))
-                row = 0
-                for codec, rate, payload in zip(codecs[at:end], rates[at:end], as_arrays[at:end]):
+            if not batch.num_rows:
+                continue
+            codecs, rates, payloads = zip(*(read(x.as_buffer()) for x in batch["media"]))
+            arrays = [np.frombuffer(p, np.uint8) for p in payloads]
+            for at, end in _together([len(x) // UNIT for x in arrays]):
+                joined = np.concatenate(arrays[at:end]).reshape(-1, UNIT) if end - at > 1 else arrays[at].reshape(-1, UNIT)
+                decoded = _decoded(joined) if end - at > 1 else None
+                out, row = [], 0
+                for codec, rate, payload in zip(codecs[at:end], rates[at:end], arrays[at:end]):
                     n = len(payload) // UNIT
-                    pcm = resample(samples(payload, codec), rate, to) if codec != "adpcm" else resample(decoded[row : row + n].ravel(), rate, to)
-                    parts = (("pcm", f"{to}:{len(pcm)}:{zlib.crc32(pcm.astype('<i2').tobytes())}"), ("mulaw", _energy(MULAW[payload])), ("alaw", _energy(ALAW[payload])), ("adpcm", _energy(decoded[row : row + n].ravel())))
-                    out.append((payload.tobytes(), zlib.crc32(payload[-32:].tobytes()), ";".join(f"{k}={v}" for k, v in parts)))
+                    own = [decoded[row : row + n].ravel()] if decoded is not None else (_decoded(joined[k : k + BLOCKS]).ravel() for k in range(0, n, BLOCKS))
                     row += n
-                at = end
-            payload, crc, feature = zip(*out) if out else ((), (), ())
-            yield pa.record_batch({"doc_id": batch["doc_id"], "n_bytes": batch["n_bytes"], "media": batch["media"].cast(pa.binary()), "payload": pa.array(payload, pa.binary()), "tail_crc32": pa.array(crc, pa.int64()), "feature": pa.array(feature, pa.string())})
+                    pcm = resample(samples(payload, codec), rate, to).astype("<i2", copy=False)
+                    parts = (("pcm", f"{to}:{len(pcm)}:{zlib.crc32(pcm)}"), ("mulaw", _energy(_through(MULAW, payload))), ("alaw", _energy(_through(ALAW, payload))), ("adpcm", _energy(own)))
+                    out.append((payload.tobytes(), zlib.crc32(payload[-32:].tobytes()), ";".join(f"{k}={v}" for k, v in parts), pcm.tobytes()))
+                payload, crc, feature, pcm = zip(*out)
+                rows = batch.slice(at, end - at)
+                yield pa.record_batch(
+                    {"doc_id": rows["doc_id"], "n_bytes": rows["n_bytes"], "media": rows["media"].cast(pa.binary()), "payload": pa.array(payload, pa.binary()), "tail_crc32": pa.array(crc, pa.int64()), "feature": pa.array(feature, pa.string()), "rate": pa.array([to] * len(out), pa.int32()), "pcm": pa.array(pcm, pa.binary())}
+                )
 
     return run
 
 
 def features(media: DataFrame, to: int = 2 * RATE) -> DataFrame:
-    """media of to_media() with what its stored bytes give: payload, tail_crc32 and feature.
+    """media of to_media() with what its stored bytes give: payload, tail_crc32, feature, rate and pcm.
 
-    feature holds rate, length and CRC-32 of the resampled PCM, and mean
+    pcm is the sound as 16-bit little-endian samples at ``rate``.  feature holds rate, length and CRC-32 of the resampled PCM, and mean
     square, zero crossings and peak of the payload as mu-law, A-law and ADPCM.
     """
-    schema = "doc_id long, n_bytes long, media binary, payload binary, tail_crc32 long, feature string"
+    schema = "doc_id long, n_bytes long, media binary, payload binary, tail_crc32 long, feature string, rate int, pcm binary"
     return media.select("doc_id", "n_bytes", "media").mapInArrow(_features(to), schema)
 
 

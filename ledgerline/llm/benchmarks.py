@@ -8,6 +8,9 @@ Copies keep most of it, also edited and paraphrased ones.  Passages that share
 too few words with the item to reach the score are not aligned, so phrases
 everyone uses cost little.  A copy without any three words in a row, such as one
 with a foreign word after every second, has no seed and is not found.
+
+Items of up to BROADCAST_BYTES of text go to every task, which then seeds and
+aligns a document in one pass without a shuffle; more are joined by trigram.
 """
 
 from __future__ import annotations
@@ -27,10 +30,10 @@ from ledgerline.llm.common import bounded, materialize
 GRAM = 3
 SCORE = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: Items with up to so many words in all are sent to the tasks; more are joined by a shuffle.
-BROADCAST_WORDS = 1_000_000
-#: Up to so many seed hits, their documents are found by a broadcast; beyond by a shuffle.
-BROADCAST_HITS = 1_000_000
+#: Distinct items of up to so much text in all are sent to the tasks.
+BROADCAST_BYTES = 16 << 20
+#: Words of passages that are aligned together, about.
+TOGETHER = 1 << 18
 _WORD = re.compile(r"\w+")
 
 
@@ -77,27 +80,125 @@ def _item_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string())))], names=("item_id", "gram", "at", "words"))
 
 
-def _known_grams(vocabulary):
-    """(key, gram, place) of the trigrams of items, for few items."""
+def _ragged(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges first to last, and where each range begins among them."""
+    size = last - first
+    begin = np.cumsum(size) - size
+    return np.repeat(first - begin, size) + np.arange(size.sum()), begin
+
+
+class Items:
+    """Test items as numbers: what a task needs to seed and align."""
+
+    def __init__(self, items: list[tuple[int | None, list[str]]]) -> None:
+        items = [(i, w) for i, w in items if len(w) >= GRAM]
+        self.ids = [i for i, _ in items]
+        self.numbers = {w: n for n, w in enumerate(sorted({w for _, ws in items for w in ws}))}
+        self.words = [np.array([self.numbers[w] for w in ws], np.int64) for _, ws in items]
+        self.size = np.array([len(w) for w in self.words], np.int64)
+        self.end = np.cumsum(self.size)
+        self.flat = np.concatenate(self.words) if items else np.zeros(0, np.int64)
+        grams = [self.codes(w) for w in self.words]
+        self.known, slot = np.unique(np.concatenate(grams) if grams else np.zeros(0, np.int64), return_inverse=True)
+        #: by item the slots of its trigrams in known, and by slot the items that hold it
+        self.slots = np.split(slot, np.cumsum(self.size - GRAM + 1)[:-1]) if items else []
+        owner = np.repeat(np.arange(len(items)), self.size - GRAM + 1)
+        pairs = np.unique(np.stack([slot, owner], 1), axis=0) if items else np.zeros((0, 2), np.int64)
+        self.owners, self.first = pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(self.known) + 1))
+
+    def codes(self, ids: np.ndarray) -> np.ndarray:
+        """A number for each trigram of known words."""
+        n = len(self.numbers) + 1
+        return (ids[:-2] * n + ids[1:-1]) * n + ids[2:]
+
+    def seeds(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(slot, place) of the items' trigrams in a text, by slot."""
+        if len(ids) < GRAM or not len(self.known):
+            return (np.zeros(0, np.int64),) * 2
+        place = np.flatnonzero((ids[:-2] >= 0) & (ids[1:-1] >= 0) & (ids[2:] >= 0))
+        code = self.codes(ids)[place]
+        slot = np.minimum(np.searchsorted(self.known, code), len(self.known) - 1)
+        hit = self.known[slot] == code
+        order = np.argsort(slot[hit], kind="stable")
+        return slot[hit][order], place[hit][order]
+
+    def candidates(self, slots: np.ndarray, ids: np.ndarray, least: float) -> np.ndarray:
+        """Items with one of the slots that share enough words with the text for the least score."""
+        which = np.unique(self.owners[_ragged(self.first[slots], self.first[slots + 1])[0]])
+        held = np.zeros(len(self.numbers), bool)
+        held[ids[ids >= 0]] = True
+        at, begin = _ragged(self.end[which] - self.size[which], self.end[which])
+        return which[np.add.reduceat(held[self.flat[at]].astype(np.int64), begin) >= (least - 1e-6) * self.size[which]]
+
 
+def _windows(starts: np.ndarray, n: int, least: float) -> list[list[int]]:
+    """Stretches of a text in which an item of n words may lie that begins near starts."""
+    # an alignment of the least score has no room for more gaps
+    slack = max(8, math.ceil(2 * n * (1 - least)))
+    merged: list[list[int]] = []
+    for a in np.unique(starts).tolist():
+        if merged and max(0, a - slack) <= merged[-1][1]:
+            merged[-1][1] = a + n + slack
+        else:
+            merged.append([max(0, a - slack), a + n + slack])
+    return merged
+
+
+def _found(items: Items, texts: list[str | None], least: float) -> Iterator[list[tuple[int, int, int, float]]]:
+    """(text, item, seeds, score) of what is aligned, as lists of about TOGETHER words."""
+    passages, against, rows, size = [], [], [], 0
+
+    def scored() -> list[tuple[int, int, int, float]]:
+        score = best_scores(passages, against)
+        return [(t, k, n, round(float(x) / (MATCH * len(q)), 6)) for (t, k, n), x, q in zip(rows, score, against)]
+
+    for t, text in enumerate(texts):
+        ids = np.array([items.numbers.get(w, -3) for w in words(text)], np.int64)  # -1 and -2 fill up rows that are aligned together
+        slot, place = items.seeds(ids)
+        if not len(slot):
+            continue
+        own = np.unique(slot)
+        first, last = np.searchsorted(slot, own), np.searchsorted(slot, own, "right")
+        for k in items.candidates(own, ids, least).tolist():
+            at = np.flatnonzero(np.isin(items.slots[k], own))
+            which = np.searchsorted(own, items.slots[k][at])
+            idx, _ = _ragged(first[which], last[which])
+            starts = place[idx] - np.repeat(at, last[which] - first[which])
+            item = items.words[k]
+            for a, b in _windows(starts, len(item), least):
+                # each word of the item matches once at most
+                if np.isin(item, ids[a:b]).sum() >= (least - 1e-6) * len(item):
+                    passages.append(ids[a:b])
+                    against.append(item)
+                    rows.append((t, k, len(starts)))
+                    size += len(passages[-1])
+                    if size > TOGETHER:
+                        yield scored()
+                        passages, against, rows, size = [], [], [], 0
+    if rows:
+        yield scored()
+
+
+def _leak_rows(known, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, codes, grams = vocabulary.value
-        n = len(numbers) + 1
+        items = known.value
         for batch in batches:
-            out = []
-            for key, text in zip(batch["key"].to_pylist(), batch["text"].to_pylist()):
-                ids = np.array([numbers.get(w, -1) for w in words(text)], np.int64)
-                if len(ids) < GRAM:
-                    continue
-                ok = (ids[:-2] >= 0) & (ids[1:-1] >= 0) & (ids[2:] >= 0)
-                place = np.flatnonzero(ok)
-                code = (ids[place] * n + ids[place + 1]) * n + ids[place + 2]
-                slot = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
-                hit = codes[slot] == code
-                if hit.any():
-                    out.append((np.full(hit.sum(), key), grams[slot[hit]], place[hit]))
-            if out:
-                yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*out)], names=("key", "gram", "place"))
+            keys, docs = batch["key"].to_pylist(), batch["doc_id"].to_pylist()
+            for found in _found(items, batch["text"].to_pylist(), least):
+                rows = [(keys[t], docs[t], items.ids[k], n, score) for t, k, n, score in found if score >= least]
+                if rows:
+                    yield pa.record_batch([pa.array(c, f) for c, f in zip(zip(*rows), _FOUND_TYPES)], names=_FOUND)
+
+    return run
+
+
+def _clean_rows(known, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            for found in _found(known.value, batch["text"].to_pylist(), least):
+                keep[[t for t, _, _, score in found if score >= least]] = False
+            yield batch.filter(pa.array(keep))
 
     return run
 
@@ -110,41 +211,34 @@ def _all_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array([key] * n, pa.int64()), pa.array([_gram(w[k : k + GRAM]) for k in range(n)], pa.int64()), pa.array(range(n), pa.int64())], names=("key", "gram", "place"))
 
 
-def _align(least: float, known):
-    """Of few items the words are in known, by version; of more each hit has them."""
-
+def _align(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            numbers: dict[str, int] = {}
-            number = lambda ws: np.array([numbers.setdefault(w, len(numbers)) for w in ws], np.int64)
-            passages, items, rows = [], [], []
-            for doc, text, hits in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), batch["hits"].to_pylist()):
-                own = number(words(text))
+            for key, doc, text, hits in zip(*(batch[c].to_pylist() for c in ("key", "doc_id", "text", "hits"))):
+                numbers: dict[str, int] = {}
+                number = lambda ws: np.array([numbers.setdefault(w, len(numbers)) for w in ws], np.int64)
+                passages, items, rows, own = [], [], [], number(words(text))
                 for hit in hits:
-                    item = number(known.value[hit["version"]] if known else hit["words"])
-                    # an alignment of the least score has no room for more gaps
-                    slack = max(8, math.ceil(2 * len(item) * (1 - least)))
-                    spans = sorted((max(0, a - slack), a + len(item) + slack) for a in hit["starts"])
-                    merged = [list(spans[0])]
-                    for a, b in spans[1:]:
-                        if a <= merged[-1][1]:
-                            merged[-1][1] = max(b, merged[-1][1])
-                        else:
-                            merged.append([a, b])
-                    for a, b in merged:
-                        # each word of the item matches once at most
+                    item = number(hit["words"])
+                    for a, b in _windows(np.array(hit["starts"]), len(item), least):
                         if np.isin(item, own[a:b]).sum() >= (least - 1e-6) * len(item):
                             passages.append(own[a:b])
                             items.append(item)
-                            rows.append((doc, hit["item_id"], hit["seeds"], 2 * len(item)))
-            if rows:
-                score = best_scores(passages, items)
-                doc, item, seeds, most = zip(*rows)
-                yield pa.record_batch([pa.array(doc, pa.int64()), pa.array(item, pa.int64()), pa.array(seeds, pa.int64()), pa.array(score / np.array(most))], names=("doc_id", "item_id", "seeds", "score"))
+                            rows.append((key, doc, hit["item_id"], hit["seeds"]))
+                score = best_scores(passages, items) if rows else []
+                found = [(*r, round(float(x) / (MATCH * len(q)), 6)) for r, x, q in zip(rows, score, items)]
+                found = [r for r in found if r[-1] >= least]
+                if found:
+                    yield pa.record_batch([pa.array(c, f) for c, f in zip(zip(*found), _FOUND_TYPES)], names=_FOUND)
 
     return run
 
 
+_FOUND = ("key", "doc_id", "item_id", "seeds", "score")
+_FOUND_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
+_FOUND_SCHEMA = "key long, doc_id long, item_id long, seeds long, score double"
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
 
@@ -157,40 +251,49 @@ def leaks(docs: DataFrame, benchmark: DataFrame, score: float = SCORE) -> DataFr
     are taken together, with their highest score; rows with a null id are found
     too.  Other columns are not read; an empty table on either side gives none.
     """
+    found = _aligned(docs, benchmark, score)
+    return found.groupBy("doc_id", "item_id").agg(F.max("seeds").alias("seeds"), F.max("score").alias("score"))
+
+
+def _distinct_items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
+
+
+def _broadcast_items(benchmark: DataFrame):
+    """The items as a broadcast variable; None if they are more than BROADCAST_BYTES."""
+    items = _distinct_items(benchmark)
+    if (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > BROADCAST_BYTES:
+        return None
+    return items.sparkSession.sparkContext.broadcast(Items([(r.item_id, words(r.text)) for r in items.orderBy("item_id", "text").collect()]))
+
+
+def _aligned(docs: DataFrame, benchmark: DataFrame, score: float) -> DataFrame:
+    """A row (key, doc_id, item_id, seeds, score) for each passage that aligns; key is a hash of doc_id and text."""
     keyed = _keyed(docs)
-    grams = materialize(benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).distinct().mapInArrow(_item_grams, "item_id long, gram long, at int, words array<string>"), "items")
-    size = grams.agg(F.count(F.lit(1))).first()[0]
-    if size <= BROADCAST_WORDS:
-        found = {r.gram: r.words[r.at : r.at + GRAM] for r in grams.select("gram", "at", "words").toLocalIterator()}
-        numbers = {w: i for i, w in enumerate(sorted({w for g in found.values() for w in g}))}
-        n = len(numbers) + 1
-        coded = sorted(((numbers[a] * n + numbers[b]) * n + numbers[c], g) for g, (a, b, c) in found.items()) or [(-1, 0)]
-        vocabulary = docs.sparkSession.sparkContext.broadcast((numbers, *(np.array(x, np.int64) for x in zip(*coded))))
-        matches = keyed.select("key", "text").mapInArrow(_known_grams(vocabulary), "key long, gram long, place long")
-    else:
-        matches = keyed.select("key", "text").mapInArrow(_all_grams, "key long, gram long, place long").join(grams.select("gram").distinct(), "gram", "left_semi").select("key", "gram", "place")
-    matches = materialize(matches, "gram-matches")
+    known = _broadcast_items(benchmark)
+    if known is not None:
+        return keyed.mapInArrow(_leak_rows(known, score), _FOUND_SCHEMA)
+    grams = materialize(_distinct_items(benchmark).mapInArrow(_item_grams, "item_id long, gram long, at int, words array<string>"), "items")
+    matches = keyed.select("key", "text").mapInArrow(_all_grams, "key long, gram long, place long").join(grams.select("gram").distinct(), "gram", "left_semi").select("key", "gram", "place")
     seeds = grams.select("item_id", "gram", "at", F.xxhash64("words").alias("version"))
-    if size <= BROADCAST_WORDS:
-        seeds = F.broadcast(seeds)
-    hits = materialize(matches.join(seeds, "gram").select("key", "item_id", "version", F.struct("place", "at").alias("p")), "seed-hits")
-    pairs = hits.groupBy("key", "item_id", "version").agg(F.collect_set("p").alias("places"))
+    pairs = matches.join(seeds, "gram").groupBy("key", "item_id", "version").agg(F.collect_set(F.struct("place", "at")).alias("places"))
     found = (F.size("places").cast("long").alias("seeds"), F.array_distinct(F.transform("places", lambda p: p["place"] - p["at"])).alias("starts"))
     texts = grams.select("item_id", F.xxhash64("words").alias("version"), "words").distinct()
-    if size <= BROADCAST_WORDS:
-        known = docs.sparkSession.sparkContext.broadcast({r.version: r.words for r in texts.select("version", "words").toLocalIterator()})
-        wanted = pairs.select("key", F.struct("item_id", "version", *found).alias("hit"))
-    else:
-        known = None
-        same = F.col("p.item_id").eqNullSafe(F.col("t.item_id")) & (F.col("p.version") == F.col("t.version"))
-        wanted = pairs.alias("p").join(texts.alias("t"), same).select("p.key", F.struct("p.item_id", "words", *found).alias("hit"))
+    same = F.col("p.item_id").eqNullSafe(F.col("t.item_id")) & (F.col("p.version") == F.col("t.version"))
+    wanted = pairs.alias("p").join(texts.alias("t"), same).select("p.key", F.struct("p.item_id", "words", *found).alias("hit"))
     wanted = wanted.groupBy("key").agg(F.collect_list("hit").alias("hits"))
-    if hits.count() <= BROADCAST_HITS:
-        wanted = F.broadcast(wanted)
-    aligned = keyed.join(wanted, "key").select("doc_id", "text", "hits").mapInArrow(_align(score, known), "doc_id long, item_id long, seeds long, score double")
-    return aligned.groupBy("doc_id", "item_id").agg(F.max("seeds").alias("seeds"), F.round(F.max("score"), 6).alias("score")).where(F.col("score") >= score)
+    return keyed.join(wanted, "key").select("key", "doc_id", "text", "hits").mapInArrow(_align(score), _FOUND_SCHEMA)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, score: float = SCORE) -> DataFrame:
-    """docs without those that align with an item; a row whose doc_id is null stays."""
-    return docs.join(leaks(docs, benchmark, score).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """docs without the rows whose text aligns with an item.
+
+    Each row is judged by its own text, whatever its doc_id; a null or empty
+    text stays.  An empty table on either side takes nothing away.
+    """
+    known = _broadcast_items(benchmark)
+    if known is not None:
+        return bounded(docs).mapInArrow(_clean_rows(known, score), docs.schema)
+    gone = _aligned(docs, benchmark, score).select("key").distinct()
+    keyed = docs.select(F.struct("*").alias("row"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("key"))
+    return keyed.join(gone, "key", "left_anti").select("row.*")

@@ -51,7 +51,7 @@ def op6_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_audio_of(docs: DataFrame) -> DataFrame:
     read = audio.features(audio.to_media(docs))
     return read.select(
-        "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), "tail_crc32", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature"
+        "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), "tail_crc32", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature", "rate", "pcm"
     )
 
 
@@ -75,7 +75,9 @@ def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_repeats_of(docs: DataFrame) -> DataFrame:
-    return repeats.without_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    """text is what is left, n_chars its code points; a character cut in two shows as U+FFFD."""
+    left = repeats.without_repeats(docs).withColumn("text", F.make_valid_utf8(F.col("kept").cast("string")))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_bytes") - F.col("n_removed")).alias("n_kept"), F.length("text").cast("long").alias("n_chars"), "text")
 
 
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from ledgerline.llm import audio
 from ledgerline.llm.queries import op6_audio_of
@@ -61,6 +62,33 @@ def test_query(odd, none):
     assert op6_audio_of(none).count() == 0
 
 
+def plain_energy(pcm):
+    return f"{sum(x * x for x in pcm) // len(pcm)}:{sum((a < 0) != (b < 0) for a, b in zip(pcm, pcm[1:]))}:{max(abs(x) for x in pcm)}"
+
+
+def test_feature_and_pcm_of_what_is_stored(spark, odd, monkeypatch):
+    """Recomputed sample by sample from the stored form of the query's own rows."""
+    texts = [(r.doc_id, r.text) for r in odd.collect() if len(r.text or "") < 5000] + [(99, "a long é text " * 400)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(2)
+    media = {bytes(hashlib.sha256(m).digest()).hex(): m for m in (bytes(r.media) for r in audio.to_media(df).collect())}
+    for r in op6_audio_of(df).collect():
+        payload = bytes(audio.read(media[r.media_sha256])[2])
+        own = {"mulaw": [int(audio.MULAW[b]) for b in payload], "alaw": [int(audio.ALAW[b]) for b in payload], "adpcm": [x for k in range(0, len(payload), 576) for x in plain_adpcm(payload[k : k + 576])]}
+        x = own["mulaw"]
+        pcm = [v for a, b in zip(x, x[1:]) for v in (a, (a + b) >> 1)] + [x[-1]] * 2
+        assert np.frombuffer(bytes(r.pcm), "<i2").tolist() == pcm and r.rate == 16000
+        assert r.feature == f"pcm=16000:{len(pcm)}:{zlib.crc32(bytes(r.pcm))};" + ";".join(f"{k}={plain_energy(v)}" for k, v in own.items())
+
+
+def test_slices_make_no_difference(monkeypatch):
+    data = np.random.default_rng(1).integers(0, 256, 7 * 576, dtype=np.uint8)
+    batch = pa.record_batch({"doc_id": pa.array([1, 2, 3]), "n_bytes": pa.array([1, 2, 3]), "media": pa.array([audio.encode(bytes(data)), audio.encode(bytes(data[:576])), audio.encode(bytes(data), "adpcm")])})
+    want = pa.Table.from_batches(audio._features(16000)(iter([batch])))
+    monkeypatch.setattr(audio, "BLOCKS", 2)
+    monkeypatch.setattr(audio, "SLICE", 5)
+    assert pa.Table.from_batches(audio._features(16000)(iter([batch]))).equals(want)
+
+
 def test_pcm(spark):
     df = spark.createDataFrame([(1, "abc")], "doc_id long, text string")
     for codec in audio.FORMATS:

@@ -45,10 +45,10 @@ def planted(spark):
     return spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w) + ".") for i, w in enumerate(items)], "item_id long, text string"), want
 
 
-@pytest.mark.parametrize("most", [1_000_000, 0])
-def test_planted(planted, monkeypatch, most):
-    monkeypatch.setattr(B, "BROADCAST_WORDS", most)
-    monkeypatch.setattr(B, "BROADCAST_HITS", most)
+@pytest.mark.parametrize("most,together", [(1 << 20, 1 << 18), (1 << 20, 50), (0, 0)])
+def test_planted(planted, monkeypatch, most, together):
+    monkeypatch.setattr(B, "BROADCAST_BYTES", most)
+    monkeypatch.setattr(B, "TOGETHER", together)
     docs, items, want = planted
     got = {(r.doc_id, r.item_id): r.score for r in B.leaks(docs, items).collect()}
     assert want <= set(got)
@@ -56,6 +56,24 @@ def test_planted(planted, monkeypatch, most):
     brute = {(d.doc_id, i): round(plain(B.words(d.text), w) / (2 * len(w)), 6) for d in docs.collect() for i, w in texts.items()}
     assert {k for k, s in brute.items() if s >= B.SCORE} == set(got)
     assert all(s == brute[k] for k, s in got.items())
+    assert {r.doc_id for r in B.decontaminate(docs, items).collect()} == {d for d, _ in brute} - {d for d, _ in got}
+
+
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_a_phrase_in_all_items_and_documents(spark, monkeypatch, most):
+    """Both ways give the same, and each row is judged by its own text."""
+    monkeypatch.setattr(B, "BROADCAST_BYTES", most)
+    items = [(i, f"what is the name of item number{i} word{i} and thing{i} in place{i}") for i in range(300)]
+    docs = [(i, f"x{i} what is the name of item y{i} {'what is the name of ' * 30}") for i in range(20)]
+    docs += [(None, items[7][1]), (None, "clean words"), (3, items[9][1] + " more"), (50, items[299][1].upper())]
+    d = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(docs)], "doc_id long, text string, key long")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    want = {(i, k) for i, t in docs for k, w in items if plain(B.words(t), B.words(w)) >= B.SCORE * 2 * len(B.words(w))}
+    assert {(r.doc_id, r.item_id) for r in B.leaks(d, b).collect()} == want and {(None, 7), (3, 9), (50, 299)} <= want
+    left = B.decontaminate(d, b)
+    assert left.columns == d.columns
+    gone = {k for k, (i, t) in enumerate(docs) if any(plain(B.words(t), B.words(w)) >= B.SCORE * 2 * len(B.words(w)) for _, w in items)}
+    assert {r.key for r in left.collect()} == set(range(len(docs))) - gone
 
 
 def test_many_partial_copies(spark):
