@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from ledgerline.llm.common import bounded, materialize
 
@@ -154,14 +155,16 @@ def identify(evidence: DataFrame, model: TextModel | None = None, floor: float =
     probability, the first by code on ties, and confidence is this probability.
     rejected: the language is "und", or confidence is below ``floor``, or the
     text has no letter (a null or empty one has none).  A row's result depends
-    on the others through the priors only; repeated rows get equal results.
+    on the others through the priors only; repeated rows get equal results.  Of
+    evidence called language, confidence or rejected the result's own stand.
     """
     model = model or fit_on(evidence)
-    kept = [c for c in evidence.columns if c != "text"]
+    # the rows' own columns travel in one, so that their names clash with none here
+    kept = F.struct(*(F.col(f"`{c}`") for c in evidence.columns if c not in ("text", "language", "confidence", "rejected"))).alias("row")
     names = [*model.languages, UNDETERMINED]
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("has_letter")
-    ready = bounded(evidence).select(*kept, letter, F.lower(F.coalesce("text", F.lit(""))).cast("binary").alias("bytes"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in ready.schema if f.name != "bytes"), "likelihood array<double>"])
+    ready = bounded(evidence).select(kept, "declared", "host", "suffix", letter, F.lower(F.coalesce("text", F.lit(""))).cast("binary").alias("bytes"))
+    schema = StructType([f for f in ready.schema if f.name != "bytes"]).add("likelihood", ArrayType(DoubleType()))
     scored = materialize(ready.mapInArrow(_posterior(model), schema), "language-scores")
 
     # priors: counts of what texts alone say, in millionths so that sums are exact
@@ -198,7 +201,7 @@ def identify(evidence: DataFrame, model: TextModel | None = None, floor: float =
     best = F.array_max(F.col("posterior"))
     fused = fused.withColumn("confidence", F.round(best, 6)).withColumn("language", F.element_at(F.array(*map(F.lit, names)), F.array_position(F.col("posterior"), best).cast("int")))
     rejected = ~F.col("has_letter") | (F.col("language") == UNDETERMINED) | (F.col("confidence") < floor)
-    return fused.withColumn("rejected", rejected).select(*kept, "language", "confidence", "rejected")
+    return fused.withColumn("rejected", rejected).select("row.*", "language", "confidence", "rejected")
 
 
 def document_evidence(docs: DataFrame) -> DataFrame:
@@ -224,5 +227,5 @@ def keep_known(docs: DataFrame, model: TextModel | None = None) -> DataFrame:
     evidence = document_evidence(docs).withColumn("key", F.xxhash64("doc_id", "text"))
     found = identify(evidence, model)
     gone = found.where("rejected").select("key").distinct()
-    keyed = docs.withColumn("key_", F.xxhash64(F.col("doc_id").cast("long"), F.col("text")))
-    return keyed.join(gone, F.col("key_") == gone["key"], "left_anti").select(*docs.columns)
+    keyed = docs.select(F.struct("*").alias("row"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("key"))
+    return keyed.join(gone, "key", "left_anti").select("row.*")

@@ -137,15 +137,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -
 
     A column of docs called copy is replaced.
     """
-    key = ("doc_id", "source", "size")
-    rows = docs.drop("copy").withColumn("size_", word_count())
-    found = copies(docs, weights, most).select(*(F.col(k).alias(f"{k}_") if k != "size" else F.col(k).alias("words_") for k in key), "rows", "copies")
-    hashed = rows.withColumn("key_", F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), "size_"))
-    found = found.withColumn("key_", F.xxhash64("doc_id_", "source_", "words_")).withColumnsRenamed({"rows": "rows_", "copies": "copies_"})
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("doc_id_")) & F.col("source").eqNullSafe(F.col("source_")) & (F.col("size_") == F.col("words_"))
-    joined = hashed.join(found, "key_").where(same)
-    number = F.row_number().over(W.partitionBy("key_", "doc_id_", "source_", "size_").orderBy("key_"))
-    numbered = joined.withColumn("j_", number)
-    own = F.floor(F.col("copies_") / F.col("rows_")) + F.when(F.col("j_") <= F.col("copies_") % F.col("rows_"), 1).otherwise(0)
-    taken = numbered.withColumn("own_", own.cast("int")).where("own_ > 0")
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("own_")))).select(*docs.drop("copy").columns, "copy")
+    # the rows' own columns travel in one, so that their names clash with none here
+    own = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "copy")).alias("row")
+    rows = docs.select(own, F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("size")).withColumn("key", F.xxhash64("doc_id", "source", "size"))
+    found = copies(docs, weights, most).select(F.struct("doc_id", "source", "size").alias("of"), F.xxhash64("doc_id", "source", "size").alias("key"), "rows", "copies")
+    joined = rows.join(found, "key").where(F.struct("doc_id", "source", "size").eqNullSafe(F.col("of")))
+    numbered = joined.withColumn("j", F.row_number().over(W.partitionBy("key", "of").orderBy("key")))
+    times = F.floor(F.col("copies") / F.col("rows")) + F.when(F.col("j") <= F.col("copies") % F.col("rows"), 1).otherwise(0)
+    taken = numbered.withColumn("times", times.cast("int")).where("times > 0")
+    return taken.select("row.*", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy"))

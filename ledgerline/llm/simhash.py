@@ -10,7 +10,10 @@ Two halves that differ in one bit then meet at the own anchor of either, so no
 link is lost, and all 64 bits are compared per anchor.
 
 Only distinct fingerprints are compared, and only links that connect something
-new leave a group, so copies are never expanded into pairs.
+new leave a group, so copies are never expanded into pairs.  Of an anchor with
+more than CROWDED fingerprints the task sends them on, to be dealt once more by
+the other half: at most 3 bits differ there, so at most one in one of its
+quarters, and who has one's quarter with up to one bit changed meets it there.
 """
 
 from __future__ import annotations
@@ -71,12 +74,13 @@ def fingerprint(text: bytes) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         marks = [fingerprint(t.as_py()) for t in batch["text"]]
-        yield pa.record_batch({"doc_id": batch["doc_id"], "fp": pa.array(marks, pa.int64())})
+        yield pa.record_batch({"doc_id": batch["doc_id"], "key": batch["key"], "fp": pa.array(marks, pa.int64())})
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of each row."""
-    return bounded(docs).select(F.col("doc_id").cast("long"), byte_text().alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    """(doc_id, key, fp) of each row; key is a hash of doc_id and text."""
+    keyed = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), byte_text().alias("text"))
+    return keyed.withColumn("key", F.xxhash64("doc_id", "text")).mapInArrow(_fingerprints, "doc_id long, key long, fp long")
 
 
 def _syndromes() -> np.ndarray:
@@ -119,6 +123,8 @@ def _replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 #: Cells up to this size are compared pair by pair, many cells at once.
 SMALL = 16
+#: Cells over this size are dealt to more tasks.
+CROWDED = 20_000
 
 
 def _links(cells: np.ndarray, marks: np.ndarray, own: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -140,8 +146,17 @@ def _links(cells: np.ndarray, marks: np.ndarray, own: np.ndarray, bits: int) ->
                 yield pairs[:, 0], pairs[:, 1]
 
 
-def _compare(bits: int):
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare(bits: int, most: int | None = None):
+    """(a, b, left): links with left 0, joined within the task; of cells over ``most`` rows the (cell, fp, 1 + own) instead."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        later: list[pa.RecordBatch] = []
+        for links in joined_within(lambda b: compare(b, later))(batches):
+            yield pa.record_batch({"a": links["a"], "b": links["b"], "left": pa.array(np.zeros(links.num_rows, np.int32))})
+            yield from later
+            later.clear()
+
+    def compare(batches: Iterator[pa.RecordBatch], later: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in batches:
             rows = [batch["cell"].to_numpy(), batch["fp"].to_numpy().view(np.uint64), batch["own"].to_numpy(zero_copy_only=False)]
@@ -153,23 +168,47 @@ def _compare(bits: int):
             cut = int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0
             rest = [x[cut:] for x in rows]
             if cut:
-                yield from send(*(x[:cut] for x in rows))
+                yield from send(later, *(x[:cut] for x in rows))
         if rest is not None and len(rest[0]):
-            yield from send(*rest)
-
-    def send(cells, marks, own):
-        for a, b in _links(cells, marks, own, bits):
+            yield from send(later, *rest)
+
+    def send(later: list[pa.RecordBatch], cells: np.ndarray, marks: np.ndarray, own: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if most is not None and len(cells) > most:
+            start = np.flatnonzero(np.diff(cells, prepend=cells[0] - 1))
+            count = np.diff(np.append(start, len(cells)))
+            over = np.repeat(count > most, count)
+            if over.any():
+                later.append(pa.record_batch({"a": pa.array(cells[over]), "b": pa.array(marks[over].view(np.int64)), "left": pa.array(1 + own[over].astype(np.int32))}))
+                cells, marks, own = cells[~over], marks[~over], own[~over]
+        for a, b in _links(cells, marks, own, bits) if len(cells) else ():
             yield pa.record_batch({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
 
-    return compare
+    return run
+
+
+def _quarters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Deals the fingerprints of crowded cells by the quarters of the half that the cell's anchor leaves open."""
+    flips = np.append(np.int64(0), np.int64(1) << np.arange(16, dtype=np.int64))
+    for batch in batches:
+        cell, fp = batch["a"].to_numpy(), batch["b"].to_numpy()
+        half = np.where(cell >> 31 & 1, fp, fp >> 32) & 0xFFFFFFFF
+        for at in (0, 1):
+            value = (half >> 16 * at & 0xFFFF)[:, None] ^ flips
+            n = len(flips)
+            yield pa.record_batch({"parent": pa.array(np.repeat(cell, n)), "part": pa.array((value | at << 16).ravel()), "fp": pa.array(np.repeat(fp, n)), "own": pa.array(np.tile(flips == 0, len(fp)))})
 
 
 def fingerprint_components(marks: DataFrame, bits: int = BITS) -> DataFrame:
     """(fp, root) for the distinct fingerprints that link to others."""
     if not 0 <= bits <= 3:
         raise ValueError("the anchors cover thresholds up to 3 bits")
+    schema = "a long, b long, left int"
     cells = marks.select("fp").distinct().mapInArrow(_replicate, "cell long, fp long, own boolean")
-    links = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(joined_within(_compare(bits)), "a long, b long")
+    found = materialize(cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_compare(bits, CROWDED), schema), "fingerprint-links")
+    links, crowded = found.where("left = 0").select("a", "b"), found.where("left > 0")
+    if not crowded.isEmpty():
+        dealt = crowded.select("a", "b").mapInArrow(_quarters, "parent long, part long, fp long, own boolean").select(F.xxhash64("parent", "part").alias("cell"), "fp", "own")
+        links = links.union(dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(_compare(bits), schema).select("a", "b"))
     return connected_components(links, joined=True).toDF("fp", "root")
 
 
@@ -183,24 +222,34 @@ def near_duplicates(docs: DataFrame, bits: int = BITS) -> DataFrame:
     gets its component's smallest id, null if the component has none.  An empty
     table gives an empty one; columns besides doc_id and text are not read.
     """
+    marks, classes = _classes(docs, bits)
+    return marks.join(classes, "fp").select("doc_id", "fp", "component_id")
+
+
+def _classes(docs: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
+    """fingerprints(docs), and for each fingerprint (fp, root, component_id)."""
     marks = materialize(fingerprints(docs), "fingerprints")
     distinct = marks.groupBy("fp").agg(F.min("doc_id").alias("low"))
     roots = fingerprint_components(marks, bits)
     named = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    classes = materialize(named.join(lowest, "root").select("fp", "component_id"), "classes")
-    return marks.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return marks, materialize(named.join(lowest, "root").select("fp", "root", "component_id"), "classes")
 
 
 def keep_one(docs: DataFrame, bits: int = BITS) -> DataFrame:
-    """docs without the near-duplicates: of each component the row with the smallest doc_id stays.
+    """docs without the near-duplicates: of each component one row stays.
 
-    Of rows that repeat this doc_id one stays.  A row whose doc_id is null can't
-    be told from others and stays.
+    It is the one with the smallest doc_id, null after all others; of rows that
+    share it the one with the smaller hash of its text, and of equal rows one.
     """
-    found = materialize(near_duplicates(docs, bits).groupBy("doc_id", "component_id").count(), "near-duplicates")
-    kept = docs.join(found.where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti")
-    twice = found.where("doc_id = component_id and count > 1").select("doc_id")
-    if twice.isEmpty():
-        return kept
-    return kept.join(twice, "doc_id", "left_anti").unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    marks, classes = _classes(docs, bits)
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    rows = marks.join(classes.select("fp", "root"), "fp").groupBy("root", place.alias("at")).agg(F.count(F.lit(1)).alias("n"))
+    first = rows.groupBy("root").agg(F.min("at").alias("first"))
+    judged = materialize(rows.join(first, "root").select("at.key", (F.col("at") == F.col("first")).alias("stays"), "n"), "near-duplicates")
+    keyed = docs.select(F.struct("*").alias("row"), F.xxhash64(F.col("doc_id").cast("long"), byte_text()).alias("key"))
+    kept = keyed.join(judged.where("not stays").select("key"), "key", "left_anti")
+    twice = judged.where("stays and n > 1").select("key")
+    if not twice.isEmpty():
+        kept = kept.join(twice, "key", "left_anti").unionByName(kept.join(twice, "key", "left_semi").groupBy("key").agg(F.first("row").alias("row")).select("row", "key"))
+    return kept.select("row.*")

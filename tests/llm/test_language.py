@@ -1,3 +1,6 @@
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,6 +46,66 @@ def test_evidence_is_fused(spark, model):
     assert len(found) == len(rows)
 
 
+def brute(rows, model, floor=0.5):
+    """(language, confidence, rejected) of (text, declared, host, suffix), one by one in plain floats."""
+    names = [*model.languages, "und"]
+
+    def softmax(logs):
+        parts = [math.exp(x - max(logs)) for x in logs]
+        return [x / math.fsum(parts) for x in parts]
+
+    def likelihood(text):
+        data = [b if b > 127 else ord(chr(b).lower()) if chr(b).isalpha() else 32 for b in (text or "").lower().encode()]
+        slots = [((a << 16 | b << 8 | c) * 0x9E3779B1 & 0xFFFFFFFF) >> 16 for a, b, c in zip(data, data[1:], data[2:])]
+        return [round(sum(float(model.table[s, k]) for s in slots) / 3, 6) for k in range(len(names) - 1)] + [round(-math.log(1 << 13) * len(slots) / 3, 6)]
+
+    letter = lambda t: any(c.isalpha() for c in t or "")
+    scores = [likelihood(t) for t, *_ in rows]
+    counts = {}
+    for (text, _, host, suffix), s in zip(rows, scores):
+        if letter(text):
+            for place in ((host, suffix), (suffix,), ()):
+                old = counts.setdefault(place, [0.0] * len(names))
+                counts[place] = [a + b for a, b in zip(old, softmax(s))]
+    smooth = lambda n, parent: [(a + 20 * p) / (sum(n) + 20) for a, p in zip(n, parent)]
+    flat = [0.99 / (len(names) - 1)] * (len(names) - 1) + [0.01]
+    zero = [0.0] * len(names)
+    out = []
+    for (text, declared, host, suffix), s in zip(rows, scores):
+        prior = smooth(counts.get((host, suffix), zero), smooth(counts.get((suffix,), zero), smooth(counts.get((), zero), flat)))
+        logs = [a + math.log(p) for a, p in zip(s, prior)]
+        for said, right in ((declared, 0.9), (language.SUFFIXES.get(suffix), 0.7)):
+            if said in model.languages:
+                wrong = (1 - right) / (len(model.languages) - 1)
+                logs = [x + math.log(1 / len(model.languages) if n == "und" else right if n == said else wrong) for x, n in zip(logs, names)]
+        p = softmax(logs)
+        best = names[p.index(max(p))]
+        out.append((best, max(p), not letter(text) or best == "und" or max(p) < floor))
+    return out
+
+
+def test_against_plain(spark, model):
+    r = random.Random(11)
+    ws = "the dog and cat der hund die katze auf berg on hill that mit einem near river qzx é 12 !!".split()
+    three = language.fit([(b"the dog and the cat on that hill near the river", "en"), ("der hund und die katze auf dem berg mit einem".encode(), "de"), ("le chien et le chat près de la rivière".encode(), "fr")])
+    for fitted in (model, three):
+        rows = [(None if r.random() < 0.05 else " ".join(r.choices(ws, k=r.randint(0, 9))), r.choice([None, "en", "de", "fr", "xx"]), r.choice([None, "", "a", "b", "c"]), r.choice([None, "de", "com", "fr", "uk"])) for _ in range(300)]
+        df = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "likelihood long, text string, declared string, host string, suffix string").repartition(4)
+        found = {x.likelihood: x for x in language.identify(df, fitted).collect()}
+        for i, (best, p, rejected) in enumerate(brute(rows, fitted)):
+            assert found[i].confidence == pytest.approx(p, abs=2e-5), rows[i]
+            assert found[i].language == best and (found[i].rejected == rejected or abs(p - 0.5) < 2e-5), rows[i]
+
+
+def test_clashing_columns(spark, model):
+    for name in ("likelihood", "bytes", "has_letter", "says", "prior", "hint", "posterior", "row", "key", "language", "a.b"):
+        df = spark.createDataFrame([(1, "the dog and the cat", "en", "h", 5)], "doc_id long, text string, lang string, source string, k long").withColumnRenamed("k", name)
+        left = language.keep_known(df, model)
+        assert left.columns == df.columns and left.first()[name] == 5
+        evidence = df.selectExpr("text", "lang as declared", "source as host", "cast(null as string) as suffix", f"`{name}`")
+        assert language.identify(evidence, model).first().language == "en"
+
+
 def test_rare_languages_are_known_at_every_size(spark):
     texts = {"en": "the dog and the cat are on the hill with that other one", "de": "der hund und die katze sind nicht auf dem berg", "sv": "hunden och katten ligger inte uppe vid den gamla sjön"}
     rows = [(i, f"{texts[x]} {i}", x, "h", 0) for i, x in enumerate(["sv"] * 2 + ["en", "de"] * 1500)]

@@ -1,7 +1,11 @@
 """The stages against the operators' brute-force versions, each on its own input."""
 
+import os
+
 import corpus_pipeline as P
 from ledgerline.llm import benchmarks as B
+from ledgerline.llm import common
+from ledgerline.llm import simhash as S
 from tests.llm import test_lines, test_simhash
 
 
@@ -37,3 +41,33 @@ def test_empty(spark, documents, sf_dir):
     for name, stage in P.STAGES:
         docs = P.materialize(stage(spark, docs, sf_dir), name)
     assert docs.count() == 0
+
+
+def test_run_leaves_one_table_a_stage(spark, sf_dir):
+    common.clean_up(spark)
+    before = len(common.made(spark))
+    out = P.run(spark, sf_dir)
+    left = [p.rsplit("/", 1)[-1] for p in common.made(spark)[before:]]
+    assert [x.rsplit("-", 1)[0] for x in left if x.startswith("stage-")] == [f"stage-{n}" for n, _ in P.STAGES[:-1]]
+    assert all(x.startswith(("stage-", "mix-")) for x in left)
+    n = out.count()
+    assert n and P.run(spark, sf_dir).count() == n
+    paths = [p.removeprefix("file:") for p in common.made(spark)]
+    assert paths and all(map(os.path.exists, paths))
+    common.clean_up(spark)
+    assert not common.made(spark) and not any(map(os.path.exists, paths))
+
+
+def test_odd_rows(spark, odd, sf_dir):
+    """Nulls, ties and repeated rows in every stage; the counts that the stages' docstrings state."""
+    docs = odd
+    seen = {}
+    for name, stage in P.STAGES:
+        docs = P.materialize(stage(spark, docs, sf_dir), name)
+        seen[name] = docs.collect()
+    assert {r.doc_id for r in seen["known_language"]} & {1, 2, 7} == {1, 2, 7} and not {r.doc_id for r in seen["known_language"]} & {3, 4, 5}
+    texts = [r.text for r in seen["distinct_lines"] if r.text and r.text.strip()]
+    assert len(set(texts)) == len(texts)
+    marks = [x.fp for x in S.near_duplicates(P.materialize(spark.createDataFrame(seen["distinct_documents"], odd.schema), "x")).collect()]
+    assert len(set(marks)) == len(marks) == len(seen["distinct_documents"])
+    assert {r.doc_id for r in seen["mixed"]} <= {r.doc_id for r in seen["without_benchmark"]}

@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
 from ledgerline.llm import simhash
@@ -54,8 +55,10 @@ def test_anchors_cover(spark):
         assert all((i, home[i]) in near for i in range(len(x)))
 
 
-def test_links_of_planted_fingerprints(spark):
+@pytest.mark.parametrize("crowded", [20_000, 30])
+def test_links_of_planted_fingerprints(spark, monkeypatch, crowded):
     """Chains and dense groups of fingerprints at up to 3 bits; blocks of near ones make large cells."""
+    monkeypatch.setattr(simhash, "CROWDED", crowded)
     r = np.random.default_rng(5)
     base = r.integers(-(1 << 63), 1 << 63, 40)
     marks = set(base.tolist())
@@ -80,7 +83,17 @@ def test_links_of_planted_fingerprints(spark):
 def test_keep_one(odd):
     left = simhash.keep_one(odd).collect()
     assert sorted(r.doc_id for r in left if r.doc_id is not None) == [1, 3, 6, 7, 8, 9, 10]
-    assert sum(r.doc_id is None for r in left) == 2
+    assert [r.text for r in left if r.doc_id is None] == ["Der schnelle Fuchs springt."]  # the null text goes with document 3
+
+
+def test_keep_one_by_row(spark):
+    same = "one two three four five six seven eight nine ten"
+    rows = [(None, same, 0), (None, same, 1), (7, same, 2), (7, same, 3), (7, "something else that stands under the same number here", 4), (None, "no number and no copy of this text", 5), (9, same, 6)]
+    for name in ("key", "row", "n", "fp"):
+        left = simhash.keep_one(spark.createDataFrame(rows, f"doc_id long, text string, {name} long"))
+        assert left.columns == ["doc_id", "text", name]
+        found = sorted(r[name] for r in left.collect())
+        assert found in ([2, 4, 5], [3, 4, 5])
 
 
 def test_long_text_in_blocks(monkeypatch):
