@@ -24,7 +24,7 @@ RATE = 8000
 #: WAVE format numbers.
 FORMATS = {"mulaw": 7, "alaw": 6, "adpcm": 17}
 #: ADPCM blocks decoded at once, and samples handled at once where one row may hold very many.
-BLOCKS = 8192
+BLOCKS = 2048
 SLICE = 1 << 20
 
 
@@ -154,13 +154,15 @@ def _through(table: np.ndarray, payload: np.ndarray) -> Iterator[np.ndarray]:
 def _encode(codec: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            media, size = [], []
-            for x in batch["text"]:
-                data = x.as_buffer().to_pybytes()
-                fill = max(UNIT, -(-len(data) // UNIT) * UNIT) - len(data)
-                size.append(len(data))
-                media.append(encode(data + b"\xff" * fill, codec))
-            yield pa.record_batch({"doc_id": batch["doc_id"], "n_bytes": pa.array(size, pa.int64()), "media": pa.array(media, pa.binary())})
+            texts = [x.as_buffer() for x in batch["text"]]
+            for at, end in _together([len(x) // UNIT for x in texts]):
+                media, size = [], []
+                for x in texts[at:end]:
+                    data = x.to_pybytes()
+                    fill = max(UNIT, -(-len(data) // UNIT) * UNIT) - len(data)
+                    size.append(len(data))
+                    media.append(encode(data + b"\xff" * fill, codec))
+                yield pa.record_batch({"doc_id": batch["doc_id"].slice(at, end - at), "n_bytes": pa.array(size, pa.int64()), "media": pa.array(media, pa.binary())})
 
     return run
 
@@ -220,8 +222,16 @@ def features(media: DataFrame, to: int = 2 * RATE) -> DataFrame:
     pcm is the sound as 16-bit little-endian samples at ``rate``.  feature holds rate, length and CRC-32 of the resampled PCM, and mean
     square, zero crossings and peak of the payload as mu-law, A-law and ADPCM.
     """
-    schema = "doc_id long, n_bytes long, media binary, payload binary, tail_crc32 long, feature string, rate int, pcm binary"
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(_features(to), schema)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(_features(to), _READ)
+
+
+_READ = "doc_id long, n_bytes long, media binary, payload binary, tail_crc32 long, feature string, rate int, pcm binary"
+
+
+def stored_features(docs: DataFrame, codec: str = "mulaw", to: int = 2 * RATE) -> DataFrame:
+    """features(to_media(docs)), where one worker of a task does both."""
+    encode_all, read_all = _encode(codec), _features(to)
+    return bounded(docs).select(F.col("doc_id").cast("long"), byte_text().alias("text")).mapInArrow(lambda batches: read_all(encode_all(batches)), _READ)
 
 
 def _pcm(to: int):

@@ -49,7 +49,7 @@ def op6_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_audio_of(docs: DataFrame) -> DataFrame:
-    read = audio.features(audio.to_media(docs))
+    read = audio.stored_features(docs)
     return read.select(
         "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), "tail_crc32", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature", "rate", "pcm"
     )

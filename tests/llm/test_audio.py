@@ -60,6 +60,8 @@ def test_query(odd, none):
     assert got == sorted(((d or -1), want[d, t]) for d, t in rows)
     assert len({r.feature for r in found if r.n_bytes == 0}) == 1
     assert op6_audio_of(none).count() == 0
+    both = [sorted(map(str, x.collect())) for x in (audio.features(audio.to_media(odd)), audio.stored_features(odd))]
+    assert both[0] == both[1]
 
 
 def plain_energy(pcm):
