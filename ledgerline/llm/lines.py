@@ -11,7 +11,7 @@ first (by doc_id, then place; of rows that share both, the smaller hash) stays.
 Lines of up to SHORT shingles have a signature of independent permutations,
 lines of SIMILARITY * SHORT or more a one-permutation signature; a similar pair
 shares at least one kind.  A pair of similarity 0.8 shares a cell with
-probability 1 - (1 - 0.8**ROWS)**BANDS, 99.2 %; one of 0.85 with 99.9 %.
+probability 1 - (1 - 0.8**ROWS)**BANDS, 99.5 %; one of 0.85 with 99.9 %.
 """
 
 from __future__ import annotations
@@ -28,13 +28,13 @@ from ledgerline.llm.common import bounded, materialize
 from ledgerline.llm.components import connected_components, joined_within, spanning_links
 
 SIMILARITY = 0.8
-SHINGLE = 5
+SHINGLE = 6
 #: Shingles up to which a line has an independent permutation for each place of its signature.
 SHORT = 100
-BANDS, ROWS = 12, 5
+BANDS, ROWS = 10, 4
 BUCKETS = BANDS * ROWS
-#: Code points that are hashed at once.
-SLICE = 1 << 19
+#: Code points that are hashed at once; what a processor's cache holds.
+SLICE = 1 << 15
 #: Lines of a cell that one task compares; larger cells are compared in blocks by several.
 CELL_ROWS = 2000
 #: Up to so many candidate lines are looked up by a broadcast; more by a shuffle.
@@ -72,12 +72,18 @@ def _hashed(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(line, hash) of each shingle."""
     sizes = np.array([len(x) for x in lines])
     codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    h = codes
-    for k in range(1, SHINGLE):
-        h = h[:-1] * _MULTIPLY + codes[k:]
-    line = np.repeat(np.arange(len(lines)), sizes)[: len(h)]
-    inside = np.repeat(np.cumsum(sizes), sizes)[: len(h)] - np.arange(len(h)) >= SHINGLE
-    return line[inside], _mix(h[inside])
+    h, n = codes, 1
+    for bit in bin(SHINGLE)[3:]:  # hashes of n characters become those of 2 * n, or one more
+        h = h[:-n] * np.uint64(int(_MULTIPLY) ** n & (1 << 64) - 1) + h[n:]
+        n *= 2
+        if bit == "1":
+            h = h[:-1] * _MULTIPLY + codes[n:]
+            n += 1
+    inside, ends = np.ones(len(codes), bool), np.cumsum(sizes)
+    for back in range(1, SHINGLE):  # the last characters of a line begin no shingle
+        inside[ends - back] = False
+    inside = inside[: len(h)]
+    return np.repeat(np.arange(len(lines)), sizes)[: len(h)][inside], _mix(h[inside])
 
 
 def _keys(low: np.ndarray, kind: int) -> np.ndarray:
@@ -101,14 +107,15 @@ def _filled(low: np.ndarray) -> np.ndarray:
     return low
 
 
-_SEEDS = _mix(np.arange(1, BUCKETS + 1, dtype=np.uint64) * _MULTIPLY)
+#: Odd, so that each permutes the hashes.
+_SEEDS = _mix(np.arange(1, BUCKETS + 1, dtype=np.uint64) * _MULTIPLY) | np.uint64(1)
 
 
 def _short_keys(lines: list[str]) -> np.ndarray:
     """Signatures of lines of at most SHORT shingles each."""
     line, h = _hashed(lines)
     start = np.searchsorted(line, np.arange(len(lines)))
-    low = np.stack([np.minimum.reduceat(_mix((h ^ seed) * _MULTIPLY), start) for seed in _SEEDS], 1)
+    low = np.stack([np.minimum.reduceat(h * seed, start) for seed in _SEEDS], 1)
     return _keys(low, 0)
 
 
@@ -183,13 +190,16 @@ def shingles(lines: list[str]) -> list[np.ndarray]:
     codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
     if codes.max(initial=0) >> _CODE_BITS:
         known, codes = np.unique(codes, return_inverse=True)
-        if len(known) >> _CODE_BITS:
-            numbers: dict[str, int] = {}
-            return [np.array(sorted({numbers.setdefault(x[i : i + SHINGLE], len(numbers)) for i in range(len(x) - SHINGLE + 1)}), np.uint64) for x in lines]
+        few = not len(known) >> _CODE_BITS
+    else:
+        few = True
     codes = codes.astype(np.uint64)
     words = codes
-    for k in range(1, SHINGLE):
-        words = words[:-1] << np.uint64(_CODE_BITS) | codes[k:]
+    for k in range(1, SHINGLE if few else SHINGLE // 2):
+        words = words[:-1] << np.uint64(_CODE_BITS if few else _HALF_BITS) | codes[k:]
+    if not few:  # halves fit a number, and two numbers of halves another
+        halves = np.unique(words, return_inverse=True)[1].astype(np.uint64)
+        words = halves[: -(SHINGLE // 2)] << np.uint64(32) | halves[SHINGLE // 2 :]
     out, at = [], 0
     for line in lines:
         own = np.sort(words[at : at + len(line) - SHINGLE + 1])
@@ -198,8 +208,9 @@ def shingles(lines: list[str]) -> list[np.ndarray]:
     return out
 
 
-#: Bits of a character in a shingle's number.
+#: Bits of a character in the number of a shingle, and of half of one; the latter hold every code point.
 _CODE_BITS = 64 // SHINGLE
+_HALF_BITS = 64 // (SHINGLE // 2)
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -209,17 +220,24 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def _verify(similarity: float):
-    def links(ids: list[int], lines: list[str]) -> list[tuple[int, int]]:
-        sets = shingles(lines)
-        sizes = np.array([len(s) for s in sets])
-        length = np.array([len(x) - SHINGLE + 1 for x in lines])
+    def like(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> bool:
+        """Of (number of shingles, distinct shingles)."""
+        if min(a[0], b[0]) < similarity * max(a[0], b[0]) or min(len(a[1]), len(b[1])) < similarity * max(len(a[1]), len(b[1])):
+            return False
+        common = _common(a[1], b[1])
+        return common >= similarity * (len(a[1]) + len(b[1]) - common)
+
+    def links(ids: list[int], known: dict[int, tuple[int, np.ndarray]]) -> list[tuple[int, int]]:
+        if len(ids) == 2:
+            return [tuple(ids)] if like(known[ids[0]], known[ids[1]]) else []
+        sets = [known[i] for i in ids]
+        length, sizes = np.array([n for n, _ in sets]), np.array([len(x) for _, x in sets])
 
         def near(i: int, others: np.ndarray) -> np.ndarray:
             out = np.zeros(len(others), bool)
             alike = (sizes[others] >= similarity * sizes[i]) & (sizes[i] >= similarity * sizes[others])
             for k in np.flatnonzero(alike & (length[others] >= similarity * length[i]) & (length[i] >= similarity * length[others])):
-                common = _common(sets[i], sets[others[k]])
-                out[k] = common >= similarity * (sizes[i] + sizes[others[k]] - common)
+                out[k] = like(sets[i], sets[others[k]])
             return out
 
         return [(ids[a], ids[b]) for a, b in spanning_links(np.arange(len(ids)), near)]
@@ -238,7 +256,18 @@ def _verify(similarity: float):
     def send(rows: pa.Table, cells: np.ndarray) -> pa.RecordBatch:
         start = np.flatnonzero(np.append(True, np.diff(cells) != 0)).tolist() if len(cells) else []
         ids, lines = rows["id"].to_pylist(), rows["line"].to_pylist()
-        found = [x for a, b in zip(start, [*start[1:], len(cells)]) for x in links(ids[a:b], lines[a:b])]
+        own = dict(zip(ids, lines))  # a line may stand in several cells
+        known: dict[int, tuple[int, np.ndarray]] = {}
+        group, size = [], 0
+        for i, line in own.items():
+            group.append(i)
+            size += len(line)
+            if size >= SLICE:
+                known |= zip(group, ((len(own[k]) - SHINGLE + 1, x) for k, x in zip(group, shingles([own[k] for k in group]))))
+                group, size = [], 0
+        if group:
+            known |= zip(group, ((len(own[k]) - SHINGLE + 1, x) for k, x in zip(group, shingles([own[k] for k in group]))))
+        found = [x for a, b in zip(start, [*start[1:], len(cells)]) for x in links(ids[a:b], known)]
         return pa.record_batch([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=("a", "b"))
 
     return run
@@ -251,7 +280,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def _lines(docs: DataFrame) -> DataFrame:
     lines = _keyed(docs).select("doc_id", "key", F.posexplode(F.split("text", "\n", -1)).alias("no", "line"))
-    return lines.where(F.translate("line", _BLANK, "") != "").withColumn("id", F.xxhash64("line"))
+    return lines.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("id", F.xxhash64("line"))
 
 
 def similar_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
