@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerline.functions.labels import canonical_id
@@ -81,6 +82,35 @@ def quality_gate(filings: DataFrame, metrics: DataFrame, narratives: DataFrame)
     return codes(f, ["doc"], rules).union(issues)
 
 
+def _without_own(filings: DataFrame, history: DataFrame) -> DataFrame:
+    """(doc, usual, annual): median revenue of the company's other documents, and the most of its annual ones of the same year.
+
+    A median without one row lies among the three middle ones of all rows, so a
+    ranking per company and its middle are enough and no pairs are made.
+    """
+    size = F.abs("revenue")
+    ranked = history.where(size > 0).select("doc", "company_id", size.alias("size"), F.row_number().over(W.partitionBy("company_id").orderBy(size, "doc")).alias("rank"))
+    counts = ranked.groupBy("company_id").agg(F.count(F.lit(1)).alias("n")).withColumn("low", F.floor((F.col("n") - 1) / 2))
+    near = ranked.join(counts, "company_id").where(F.col("rank").between(F.col("low"), F.col("low") + 2))
+    middle = near.groupBy("company_id").agg(F.first("n").alias("n"), *(F.max(F.when(F.col("rank") == F.col("low") + k, F.col("size"))).alias(f"v{k}") for k in range(3)), F.first("low").alias("low"))
+    own = ranked.select("doc", "company_id", F.col("rank").alias("own"))
+    f = filings.select("doc", "company_id", "fiscal_year").join(middle, "company_id", "left").join(own, ["doc", "company_id"], "left")
+    others = F.col("n") - F.col("own").isNotNull().cast("int")
+
+    def at(k: Column) -> Column:
+        """The k-th of the others."""
+        place = k + F.coalesce((k >= F.col("own")).cast("int"), F.lit(0)) - F.col("low")
+        return F.when(place == 0, F.col("v0")).when(place == 1, F.col("v1")).when(place == 2, F.col("v2"))
+
+    half = F.floor(others / 2)
+    usual = F.when(others % 2 == 1, at(half + 1)).when(others > 0, (at(half) + at(half + 1)) / 2)
+    annual = history.where("report_type = 'annual'").select("company_id", "fiscal_year", F.col("doc").alias("other"), size.alias("size"))
+    two = annual.withColumn("k", F.row_number().over(W.partitionBy("company_id", "fiscal_year").orderBy(F.col("size").desc_nulls_last(), "other"))).where("k <= 2")
+    best = two.groupBy("company_id", "fiscal_year").agg(*(F.max(F.when(F.col("k") == k, F.struct("other", "size"))).alias(f"a{k}") for k in (1, 2)))
+    joined = f.withColumn("usual", usual).join(best, ["company_id", "fiscal_year"], "left")
+    return joined.select("doc", "usual", F.when(F.col("a1.other") != F.col("doc"), F.col("a1.size")).otherwise(F.col("a2.size")).alias("annual"))
+
+
 def sanity(filings: DataFrame, balance: DataFrame, history: DataFrame) -> DataFrame:
     """(doc, code): figures that can't be on one scale.
 
@@ -90,8 +120,7 @@ def sanity(filings: DataFrame, balance: DataFrame, history: DataFrame) -> DataFr
     filing is not its own history.
     """
     known = balance.where(F.col("value") > 0).groupBy("doc").agg(F.median("value").alias("balance"), F.count(F.lit(1)).alias("balances"))
-    other = filings.select("doc", "company_id", F.col("fiscal_year").alias("year_")).join(history.withColumnRenamed("doc", "other_"), "company_id").where(F.col("doc") != F.col("other_"))
-    past = other.groupBy("doc").agg(F.median(F.when(F.abs("revenue") > 0, F.abs("revenue"))).alias("usual"), F.max(F.when((F.col("fiscal_year") == F.col("year_")) & (F.col("report_type") == "annual"), F.abs("revenue"))).alias("annual"))
+    past = _without_own(filings, history)
     f = filings.join(known, "doc", "left").join(past, "doc", "left")
     size = F.abs("revenue")
     ratio = lambda x, y: F.try_divide(F.abs(x), y)

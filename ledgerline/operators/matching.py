@@ -26,13 +26,26 @@ def name_tokens(name: Column, audit: bool = False) -> Column:
     return F.filter(tokens, lambda x: ~x.isin(*LEGAL_FORMS))
 
 
-def confidence(tokens: Column, other: Column, raw: Column, ticker: Column) -> Column:
-    """The best of letter likeness, common words, and the ticker among the words."""
-    a, b = F.array_join(tokens, " "), F.array_join(other, " ")
+def _joined(tokens: Column) -> Column:
+    return F.array_join(tokens, " ")
+
+
+def _letters_may_reach(tokens: Column, other: Column, least: float) -> Column:
+    """Whether letter likeness can be ``least``: a swap of neighbours is two edits at most, so Levenshtein bounds it."""
+    a, b = _joined(tokens), _joined(other)
     longest = F.greatest(F.length(a), F.length(b))
-    letters = F.when(longest > 0, 1 - osa_distance(a, b) / longest).otherwise(0.0)
+    return (longest > 0) & (F.levenshtein(a, b) <= 2 * (1 - least) * longest + 1e-9)
+
+
+def _letters(tokens: Column, other: Column) -> Column:
+    a, b = _joined(tokens), _joined(other)
+    return 1 - osa_distance(a, b) / F.greatest(F.length(a), F.length(b))
+
+
+def _words(tokens: Column, other: Column, raw: Column, ticker: Column) -> Column:
+    """Common words, or the ticker among the words."""
     listed = F.when(F.array_contains(raw, F.lower(ticker)), 1.0).otherwise(0.0)
-    return F.greatest(letters, token_jaccard(tokens, other), F.coalesce(listed, F.lit(0.0)))
+    return F.greatest(token_jaccard(tokens, other), F.coalesce(listed, F.lit(0.0)))
 
 
 def _keys(tokens: Column, raw: Column | None, ticker: Column | None) -> Column:
@@ -44,6 +57,11 @@ def _keys(tokens: Column, raw: Column | None, ticker: Column | None) -> Column:
     return F.array_distinct(F.filter(F.concat(grams, words, extra), lambda x: x.isNotNull()))
 
 
+def suggest_companies(names: DataFrame, companies: DataFrame) -> DataFrame:
+    """An audit's suggestion: the best company with any likeness above zero that shares a word, a ticker or three letters in a row."""
+    return match_companies(names, companies, 0.0, audit=True)
+
+
 def match_companies(names: DataFrame, companies: DataFrame, threshold: float = THRESHOLD, audit: bool = False) -> DataFrame:
     """(doc, name, company_id, confidence): the company each name fits best, if by ``threshold`` or more.
 
@@ -57,6 +75,10 @@ def match_companies(names: DataFrame, companies: DataFrame, threshold: float = T
     left = n.select("doc", "x", "raw", "name", F.explode(_keys(F.col("x"), F.col("raw"), None)).alias("key"))
     right = c.select("company_id", "ord", "ticker", "y", F.explode(_keys(F.col("y"), None, F.col("ticker"))).alias("key"))
     pairs = left.join(right, "key").drop("key").dropDuplicates(["doc", "company_id"])
-    scored = pairs.withColumn("confidence", confidence(F.col("x"), F.col("y"), F.col("raw"), F.col("ticker"))).where(F.col("confidence") >= threshold)
+    pairs = pairs.withColumn("words", _words(F.col("x"), F.col("y"), F.col("raw"), F.col("ticker")))
+    # edit distance only where it can decide
+    close = _letters_may_reach(F.col("x"), F.col("y"), threshold) & (F.col("words") < 1)
+    by_letters = pairs.where(close).withColumn("confidence", F.greatest(_letters(F.col("x"), F.col("y")), "words"))
+    scored = pairs.where(~close).withColumn("confidence", F.col("words")).unionByName(by_letters).where((F.col("confidence") > 0) & (F.col("confidence") >= threshold))
     best = F.row_number().over(W.partitionBy("doc").orderBy(F.col("confidence").desc(), "ord"))
     return scored.withColumn("n_", best).where("n_ = 1").select("doc", "name", "company_id", "confidence")

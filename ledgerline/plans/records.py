@@ -150,22 +150,23 @@ def pair_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return C.pair_metrics(_pairs(spark), _plain_metrics(spark)).select("pair", "key", "a", "b", F.col("place").cast("long").alias("place"))
 
 
-@query("E21_tally", f"WITH {FILINGS_SQL}, p AS (SELECT a.company_id AS pair, a.revenue AS ra, b.revenue AS rb, a.net_profit AS na, b.net_profit AS nb FROM filings a JOIN filings b ON b.company_id = a.company_id + 1 AND b.report_type = 'annual' AND b.fiscal_year = 1997 WHERE a.report_type = 'annual' AND a.fiscal_year = 1997) SELECT pair, 2 * (ra > rb)::INT + (na > nb)::INT AS score_a, 2 * (rb > ra)::INT + (nb > na)::INT AS score_b, 3 AS total FROM p")
+@query("E21_tally", f"WITH {FILINGS_SQL}, p AS (SELECT a.id AS pair, a.revenue AS ra, b.revenue AS rb, a.net_profit AS na, b.net_profit AS nb FROM filings a JOIN filings b ON b.company_id = a.company_id + 1 AND b.report_type = a.report_type AND b.fiscal_year = a.fiscal_year) SELECT pair, 2 * (ra > rb)::INT + (na > nb)::INT AS score_a, 2 * (rb > ra)::INT + (nb > na)::INT AS score_b, 3 AS total FROM p")
 def tally(spark: SparkSession, sf: str) -> DataFrame:
-    f = filings(spark, sf).where("report_type = 'annual' and fiscal_year = 1997")
-    pairs = f.select(F.col("company_id").alias("pair"), F.col("company_id").alias("a"), (F.col("company_id") + 1).alias("b"))
-    both = pairs.join(f.select(F.col("company_id").alias("b")), "b", "left_semi").select("pair", "a", "b")
-    rows = f.select(F.col("company_id").alias("doc"), F.expr("stack(2, 0, 'Revenue', revenue, 1, 'Net profit', net_profit) as (ord, label, value)"))
+    """Each report against the next company's of the same year and kind."""
+    f = filings(spark, sf)
+    other = f.select(F.col("id").alias("b"), (F.col("company_id") - 1).alias("company_id"), "fiscal_year", "report_type")
+    pairs = f.select(F.col("id").alias("pair"), F.col("id").alias("a"), "company_id", "fiscal_year", "report_type").join(other, ["company_id", "fiscal_year", "report_type"]).select("pair", "a", "b")
+    rows = f.select(F.col("id").alias("doc"), F.expr("stack(2, 0, 'Revenue', revenue, 1, 'Net profit', net_profit) as (ord, label, value)"))
     none = F.lit(None)
     rows = rows.withColumn("canonical_id", none.cast("string")).withColumn("original_label", none.cast("string")).withColumn("normalized_value", none.cast("double"))
-    return C.tally(C.pair_metrics(both, rows))
+    return C.tally(C.pair_metrics(pairs, rows))
 
 
-@query("C11_align", f"""WITH {FILINGS_SQL}, q AS (SELECT company_id AS doc, CAST(substr(report_type, 2) AS INTEGER) AS idx, CAST(fiscal_year AS VARCHAR) AS period, revenue FROM filings WHERE report_type IN ('q1', 'q2') AND (company_id % 2 = 0 OR fiscal_year > 1996)),
+@query("C11_align", f"""WITH {FILINGS_SQL}, q AS (SELECT company_id AS doc, CAST(substr(report_type, 2) AS INTEGER) AS idx, CAST(fiscal_year AS VARCHAR) AS period, revenue FROM filings WHERE report_type <> 'annual'),
 p AS (SELECT s_suppkey AS pair, s_suppkey AS a, s_suppkey + 1 AS b FROM supplier), r AS (SELECT pair, 'a' AS side, q.* FROM p JOIN q ON q.doc = p.a UNION ALL SELECT pair, 'b', q.* FROM p JOIN q ON q.doc = p.b)
 SELECT pair, period, arg_max(revenue, idx) FILTER (side = 'a') AS a, arg_max(revenue, idx) FILTER (side = 'b') AS b FROM r GROUP BY pair, period""")
 def align(spark: SparkSession, sf: str) -> DataFrame:
-    f = filings(spark, sf).where("report_type in ('q1', 'q2') and (company_id % 2 = 0 or fiscal_year > 1996)")
+    f = filings(spark, sf).where("report_type <> 'annual'")
     trends = f.select(F.col("company_id").alias("doc"), F.substring("report_type", 2, 1).try_cast("int").alias("idx"), F.col("fiscal_year").cast("string").alias("period"), "revenue")
     pairs = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("pair"), F.col("s_suppkey").alias("a"), (F.col("s_suppkey") + 1).alias("b"))
     return C.align(pairs, trends, "revenue").select("pair", "period", "a", "b")

@@ -290,8 +290,7 @@ def period_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("H1_by_exchange_and_name", f"WITH {COMPANIES_SQL} SELECT row_number() OVER (ORDER BY exchange, company) AS place, company_id FROM companies")
 def by_exchange_and_name(spark: SparkSession, sf: str) -> DataFrame:
-    # one row per company
-    return companies(spark, sf).select(F.row_number().over(W.orderBy("exchange", "company")).cast("long").alias("place"), "company_id")
+    return T.numbered(companies(spark, sf), "exchange", "company").select(F.col("place").cast("long").alias("place"), "company_id")
 
 
 @query("H2_company_reports", _WITH + "SELECT id, row_number() OVER (PARTITION BY company_id ORDER BY fiscal_year DESC, report_type) AS place FROM filings")

@@ -65,9 +65,9 @@ def html_tables(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("page", "t.number", F.size("t.rows").alias("n_rows"), body.alias("body"))
 
 
-@query("A10_decode_entities", f"SELECT page_id, {_ENT("regexp_extract(html, '<title>(.*?)</title>', 1)")} AS title FROM pages")
+@query("A10_decode_entities", f"SELECT page_id, {_ENT("html")} AS decoded FROM pages")
 def decode_entities(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "pages").select("page_id", X.decode_entities(F.regexp_extract("html", "<title>(.*?)</title>", 1)).alias("title"))
+    return table(spark, sf, "pages").select("page_id", X.decode_entities(F.col("html")).alias("decoded"))
 
 
 _Q = SQUEEZE("text")
@@ -105,9 +105,9 @@ def strip_marks(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", X.strip_marks(F.col("text")).alias("plain"))
 
 
-@query("G4_normalize_label", f"SELECT doc_id, {MARKS(SQUEEZE('substr(text, 1, 300)'))} AS label FROM documents")
+@query("G4_normalize_label", f"SELECT doc_id, {MARKS(SQUEEZE('text'))} AS label FROM documents")
 def normalize_label(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", X.normalize_label(F.substring("text", 1, 300)).alias("label"))
+    return table(spark, sf, "documents").select("doc_id", X.normalize_label(F.col("text")).alias("label"))
 
 
 @query("G1_compact_label", f"SELECT doc_id, {COMPACT('text')} AS label FROM documents")
@@ -115,11 +115,12 @@ def compact_label(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", X.compact_label(F.col("text")).alias("label"))
 
 
-@query("G5_levenshtein", "SELECT a.p_partkey AS a, b.p_partkey AS b, levenshtein(a.p_name, b.p_name) AS distance FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey AND b.p_partkey <= 300")
+@query("G5_levenshtein", "SELECT a, b, distance FROM (SELECT p_partkey AS a, lead(p_partkey) OVER w AS b, levenshtein(p_name, lead(p_name) OVER w) AS distance FROM part WINDOW w AS (PARTITION BY p_brand, p_size ORDER BY p_partkey)) WHERE b IS NOT NULL")
 def levenshtein(spark: SparkSession, sf: str) -> DataFrame:
-    p = table(spark, sf, "part").where("p_partkey <= 300")
-    a, b = p.alias("a"), p.alias("b")
-    return a.join(b, (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_partkey") < F.col("b.p_partkey"))).select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"), F.levenshtein("a.p_name", "b.p_name").cast("long").alias("distance"))
+    """Every part with the next of its brand and size."""
+    own = W.partitionBy("p_brand", "p_size").orderBy("p_partkey")
+    pairs = table(spark, sf, "part").select(F.col("p_partkey").alias("a"), F.lead("p_partkey").over(own).alias("b"), "p_name", F.lead("p_name").over(own).alias("next_name"))
+    return pairs.where("b is not null").select("a", "b", F.levenshtein("p_name", "next_name").cast("long").alias("distance"))
 
 
 _W = lambda x: f"list_distinct(regexp_split_to_array(lower({x}), '{_WS}'))"
@@ -141,9 +142,9 @@ def sections(spark: SparkSession, sf: str) -> DataFrame:
     return NARRATIVES.df(spark).select("doc", "ord", X.section_name(F.col("section")).alias("name"), X.canonical_section(F.col("section")).alias("canonical"))
 
 
-@query("G8_chart_labels", "SELECT doc_id, trim(regexp_replace(strip_accents(lower(substr(text, 1, 200))), '[^a-z0-9]+', ' ', 'g')) AS label FROM documents")
+@query("G8_chart_labels", "SELECT doc_id, trim(regexp_replace(strip_accents(lower(text)), '[^a-z0-9]+', ' ', 'g')) AS label FROM documents")
 def chart_labels(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", X.chart_label(F.substring("text", 1, 200)).alias("label"))
+    return table(spark, sf, "documents").select("doc_id", X.chart_label(F.col("text")).alias("label"))
 
 
 @query("G9_slugs", "SELECT p_partkey, regexp_replace(regexp_replace(strip_accents(lower(' ' || p_name || ' ')), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM part")
@@ -151,9 +152,9 @@ def slugs(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", X.slug(F.concat(F.lit(" "), F.col("p_name"), F.lit(" ")), keep_marks=False).alias("slug"))
 
 
-@query("G10_safe_names", "SELECT doc_id, substr(regexp_replace(regexp_replace(substr(text, 1, 150), '[^A-Za-z0-9._ -]+', '_', 'g'), '\\s+', ' ', 'g'), 1, 100) AS file FROM documents")
+@query("G10_safe_names", "SELECT doc_id, substr(regexp_replace(regexp_replace(text, '[^A-Za-z0-9._ -]+', '_', 'g'), '\\s+', ' ', 'g'), 1, 100) AS file FROM documents")
 def safe_names(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", X.safe_filename(F.substring("text", 1, 150)).alias("file"))
+    return table(spark, sf, "documents").select("doc_id", X.safe_filename(F.col("text")).alias("file"))
 
 
 @query("G11_snippets", f"SELECT doc_id, CASE WHEN length({_Q}) > 240 THEN substr({_Q}, 1, 237) || '...' WHEN {_Q} <> '' THEN {_Q} END AS snippet FROM documents")

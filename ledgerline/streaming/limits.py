@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -25,23 +28,35 @@ def limited(events: DataFrame, window_seconds: float = 60, most: int = 5) -> Dat
 
     kind is failure, reset or anything else; a window opens at the first failure
     and counts for ``window_seconds``; limited says that it holds more than
-    ``most``.  A fold over each key's events as an array expression.
+    ``most``.  A reset, and a failure longer after the last one than the window,
+    begin anew whatever was before; between them a task folds the sorted rows
+    with a state of two numbers, so a busy key is dealt over many tasks.
     """
     ts = F.col("ts").cast("timestamp")
-    row = F.struct((F.unix_micros(ts) / 1e6).alias("at"), "seq", ts.alias("ts"), "kind")
-    grouped = events.groupBy("key").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    zero = F.struct(F.lit(None).cast("double").alias("opened"), F.lit(0).alias("n"), F.array().cast("array<struct<seq: bigint, ts: timestamp, failures: int>>").alias("out"))
+    own = W.partitionBy("key").orderBy("ts", "seq")
+    rows = events.select("key", F.col("seq").cast("long").alias("seq"), ts.alias("ts"), "kind", (F.unix_micros(ts) / 1e6).alias("at"))
+    failed = F.last(F.when(F.col("kind") == "failure", F.col("at")), ignorenulls=True).over(own.rowsBetween(W.unboundedPreceding, -1))
+    anew = (F.col("kind") == "reset") | ((F.col("kind") == "failure") & (failed.isNull() | (F.col("at") - failed > window_seconds)))
+    part = F.sum(F.coalesce(anew, F.lit(False)).cast("int")).over(own.rowsBetween(W.unboundedPreceding, W.currentRow))
+    dealt = rows.withColumn("part", part).repartition("key", "part").sortWithinPartitions("key", "part", "at", "seq")
+    schema = T.StructType([rows.schema["key"], *(rows.schema[c] for c in ("seq", "ts")), T.StructField("failures", T.IntegerType())])
+    folded = dealt.mapInArrow(_fold(window_seconds), schema)
+    return folded.withColumn("limited", F.col("failures") > most)
 
-    def fold(s, x):
-        failure, reset = x["kind"] == "failure", x["kind"] == "reset"
-        fresh = s["opened"].isNull() | (x["at"] - s["opened"] > window_seconds)
-        opened = F.when(reset, None).when(failure & fresh, x["at"]).otherwise(s["opened"])
-        n = F.when(reset, 0).when(failure & fresh, 1).when(failure, s["n"] + 1).otherwise(s["n"])
-        shown = F.when(opened.isNull() | (x["at"] - opened > window_seconds), 0).otherwise(n)
-        return F.struct(opened.alias("opened"), n.alias("n"), F.concat(s["out"], F.array(F.struct(x["seq"].cast("bigint").alias("seq"), x["ts"].alias("ts"), shown.alias("failures")))).alias("out"))
 
-    folded = grouped.select("key", F.explode(F.aggregate("rows", zero, fold, lambda s: s["out"])).alias("x"))
-    return folded.select("key", "x.seq", "x.ts", "x.failures", (F.col("x.failures") > most).alias("limited"))
+def _fold(window: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, opened, n = None, None, 0
+        for batch in batches:
+            shown = []
+            for key, part, at, kind in zip(*(batch[c].to_pylist() for c in ("key", "part", "at", "kind"))):
+                if (key, part) != last:
+                    last, opened, n = (key, part), None, 0
+                opened, n = _step(opened, n, at, kind, window)
+                shown.append(0 if opened is None or at - opened > window else n)
+            yield pa.record_batch([batch["key"], batch["seq"], batch["ts"], pa.array(shown, pa.int32())], names=("key", "seq", "ts", "failures"))
+
+    return run
 
 
 def limited_stream(events: DataFrame, window_seconds: float = 60, most: int = 5) -> DataFrame:
