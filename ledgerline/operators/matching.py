@@ -48,6 +48,34 @@ def _words(tokens: Column, other: Column, raw: Column, ticker: Column) -> Column
     return F.greatest(token_jaccard(tokens, other), F.coalesce(listed, F.lit(0.0)))
 
 
+def with_confidence(pairs: DataFrame, threshold: float) -> DataFrame:
+    """Adds confidence to pairs (x, y, raw, ticker, ...): exact where it is ``threshold`` or more, else at most the exact one."""
+    pairs = pairs.withColumn("words", _words(F.col("x"), F.col("y"), F.col("raw"), F.col("ticker")))
+    # edit distance only where it can decide
+    close = _letters_may_reach(F.col("x"), F.col("y"), threshold) & (F.col("words") < 1)
+    by_letters = pairs.where(close).withColumn("confidence", F.greatest(_letters(F.col("x"), F.col("y")), "words"))
+    return pairs.where(~close).withColumn("confidence", F.col("words")).unionByName(by_letters).drop("words")
+
+
+def mismatches(reports: DataFrame, companies: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(id, reason, suggested_company_id) of the reports whose extracted company is not the one they are filed under.
+
+    reports (id, company_id, extracted), companies (id, name, ticker, ord).
+    Reports without a company or an extracted name are not judged.  A company
+    that the catalogue has not gets no suggestion; else the suggestion is the
+    best company by ``threshold`` or more, null if there is none.
+    """
+    r = reports.where(F.col("company_id").isNotNull() & (F.trim("extracted") != "")).select(F.col("id").alias("doc"), "company_id", F.trim("extracted").alias("name"))
+    joined = r.join(companies.select(F.col("id").alias("company_id"), F.lit(True).alias("listed"), F.col("name").alias("own"), "ticker"), "company_id", "left")
+    missing = joined.where("listed is null").select(F.col("doc").alias("id"), F.lit("not_in_catalogue").alias("reason"), F.lit(None).cast(companies.schema["id"].dataType).alias("suggested_company_id"))
+    tokens = joined.where("listed").select("doc", "name", name_tokens(F.col("name"), True).alias("x"), name_tokens(F.col("own"), True).alias("y"), raw_tokens(F.col("name")).alias("raw"), "ticker")
+    unlike = with_confidence(tokens, threshold).where(F.coalesce(F.col("confidence"), F.lit(0.0)) < threshold).select("doc", "name")
+    # each name is looked for once, however many reports have it
+    names = unlike.select("name").distinct().select(F.col("name").alias("doc"), "name")
+    best = match_companies(names, companies, threshold, audit=True).select(F.col("doc").alias("name"), F.col("company_id").alias("suggested_company_id"))
+    return missing.unionByName(unlike.join(best, "name", "left").select(F.col("doc").alias("id"), F.lit("unlike_catalogue").alias("reason"), "suggested_company_id"))
+
+
 def _keys(tokens: Column, raw: Column | None, ticker: Column | None) -> Column:
     """What two names share if they match at all: three letters in a row of the padded name, a word, or the ticker."""
     padded = F.concat(F.lit("  "), F.array_join(tokens, " "), F.lit("  "))
@@ -75,10 +103,6 @@ def match_companies(names: DataFrame, companies: DataFrame, threshold: float = T
     left = n.select("doc", "x", "raw", "name", F.explode(_keys(F.col("x"), F.col("raw"), None)).alias("key"))
     right = c.select("company_id", "ord", "ticker", "y", F.explode(_keys(F.col("y"), None, F.col("ticker"))).alias("key"))
     pairs = left.join(right, "key").drop("key").dropDuplicates(["doc", "company_id"])
-    pairs = pairs.withColumn("words", _words(F.col("x"), F.col("y"), F.col("raw"), F.col("ticker")))
-    # edit distance only where it can decide
-    close = _letters_may_reach(F.col("x"), F.col("y"), threshold) & (F.col("words") < 1)
-    by_letters = pairs.where(close).withColumn("confidence", F.greatest(_letters(F.col("x"), F.col("y")), "words"))
-    scored = pairs.where(~close).withColumn("confidence", F.col("words")).unionByName(by_letters).where((F.col("confidence") > 0) & (F.col("confidence") >= threshold))
+    scored = with_confidence(pairs, threshold).where((F.col("confidence") > 0) & (F.col("confidence") >= threshold))
     best = F.row_number().over(W.partitionBy("doc").orderBy(F.col("confidence").desc(), "ord"))
     return scored.withColumn("n_", best).where("n_ = 1").select("doc", "name", "company_id", "confidence")
