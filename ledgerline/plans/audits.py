@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from ledgerline.operators import checks as K
 from ledgerline.plans.figures import canonical_sql
-from ledgerline.plans.inputs import FILINGS_SQL, METRICS, NARRATIVES, TRENDS, Rows, filings, table
+from ledgerline.plans.inputs import FILED, FILINGS_SQL, METRICS, NARRATIVES, TRENDS, filings, table
 from ledgerline.plans.registry import query, re2
 
-FILED = Rows("doc int, company string, report_period string, company_confidence double, period_confidence double", ((1, "Acme AS", "2024", 0.9, 0.9), (2, " ", "2024", 0.5, None), (3, "Beta", None, None, 0.2), (4, "Gamma", "FY 2023", 1.0, 1.0), (5, "Delta", "2024", None, None), (6, "Empty", "2024", None, None)))
 _M = f"(SELECT *, {canonical_sql('label')} AS id FROM {METRICS.sql})"
 _LOW = "confidence < 0.6"
 _YEAR = lambda x: f"nullif(regexp_extract({x}, '\\b(20\\d{{2}}|19\\d{{2}})\\b', 1), '')"
@@ -21,7 +20,7 @@ _ISSUES = f"""SELECT doc, ord, 'missing_snippet' AS code FROM {_HEAD} WHERE trim
 
 @query("J2q_headline_issues", _ISSUES)
 def headline_issues(spark: SparkSession, sf: str) -> DataFrame:
-    return K.headline_issues(METRICS.df(spark), FILED.df(spark).select("doc", "report_period"))
+    return K.headline_issues(METRICS.df(spark, sf), FILED.df(spark, sf).select("doc", "report_period"))
 
 
 _CORE = f"value IS NOT NULL AND (coalesce(id IN ('revenue', 'ebitda', 'net_profit', 'free_cash_flow', 'operating_cash_flow', 'capex'), false) OR regexp_matches(label, {re2(K.CORE_WORDS)}))"
@@ -34,7 +33,7 @@ UNION ALL SELECT DISTINCT doc, 'headline_' || code FROM ({_ISSUES})"""
 
 @query("J1q_quality_gate", _GATE)
 def quality_gate(spark: SparkSession, sf: str) -> DataFrame:
-    return K.quality_gate(FILED.df(spark), METRICS.df(spark), NARRATIVES.df(spark))
+    return K.quality_gate(FILED.df(spark, sf), METRICS.df(spark, sf), NARRATIVES.df(spark, sf))
 
 
 _SANE = f"""WITH {FILINGS_SQL}, n AS (SELECT id, company_id, fiscal_year, CASE report_type WHEN 'q4' THEN 'semi-annual' ELSE report_type END AS report_type, CASE WHEN company_id % 4 = 0 AND report_type = 'q1' THEN revenue * 50 ELSE revenue END AS revenue, CASE WHEN company_id % 6 = 0 THEN net_profit * 5 ELSE net_profit END AS net_profit FROM filings),
@@ -56,12 +55,12 @@ def sanity(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("E18_missing_core", f"SELECT doc, array_to_string(list_filter(['revenue', 'net_profit'], lambda x: NOT list_contains(have, x)), ',') AS missing FROM (SELECT doc, coalesce(list(DISTINCT id) FILTER (value IS NOT NULL AND id IS NOT NULL), []) AS have FROM {_M} GROUP BY doc)")
 def missing_core(spark: SparkSession, sf: str) -> DataFrame:
-    return K.missing_core(METRICS.df(spark)).select("doc", F.array_join("missing", ",").alias("missing"))
+    return K.missing_core(METRICS.df(spark, sf)).select("doc", F.array_join("missing", ",").alias("missing"))
 
 
 @query("F10_repeated_periods", f"SELECT doc, trim(period) AS name, count(*) AS n FROM {TRENDS.sql} GROUP BY ALL HAVING count(*) > 1")
 def repeated_periods(spark: SparkSession, sf: str) -> DataFrame:
-    return K.repeated(TRENDS.df(spark), ["doc"], F.trim("period"))
+    return K.repeated(TRENDS.df(spark, sf), ["doc"], F.trim("period"))
 
 
 @query("E19_histogram", f"SELECT code, count(*) AS n FROM ({_GATE}) GROUP BY code")

@@ -43,32 +43,32 @@ scaled AS (SELECT m.*, CASE WHEN value IS NULL OR ratio THEN value WHEN u <> 1 A
 
 @query("G2_canonical_id", f"SELECT doc, ord, {canonical_sql('label')} AS metric_id FROM {_M}")
 def canonical(spark: SparkSession, sf: str) -> DataFrame:
-    return METRICS.df(spark).select("doc", "ord", L.canonical_id(F.col("label")).alias("metric_id"))
+    return METRICS.df(spark, sf).select("doc", "ord", L.canonical_id(F.col("label")).alias("metric_id"))
 
 
 @query("G28_G29_multipliers", f"SELECT doc, ord, {UNIT} AS by_unit, {EVIDENCE} AS by_evidence FROM {_M}")
 def multipliers(spark: SparkSession, sf: str) -> DataFrame:
-    return METRICS.df(spark).select("doc", "ord", M.unit_multiplier(F.col("unit")).alias("by_unit"), M.evidence_multiplier(F.col("snippet"), F.col("rationale")).alias("by_evidence"))
+    return METRICS.df(spark, sf).select("doc", "ord", M.unit_multiplier(F.col("unit")).alias("by_unit"), M.evidence_multiplier(F.col("snippet"), F.col("rationale")).alias("by_evidence"))
 
 
 @query("G30_label_kinds", f"SELECT doc, ord, {_RATIO('label')} AS ratio, {_SUM('label')} AS summed FROM {_M}")
 def label_kinds(spark: SparkSession, sf: str) -> DataFrame:
-    return METRICS.df(spark).select("doc", "ord", L.is_per_share_or_ratio(F.col("label")).alias("ratio"), L.is_aggregate(F.col("label")).alias("summed"))
+    return METRICS.df(spark, sf).select("doc", "ord", L.is_per_share_or_ratio(F.col("label")).alias("ratio"), L.is_aggregate(F.col("label")).alias("summed"))
 
 
 @query("G31_by_unit", f"SELECT doc, ord, CASE WHEN {_RATIO('label')} THEN value ELSE value * {UNIT} END AS euro FROM {_M}")
 def by_unit(spark: SparkSession, sf: str) -> DataFrame:
-    return METRICS.df(spark).select("doc", "ord", M.by_unit(F.col("value"), F.col("unit"), F.col("label")).alias("euro"))
+    return METRICS.df(spark, sf).select("doc", "ord", M.by_unit(F.col("value"), F.col("unit"), F.col("label")).alias("euro"))
 
 
 @query("G32_G35_canonicalize", f"WITH {SCALED} SELECT doc, ord, id AS canonical_id, euro AS normalized_value, CASE WHEN value IS NULL THEN NULL WHEN id = 'eps' OR ratio THEN unit WHEN id IS NOT NULL AND {_SUM('label')} THEN 'EUR' ELSE unit END AS normalized_unit FROM scaled")
 def canonicalize(spark: SparkSession, sf: str) -> DataFrame:
-    return O.canonicalize(METRICS.df(spark)).select("doc", "ord", "canonical_id", "normalized_value", "normalized_unit")
+    return O.canonicalize(METRICS.df(spark, sf)).select("doc", "ord", "canonical_id", "normalized_value", "normalized_unit")
 
 
 @query("E6_modal_multiplier", f"SELECT doc, arg_max(s, (n, s)) AS multiplier FROM (SELECT doc, greatest({UNIT}, {EVIDENCE}) AS s, count(*) AS n FROM {_M} GROUP BY ALL) WHERE s > 1 AND n >= 2 GROUP BY doc")
 def modal_multiplier(spark: SparkSession, sf: str) -> DataFrame:
-    return O.modal_multiplier(METRICS.df(spark), O.stated_multiplier())
+    return O.modal_multiplier(METRICS.df(spark, sf), O.stated_multiplier())
 
 
 _LOW = "lower(trim(label))"
@@ -83,7 +83,7 @@ _EXCLUDED = f"regexp_matches(lower(label), {re2(L.EXCLUDED)})"
 
 @query("G37_G38_label_tests", f"SELECT doc, ord, {_EXCLUDED} AS excluded, {', '.join(f'({s}) AS {n}' for n, s in _SAYS.items())} FROM {_M}")
 def label_tests(spark: SparkSession, sf: str) -> DataFrame:
-    return METRICS.df(spark).select("doc", "ord", L.is_excluded(F.col("label")).alias("excluded"), *(test(F.col("label")).alias(n) for n, (_, test, _) in L.HEADLINES.items()))
+    return METRICS.df(spark, sf).select("doc", "ord", L.is_excluded(F.col("label")).alias("excluded"), *(test(F.col("label")).alias(n) for n, (_, test, _) in L.HEADLINES.items()))
 
 
 _IDS = {"revenue": "revenue", "ebitda": "ebitda", "net_profit": "net_profit", "fcf": "free_cash_flow"}
@@ -92,7 +92,7 @@ _PICK = ", ".join(f"arg_min(euro, (CASE WHEN id = '{i}' THEN 0 ELSE 1 END, ord))
 
 @query("F12_G39_preview", f"WITH {SCALED} SELECT doc, {_PICK} FROM scaled WHERE value IS NOT NULL AND NOT {_EXCLUDED} GROUP BY doc")
 def preview(spark: SparkSession, sf: str) -> DataFrame:
-    return O.preview(O.canonicalize(METRICS.df(spark)))
+    return O.preview(O.canonicalize(METRICS.df(spark, sf)))
 
 
 _KEY = MARKS(SQUEEZE("label"))
@@ -102,7 +102,7 @@ _NEAR = lambda a, b: f"(levenshtein({a}, {b}) <= 3 OR len(list_intersect({_WORDS
 
 @query("C12_near_pairs", f"WITH x AS (SELECT doc, ord, {_KEY} AS key FROM {_M}) SELECT a.doc, a.ord AS i, b.ord AS j FROM x a JOIN x b ON a.doc = b.doc AND a.ord < b.ord WHERE {_NEAR('a.key', 'b.key')}")
 def near_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return O.near_pairs(METRICS.df(spark))
+    return O.near_pairs(METRICS.df(spark, sf))
 
 
 @query(
@@ -115,12 +115,12 @@ walk AS (SELECT DISTINCT doc, -1 AS ord, CAST([] AS INTEGER[]) AS heads, -1 AS h
 SELECT doc, ord FROM (SELECT w.doc, w.ord, row_number() OVER (PARTITION BY w.doc, w.head ORDER BY x.plen DESC, w.ord) AS k FROM walk w JOIN x USING (doc, ord)) WHERE k = 1""",
 )
 def dedup(spark: SparkSession, sf: str) -> DataFrame:
-    return O.dedup(METRICS.df(spark)).select("doc", "ord")
+    return O.dedup(METRICS.df(spark, sf)).select("doc", "ord")
 
 
 @query("F9_first_per_label", f"SELECT doc, min(ord) AS ord FROM {_M} GROUP BY doc, lower(trim(label))")
 def first_per_label(spark: SparkSession, sf: str) -> DataFrame:
-    return O.first_per_label(METRICS.df(spark)).select("doc", "ord")
+    return O.first_per_label(METRICS.df(spark, sf)).select("doc", "ord")
 
 
 @query("F9_first_part_per_name", "SELECT min(p_partkey) AS ord, p_brand AS doc FROM part GROUP BY p_brand, lower(trim(p_name))")
@@ -131,7 +131,7 @@ def first_part_per_name(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("G54_drop_empty", f"SELECT doc, ord FROM {_M} WHERE value IS NOT NULL OR length(coalesce(unit, '')) > 0")
 def drop_empty(spark: SparkSession, sf: str) -> DataFrame:
-    return O.drop_empty(METRICS.df(spark)).select("doc", "ord")
+    return O.drop_empty(METRICS.df(spark, sf)).select("doc", "ord")
 
 
 @query(
@@ -142,7 +142,7 @@ n AS (SELECT b.doc, b.o, f.ord AS f, o.value - abs(c.value) AS value FROM b JOIN
 SELECT doc, ord, label, value FROM m WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.doc = m.doc AND n.f = m.ord) UNION ALL SELECT doc, CAST(1000000 + o AS INTEGER), 'Free cash flow', value FROM n""",
 )
 def derive_fcf(spark: SparkSession, sf: str) -> DataFrame:
-    return O.derive_fcf(METRICS.df(spark)).select("doc", "ord", "label", "value")
+    return O.derive_fcf(METRICS.df(spark, sf)).select("doc", "ord", "label", "value")
 
 
 @query("F13_key_metrics", f"""WITH m AS (SELECT *, {canonical_sql('label')} AS id, lower(label) AS low FROM {_M} WHERE value IS NOT NULL),
@@ -150,7 +150,7 @@ r AS (SELECT *, CASE WHEN id = 'revenue' THEN 0 WHEN id = 'ebitda' THEN 1 WHEN i
 u AS (SELECT *, row_number() OVER (PARTITION BY doc, lower(trim(label)) ORDER BY rank, ord) AS k FROM r)
 SELECT doc, ord, CAST(place AS INTEGER) AS place FROM (SELECT doc, ord, row_number() OVER (PARTITION BY doc ORDER BY rank, ord) AS place FROM u WHERE k = 1) WHERE place <= 4""")
 def key_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    return O.key_metrics(METRICS.df(spark)).select("doc", "ord", "place")
+    return O.key_metrics(METRICS.df(spark, sf)).select("doc", "ord", "place")
 
 
 def _parse_sql() -> str:
@@ -160,28 +160,30 @@ def _parse_sql() -> str:
     year = [x(r"(?i)^Q([1-4])\s*(\d{4})$", 2), f"CASE WHEN {x(r'(?i)^Q([1-4])$', 1)} IS NOT NULL THEN '2025' END", x(r"(?i)^FY\s*(\d{4})$", 1), x(r"(?i)^(\d{4})\s*(annual|report)", 1), x(r"(?i)^H([12])\s*(\d{4})$", 2), x(r"(?i)^(\d{1,2})M\s*(\d{4})$", 2), x(d, 1), x(r"^(\d{4})$", 1)]
     q, m = x(r"(?i)^Q([1-4])", 1), x(r"(?i)^(\d{1,2})M\s*(\d{4})$", 1)
     kind = f"CASE WHEN {year[0]} IS NOT NULL OR {year[1]} IS NOT NULL THEN 'q' || {q} WHEN {year[2]} IS NOT NULL OR {year[3]} IS NOT NULL OR {year[7]} IS NOT NULL THEN 'annual' WHEN {year[4]} IS NOT NULL THEN 'semi-annual' WHEN {m} IS NOT NULL THEN CASE CAST({m} AS INTEGER) WHEN 3 THEN 'q1' WHEN 6 THEN 'semi-annual' WHEN 9 THEN 'q3' ELSE 'other' END WHEN {year[6]} IS NOT NULL THEN CASE substr({s}, 6) WHEN '12-31' THEN 'annual' WHEN '03-31' THEN 'q1' WHEN '06-30' THEN 'q2' WHEN '09-30' THEN 'q3' ELSE 'other' END END"
-    return f"SELECT s, CAST(coalesce({', '.join(year)}) AS INTEGER) AS fiscal_year, {kind} AS report_type FROM {PERIODS.sql}"
+    return f"SELECT doc, s, CAST(coalesce({', '.join(year)}) AS INTEGER) AS fiscal_year, {kind} AS report_type FROM {PERIODS.sql}"
 
 
 @query("G24_parse_period", _parse_sql())
 def parse_period(spark: SparkSession, sf: str) -> DataFrame:
-    p = PERIODS.df(spark).withColumn("p", P.parse_period(F.col("s"), 2025))
-    return p.select("s", "p.fiscal_year", "p.report_type")
+    p = PERIODS.df(spark, sf).withColumn("p", P.parse_period(F.col("s"), 2025))
+    return p.select("doc", "s", "p.fiscal_year", "p.report_type")
 
 
-_YEAR = r"CAST(nullif(regexp_extract(trim(s), '\b(\d{4})\b', 1), '') AS BIGINT)"
-_QUARTER = r"CAST(coalesce(nullif(regexp_extract(trim(s), '(?i)\bQ([1-4])\s*(\d{4})\b', 1), ''), nullif(regexp_extract(trim(s), '(?i)\b(\d{4})(?:-\d{4})?\s*Q([1-4])\b', 2), '')) AS BIGINT)"
-_MONTH = r"CAST(nullif(regexp_extract(trim(s), '\b(\d{4})-(\d{2})(?:-\d{2})?\b', 2), '') AS BIGINT)"
+def period_key_sql(s: str) -> str:
+    year = rf"CAST(nullif(regexp_extract(trim({s}), '\b(\d{{4}})\b', 1), '') AS BIGINT)"
+    quarter = rf"CAST(coalesce(nullif(regexp_extract(trim({s}), '(?i)\bQ([1-4])\s*(\d{{4}})\b', 1), ''), nullif(regexp_extract(trim({s}), '(?i)\b(\d{{4}})(?:-\d{{4}})?\s*Q([1-4])\b', 2), '')) AS BIGINT)"
+    month = rf"CAST(nullif(regexp_extract(trim({s}), '\b(\d{{4}})-(\d{{2}})(?:-\d{{2}})?\b', 2), '') AS BIGINT)"
+    return rf"CASE WHEN {year} IS NULL THEN {P.NO_YEAR} WHEN {quarter} IS NOT NULL THEN {year} * 100 + {quarter} * 10 WHEN {month} IS NOT NULL THEN {year} * 100 + 10 * CASE WHEN {month} <= 3 THEN 1 WHEN {month} <= 6 THEN 2 WHEN {month} <= 9 THEN 3 ELSE 4 END WHEN regexp_matches({s}, '(?i)\b(H1|1H|6M|half[-\s]?year|semi[-\s]?annual)\b') THEN {year} * 100 + 25 WHEN regexp_matches({s}, '(?i)\b(H2|2H|II\s+poolaasta|second\s+half)\b') THEN {year} * 100 + 50 WHEN regexp_matches({s}, '(?i)\b(9M|nine\s+months|9\s+months)\b') THEN {year} * 100 + 35 ELSE {year} * 100 + 99 END"
 
 
-@query("G25_period_keys", rf"SELECT s, CASE WHEN {_YEAR} IS NULL THEN {P.NO_YEAR} WHEN {_QUARTER} IS NOT NULL THEN {_YEAR} * 100 + {_QUARTER} * 10 WHEN {_MONTH} IS NOT NULL THEN {_YEAR} * 100 + 10 * CASE WHEN {_MONTH} <= 3 THEN 1 WHEN {_MONTH} <= 6 THEN 2 WHEN {_MONTH} <= 9 THEN 3 ELSE 4 END WHEN regexp_matches(s, '(?i)\b(H1|1H|6M|half[-\s]?year|semi[-\s]?annual)\b') THEN {_YEAR} * 100 + 25 WHEN regexp_matches(s, '(?i)\b(H2|2H|II\s+poolaasta|second\s+half)\b') THEN {_YEAR} * 100 + 50 WHEN regexp_matches(s, '(?i)\b(9M|nine\s+months|9\s+months)\b') THEN {_YEAR} * 100 + 35 ELSE {_YEAR} * 100 + 99 END AS key FROM {PERIODS.sql}")
+@query("G25_period_keys", f"SELECT doc, s, {period_key_sql('s')} AS key FROM {PERIODS.sql}")
 def period_keys(spark: SparkSession, sf: str) -> DataFrame:
-    return PERIODS.df(spark).select("s", P.period_key(F.col("s")).alias("key"))
+    return PERIODS.df(spark, sf).select("doc", "s", P.period_key(F.col("s")).alias("key"))
 
 
-@query("G27_first_year", rf"SELECT s, nullif(regexp_extract(s, '\b(20\d{{2}}|19\d{{2}})\b', 1), '') AS year FROM {PERIODS.sql}")
+@query("G27_first_year", rf"SELECT doc, s, nullif(regexp_extract(s, '\b(20\d{{2}}|19\d{{2}})\b', 1), '') AS year FROM {PERIODS.sql}")
 def first_year(spark: SparkSession, sf: str) -> DataFrame:
-    return PERIODS.df(spark).select("s", P.first_year(F.col("s")).alias("year"))
+    return PERIODS.df(spark, sf).select("doc", "s", P.first_year(F.col("s")).alias("year"))
 
 
 @query("G43_deltas", "SELECT l_orderkey, l_linenumber, l_tax - l_discount AS absolute, CASE WHEN l_discount <> 0 THEN (l_tax - l_discount) / abs(l_discount) * 100 END AS percent, CASE WHEN l_tax <> l_discount THEN l_tax < l_discount END AS favorable FROM lineitem WHERE l_linenumber = 1")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -76,65 +77,96 @@ filed AS (SELECT company_id, fiscal_year, 'q' || q AS report_type, sum(r) AS r,
 filings AS (SELECT company_id || '-' || fiscal_year || '-' || report_type AS id, company_id, CAST(fiscal_year AS INTEGER) AS fiscal_year, report_type, CAST(r AS DOUBLE) AS revenue, CAST(r - c AS DOUBLE) AS net_profit,
   fiscal_year * 10 + CASE report_type WHEN 'annual' THEN 6 ELSE CAST(substr(report_type, 2) AS INTEGER) END AS score FROM filed)"""
 
-METRICS = Rows(
-    "doc int, ord int, label string, value double, unit string, period string, snippet string, rationale string, confidence double",
+@dataclass(frozen=True)
+class Made:
+    """Rows made from each order by expressions that Spark and DuckDB read alike.
+
+    With n, an order gives rows ord 0 to n - 1.
+    """
+
+    columns: tuple[str, ...]
+    n: str | None = None
+
+    def df(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        orders = table(spark, sf_dir, "orders")
+        if self.n:
+            orders = orders.selectExpr("*", f"explode(sequence(0, CAST({self.n} AS INT) - 1)) AS ord")
+        return orders.selectExpr(*self.columns)
+
+    @property
+    def sql(self) -> str:
+        source = f"(SELECT *, unnest(range(0, {self.n})) AS ord FROM orders)" if self.n else "orders"
+        return f"(SELECT {', '.join(self.columns)} FROM {source})"
+
+
+def dealt(values: Sequence[str | float | None], by: str) -> str:
+    """The value whose place is ``by`` modulo their number."""
+    literal = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+    return f"CASE ({by}) % {len(values)} " + " ".join(f"WHEN {i} THEN {literal(v)}" for i, v in enumerate(values)) + " END"
+
+
+_LABELS = (
+    "Revenue", "Net profit", "Free cash flow", "Operating cash flow", "CAPEX", "Total  Revenue", "EPS", "Free Cash Flow", "Total assets", "Equity", "Liabilities", "Müügitulu", "Puhaskasum", "Varad kokku", "Kohustused", "Employees", "Revenue target",
+    "EBITDA margin", "Ieņēmumi", "Neto peļņa", "Operating profit", "Dividends per share", "FCF", "EBIT", "EBITDA", "Grynasis pelnas", "Pajamos", "Net\nprofit", "revenue ", "Capex", "Interest income",
+)
+_UNITS = ("EUR m", "EUR", "thousand EUR", "", "EUR", None, "tuhat EUR", "mln. EUR", "eur ", "%", "€m")
+_SNIPPETS = ("Revenue was EUR 0.39 m", "", "eps", "summad on in thousands of euros", None, "tuhat eurot", "again", "1 bn", "pelnas")
+_PERIODS = ("2024", "2023", None, "2024-12", "", "FY 2023", "2025")
+_SIZE = "o_totalprice / CASE o_orderkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 1000 ELSE 100 END"
+
+#: Metrics: labels, units, values and evidence of which most of an order's rows share a unit.
+METRICS = Made(
     (
-        (1, 0, "Revenue", 0.39, "EUR m", "2024", "Revenue was EUR 0.39 m", None, 0.9),
-        (1, 1, "Net profit", 7685.0, "thousand EUR", "2024", "", None, 0.5),
-        (1, 2, "EPS", 0.12, "EUR m", "2024", "eps", None, None),
-        (1, 3, "Total  Revenue", 0.4, "EUR m", "2024-12", "again", None, 0.8),
-        (1, 4, "Free cash flow", 12.0, "EUR", None, None, None, 0.5),
-        (1, 5, "Operating cash flow", 50.0, "EUR", "2024", "ocf", None, 0.9),
-        (1, 6, "CAPEX", -12.0, "eur ", "2024", "capex", None, 0.9),
-        (1, 7, "Free Cash Flow", 20.0, "EUR", "2024", "fcf", None, 0.4),
-        (2, 0, "Revenue", 67.977, "EUR", "2023", "rev", None, 0.9),
-        (2, 1, "Net profit", 11.862, "EUR", "2024", "np", None, None),
-        (2, 2, "Total assets", 540.666, "", "2024", "ta", None, 0.9),
-        (2, 3, "Equity", 158.826, None, "2024", "eq", None, 0.9),
-        (2, 4, "Liabilities", 381.84, "EUR", "2024", "li", None, 0.9),
-        (3, 0, "Müügitulu", 125000.0, "tuhat EUR", "2024", "müügitulu", None, 0.9),
-        (3, 1, "Puhaskasum", 6200.0, "EUR", "2024", "summad on in thousands of euros", None, 0.9),
-        (3, 2, "Varad kokku", 210000.0, "EUR", "2024", "tuhat eurot", None, 0.9),
-        (3, 3, "Kohustused", 88000.0, "EUR", "2024", None, None, 0.9),
-        (3, 4, "Employees", 210.0, "", None, None, None, None),
-        (4, 0, "Revenue target", 99.0, "EUR", "2025", None, None, None),
-        (4, 1, "EBITDA margin", 12.5, "%", "2024", "margin", None, 0.9),
-        (4, 2, "Ieņēmumi", None, "EUR", "2024", None, None, None),
-        (4, 3, "Neto peļņa", None, None, None, None, None, None),
-        (4, 4, "Operating profit", 5664.0, "EUR", "2024", "op", None, 0.7),
-        (4, 5, "Dividends per share", 0.2, "EUR", "2024", None, None, None),
-        (5, 0, "EPS", 1.0, "EUR", None, None, None, None),
-        (5, 1, "FCF", 2.0, "EUR", None, None, None, None),
-        (5, 2, "EBIT", 3.0, "EUR", None, None, None, None),
-        (5, 3, "EBITDA", 4.0, "EUR", "2024", None, None, None),
-        (5, 4, "Grynasis pelnas", 5.0, "mln. EUR", "2024", "pelnas", "mln", 0.9),
-        (5, 5, "Pajamos", 6.0, "€m", "2024", "1 bn", None, 0.9),
-        (5, 6, "Net\nprofit", 7.0, "EUR", "2024", None, None, None),
+        "o_orderkey AS doc", "CAST(ord AS INT) AS ord", dealt(_LABELS, "o_orderkey * 7 + o_custkey + ord * 11") + " AS label",
+        f"CAST(CASE (o_orderkey + ord * 4) % 9 WHEN 0 THEN NULL WHEN 1 THEN o_custkey WHEN 2 THEN - ({_SIZE}) WHEN 3 THEN 0 ELSE {_SIZE} END AS DOUBLE) AS value",
+        dealt(_UNITS, "o_custkey + CASE WHEN ord % 4 = 3 THEN ord ELSE 0 END") + " AS unit", dealt(_PERIODS, "o_orderkey + ord % 3") + " AS period", dealt(_SNIPPETS, "o_custkey + ord") + " AS snippet",
+        dealt((None, None, "mln", None, "in thousands"), "o_orderkey + ord") + " AS rationale", "CAST(" + dealt((None, 0.4, 0.5, 0.6, 0.7, 0.9), "o_custkey + ord * 5") + " AS DOUBLE) AS confidence",
     ),
-)
-PERIODS = Rows("s string", tuple((x,) for x in ("Q1 2024", "q3 2023", "Q2", "FY2024", "FY 2023", "2024 annual report", "2023 Report", "H1 2024", "H2 2024", "9M 2024", "6M 2023", "3m 2022", "12M 2024", "2024-12-31", "2024-03-31", "2024-06-30", "2024-09-30", "2024-05-01", "2024", " 2023 ", "", "no year", "2023-2024 Q1", "2023-09", "2024 Q1", "2024 9 months", "1H 2022", "half-year 2021", "second half 2020", "nine months 2024", "Q4/2024", "2024Q2")))
-NAMES = Rows("id string, name string, ticker string, ord int", (("c1", "AB Telia Lietuva", "TEL1L", 1), ("c2", "AS Tallink Grupp", "TAL1T", 2), ("c3", "Ignitis grupė, AB", "IGN1L", 3), ("c4", "Latvijas Gāze AS", "GZE1R", 4), ("c5", "LHV Group", "LHV1T", 5), ("c6", "AS LHV Group", None, 6), ("c7", "Harju Elekter Group AS", "HAE1T", 7)))
-VARIANTS = Rows("doc int, name string", ((1, "Telia Lietuva, AB"), (2, "Tallink Grupp"), (3, "Tallnik Grupp"), (4, "Grupp Tallink AS"), (5, "TAL1T results"), (6, "LHV Group"), (7, "Unknown Holding"), (8, "AS"), (9, "Ignitis"), (10, "Latvijas Gaze"), (11, ""), (12, "Harju  Elekter, A/S")))
-TRENDS = Rows(
-    "doc int, chunk int, idx int, period string, revenue double, ebitda double, net_profit double, fcf double",
+    "2 + o_custkey % 9",
+)
+_TEMPLATES = (
+    "Q1 2024", "q3 2024", "Q2", "FY2024", "FY 2024", "2024 annual report", "2024 Report", "H1 2024", "H2 2024", "9M 2024", "6M 2024", "3m 2024", "12M 2024", "2024-12-31", "2024-03-31", "2024-06-30", "2024-09-30", "2024-05-01", "2024", " 2024 ", "", "no year",
+    "2023-2024 Q1", "2024-09", "2024 Q1", "2024 9 months", "1H 2024", "half-year 2024", "second half 2024", "nine months 2024", "Q4/2024", "2024Q2",
+)
+#: Texts of periods, of the order's year.
+PERIODS = Made(("o_orderkey AS doc", f"replace({dealt(_TEMPLATES, 'o_orderkey')}, '2024', CAST(year(o_orderdate) AS STRING)) AS s"))
+#: Trends in chunks of three rows, with repeated, empty and padded periods and values on several scales.
+TRENDS = Made(
     (
-        (1, 0, 0, "2022", 919.6, None, 10.0, None), (1, 0, 1, "2023", 850.0, None, None, None), (1, 0, 2, "2023", 851.0, 5.0, 12.0, None), (1, 1, 3, " 2024 ", 900.0, 6.0, 90.0, None), (1, 1, 4, "", 1.0, 1.0, 1.0, None),
-        (2, 0, 0, "Q2 2024", 174047.0, 7.2, 1.0, None), (2, 0, 1, "2024-03-31", 152.8, 7.0, 8.0, None), (2, 1, 2, "2023", None, 6.5, -9.0, None), (2, 1, 3, "H1 2024", 160000.0, 6.0, 55.0, None),
-        (3, 0, 0, "2021", 43.0, None, None, None), (3, 0, 1, "2022", None, None, None, None), (3, 0, 2, "2023", 44.0, None, None, None),
+        "o_orderkey AS doc", "CAST(floor(ord / 3) AS INT) AS chunk", "CAST(ord AS INT) AS idx", dealt(("2022", "2023", "2023", " 2024 ", "", "Q2 2024", "2024-03-31", "H1 2024", "2021"), "o_orderkey + ord") + " AS period",
+        f"CASE WHEN (o_custkey + ord) % 6 <> 0 THEN {_SIZE} * CASE (o_orderkey + ord) % 5 WHEN 0 THEN 8 WHEN 1 THEN 1 ELSE (ord + 1) END END AS revenue", f"CASE WHEN (o_custkey + ord) % 3 <> 0 THEN {_SIZE} / (ord + 4) END AS ebitda",
+        f"CASE WHEN (o_custkey + ord) % 5 <> 0 THEN {_SIZE} / CASE (o_custkey + ord) % 4 WHEN 0 THEN -9 WHEN 1 THEN 3 ELSE 40 END END AS net_profit", "CAST(CASE WHEN o_orderkey % 2 = 0 THEN NULL ELSE o_custkey END AS DOUBLE) AS fcf",
     ),
-)
-BREAKDOWN = Rows(
-    "doc int, chunk int, kind string, ord int, name string, value string",
+    "1 + o_custkey % 7",
+)
+_THOUSANDS = "CAST(CAST(floor(o_totalprice / 1000) AS BIGINT) AS STRING)"
+#: Parts of revenue as text: with thousands commas, per cents, zeros and what is no number.
+BREAKDOWN = Made(
     (
-        (1, 0, "segment", 0, "Retail", "33,432"), (1, 0, "segment", 1, "Wholesale ", "1528"), (1, 1, "segment", 2, "Rétail", "454"), (1, 0, "geography", 0, "Estonia", "35414"),
-        (2, 0, "geography", 0, "Latvia", "39.5"), (2, 0, "geography", 1, "Läti", "28.477"), (2, 0, "segment", 0, "A", "0"),
-        (3, 0, "segment", 0, "A", "56%"), (3, 0, "segment", 1, "B", "44%"), (4, 0, "segment", 0, "A", "60"), (4, 0, "segment", 1, "B", "40"), (5, 0, "segment", 0, "A", "7000"), (5, 0, "segment", 1, " ", "9"), (5, 0, "segment", 2, "B", "x"),
+        "o_orderkey AS doc", "CAST(floor(ord / 2) AS INT) AS chunk", dealt(("segment", "geography", "segment"), "o_orderkey + ord * o_custkey") + " AS kind", "CAST(ord AS INT) AS ord",
+        dealt(("Retail", "Wholesale ", "Rétail", "Estonia", "Latvia", " ", "A", "retail"), "o_custkey + ord * 3") + " AS name",
+        f"CASE (o_orderkey + ord) % 11 WHEN 0 THEN '0' WHEN 1 THEN '56%' WHEN 2 THEN 'x' WHEN 3 THEN '39.5' WHEN 4 THEN NULL WHEN 5 THEN '60' WHEN 6 THEN '40' WHEN 7 THEN {_THOUSANDS} ELSE {_THOUSANDS} || ',' || CAST(100 + o_custkey % 900 AS STRING) END AS value",
     ),
-)
-NARRATIVES = Rows(
-    "doc int, chunk int, ord int, section string, text string",
-    ((1, 0, 0, "Financial Highlights", " Good year. "), (1, 0, 1, "executiveSummary", "Short."), (1, 1, 2, "outlook", "Up."), (1, 1, 3, "Riskfactors", "Rates rise and much more text that is longer than fifty characters."), (1, 1, 4, "strategy", "  "), (2, 0, 0, "", "Untitled."), (2, 0, 1, "Segment-Results", "By segment."), (2, 1, 2, "outlook", "Down.")),
-)
+    "1 + o_custkey % 6",
+)
+SECTIONS = ("Financial Highlights", "executiveSummary", "outlook", "Riskfactors", "strategy", "", "Segment-Results", "outlook", None)
+#: Narratives in sections under several names, some blank.
+NARRATIVES = Made(
+    (
+        "o_orderkey AS doc", "CAST(floor(ord / 2) AS INT) AS chunk", "CAST(ord AS INT) AS ord", dealt(SECTIONS, "o_orderkey + ord * 2") + " AS section",
+        "CASE (o_custkey + ord) % 4 WHEN 0 THEN ' Good year. ' WHEN 1 THEN '  ' WHEN 2 THEN 'Order ' || CAST(o_orderkey AS STRING) ELSE 'Rates rise and much more text that is longer than fifty characters: ' || o_orderpriority END AS text",
+    ),
+    "1 + o_custkey % 5",
+)
+#: What filings say of themselves; some hold neither metrics nor narratives of their own.
+FILED = Made(
+    (
+        "o_orderkey AS doc", dealt(("Acme AS", " ", "Beta", None, "Gamma"), "o_orderkey") + " AS company", dealt(("2024", None, "FY 2023", "2025", ""), "o_custkey + o_orderkey") + " AS report_period",
+        "CAST(" + dealt((0.9, 0.5, 1.0, None), "o_orderkey") + " AS DOUBLE) AS company_confidence", "CAST(" + dealt((0.9, None, 0.2), "o_custkey") + " AS DOUBLE) AS period_confidence",
+    ),
+)
+NAMES = Rows("id string, name string, ticker string, ord int", (("c1", "AB Telia Lietuva", "TEL1L", 1), ("c2", "AS Tallink Grupp", "TAL1T", 2), ("c3", "Ignitis grupė, AB", "IGN1L", 3), ("c4", "Latvijas Gāze AS", "GZE1R", 4), ("c5", "LHV Group", "LHV1T", 5), ("c6", "AS LHV Group", None, 6), ("c7", "Harju Elekter Group AS", "HAE1T", 7)))
+VARIANTS = Rows("doc int, name string", ((1, "Telia Lietuva, AB"), (2, "Tallink Grupp"), (3, "Tallnik Grupp"), (4, "Grupp Tallink AS"), (5, "TAL1T results"), (6, "LHV Group"), (7, "Unknown Holding"), (8, "AS"), (9, "Ignitis"), (10, "Latvijas Gaze"), (11, ""), (12, "Harju  Elekter, A/S")))
 LINES = Rows(
     "doc int, no int, line string",
     tuple((1, i, x) for i, x in enumerate(("Table of Contents", "1. Introduction ....... 3", "Independent Auditor's Report", "Revenue grew", "", "12", "Page 3 of 9", "Annual report 2024", "Annual report 2024", "Annual report 2024", "IFRS 16 leases", "Notes to the accounts", "This document is", "Summary of Significant Accounting Policies", "Inventory and Measurement", "short", "short", "short", "Going concern", "We go on", "The English version prevails", "Material uncertainty", "The Group statements are prepared", "Registered office: x")))

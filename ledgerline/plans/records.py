@@ -7,69 +7,70 @@ from pyspark.sql import functions as F
 
 from ledgerline.operators import compare as C
 from ledgerline.operators import records as R
-from ledgerline.plans.inputs import BREAKDOWN, FILINGS_SQL, METRICS, NARRATIVES, TRENDS, filings, table
-from ledgerline.plans.figures import canonical_sql
+from ledgerline.plans.figures import canonical_sql, period_key_sql
+from ledgerline.plans.inputs import BREAKDOWN, FILINGS_SQL, METRICS, NARRATIVES, TRENDS, Made, dealt, filings, table
 from ledgerline.plans.registry import query
 from ledgerline.plans.texts import MARKS, SQUEEZE
 
 _T, _B, _N = TRENDS.sql, BREAKDOWN.sql, NARRATIVES.sql
 _LONG = f"SELECT doc, idx, period, 'revenue' AS series, revenue AS value FROM {_T} UNION ALL SELECT doc, idx, period, 'ebitda', ebitda FROM {_T} UNION ALL SELECT doc, idx, period, 'net_profit', net_profit FROM {_T} UNION ALL SELECT doc, idx, period, 'fcf', fcf FROM {_T}"
-_TARGETS = "(VALUES (1, 'revenue', 919600000.0), (2, 'revenue', 174047000.0), (2, 'ebitda', 7200.0), (2, 'net_profit', 1000.0)) AS g(doc, series, target)"
-_MULT = f"""long AS ({_LONG}), mult AS (SELECT doc, series, arg_min(m, (d, idx, m)) AS multiplier FROM (SELECT l.doc, l.series, idx, m, abs(ln(abs(value * m) / abs(target))) AS d FROM long l JOIN {_TARGETS} USING (doc, series), (VALUES (1), (1000), (1000000)) AS s(m) WHERE value <> 0) GROUP BY ALL)"""
+#: Headline figures to compare series with, one to three an order, on three scales.
+TARGETS = Made(("o_orderkey AS doc", dealt(("revenue", "ebitda", "net_profit"), "ord") + " AS series", "CAST(o_totalprice * CASE o_custkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 1000 ELSE 20000 END AS DOUBLE) AS target"), "1 + o_orderkey % 3")
+#: The scale that a filing states, of every fifth.
+STATED = Made(("o_orderkey AS doc", "CAST(CASE WHEN o_orderkey % 5 = 0 THEN 1000 END AS INT) AS multiplier"))
+REVENUES = Made(("o_orderkey AS doc", "CAST(CASE WHEN o_orderkey % 6 <> 0 THEN o_totalprice * CASE o_custkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 1000 ELSE 0.001 END END AS DOUBLE) AS revenue"))
+#: Each order with the next.
+PAIRS = Made(("o_orderkey AS pair", "o_orderkey AS a", "o_orderkey + 1 AS b"))
+_MULT = f"""long AS ({_LONG}), mult AS (SELECT doc, series, arg_min(m, (d, idx, m)) AS multiplier FROM (SELECT l.doc, l.series, idx, m, abs(ln(abs(value * m) / abs(target))) AS d FROM long l JOIN {TARGETS.sql} g USING (doc, series), (VALUES (1), (1000), (1000000)) AS s(m) WHERE value <> 0) GROUP BY ALL)"""
 
 
 @query("E14_merge_periods", "SELECT doc, trim(period) AS period, min(idx) AS idx, " + ", ".join(f"arg_min({c}, idx) FILTER ({c} IS NOT NULL) AS {c}" for c in R.SERIES) + f", count(*) - 1 AS merged FROM {_T} WHERE trim(period) <> '' GROUP BY ALL")
 def merge_periods(spark: SparkSession, sf: str) -> DataFrame:
-    return R.merge_periods(TRENDS.df(spark))
+    return R.merge_periods(TRENDS.df(spark, sf))
 
 
 @query("E12_chunk_trends", f"SELECT doc, idx FROM (SELECT doc, idx, row_number() OVER (PARTITION BY doc, period ORDER BY chunk, idx) AS n FROM {_T}) WHERE n = 1")
 def chunk_trends(spark: SparkSession, sf: str) -> DataFrame:
-    return R.merge_chunks_trends(TRENDS.df(spark)).select("doc", "idx")
+    return R.merge_chunks_trends(TRENDS.df(spark, sf)).select("doc", "idx")
 
 
-@query("G41_sorted_trends", f"SELECT doc, idx, CAST(row_number() OVER (PARTITION BY doc ORDER BY CASE trim(period) WHEN '' THEN 999999 WHEN 'Q2 2024' THEN 202420 WHEN '2024-03-31' THEN 202410 WHEN 'H1 2024' THEN 202425 ELSE CAST(trim(period) AS INTEGER) * 100 + 99 END, idx) AS INTEGER) AS place FROM {_T}")
+@query("G41_sorted_trends", f"SELECT doc, idx, CAST(row_number() OVER (PARTITION BY doc ORDER BY {period_key_sql('period')}, idx) AS INTEGER) AS place FROM {_T}")
 def sorted_trends(spark: SparkSession, sf: str) -> DataFrame:
-    return R.sorted_trends(TRENDS.df(spark)).select("doc", "idx", "place")
+    return R.sorted_trends(TRENDS.df(spark, sf)).select("doc", "idx", "place")
 
 
 @query("F8_forward_fill", f"SELECT doc, idx, revenue FROM (SELECT doc, idx, last_value(revenue IGNORE NULLS) OVER (PARTITION BY doc ORDER BY idx ROWS UNBOUNDED PRECEDING) AS revenue FROM {_T}) WHERE revenue IS NOT NULL")
 def forward_fill(spark: SparkSession, sf: str) -> DataFrame:
-    return R.forward_fill(TRENDS.df(spark), "revenue").select("doc", "idx", "revenue")
+    return R.forward_fill(TRENDS.df(spark, sf), "revenue").select("doc", "idx", "revenue")
 
 
 @query("F7_implausible", "SELECT doc, sum(" + " + ".join(f"CASE WHEN {c}_ <> 0 AND abs(({c} - {c}_) / abs({c}_) * 100) > 500 THEN 1 ELSE 0 END" for c in R.SERIES[:3]) + ") AS n FROM (SELECT *, " + ", ".join(f"lag({c}) OVER (PARTITION BY doc ORDER BY idx) AS {c}_" for c in R.SERIES[:3]) + f" FROM {_T}) GROUP BY doc")
 def implausible(spark: SparkSession, sf: str) -> DataFrame:
-    return R.implausible_changes(TRENDS.df(spark))
+    return R.implausible_changes(TRENDS.df(spark, sf))
 
 
 @query("F6_series_change", f"SELECT doc, CASE WHEN b <> 0 THEN (a - b) / abs(b) * 100 END AS percent FROM (SELECT doc, max(revenue) FILTER (n = 1) AS a, max(revenue) FILTER (n = 2) AS b FROM (SELECT doc, revenue, row_number() OVER (PARTITION BY doc ORDER BY idx DESC) AS n FROM {_T} WHERE revenue IS NOT NULL) GROUP BY doc)")
 def series_change(spark: SparkSession, sf: str) -> DataFrame:
-    return R.series_change(TRENDS.df(spark), "revenue")
-
-
-def _targets(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(1, "revenue", 919_600_000.0), (2, "revenue", 174_047_000.0), (2, "ebitda", 7200.0), (2, "net_profit", 1000.0)], "doc int, series string, target double")
+    return R.series_change(TRENDS.df(spark, sf), "revenue")
 
 
 @query("E8_series_multiplier", f"WITH {_MULT} SELECT * FROM mult")
 def series_multiplier(spark: SparkSession, sf: str) -> DataFrame:
-    return R.series_multiplier(TRENDS.df(spark), _targets(spark))
+    return R.series_multiplier(TRENDS.df(spark, sf), TARGETS.df(spark, sf))
 
 
 @query("E7_G40_scaled_series", f"""WITH {_MULT}, common AS (SELECT doc, arg_max(multiplier, (n, multiplier)) AS common FROM (SELECT doc, multiplier, count(*) AS n FROM mult GROUP BY ALL) GROUP BY doc),
-x AS (SELECT l.*, coalesce(multiplier, common) AS s, CASE WHEN l.doc = 3 THEN 1000 END AS stated, max(abs(value)) OVER w >= 100000 AND min(CASE WHEN value <> 0 THEN abs(value) END) OVER w < 1000 AS mixed FROM long l LEFT JOIN mult USING (doc, series) LEFT JOIN common USING (doc) WINDOW w AS (PARTITION BY l.doc, l.series))
+x AS (SELECT l.*, coalesce(m.multiplier, common) AS s, t.multiplier AS stated, max(abs(value)) OVER w >= 100000 AND min(CASE WHEN value <> 0 THEN abs(value) END) OVER w < 1000 AS mixed FROM long l LEFT JOIN mult m USING (doc, series) LEFT JOIN common USING (doc) LEFT JOIN {STATED.sql} t USING (doc) WINDOW w AS (PARTITION BY l.doc, l.series))
 SELECT doc, idx, series, CASE WHEN s = 1000 AND mixed AND abs(value) > 0 AND abs(value) < 1000 THEN value * 1000000 WHEN s IS NOT NULL THEN value * s WHEN stated > 1 AND abs(value) < 1000000 THEN value * stated ELSE value END AS value FROM x""")
 def scaled_series(spark: SparkSession, sf: str) -> DataFrame:
-    t = TRENDS.df(spark)
-    stated = spark.createDataFrame([(3, 1000)], "doc int, multiplier int")
-    return R.scaled_series(t, R.series_multiplier(t, _targets(spark)), stated).select("doc", "idx", "series", "value")
+    t = TRENDS.df(spark, sf)
+    return R.scaled_series(t, R.series_multiplier(t, TARGETS.df(spark, sf)), STATED.df(spark, sf)).select("doc", "idx", "series", "value")
 
 
-@query("G51_fit_length", f"SELECT doc, n, CAST(len(v) AS INTEGER) AS had, array_to_string(list_transform(list_resize(v, n), lambda x: coalesce(CAST(CAST(x AS INTEGER) AS VARCHAR), '-')), ',') AS fitted FROM (SELECT doc, list(revenue ORDER BY idx) AS v, doc + 2 AS n FROM {_T} GROUP BY doc)")
+@query("G51_fit_length", f"SELECT doc, n, CAST(len(v) AS INTEGER) AS had, array_to_string(list_transform(list_resize(v, n), lambda x: coalesce(CAST(CAST(floor(x) AS BIGINT) AS VARCHAR), '-')), ',') AS fitted FROM (SELECT doc, list(revenue ORDER BY idx) AS v, CAST(doc % 5 + 1 AS INTEGER) AS n FROM {_T} GROUP BY doc)")
 def fit_length(spark: SparkSession, sf: str) -> DataFrame:
-    g = TRENDS.df(spark).groupBy("doc").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "revenue"))), lambda x: x["revenue"]).alias("v")).withColumn("n", F.col("doc") + 2)
-    shown = F.transform(R.fit_length(F.col("v"), F.col("n")), lambda x: F.coalesce(F.round(x).cast("int").cast("string"), F.lit("-")))
+    g = TRENDS.df(spark, sf).groupBy("doc").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "revenue"))), lambda x: x["revenue"]).alias("v")).withColumn("n", (F.col("doc") % 5 + 1).cast("int"))
+    shown = F.transform(R.fit_length(F.col("v"), F.col("n")), lambda x: F.coalesce(F.floor(x).cast("string"), F.lit("-")))
     return g.select("doc", "n", F.size("v").alias("had"), F.array_join(shown, ",").alias("fitted"))
 
 
@@ -81,36 +82,32 @@ _AMOUNT = "TRY_CAST(CASE WHEN contains(value, '%') THEN NULL ELSE replace(trim(v
 def merge_breakdown(spark: SparkSession, sf: str) -> DataFrame:
     from ledgerline.functions.money import parse_amount
 
-    return R.merge_breakdown(BREAKDOWN.df(spark).withColumn("value", parse_amount(F.col("value"))))
+    return R.merge_breakdown(BREAKDOWN.df(spark, sf).withColumn("value", parse_amount(F.col("value"))))
 
 
 @query("E12_chunk_breakdown", f"SELECT doc, kind, name, value FROM (SELECT doc, kind, {MARKS(SQUEEZE('name'))} AS name, value, row_number() OVER (PARTITION BY doc, kind, {MARKS(SQUEEZE('name'))} ORDER BY chunk, ord) AS n FROM {_B}) WHERE n = 1")
 def chunk_breakdown(spark: SparkSession, sf: str) -> DataFrame:
-    return R.chunk_breakdown(BREAKDOWN.df(spark)).select("doc", "kind", "name", "value")
+    return R.chunk_breakdown(BREAKDOWN.df(spark, sf)).select("doc", "kind", "name", "value")
 
 
 @query("G53_chartable", f"SELECT doc, kind, ord FROM {_B} WHERE doc IN (SELECT doc FROM {_B} GROUP BY doc, kind HAVING count(*) >= 2)")
 def chartable(spark: SparkSession, sf: str) -> DataFrame:
-    return R.chartable_breakdown(BREAKDOWN.df(spark)).select("doc", "kind", "ord")
-
-
-_REVENUE = "(VALUES (1, 35414000.0), (2, 67977000.0), (5, 1.0)) AS r(doc, revenue)"
+    return R.chartable_breakdown(BREAKDOWN.df(spark, sf)).select("doc", "kind", "ord")
 
 
 @query("E9_G42_segments", f"""WITH c AS (SELECT doc, kind, ord, name, {_AMOUNT} AS value FROM {_B} WHERE trim(name) <> '' AND {_AMOUNT} <> 0), k AS (SELECT *, max(kind = 'segment') OVER (PARTITION BY doc) AS has FROM c),
 t AS (SELECT *, sum(abs(value)) OVER (PARTITION BY doc, kind) AS total, max(abs(value)) OVER (PARTITION BY doc, kind) AS top FROM k WHERE kind = 'segment' OR NOT has),
-s AS (SELECT t.doc, kind, ord, name, value, total, revenue, arg_min(m, (abs(ln(total * m / revenue)), m)) AS scale FROM t LEFT JOIN {_REVENUE} USING (doc), (VALUES (1), (1000), (1000000)) AS z(m) WHERE NOT (total BETWEEN 95 AND 105 AND top <= 100) GROUP BY ALL)
-SELECT doc, kind, ord, name, value * CASE WHEN revenue IS NULL THEN 1 ELSE scale END AS value FROM s WHERE revenue IS NULL OR total * scale / revenue BETWEEN 0.2 AND 5""")
+s AS (SELECT t.doc, kind, ord, name, value, total, revenue, x.multiplier, arg_min(m, (abs(ln(total * m / revenue)), m)) AS scale FROM t LEFT JOIN {REVENUES.sql} r USING (doc) LEFT JOIN {STATED.sql} x USING (doc), (VALUES (1), (1000), (1000000)) AS z(m) WHERE NOT (total BETWEEN 95 AND 105 AND top <= 100) GROUP BY ALL)
+SELECT doc, kind, ord, name, value * CASE WHEN revenue IS NULL THEN coalesce(multiplier, 1) ELSE scale END AS value FROM s WHERE revenue IS NULL OR total * scale / revenue BETWEEN 0.2 AND 5""")
 def segments(spark: SparkSession, sf: str) -> DataFrame:
-    revenue = spark.createDataFrame([(1, 35_414_000.0), (2, 67_977_000.0), (5, 1.0)], "doc int, revenue double")
-    return R.breakdown_segments(BREAKDOWN.df(spark), spark.createDataFrame([], "doc int, multiplier int"), revenue)
+    return R.breakdown_segments(BREAKDOWN.df(spark, sf), STATED.df(spark, sf), REVENUES.df(spark, sf))
 
 
 @query("E13_merge_narratives", f"""WITH n AS (SELECT doc, ord, trim(text) AS text, coalesce(nullif(trim(section), ''), 'other') AS g FROM {_N} WHERE trim(text) <> ''),
-c AS (SELECT *, CASE g WHEN 'Financial Highlights' THEN 'executive_summary' WHEN 'executiveSummary' THEN 'executive_summary' WHEN 'outlook' THEN 'outlook' WHEN 'Segment-Results' THEN 'segment_performance' ELSE 'other' END AS section, g IN ('Financial Highlights', 'Riskfactors', 'Segment-Results') AS renamed FROM n)
+c AS (SELECT *, CASE g WHEN 'Financial Highlights' THEN 'executive_summary' WHEN 'executiveSummary' THEN 'executive_summary' WHEN 'outlook' THEN 'outlook' WHEN 'Segment-Results' THEN 'segment_performance' WHEN 'strategy' THEN 'strategic_priorities' ELSE 'other' END AS section, g IN ('Financial Highlights', 'Riskfactors', 'Segment-Results', 'strategy') AS renamed FROM n)
 SELECT doc, section, min(ord) AS ord, string_agg(text, chr(10) || chr(10) ORDER BY ord) AS text, sum(renamed::INT) AS renamed FROM c GROUP BY doc, section""")
 def merge_narratives(spark: SparkSession, sf: str) -> DataFrame:
-    return R.merge_narratives(NARRATIVES.df(spark))
+    return R.merge_narratives(NARRATIVES.df(spark, sf))
 
 
 @query("E12_chunk_narratives", "SELECT conv_id AS doc, role AS section, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id, role")
@@ -132,22 +129,18 @@ def chunk_risks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _KEYED = f"SELECT doc, ord, label, value, coalesce('canonical:' || ({canonical_sql('label')}), 'label:' || trim(regexp_replace(lower(label), '\\s+', ' ', 'g'))) AS key FROM {METRICS.sql}"
-_PAIRED = f"""WITH k AS ({_KEYED}), p AS (SELECT * FROM (VALUES (1, 1, 2), (2, 3, 4), (3, 5, 1)) AS p(pair, a, b)), s AS (SELECT pair, 'a' AS side, k.* FROM p JOIN k ON k.doc = p.a UNION ALL SELECT pair, 'b', k.* FROM p JOIN k ON k.doc = p.b),
+_PAIRED = f"""WITH k AS ({_KEYED}), p AS (SELECT * FROM {PAIRS.sql}), s AS (SELECT pair, 'a' AS side, k.* FROM p JOIN k ON k.doc = p.a UNION ALL SELECT pair, 'b', k.* FROM p JOIN k ON k.doc = p.b),
 g AS (SELECT pair, key, min((side, ord)) AS first_place, arg_max_null(value, ord) FILTER (side = 'a') AS a, arg_max_null(value, ord) FILTER (side = 'b') AS b FROM s GROUP BY ALL) """
 
 
-def _pairs(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(1, 1, 2), (2, 3, 4), (3, 5, 1)], "pair int, a int, b int")
-
-
-def _plain_metrics(spark: SparkSession) -> DataFrame:
+def _plain_metrics(spark: SparkSession, sf: str) -> DataFrame:
     none = F.lit(None)
-    return METRICS.df(spark).withColumn("canonical_id", none.cast("string")).withColumn("original_label", none.cast("string")).withColumn("normalized_value", none.cast("double"))
+    return METRICS.df(spark, sf).withColumn("canonical_id", none.cast("string")).withColumn("original_label", none.cast("string")).withColumn("normalized_value", none.cast("double"))
 
 
 @query("C9_pair_metrics", _PAIRED + "SELECT pair, key, a, b, row_number() OVER (PARTITION BY pair ORDER BY first_place) AS place FROM g")
 def pair_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    return C.pair_metrics(_pairs(spark), _plain_metrics(spark)).select("pair", "key", "a", "b", F.col("place").cast("long").alias("place"))
+    return C.pair_metrics(PAIRS.df(spark, sf), _plain_metrics(spark, sf)).select("pair", "key", "a", "b", F.col("place").cast("long").alias("place"))
 
 
 @query("E21_tally", f"WITH {FILINGS_SQL}, p AS (SELECT a.id AS pair, a.revenue AS ra, b.revenue AS rb, a.net_profit AS na, b.net_profit AS nb FROM filings a JOIN filings b ON b.company_id = a.company_id + 1 AND b.report_type = a.report_type AND b.fiscal_year = a.fiscal_year) SELECT pair, 2 * (ra > rb)::INT + (na > nb)::INT AS score_a, 2 * (rb > ra)::INT + (nb > na)::INT AS score_b, 3 AS total FROM p")

@@ -139,7 +139,7 @@ _ALIAS = " ".join(f"WHEN {_NAME} IN ({', '.join(repr(n) for n in names)}) THEN '
 
 @query("G7_sections", f"SELECT doc, ord, {_NAME} AS name, CASE WHEN {_NAME} IN ({', '.join(map(repr, X.SECTIONS))}) THEN {_NAME} {_ALIAS} ELSE 'other' END AS canonical FROM {NARRATIVES.sql}")
 def sections(spark: SparkSession, sf: str) -> DataFrame:
-    return NARRATIVES.df(spark).select("doc", "ord", X.section_name(F.col("section")).alias("name"), X.canonical_section(F.col("section")).alias("canonical"))
+    return NARRATIVES.df(spark, sf).select("doc", "ord", X.section_name(F.col("section")).alias("name"), X.canonical_section(F.col("section")).alias("canonical"))
 
 
 @query("G8_chart_labels", "SELECT doc_id, trim(regexp_replace(strip_accents(lower(text)), '[^a-z0-9]+', ' ', 'g')) AS label FROM documents")
