@@ -79,24 +79,26 @@ filings AS (SELECT company_id || '-' || fiscal_year || '-' || report_type AS id,
 
 @dataclass(frozen=True)
 class Made:
-    """Rows made from each order by expressions that Spark and DuckDB read alike.
+    """Rows made from each order, or row of another table, by expressions that Spark and DuckDB read alike.
 
     With n, an order gives rows ord 0 to n - 1.
     """
 
     columns: tuple[str, ...]
     n: str | None = None
+    source: str = "orders"
+    where: str = "true"
 
     def df(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        orders = table(spark, sf_dir, "orders")
+        rows = table(spark, sf_dir, self.source).where(self.where)
         if self.n:
-            orders = orders.selectExpr("*", f"explode(sequence(0, CAST({self.n} AS INT) - 1)) AS ord")
-        return orders.selectExpr(*self.columns)
+            rows = rows.selectExpr("*", f"explode(sequence(0, CAST({self.n} AS INT) - 1)) AS ord")
+        return rows.selectExpr(*self.columns)
 
     @property
     def sql(self) -> str:
-        source = f"(SELECT *, unnest(range(0, {self.n})) AS ord FROM orders)" if self.n else "orders"
-        return f"(SELECT {', '.join(self.columns)} FROM {source})"
+        source = f"(SELECT *, unnest(range(0, {self.n})) AS ord FROM {self.source})" if self.n else self.source
+        return f"(SELECT {', '.join(self.columns)} FROM {source} WHERE {self.where})"
 
 
 def dealt(values: Sequence[str | float | None], by: str) -> str:
@@ -166,39 +168,71 @@ FILED = Made(
     ),
 )
 NAMES = Rows("id string, name string, ticker string, ord int", (("c1", "AB Telia Lietuva", "TEL1L", 1), ("c2", "AS Tallink Grupp", "TAL1T", 2), ("c3", "Ignitis grupė, AB", "IGN1L", 3), ("c4", "Latvijas Gāze AS", "GZE1R", 4), ("c5", "LHV Group", "LHV1T", 5), ("c6", "AS LHV Group", None, 6), ("c7", "Harju Elekter Group AS", "HAE1T", 7)))
-VARIANTS = Rows("doc int, name string", ((1, "Telia Lietuva, AB"), (2, "Tallink Grupp"), (3, "Tallnik Grupp"), (4, "Grupp Tallink AS"), (5, "TAL1T results"), (6, "LHV Group"), (7, "Unknown Holding"), (8, "AS"), (9, "Ignitis"), (10, "Latvijas Gaze"), (11, ""), (12, "Harju  Elekter, A/S")))
-LINES = Rows(
-    "doc int, no int, line string",
-    tuple((1, i, x) for i, x in enumerate(("Table of Contents", "1. Introduction ....... 3", "Independent Auditor's Report", "Revenue grew", "", "12", "Page 3 of 9", "Annual report 2024", "Annual report 2024", "Annual report 2024", "IFRS 16 leases", "Notes to the accounts", "This document is", "Summary of Significant Accounting Policies", "Inventory and Measurement", "short", "short", "short", "Going concern", "We go on", "The English version prevails", "Material uncertainty", "The Group statements are prepared", "Registered office: x")))
-    + tuple((2, i, x) for i, x in enumerate(("Annual report 2024", "Contents", "Content of the year", "7 apples", "Commercial Register 1", "In the event of discrepancy", "Critical judgements"))),
-)
-CLASS_TEXTS = Rows(
-    "doc int, text string",
+#: Company names as filings write them, some with a number that no company has.
+VARIANTS = Made(("o_orderkey AS doc", dealt(("Telia Lietuva, AB", "Tallink Grupp", "Tallnik Grupp", "Grupp Tallink AS", "TAL1T results", "LHV Group", "Unknown Holding", "AS", "Ignitis", "Latvijas Gaze", "", "Harju  Elekter, A/S"), "o_orderkey") + " || CASE WHEN o_custkey % 7 = 0 THEN ' ' || CAST(o_custkey AS STRING) ELSE '' END AS name"))
+STRING = "CAST({} AS STRING)".format
+_LINES = (
+    "Table of Contents", "1. Introduction ....... 3", "Independent Auditor's Report", "Revenue grew", "", "12", "Page 3 of 9", "Annual report 2024", "IFRS 16 leases", "Notes to the accounts", "This document is", "Summary of Significant Accounting Policies",
+    "Inventory and Measurement", "short", "Going concern", "We go on", "The English version prevails", "Material uncertainty", "The Group statements are prepared", "Registered office: x", "Contents", "Content of the year", "7 apples", "Commercial Register 1",
+    "In the event of discrepancy", "Critical judgements", "Net profit 12 30,5",
+)
+#: Lines of a filing; every eighth order's end with a number.
+LINES = Made(("o_orderkey AS doc", "CAST(ord AS INT) AS no", dealt(_LINES, "o_orderkey + ord * (1 + o_custkey % 5)") + f" || CASE WHEN o_custkey % 8 = 0 THEN ' ' || {STRING('o_custkey')} ELSE '' END AS line"), "1 + o_custkey % 8")
+_WORDS = "alpha bravo charlie delta echoes foxtrot golfer hotel india"
+_TEXTS = (
+    "too few words here", f"{_WORDS} juliet kilos In our opinion the rest", f"{_WORDS} juliet Prospectus", f"{_WORDS} pursuant to the inside information", f"{_WORDS} pursuant to nothing", f"{_WORDS} Press Release and press release",
+    f"{_WORDS} Press Release and press release turnover", f"{_WORDS}: Revenue 2023 2024 by segment, Q1 2024, prior year", "",
+)
+#: Texts with and without the marks of each class.
+CLASS_TEXTS = Made(("o_orderkey AS doc", dealt(_TEXTS, "o_orderkey") + f" || CASE WHEN o_custkey % 3 = 0 THEN ' order ' || {STRING('o_custkey % 100')} ELSE '' END AS text"))
+_PAGES = (
+    "<p>x</p><TABLE><tr><th>Item</th><th>2024</th></tr><tr><td>Revenue</td><td>1 200</td></tr><tr><td>Net&nbsp;profit</td><td>30 | 5</td></tr></TABLE><table><tr><td>only</td></tr></table>",
+    "<table><tr><td>a</td><td>b</td></tr><tr><td>c</td><td>d</td></tr></table><table id=2><tr><td>Assets</td><td>9</td><td></td></tr><tr><td>x</td><td>1</td><td>2</td></tr></table>",
+    "<p>no table</p>", "<table><tr><td>Cash &amp; more</td><td><b>5</b></td></tr><tr><td>Loss</td><td>6</td></tr></table>",
+)
+#: Pages with tables, the figures being the order's.
+HTML = Made(("o_orderkey AS page", f"replace(replace({dealt(_PAGES, 'o_orderkey')}, '1 200', {STRING('o_custkey')}), '<b>5', '<b>' || {STRING('o_orderkey')}) AS html"))
+_PLACED = (("Revenue", 10, 700), ("100", 90, 699), ("90", 150, 700), ("Profit", 10, 680), ("20", 90, 681), ("10", 150, 682), ("Note", 10, 600), ("a  b", 90, 560), ("c", 50, 560), ("d", 130, 560.5), ("too", 1, 5), ("few", 2, 5), ("items", 3, 5))
+#: Placed words of two pages; the later ones are too few, and a third of the orders have none of those.
+ITEMS = Made(
     (
-        (1, "too few words here"), (2, "alpha bravo charlie delta echoes foxtrot golfer hotel india juliet kilos In our opinion the rest"), (3, "alpha bravo charlie delta echoes foxtrot golfer hotel india juliet Prospectus"), (4, "alpha bravo charlie delta echoes foxtrot golfer hotel india pursuant to the inside information"),
-        (5, "alpha bravo charlie delta echoes foxtrot golfer hotel india pursuant to nothing"), (6, "alpha bravo charlie delta echoes foxtrot golfer hotel india Press Release and press release"), (7, "alpha bravo charlie delta echoes foxtrot golfer hotel india Press Release and press release turnover"), (8, "alpha bravo charlie delta echoes foxtrot golfer hotel india: Revenue 2023 2024 by segment, Q1 2024, prior year"), (9, ""),
+        "o_orderkey AS doc", "CASE WHEN ord < 10 THEN 1 ELSE 2 END AS page", f"CASE WHEN ord = 1 THEN {STRING('o_custkey')} ELSE {dealt([t for t, _, _ in _PLACED], 'ord')} END AS text",
+        f"CAST({dealt([x for _, x, _ in _PLACED], 'ord')} + o_custkey % 4 AS DOUBLE) AS x", f"CAST({dealt([y for _, _, y in _PLACED], 'ord')} - 3 * (o_orderkey % 9) AS DOUBLE) AS y",
     ),
-)
-HTML = Rows(
-    "page int, html string",
+    "CASE WHEN o_orderkey % 3 = 0 THEN 10 ELSE 13 END",
+)
+FILES = Made(("o_orderkey AS doc", f"{STRING('o_custkey')} || " + dealt(("a.PDF", "b.csv", "c", "d.xhtml", "e.htm", "f.txt", "g", "h.x.html", "i"), "o_orderkey") + " AS name", dealt((None, "", "text/csv", "application/pdf", "text/plain", "application/xhtml+xml", "text/html", "application/csv"), "o_custkey") + " AS mime"))
+_DIGITS = "md5(CAST(o_custkey AS STRING))"
+MESSAGES = Made(
+    ("o_orderkey AS id", f"CASE o_orderkey % 4 WHEN 0 THEN 'Duplicate of company ' || {' || '.join(f"substr({_DIGITS}, {a}, {n})" + (" || '-'" if a < 21 else "") for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))} WHEN 1 THEN 'company=acme' || {STRING('o_custkey')} || ', year=2024, type=q' || {STRING('1 + o_custkey % 4')} WHEN 3 THEN 'nothing' END AS message"),
+)
+_LEAD = lambda n: ("'c' || CAST(c_custkey AS STRING) || '@x.ee' AS email", dealt((None, "A", "B"), f"c_custkey + {n}") + " AS company", dealt(("cfo", None, "ceo", "dev"), f"c_custkey * {n}") + " AS role", dealt(("hello", None), f"c_custkey + {n}") + " AS message")
+LEADS_OLD = Made(_LEAD(1), source="customer", where="c_custkey % 3 <> 0")
+LEADS_NEW = Made(_LEAD(3), source="customer", where="c_custkey % 4 <> 0")
+
+
+def _report(prefix: str, shift: str) -> tuple[str, ...]:
+    own = STRING("o_orderkey")
+    return (
+        f"'{prefix}' || {own} AS id", "CASE WHEN o_orderkey % 50 <> 0 THEN 'c' || CAST(o_custkey AS STRING) END AS company_id", "CAST(year(o_orderdate) AS INT) AS fiscal_year", dealt(("annual", "q1", "semi-annual"), f"o_orderkey + {shift}") + " AS report_type",
+        dealt(("en", "en", "lv", "et"), "o_custkey") + " AS language", f"'j{prefix}' || {own} AS job_id", f"'s{prefix}' || {own} AS s3_key", f"CASE WHEN o_orderkey % 6 <> 0 THEN '{{' || {own} || '}}' END AS extracted_json_snapshot",
+    )
+
+
+REPORTS = Made(_report("r", "0"))
+#: Reports of which a third has another type than the report of the same order.
+REPORTS_NEW = Made(_report("n", "CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END"), where="o_orderkey % 2 = 0")
+#: Two candidates for every even order's report.
+CANDIDATES = Made(
     (
-        (1, "<p>x</p><TABLE><tr><th>Item</th><th>2024</th></tr><tr><td>Revenue</td><td>1 200</td></tr><tr><td>Net&nbsp;profit</td><td>30 | 5</td></tr></TABLE><table><tr><td>only</td></tr></table>"),
-        (2, "<table><tr><td>a</td><td>b</td></tr><tr><td>c</td><td>d</td></tr></table><table id=2><tr><td>Assets</td><td>9</td><td></td></tr><tr><td>x</td><td>1</td><td>2</td></tr></table>"),
-        (3, "<p>no table</p>"), (4, "<table><tr><td>Cash &amp; more</td><td><b>5</b></td></tr><tr><td>Loss</td><td>6</td></tr></table>"),
+        f"'k' || {STRING('o_orderkey')} AS id", f"'r' || {STRING('o_orderkey - o_orderkey % 2')} AS report_id", f"'jk' || {STRING('o_orderkey')} AS job_id", f"'sk' || {STRING('o_orderkey')} AS s3_key", f"'{{' || {STRING('o_custkey')} || '}}' AS extracted_json_snapshot",
+        dealt(("pending", "failed_quality", "pending", "rejected", "approved"), "o_custkey") + " AS status", "o_orderdate AS created_at", "CAST(NULL AS TIMESTAMP) AS approved_at",
     ),
-)
-ITEMS = Rows(
-    "doc int, page int, text string, x double, y double",
-    tuple((1, 1, t, float(x), float(y)) for t, x, y in (("Revenue", 10, 700), ("100", 90, 699), ("90", 150, 700), ("Profit", 10, 680), ("20", 90, 681), ("10", 150, 682), ("Note", 10, 600), ("a  b", 90, 560), ("c", 50, 560), ("d", 130, 560.5)))
-    + tuple((1, 2, t, float(x), 5.0) for t, x in (("too", 1), ("few", 2), ("items", 3))),
-)
-FILES = Rows("name string, mime string", (("a.PDF", None), ("b.csv", ""), ("c", "text/csv"), ("d.xhtml", None), ("e.htm", "application/pdf"), ("f.txt", "text/plain"), ("g", None), ("h.x.html", None), ("i", "application/xhtml+xml")))
-MESSAGES = Rows("id int, message string", ((1, "Duplicate of company 123e4567-e89b-12d3-a456-426614174000"), (2, "company=acme, year=2024, type=q1"), (3, None), (4, "nothing")))
-LEADS_OLD = Rows("email string, company string, role string, message string", (("a@x.ee", "A", "cfo", "hello"), ("b@x.ee", None, None, None), ("c@x.ee", "C", "ceo", None)))
-LEADS_NEW = Rows("email string, company string, role string, message string", (("a@x.ee", None, "cto", None), ("b@x.ee", "B", None, "hi"), ("d@x.ee", "D", "dev", "new")))
-CANDIDATES = Rows(
-    "id string, report_id string, job_id string, s3_key string, extracted_json_snapshot string, status string, created_at timestamp, approved_at timestamp",
-    (("k1", "r1", "j11", "s11", "{1}", "pending", "2024-01-01 00:00:00", None), ("k2", "r1", "j12", "s12", "{2}", "failed_quality", "2024-01-02 00:00:00", None), ("k3", "r2", "j21", "s21", "{3}", "pending", "2024-01-03 00:00:00", None), ("k4", "r3", "j31", "s31", "{4}", "rejected", "2024-01-04 00:00:00", None)),
-)
-REPORTS = Rows("id string, company_id string, fiscal_year int, report_type string, language string, job_id string, s3_key string, extracted_json_snapshot string", (("r1", "c1", 2024, "annual", "en", "j1", "s1", "{a}"), ("r2", None, 2024, "q1", "en", "j2", "s2", "{b}"), ("r3", "c2", 2023, "annual", "et", "j3", "s3", "{c}"), ("r4", None, 2024, "q1", "en", "j4", "s4", None)))
-REPORTS_NEW = Rows("id string, company_id string, fiscal_year int, report_type string, language string, job_id string, s3_key string, extracted_json_snapshot string", (("n1", "c1", 2024, "annual", "en", "j9", "s9", None), ("n2", "c1", 2024, "annual", "lv", "j9", "s9", None), ("n3", None, 2024, "q1", "en", "j9", "s9", None), ("n4", "c1", 2024, "annual", "lv", "j9", "s9", None)))
+)
+#: Candidates that a reviewer chose, one a report.
+CHOSEN = Made((f"'k' || {STRING('o_orderkey')} AS id",), where="o_orderkey % 10 = 0")
+#: Reports that get another company, or none.
+MAPPED = Made((f"'r' || {STRING('o_orderkey')} AS id", "CASE WHEN o_custkey % 3 <> 0 THEN 'c9' END AS company_id"), where="o_orderkey % 7 = 0")
+ASKED = Made((f"'r' || {STRING('o_orderkey')} AS id",), where="o_orderkey % 4 = 1")
+AUDITED = Made((f"'r' || {STRING('o_orderkey')} AS id",), where="o_orderkey % 3 = 1")
+GONE = Made((f"'r' || {STRING('o_orderkey')} AS id",), where="o_orderkey % 8 = 0")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions.periods import period_label
 from ledgerline.operators import headline as H
 from ledgerline.operators import tables as T
-from ledgerline.plans.inputs import CANDIDATES, COMPANIES_SQL, FILINGS_SQL, LEADS_NEW, LEADS_OLD, MESSAGES, REPORTS, REPORTS_NEW, companies, filings, table
+from ledgerline.plans.inputs import ASKED, AUDITED, CANDIDATES, CHOSEN, COMPANIES_SQL, FILINGS_SQL, GONE, LEADS_NEW, LEADS_OLD, MAPPED, MESSAGES, REPORTS, REPORTS_NEW, companies, filings, table
 from ledgerline.plans.registry import query
 
 _WITH = f"WITH {COMPANIES_SQL}, {FILINGS_SQL} "
@@ -22,14 +22,14 @@ def point_lookup(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("B2_null_safe_match", f"SELECT r.id AS report_id, n.id AS new_id FROM {REPORTS.sql} r JOIN {REPORTS_NEW.sql} n ON r.company_id IS NOT DISTINCT FROM n.company_id AND r.fiscal_year = n.fiscal_year AND r.report_type = n.report_type AND r.language = n.language")
 def null_safe_match(spark: SparkSession, sf: str) -> DataFrame:
-    r, n = REPORTS.df(spark).alias("r"), REPORTS_NEW.df(spark).alias("n")
+    r, n = REPORTS.df(spark, sf).alias("r"), REPORTS_NEW.df(spark, sf).alias("n")
     on = F.col("r.company_id").eqNullSafe(F.col("n.company_id")) & (F.col("r.fiscal_year") == F.col("n.fiscal_year")) & (F.col("r.report_type") == F.col("n.report_type")) & (F.col("r.language") == F.col("n.language"))
     return r.join(n, on).select(F.col("r.id").alias("report_id"), F.col("n.id").alias("new_id"))
 
 
 @query("B3_unmatched", f"SELECT id, fiscal_year FROM {REPORTS.sql} r WHERE company_id IS NULL")
 def unmatched(spark: SparkSession, sf: str) -> DataFrame:
-    return REPORTS.df(spark).where("company_id is null").select("id", "fiscal_year")
+    return REPORTS.df(spark, sf).where("company_id is null").select("id", "fiscal_year")
 
 
 @query("B4_optional_filter", "SELECT event_type, count(*) AS n FROM events WHERE event_type IN ('click', 'error') GROUP BY event_type")
@@ -94,7 +94,7 @@ def reports_with_companies(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("C2_candidates_with_reports", f"SELECT k.id AS candidate_id, k.status, r.id AS report_id, r.fiscal_year, c.c_name AS company FROM {CANDIDATES.sql} k JOIN {REPORTS.sql} r ON k.report_id = r.id LEFT JOIN customer c ON 'c' || c.c_custkey = r.company_id")
 def candidates_with_reports(spark: SparkSession, sf: str) -> DataFrame:
-    k, r = CANDIDATES.df(spark).select(F.col("id").alias("candidate_id"), "status", "report_id"), REPORTS.df(spark).select(F.col("id").alias("report_id"), "fiscal_year", "company_id")
+    k, r = CANDIDATES.df(spark, sf).select(F.col("id").alias("candidate_id"), "status", "report_id"), REPORTS.df(spark, sf).select(F.col("id").alias("report_id"), "fiscal_year", "company_id")
     c = table(spark, sf, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("company_id"), F.col("c_name").alias("company"))
     return k.join(r, "report_id").join(c, "company_id", "left").select("candidate_id", "status", "report_id", "fiscal_year", "company")
 
@@ -125,18 +125,18 @@ def unknown_slugs(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "C14_lookup_chain",
-    f"SELECT m.id, coalesce(r.id, regexp_extract(m.message, 'company=(\\w+)', 1)) AS found, CAST(nullif(regexp_extract(m.message, 'year=(\\d+)', 1), '') AS INTEGER) AS fiscal_year, nullif(regexp_extract(m.message, '[0-9a-f]{{8}}(-[0-9a-f]{{4}}){{3}}-[0-9a-f]{{12}}', 0), '') AS uuid FROM {MESSAGES.sql} m LEFT JOIN {REPORTS.sql} r ON r.id = 'r' || (m.id + 2)",
+    f"SELECT m.id, coalesce(r.id, regexp_extract(m.message, 'company=(\\w+)', 1)) AS found, CAST(nullif(regexp_extract(m.message, 'year=(\\d+)', 1), '') AS INTEGER) AS fiscal_year, nullif(regexp_extract(m.message, '[0-9a-f]{{8}}(-[0-9a-f]{{4}}){{3}}-[0-9a-f]{{12}}', 0), '') AS uuid FROM {MESSAGES.sql} m LEFT JOIN {REPORTS.sql} r ON r.id = 'r' || (m.id * 2)",
 )
 def lookup_chain(spark: SparkSession, sf: str) -> DataFrame:
-    m, r = MESSAGES.df(spark), REPORTS.df(spark).select(F.col("id").alias("rid"))
+    m, r = MESSAGES.df(spark, sf), REPORTS.df(spark, sf).select(F.col("id").alias("rid"))
     part = lambda p, g: F.nullif(F.regexp_extract("message", p, g), F.lit(""))
-    joined = m.join(r, F.col("rid") == F.concat(F.lit("r"), (F.col("id") + 2).cast("string")), "left")
+    joined = m.join(r, F.col("rid") == F.concat(F.lit("r"), (F.col("id") * 2).cast("string")), "left")
     return joined.select("id", F.coalesce("rid", F.regexp_extract("message", r"company=(\w+)", 1)).alias("found"), part(r"year=(\d+)", 1).cast("int").alias("fiscal_year"), part("[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", 0).alias("uuid"))
 
 
 @query("C15_report_or_job", f"SELECT id FROM {REPORTS.sql} r WHERE id = 'r2' OR (job_id = 'r2' AND NOT EXISTS (SELECT 1 FROM {REPORTS.sql} x WHERE x.id = 'r2'))")
 def report_or_job(spark: SparkSession, sf: str) -> DataFrame:
-    r = REPORTS.df(spark)
+    r = REPORTS.df(spark, sf)
     either = r.where("id = 'r2'").select("id", F.lit(0).alias("p")).union(r.where("job_id = 'r2'").select("id", F.lit(1)))
     return either.withColumn("best", F.min("p").over(W.partitionBy(F.lit(1)))).where("p = best").select("id")
 
@@ -163,17 +163,17 @@ _LEADS = f"SELECT coalesce(n.email, o.email) AS email, {{}} FROM {LEADS_OLD.sql}
 
 @query("D4_upsert_overwrite", _LEADS.format("CASE WHEN n.email IS NOT NULL THEN n.company ELSE o.company END AS company, CASE WHEN n.email IS NOT NULL THEN n.role ELSE o.role END AS role, CASE WHEN n.email IS NOT NULL THEN n.message ELSE o.message END AS message"))
 def upsert_overwrite(spark: SparkSession, sf: str) -> DataFrame:
-    return T.upsert(LEADS_OLD.df(spark), LEADS_NEW.df(spark), ["email"], overwrite=["company", "role", "message"])
+    return T.upsert(LEADS_OLD.df(spark, sf), LEADS_NEW.df(spark, sf), ["email"], overwrite=["company", "role", "message"])
 
 
 @query("D5_upsert_fill", _LEADS.format("coalesce(n.company, o.company) AS company, coalesce(n.role, o.role) AS role, coalesce(n.message, o.message) AS message"))
 def upsert_fill(spark: SparkSession, sf: str) -> DataFrame:
-    return T.upsert(LEADS_OLD.df(spark), LEADS_NEW.df(spark), ["email"], fill=["company", "role", "message"])
+    return T.upsert(LEADS_OLD.df(spark, sf), LEADS_NEW.df(spark, sf), ["email"], fill=["company", "role", "message"])
 
 
 @query("D6_upsert_mixed", _LEADS.format("coalesce(n.company, o.company) AS company, CASE WHEN n.email IS NOT NULL THEN n.role ELSE o.role END AS role, CASE WHEN o.email IS NULL THEN n.message ELSE o.message END AS message"))
 def upsert_mixed(spark: SparkSession, sf: str) -> DataFrame:
-    return T.upsert(LEADS_OLD.df(spark), LEADS_NEW.df(spark), ["email"], overwrite=["role"], fill=["company"])
+    return T.upsert(LEADS_OLD.df(spark, sf), LEADS_NEW.df(spark, sf), ["email"], overwrite=["role"], fill=["company"])
 
 
 @query("D4_upsert_customers", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 0.0 ELSE c_acctbal END AS c_acctbal FROM customer UNION ALL SELECT c_custkey + 1000000, 1.0 FROM customer WHERE c_custkey % 7 = 0")
@@ -189,39 +189,37 @@ _UNIQUE = f"""SELECT n.id, n.company_id IS NULL OR (NOT EXISTS (SELECT 1 FROM {R
 
 @query("D8_insert_unique", _UNIQUE)
 def insert_unique(spark: SparkSession, sf: str) -> DataFrame:
-    yes, no = T.insert_unique(REPORTS.df(spark), REPORTS_NEW.df(spark), ["company_id", "fiscal_year", "report_type", "language"], [F.col("id")])
+    yes, no = T.insert_unique(REPORTS.df(spark, sf), REPORTS_NEW.df(spark, sf), ["company_id", "fiscal_year", "report_type", "language"], [F.col("id")])
     return yes.select("id", F.lit(True).alias("inserted")).union(no.select("id", F.lit(False)))
 
 
 @query(
     "D9_promote",
-    f"SELECT r.id, coalesce(k.job_id, r.job_id) AS job_id, coalesce(k.s3_key, r.s3_key) AS s3_key, coalesce(k.extracted_json_snapshot, r.extracted_json_snapshot) AS extracted_json_snapshot FROM {REPORTS.sql} r LEFT JOIN (SELECT * FROM {CANDIDATES.sql} WHERE status = 'pending' AND id IN ('k1', 'k2', 'k4')) k ON k.report_id = r.id",
+    f"SELECT r.id, coalesce(k.job_id, r.job_id) AS job_id, coalesce(k.s3_key, r.s3_key) AS s3_key, coalesce(k.extracted_json_snapshot, r.extracted_json_snapshot) AS extracted_json_snapshot FROM {REPORTS.sql} r LEFT JOIN (SELECT * FROM {CANDIDATES.sql} WHERE status = 'pending' AND id IN (SELECT id FROM {CHOSEN.sql})) k ON k.report_id = r.id",
 )
 def promote(spark: SparkSession, sf: str) -> DataFrame:
-    chosen = spark.createDataFrame([("k1",), ("k2",), ("k4",)], "id string")
-    _, reports = T.promote(CANDIDATES.df(spark), REPORTS.df(spark), chosen, F.to_timestamp(F.lit("2024-02-01")))
+    _, reports = T.promote(CANDIDATES.df(spark, sf), REPORTS.df(spark, sf), CHOSEN.df(spark, sf), F.to_timestamp(F.lit("2024-02-01")))
     return reports.select("id", "job_id", "s3_key", "extracted_json_snapshot")
 
 
-@query("D10_reject", f"SELECT id, CASE WHEN id IN ('k1', 'k2', 'k4') AND status IN ('pending', 'failed_quality') THEN 'rejected' ELSE status END AS status FROM {CANDIDATES.sql}")
+@query("D10_reject", f"SELECT id, CASE WHEN id IN (SELECT id FROM {CHOSEN.sql}) AND status IN ('pending', 'failed_quality') THEN 'rejected' ELSE status END AS status FROM {CANDIDATES.sql}")
 def reject(spark: SparkSession, sf: str) -> DataFrame:
-    return T.reject(CANDIDATES.df(spark), spark.createDataFrame([("k1",), ("k2",), ("k4",)], "id string")).select("id", "status")
+    return T.reject(CANDIDATES.df(spark, sf), CHOSEN.df(spark, sf)).select("id", "status")
 
 
-@query("D11_set_company", f"SELECT id, CASE id WHEN 'r2' THEN 'c9' WHEN 'r3' THEN NULL ELSE company_id END AS company_id FROM {REPORTS.sql}")
+@query("D11_set_company", f"SELECT r.id, CASE WHEN m.id IS NOT NULL THEN m.company_id ELSE r.company_id END AS company_id FROM {REPORTS.sql} r LEFT JOIN {MAPPED.sql} m ON m.id = r.id")
 def set_company(spark: SparkSession, sf: str) -> DataFrame:
-    return T.set_company(REPORTS.df(spark), spark.createDataFrame([("r2", "c9"), ("r3", None)], "id string, company_id string")).select("id", "company_id")
+    return T.set_company(REPORTS.df(spark, sf), MAPPED.df(spark, sf)).select("id", "company_id")
 
 
-@query("D12_move_to_unmatched", f"SELECT id, CASE WHEN id = 'r1' THEN NULL ELSE company_id END AS company_id FROM {REPORTS.sql}")
+@query("D12_move_to_unmatched", f"SELECT id, CASE WHEN id NOT IN (SELECT id FROM {ASKED.sql}) OR id NOT IN (SELECT id FROM {AUDITED.sql}) THEN company_id END AS company_id FROM {REPORTS.sql}")
 def move_to_unmatched(spark: SparkSession, sf: str) -> DataFrame:
-    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
-    return T.move_to_unmatched(REPORTS.df(spark), ids("r1", "r2"), ids("r1", "r3"), confirm=True)[0].select("id", "company_id")
+    return T.move_to_unmatched(REPORTS.df(spark, sf), AUDITED.df(spark, sf), ASKED.df(spark, sf), confirm=True)[0].select("id", "company_id")
 
 
-@query("D13_cascade", f"SELECT id FROM {CANDIDATES.sql} WHERE report_id <> 'r1'")
+@query("D13_cascade", f"SELECT id FROM {CANDIDATES.sql} WHERE report_id NOT IN (SELECT id FROM {GONE.sql})")
 def cascade(spark: SparkSession, sf: str) -> DataFrame:
-    return T.delete_reports(REPORTS.df(spark), CANDIDATES.df(spark), spark.createDataFrame([("r1",)], "id string"))[1].select("id")
+    return T.delete_reports(REPORTS.df(spark, sf), CANDIDATES.df(spark, sf), GONE.df(spark, sf))[1].select("id")
 
 
 @query("E1_counts", _WITH + "SELECT (SELECT count(*) FROM companies) AS companies, (SELECT count(*) FROM filings) AS reports")

@@ -19,16 +19,16 @@ MARKS = lambda x: f"translate({x}, '{X.MARKED}', '{X.PLAIN}')"
 COMPACT = lambda x: f"trim(regexp_replace(strip_accents(lower({x})), '[^\\p{{L}}\\p{{N}}%]+', ' ', 'g'))"
 
 
-@query("A1_file_type", f"SELECT name, CASE WHEN regexp_matches(lower(name), '\\.pdf$') OR mime = 'application/pdf' THEN 'pdf' WHEN regexp_matches(lower(name), '\\.csv$') OR mime IN ('text/csv', 'application/csv') THEN 'csv' WHEN regexp_matches(lower(name), '\\.(html|htm|xhtml)$') OR mime IN ('text/html', 'application/xhtml+xml') THEN 'html' END AS file_type FROM {FILES.sql}")
+@query("A1_file_type", f"SELECT doc, name, CASE WHEN regexp_matches(lower(name), '\\.pdf$') OR mime = 'application/pdf' THEN 'pdf' WHEN regexp_matches(lower(name), '\\.csv$') OR mime IN ('text/csv', 'application/csv') THEN 'csv' WHEN regexp_matches(lower(name), '\\.(html|htm|xhtml)$') OR mime IN ('text/html', 'application/xhtml+xml') THEN 'html' END AS file_type FROM {FILES.sql}")
 def file_types(spark: SparkSession, sf: str) -> DataFrame:
-    return FILES.df(spark).select("name", S.file_type(F.col("name"), F.col("mime")).alias("file_type"))
+    return FILES.df(spark, sf).select("doc", "name", S.file_type(F.col("name"), F.col("mime")).alias("file_type"))
 
 
 @query("A4_placed_tables", f"""WITH c AS (SELECT doc, page, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text, x, y, count(*) OVER (PARTITION BY doc, page) AS n FROM {ITEMS.sql}),
 r AS (SELECT doc, page, floor(y / 3 + 0.5) * 3 AS level, list(text ORDER BY x) AS cells FROM c WHERE n >= 8 GROUP BY ALL HAVING count(*) >= 3)
 SELECT doc, page, '[STRUCTURED FINANCIAL TABLE source="pdf-page-' || page || '"]' || chr(10) || string_agg('| ' || array_to_string(cells, ' | ') || ' |', chr(10) ORDER BY level DESC) || chr(10) || '[/STRUCTURED FINANCIAL TABLE]' AS table_text FROM r GROUP BY doc, page""")
 def placed_tables(spark: SparkSession, sf: str) -> DataFrame:
-    return S.placed_tables(ITEMS.df(spark)).withColumnRenamed("table", "table_text")
+    return S.placed_tables(ITEMS.df(spark, sf)).withColumnRenamed("table", "table_text")
 
 
 @query("A6_csv_text", "SELECT r_name AS region, string_agg('Row ' || n || chr(10) || 'key: ' || n_nationkey || chr(10) || 'name: ' || n_name || CASE WHEN n_nationkey % 2 = 0 THEN chr(10) || 'Column 3: extra' ELSE '' END, chr(10) || chr(10) ORDER BY n) AS csv_text FROM (SELECT r_name, n_nationkey, n_name, row_number() OVER (PARTITION BY r_name ORDER BY n_nationkey) AS n FROM nation JOIN region ON n_regionkey = r_regionkey) GROUP BY r_name")
@@ -60,7 +60,7 @@ SELECT page, CAST(number AS INTEGER) AS number, CAST(count(*) AS INTEGER) AS n_r
 
 @query("A8_html_tables", _TABLES)
 def html_tables(spark: SparkSession, sf: str) -> DataFrame:
-    found = HTML.df(spark).select("page", F.explode(P.tables(F.col("html"))).alias("t"))
+    found = HTML.df(spark, sf).select("page", F.explode(P.tables(F.col("html"))).alias("t"))
     body = F.array_join(F.transform("t.rows", lambda r: F.concat(F.lit("| "), F.array_join(F.transform(r, P.cell), " | "), F.lit(" |"))), "\n")
     return found.select("page", "t.number", F.size("t.rows").alias("n_rows"), body.alias("body"))
 
@@ -80,7 +80,7 @@ def usable_text(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("A12_row_signals", f"SELECT doc, no, regexp_matches(lower(line), {_KEY}) AS keyword, len(list_filter(string_split(line, ' '), lambda c: regexp_matches(c, '[0-9]'))) AS numbers FROM {LINES.sql}")
 def row_signals(spark: SparkSession, sf: str) -> DataFrame:
-    return LINES.df(spark).select("doc", "no", P.has_keyword(F.col("line")).alias("keyword"), P.numeric_cells(F.split("line", " ")).cast("long").alias("numbers"))
+    return LINES.df(spark, sf).select("doc", "no", P.has_keyword(F.col("line")).alias("keyword"), P.numeric_cells(F.split("line", " ")).cast("long").alias("numbers"))
 
 
 @query("A25_byte_range", "SELECT doc_id, substr(regexp_replace(text, '[^ -~]', '?', 'g'), 11, 20) AS part FROM documents")
@@ -126,11 +126,12 @@ def levenshtein(spark: SparkSession, sf: str) -> DataFrame:
 _W = lambda x: f"list_distinct(regexp_split_to_array(lower({x}), '{_WS}'))"
 
 
-@query("G6_word_jaccard", f"SELECT a.doc AS a, b.doc AS b, len(list_intersect({_W('a.text')}, {_W('b.text')})) / len(list_distinct(list_concat({_W('a.text')}, {_W('b.text')}))) AS jaccard FROM {CLASS_TEXTS.sql} a, {CLASS_TEXTS.sql} b WHERE a.doc <= b.doc")
+@query("G6_word_jaccard", f"SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect({_W('a.text')}, {_W('b.text')})) / len(list_distinct(list_concat({_W('a.text')}, {_W('b.text')}))) AS jaccard FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1")
 def word_jaccard(spark: SparkSession, sf: str) -> DataFrame:
-    t = CLASS_TEXTS.df(spark)
-    a, b = t.alias("a"), t.alias("b")
-    return a.join(b, F.col("a.doc") <= F.col("b.doc")).select(F.col("a.doc").alias("a"), F.col("b.doc").alias("b"), X.word_jaccard(F.col("a.text"), F.col("b.text")).alias("jaccard"))
+    """Every document's whole text against the next one's."""
+    t = table(spark, sf, "documents").select("doc_id", "text")
+    after = t.select(F.col("doc_id").alias("b"), (F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("next_text"))
+    return t.join(after, "doc_id").select(F.col("doc_id").alias("a"), "b", X.word_jaccard(F.col("text"), F.col("next_text")).alias("jaccard"))
 
 
 _NAME = "lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(section), '([a-z0-9])([A-Z])', '\\1_\\2', 'g'), '[\\s-]+', '_', 'g'), '[^a-zA-Z0-9_]', '', 'g'), '_+', '_', 'g'))"
@@ -181,7 +182,7 @@ _TREND = re2("|".join(f"(?:{p})" for p in X.TREND_SIGNS))
 
 @query("G14_stages", f"SELECT doc_id, contains(lower(text), '{X.TABLE_MARK}') OR regexp_matches(lower(text), {_TREND}) AS trends, length(text) > 5000 AS narratives FROM documents UNION ALL SELECT -doc, contains(lower(text), '{X.TABLE_MARK}') OR regexp_matches(lower(text), {_TREND}), length(text) > 5000 FROM {CLASS_TEXTS.sql}")
 def stages(spark: SparkSession, sf: str) -> DataFrame:
-    both = table(spark, sf, "documents").select("doc_id", "text").union(CLASS_TEXTS.df(spark).select(-F.col("doc").cast("long"), "text"))
+    both = table(spark, sf, "documents").select("doc_id", "text").union(CLASS_TEXTS.df(spark, sf).select(-F.col("doc").cast("long"), "text"))
     return both.select("doc_id", X.needs_trends(F.col("text")).alias("trends"), X.needs_narratives(F.col("text")).alias("narratives"))
 
 
@@ -194,18 +195,18 @@ def _class_sql(source: str) -> str:
 
 @query("G15_document_class", _class_sql("documents") + " UNION ALL " + _class_sql(f"(SELECT -doc AS doc_id, text FROM {CLASS_TEXTS.sql})"))
 def document_class(spark: SparkSession, sf: str) -> DataFrame:
-    both = table(spark, sf, "documents").select("doc_id", "text").union(CLASS_TEXTS.df(spark).select(-F.col("doc").cast("long"), "text"))
+    both = table(spark, sf, "documents").select("doc_id", "text").union(CLASS_TEXTS.df(spark, sf).select(-F.col("doc").cast("long"), "text"))
     return both.select("doc_id", X.document_class(F.col("text")).alias("class"))
 
 
 @query("E16_E17_hits", f"SELECT doc, len(list_distinct(regexp_extract_all(lower(text), '[a-z]{{4,}}'))) AS long_words, {' + '.join(f'''contains(text, '{p}')::INT''' for p in X.CLASS_PHRASES['legal_filing'])} AS legal FROM {CLASS_TEXTS.sql}")
 def hits(spark: SparkSession, sf: str) -> DataFrame:
-    return CLASS_TEXTS.df(spark).select("doc", X.distinct_long_words(F.col("text")).cast("long").alias("long_words"), X.phrase_hits(F.col("text"), X.CLASS_PHRASES["legal_filing"]).alias("legal"))
+    return CLASS_TEXTS.df(spark, sf).select("doc", X.distinct_long_words(F.col("text")).cast("long").alias("long_words"), X.phrase_hits(F.col("text"), X.CLASS_PHRASES["legal_filing"]).alias("legal"))
 
 
 @query("G16_boilerplate", f"SELECT doc, no, line FROM {LINES.sql} WHERE trim(line) = '' OR NOT regexp_matches(trim(line), {re2(X.BOILERPLATE_PATTERN)})")
 def boilerplate(spark: SparkSession, sf: str) -> DataFrame:
-    return LINES.df(spark).where(~X.is_boilerplate(F.trim("line"))).select("doc", "no", "line")
+    return LINES.df(spark, sf).where(~X.is_boilerplate(F.trim("line"))).select("doc", "no", "line")
 
 
 _PRE = f"""WITH l AS (SELECT doc_id, length(text) AS whole, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
@@ -241,7 +242,7 @@ _TOK = lambda x: f"list_filter(regexp_split_to_array(regexp_replace(lower(regexp
 
 @query("G18_name_tokens", f"SELECT doc, array_to_string({_TOK('name')}, ' ') AS tokens FROM {VARIANTS.sql}")
 def name_words(spark: SparkSession, sf: str) -> DataFrame:
-    return VARIANTS.df(spark).select("doc", F.array_join(name_tokens(F.col("name")), " ").alias("tokens"))
+    return VARIANTS.df(spark, sf).select("doc", F.array_join(name_tokens(F.col("name")), " ").alias("tokens"))
 
 
 # this SQL's distance counts bytes and repeated swaps; the names have two letters of more bytes and no such swaps
@@ -250,13 +251,13 @@ s AS (SELECT doc, id, ord, greatest(1 - damerau_levenshtein(translate(array_to_s
  len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), CASE WHEN list_contains(raw, lower(ticker)) THEN 1.0 ELSE 0.0 END) AS confidence FROM n, c WHERE len(x) > 0)
 SELECT doc, id AS company_id, round(confidence, 9) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY confidence DESC, ord) AS k FROM s WHERE confidence >= 0.85) WHERE k = 1""")
 def match(spark: SparkSession, sf: str) -> DataFrame:
-    return match_companies(VARIANTS.df(spark), NAMES.df(spark)).select("doc", "company_id", F.round("confidence", 9).alias("confidence"))
+    return match_companies(VARIANTS.df(spark, sf), NAMES.df(spark)).select("doc", "company_id", F.round("confidence", 9).alias("confidence"))
 
 
 @query("G22_message_parts", f"SELECT id, nullif(regexp_extract(message, 'company=(\\w+)', 1), '') AS company, nullif(regexp_extract(message, 'type=([\\w-]+)', 1), '') AS kind FROM {MESSAGES.sql}")
 def message_parts(spark: SparkSession, sf: str) -> DataFrame:
     part = lambda p: F.nullif(F.regexp_extract("message", p, 1), F.lit(""))
-    return MESSAGES.df(spark).select("id", part(r"company=(\w+)").alias("company"), part(r"type=([\w-]+)").alias("kind"))
+    return MESSAGES.df(spark, sf).select("id", part(r"company=(\w+)").alias("company"), part(r"type=([\w-]+)").alias("kind"))
 
 
 @query("G23_lead_fields", "SELECT conv_id, turn, nullif(substr(trim(text), 1, 120), '') AS message, regexp_matches(text, '[^\\s@]+@[^\\s@]+\\.[^\\s@]+') AS has_mail, lower(trim(role)) AS role FROM conversations")
