@@ -139,11 +139,17 @@ def preview(metrics: DataFrame) -> DataFrame:
     The first metric with the id, else the first whose original label fits,
     else the first whose label does; goals and figures per share don't count.
     """
-    usable = metrics.where(F.col("value").isNotNull() & ~L.is_excluded(F.col("label")))
+    usable = metrics.where(F.col("value").isNotNull() & ~L.is_excluded(F.col("label"))).withColumn("label_", _label())
+    # each label is looked at once, and a label that is its own original not again
+    again = lambda x, y: F.when(F.col("label_") == F.col("label"), F.col(x)).otherwise(y)
+    usable = usable.withColumn("first_", L.canonical_id(F.col("label_"))).withColumn("second_", again("first_", L.canonical_id(F.col("label"))))
     value = F.coalesce("normalized_value", "value")
     out = []
-    for name, (wanted, _, _) in L.HEADLINES.items():
-        rank = F.when(F.col("canonical_id") == wanted, 0).when(L.label_fits(_label(), name), 1).when(L.label_fits(F.col("label"), name), 2)
+    for name, (wanted, says, _) in L.HEADLINES.items():
+        usable = usable.withColumn(f"first_{name}", says(F.col("label_"))).withColumn(f"second_{name}", again(f"first_{name}", says(F.col("label"))))
+        fits = lambda of: F.coalesce(F.col(f"{of}_") == wanted, F.lit(False)) | F.col(f"{of}_{name}")  # noqa: B023, E731
+        usable = usable.withColumn(f"rank_{name}", F.when(F.col("canonical_id") == wanted, 0).when(fits("first"), 1).when(fits("second"), 2))
+        rank = F.col(f"rank_{name}")
         out.append(F.min(F.when(rank.isNotNull(), F.struct(rank.alias("rank"), F.col("ord"), value.alias("value"))))["value"].alias(name))
     return usable.groupBy("doc").agg(*out)
 
