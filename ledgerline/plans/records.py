@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ledgerline.operators import compare as C
 from ledgerline.operators import records as R
+from ledgerline.operators import sanitizer as Z
 from ledgerline.plans.figures import canonical_sql, period_key_sql
-from ledgerline.plans.inputs import BREAKDOWN, FILINGS_SQL, METRICS, NARRATIVES, TRENDS, Made, dealt, filings, table
-from ledgerline.plans.registry import query
+from ledgerline.plans.inputs import BREAKDOWN, FILED, FILINGS_SQL, METRICS, NARRATIVES, TRENDS, Made, dealt, filings, table
+from ledgerline.plans.registry import SQL, query
 from ledgerline.plans.texts import MARKS, SQUEEZE
 
 _T, _B, _N = TRENDS.sql, BREAKDOWN.sql, NARRATIVES.sql
@@ -103,8 +104,11 @@ def segments(spark: SparkSession, sf: str) -> DataFrame:
     return R.breakdown_segments(BREAKDOWN.df(spark, sf), STATED.df(spark, sf), REVENUES.df(spark, sf))
 
 
-@query("E13_merge_narratives", f"""WITH n AS (SELECT doc, ord, trim(text) AS text, coalesce(nullif(trim(section), ''), 'other') AS g FROM {_N} WHERE trim(text) <> ''),
-c AS (SELECT *, CASE g WHEN 'Financial Highlights' THEN 'executive_summary' WHEN 'executiveSummary' THEN 'executive_summary' WHEN 'outlook' THEN 'outlook' WHEN 'Segment-Results' THEN 'segment_performance' WHEN 'strategy' THEN 'strategic_priorities' ELSE 'other' END AS section, g IN ('Financial Highlights', 'Riskfactors', 'Segment-Results', 'strategy') AS renamed FROM n)
+_NAMED = f"""WITH n AS (SELECT doc, ord, trim(text) AS text, coalesce(nullif(trim(section), ''), 'other') AS g FROM {_N} WHERE trim(text) <> ''),
+c AS (SELECT *, CASE g WHEN 'Financial Highlights' THEN 'executive_summary' WHEN 'executiveSummary' THEN 'executive_summary' WHEN 'outlook' THEN 'outlook' WHEN 'Segment-Results' THEN 'segment_performance' WHEN 'strategy' THEN 'strategic_priorities' ELSE 'other' END AS section, g IN ('Financial Highlights', 'Riskfactors', 'Segment-Results', 'strategy') AS renamed FROM n)"""
+
+
+@query("E13_merge_narratives", f"""{_NAMED}
 SELECT doc, section, min(ord) AS ord, string_agg(text, chr(10) || chr(10) ORDER BY ord) AS text, sum(renamed::INT) AS renamed FROM c GROUP BY doc, section""")
 def merge_narratives(spark: SparkSession, sf: str) -> DataFrame:
     return R.merge_narratives(NARRATIVES.df(spark, sf))
@@ -128,6 +132,22 @@ def chunk_risks(spark: SparkSession, sf: str) -> DataFrame:
     return R.chunk_risks(c).select("doc", F.array_join("risks", ",").alias("risks"))
 
 
+_WILD = " + ".join(f"sum(CASE WHEN {c}_ <> 0 AND abs(({c} - {c}_) / abs({c}_) * 100) > 500 THEN 1 ELSE 0 END)" for c in R.SERIES[:3])
+_EMPTY = " + ".join(f"(count({c}) = 0)::INT" for c in R.SERIES)
+
+
+@query("J6q_sanitizer", f"""{_NAMED}, nar AS (SELECT doc, count(DISTINCT g) FILTER (renamed) AS renamed_sections, bool_or(section = 'executive_summary') AS told FROM c GROUP BY doc),
+first AS (SELECT doc, lower(trim(label)) AS l, count(*) AS k, arg_min(value IS NULL AND coalesce(unit, '') = '', ord) AS bare FROM {METRICS.sql} GROUP BY ALL), met AS (SELECT doc, sum(k - 1) AS duplicate_labels, count(*) FILTER (bare) AS dropped_metrics FROM first GROUP BY doc),
+parts AS ({SQL["E11_merge_breakdown"]}), kinds AS (SELECT doc, kind, count(*) AS n, sum(merged) AS m FROM parts GROUP BY ALL), brk AS (SELECT doc, max(n) AS n, sum(m) AS merged_parts FROM kinds GROUP BY doc),
+mer AS ({SQL["E14_merge_periods"]}), lags AS (SELECT *, {", ".join(f"lag({c}) OVER (PARTITION BY doc ORDER BY idx) AS {c}_" for c in R.SERIES[:3])} FROM mer), tre AS (SELECT doc, count(*) AS n, sum(merged) AS merged_periods, {_EMPTY} AS empty, {_WILD} AS wild FROM lags GROUP BY doc)
+SELECT f.doc, CAST(coalesce(duplicate_labels, 0) AS BIGINT) AS duplicate_labels, coalesce(dropped_metrics, 0) AS dropped_metrics, coalesce(renamed_sections, 0) AS renamed_sections, CAST(coalesce(merged_parts, 0) AS BIGINT) AS merged_parts, CAST(coalesce(merged_periods, 0) AS BIGINT) AS merged_periods,
+ CAST(CASE WHEN tre.n >= 2 AND empty < 4 THEN empty ELSE 0 END AS BIGINT) AS empty_series, CAST(CASE WHEN tre.n >= 2 AND empty < 4 THEN wild ELSE 0 END AS BIGINT) AS implausible_changes, NOT coalesce(told, false) AS missing_summary,
+ f.doc IN (SELECT doc FROM {_B}) AND coalesce(brk.n, 0) < 2 AS breakdown_dropped, f.doc IN (SELECT doc FROM {_T}) AND NOT coalesce(tre.n >= 2 AND empty < 4, false) AS trends_dropped
+FROM {FILED.sql} f LEFT JOIN met USING (doc) LEFT JOIN nar USING (doc) LEFT JOIN brk USING (doc) LEFT JOIN tre USING (doc)""")
+def sanitizer(spark: SparkSession, sf: str) -> DataFrame:
+    return Z.sanitize(FILED.df(spark, sf), METRICS.df(spark, sf), TRENDS.df(spark, sf), BREAKDOWN.df(spark, sf), NARRATIVES.df(spark, sf))
+
+
 _KEYED = f"SELECT doc, ord, label, value, coalesce('canonical:' || ({canonical_sql('label')}), 'label:' || trim(regexp_replace(lower(label), '\\s+', ' ', 'g'))) AS key FROM {METRICS.sql}"
 _PAIRED = f"""WITH k AS ({_KEYED}), p AS (SELECT * FROM {PAIRS.sql}), s AS (SELECT pair, 'a' AS side, k.* FROM p JOIN k ON k.doc = p.a UNION ALL SELECT pair, 'b', k.* FROM p JOIN k ON k.doc = p.b),
 g AS (SELECT pair, key, min((side, ord)) AS first_place, arg_max_null(value, ord) FILTER (side = 'a') AS a, arg_max_null(value, ord) FILTER (side = 'b') AS b FROM s GROUP BY ALL) """
