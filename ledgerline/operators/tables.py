@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ledgerline.operators.numbering import positions
+
 
 def last_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The last row of each key in the given order."""
@@ -133,19 +135,6 @@ def newest(df: DataFrame, time: str, tie: str, n: int | None) -> DataFrame:
 
 
 def numbered(df: DataFrame, group: str, *order: str) -> DataFrame:
-    """df with ``place``: its running number from 1 by group, then by order; nulls come first.
-
-    A group is numbered in two steps, by the first letters of the first order
-    column and within those, so that no task sorts more than what shares both.
-    """
-    head = F.coalesce(F.substring(F.col(order[0]).cast("string"), 1, HEAD), F.lit(""))
-    rows = df.withColumn("head_", head).withColumn("none_", F.col(order[0]).isNotNull())
-    counts = rows.groupBy(group, "none_", "head_").agg(F.count(F.lit(1)).alias("n_"))
-    before = counts.withColumn("before_", F.coalesce(F.sum("n_").over(W.orderBy(group, "none_", "head_").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n_")
-    place = F.col("before_") + F.row_number().over(W.partitionBy(group, "none_", "head_").orderBy(*order))
-    same = F.col(f"r.{group}").eqNullSafe(F.col(f"c.{group}")) & (F.col("r.none_") == F.col("c.none_")) & (F.col("r.head_") == F.col("c.head_"))
-    return rows.alias("r").join(before.alias("c"), same).select("r.*", "c.before_").withColumn("place", place).drop("head_", "none_", "before_")
-
-
-#: Characters of a value by which numbered() deals rows.
-HEAD = 16
+    """df with ``place``: its running number from 1 by group, then by order; nulls come first."""
+    placed = positions(df.withColumn("all_", F.lit(0)), "all_", [F.col(c) for c in (group, *order)])
+    return placed.withColumn("place", F.col("position") + 1).drop("all_", "position")
