@@ -145,7 +145,7 @@ TREND_SIGNS = (
     r"\b(prior|previous)\s+year\b",
     r"\byear[\s-]on[\s-]year\b",
     r"\bmulti[\s-]year\b",
-    r"\b(periods?|years?)\s+(20\d{2}[,\s]+)*(20\d{2})\b",
+    r"\b(periods?|years?)\s+20\d{2}\b",
 )
 TABLE_MARK = "[structured financial table"
 

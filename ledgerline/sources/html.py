@@ -9,15 +9,38 @@ from ledgerline.functions.text import decode_entities, squeeze
 
 # Words of finance tables in English, Estonian, Latvian and Lithuanian.
 KEYWORDS = ("revenue", "sales", "ebitda", "profit", "loss", "assets", "equity", "liabilities", "cash", "capex", "income", "expenses", "tulu", "kasum", "varad", "omakapital", "ieņēmumi", "peļņa", "aktīvi", "pajamos", "pelnas", "turtas")
+#: Rows of a table that its text shows, a limit of the feature: the rest of a longer table is left out. tables() has all.
 ROWS = 80
 OMITTED = ("script", "style", "noscript", "svg")
 
 
+def _until(text: Column, end: str) -> Column:
+    """The text up to the last match of ``end``, which is in it; empty without one.
+
+    A pattern that starts anywhere in it and runs to the next ``end`` finds one,
+    so no opening is tried in vain and a search takes linear time.
+    """
+    return F.regexp_extract(text, rf"(?is)^(.*{end})", 1)
+
+
+def _cut(html: Column, pattern: str, end: str) -> Column:
+    """A space for each match of a pattern that runs to the next ``end``."""
+    return F.transform(F.array(_until(html, end)), lambda head: F.concat(F.regexp_replace(head, pattern, " "), F.substr(html, F.length(head) + 1)))[0]
+
+
+def _strip_tags(html: Column) -> Column:
+    return _cut(html, "<[^>]*>", ">")
+
+
 def html_text(html: Column) -> Column:
-    """Without scripts, styles and tags; references decoded, white space squeezed."""
+    """Without scripts, styles and tags; references decoded, white space squeezed.
+
+    An opening without its end tag is a tag like any other, one without its >
+    is text.
+    """
     for name in OMITTED:
-        html = F.regexp_replace(html, rf"(?is)<{name}[\s>].*?</{name}\s*>", " ")
-    return squeeze(decode_entities(F.regexp_replace(html, "<[^>]*>", " ")))
+        html = _cut(html, rf"(?is)<{name}[\s>].*?</{name}\s*>", rf"</{name}\s*>")
+    return squeeze(decode_entities(_strip_tags(html)))
 
 
 def has_keyword(text: Column) -> Column:
@@ -42,15 +65,24 @@ def keep_table(rows: Column) -> Column:
 
 
 def format_table(rows: Column, source: Column) -> Column:
+    """A table's first ROWS rows between marks."""
     body = F.array_join(F.transform(F.slice(rows, 1, ROWS), lambda r: F.concat(F.lit("| "), F.array_join(F.transform(r, cell), " | "), F.lit(" |"))), "\n")
     return F.concat(F.lit('[STRUCTURED FINANCIAL TABLE source="'), source, F.lit('"]\n'), body, F.lit("\n[/STRUCTURED FINANCIAL TABLE]"))
 
 
+def _cells(row: Column) -> Column:
+    """What stands between the first opening of a cell and the next end tag of one."""
+    parts = F.split(row, r"(?i)</t[hd]\s*>", -1)
+    opening = r"(?is)^(.*?<t[hd][^>]*>)"
+    tops = F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda p: F.struct(p.alias("part"), F.regexp_extract(_until(p, ">"), opening, 1).alias("top")))
+    return F.transform(F.filter(tops, lambda x: x["top"] != ""), lambda x: F.substr(x["part"], F.length(x["top"]) + 1))
+
+
 def table_rows(table: Column) -> Column:
     """Rows of two or more cells with text; only references by name are decoded in cells."""
-    rows = F.regexp_extract_all(table, F.lit(r"(?is)<tr.*?</tr\s*>"), F.lit(0))
-    clean = lambda c: squeeze(_named(F.regexp_replace(c, "<[^>]*>", " ")))
-    cells = F.transform(rows, lambda r: F.filter(F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<t[hd][^>]*>(.*?)</t[hd]\s*>"), F.lit(1)), clean), lambda c: c != ""))
+    rows = F.regexp_extract_all(_until(table, r"</tr\s*>"), F.lit(r"(?is)<tr.*?</tr\s*>"), F.lit(0))
+    clean = lambda c: squeeze(_named(_strip_tags(c)))
+    cells = F.transform(rows, lambda r: F.filter(F.transform(_cells(r), clean), lambda c: c != ""))
     return F.filter(cells, lambda r: F.size(r) >= 2)
 
 
@@ -64,7 +96,7 @@ def _named(text: Column) -> Column:
 
 def tables(html: Column) -> Column:
     """array of (number, rows) of the finance tables; every table counts for the number."""
-    found = F.regexp_extract_all(html, F.lit(r"(?is)<table.*?</table\s*>"), F.lit(0))
+    found = F.regexp_extract_all(_until(html, r"</table\s*>"), F.lit(r"(?is)<table.*?</table\s*>"), F.lit(0))
     each = F.transform(found, lambda t, i: F.struct((i + 1).alias("number"), table_rows(t).alias("rows")))
     return F.filter(each, lambda t: keep_table(t["rows"]))
 

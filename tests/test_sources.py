@@ -1,8 +1,13 @@
+import time
+
+import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.schema import SNAPSHOT
+from ledgerline.functions.text import needs_trends
 from ledgerline.operators.metrics import explode_metrics
+from ledgerline.schema import SNAPSHOT
 from ledgerline.sources import files as S
+from ledgerline.sources.html import html_text, tables_text
 
 
 def test_csv(spark):
@@ -45,3 +50,31 @@ def test_manifest(spark):
     m = spark.createDataFrame([("a", "x", "annual", None), ("b", "y", "weekly", "fr"), ("c", None, None, "en")], "file string, company_slug string, report_type string, output_language string")
     bad = S.check_manifest(m, spark.createDataFrame([("x",)], "slug string"), spark.createDataFrame([("a",), ("b",)], "file string"), ("annual",), ("en", "et"))
     assert sorted(map(tuple, bad.collect())) == [("b", "unknown company"), ("b", "unknown language"), ("b", "unknown report type"), ("c", "no such file"), ("c", "unknown company"), ("c", "unknown report type")]
+
+
+#: Tags and texts that searches can start over at, again and again.
+PARTS = ("<script ", "<script>", "<style ", "</script ", "<table ", "<table>", "<tr ", "<tr><td ", "<td ", "<td>", "<", "</tr", "&", "<!--", "2020,", "Q1 ", "years 2020, ")
+
+
+@pytest.mark.parametrize("part", PARTS)
+def test_broken_texts_take_linear_time(spark, part):
+    long = part * (1_000_000 // len(part))
+    texts = [long, f"<table><tr><td>Revenue</td><td>1</td></tr><tr><td>{long}</td><td>x</td></tr></table>", "years " + long + "x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, html string").repartition(3)
+    began = time.perf_counter()
+    df.select("i", F.length(html_text(F.col("html"))).alias("n"), F.length(tables_text(F.col("html"))).alias("m"), needs_trends(F.col("html")).alias("t")).collect()
+    assert time.perf_counter() - began < 30
+
+
+def test_openings_without_ends(spark):
+    cases = {
+        "<script>a</script>b<script>c": "b c", "<SCRIPT x>a</script >b</script>c": "b c", "<style>a<script>b</style>c</script>d": "a d", "a<b": "a<b", "a<b>c<d": "a c<d", "<svg>a</svg>b<svg": "b<svg", "": "", "x</style>": "x",
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "i int, html string")
+    assert [r[0] for r in df.orderBy("i").select(html_text(F.col("html"))).collect()] == [*cases.values()]
+
+
+def test_tables_with_odd_cells(spark):
+    page = "<table><tr><th>Revenue<th>no end</th><td class='a'>1 200</td></tr><tr><td>Profit</td>x<td>3|4</TD ><td></td></tr><tr><td>open</tr></table><table><tr><td>lost"
+    row = spark.createDataFrame([(page,)], "html string").select(tables_text(F.col("html"))).first()[0]
+    assert row.split("\n")[1:-1] == ["| Revenue no end | 1 200 |", "| Profit | 3/4 |"]
