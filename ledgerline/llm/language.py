@@ -210,11 +210,17 @@ def document_evidence(docs: DataFrame) -> DataFrame:
 
 
 def page_evidence(pages: DataFrame) -> DataFrame:
-    """Pages declare the language of their html tag; host and suffix come from the address."""
+    """Pages declare the language of their html tag; host and suffix come from the address.
+
+    Null html is an empty page, a null or odd address has neither host nor
+    suffix.  Scripts, styles and comments go, to the end if they don't end; so
+    do tags and references.  A tag ends at the next < or >, so broken and very
+    long pages take linear time.
+    """
     html = F.coalesce("html", F.lit(""))
-    text = F.regexp_replace(html, r"(?is)<(script|style)\b.*?(</\1\s*>|$)|<!--.*?(-->|$)|<[^>]*>|&#?\w+;", " ")
+    text = F.regexp_replace(html, r"(?is)<(script|style)\b.*?(</\1\s*>|$)|<!--.*?(-->|$)|<[^<>]*>|&#?\w+;", " ")
     host = F.nullif(F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1)), F.lit(""))
-    declared = F.regexp_extract(html, r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z_-]+)""", 1)
+    declared = F.regexp_extract(html, r"""(?is)<html\b[^<>]*?\blang\s*=\s*["']?([A-Za-z_-]+)""", 1)
     suffix = F.nullif(F.regexp_extract(F.coalesce(host, F.lit("")), r"\.([a-z]+)\.?$", 1), F.lit(""))
     return pages.select(F.lit(None).cast("long").alias("doc_id"), F.col("page_id").cast("long").alias("page_id"), text.alias("text"), code(declared).alias("declared"), host.alias("host"), suffix.alias("suffix"))
 

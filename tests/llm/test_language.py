@@ -1,5 +1,6 @@
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -135,6 +136,21 @@ def test_codes_and_addresses(spark):
     assert [r[0] for r in codes.select(language.code(F.col("c"))).collect()] == ["en", "fr", "es", None, None, None]
 
 
+@pytest.mark.parametrize("part", ["<", "<html ", "<script ", "<!--", "&", "<html lang", "<style>x</style", "<a href='>"])
+def test_broken_pages_take_linear_time(spark, part):
+    pages = spark.createDataFrame([(1, "http://a.de", part * (1_000_000 // len(part)) + "<p>Der Hund</p>")], "page_id long, url string, html string").repartition(2)
+    began = time.perf_counter()
+    found = language.page_evidence(pages).collect()
+    assert len(found) == 1 and time.perf_counter() - began < 15
+
+
+def test_null_and_long_pages(spark, model):
+    rows = [(1, None, None), (2, "http://a.de/", ""), (2, "http://a.de/", ""), (None, "x", "<html lang=de>" + "<p>der hund und die katze " * 40_000), (3, "http://a.de", "a < b und <p title='x>y'>der hund</p>")]
+    got = language.identify(language.page_evidence(spark.createDataFrame(rows, "page_id long, url string, html string")), model).collect()
+    assert sorted((r.page_id or 0, r.language, r.rejected) for r in got if r.page_id is None or r.page_id == 3) == [(0, "de", False), (3, "de", False)]
+    assert len(got) == 5 and all(r.rejected for r in got if r.page_id in (1, 2))
+
+
 def test_odd_rows(odd, none, model):
     left = language.keep_known(odd, model)
     assert left.columns == odd.columns
