@@ -5,6 +5,10 @@ tags.  A linear-chain CRF over the blocks, with features of their ancestors
 (tags, words of class, id and role) and of their text, labels each as main text
 or not; Viterbi finds the best labels.  It is trained on labelled pages that
 labelled_page() lays out in many ways.
+
+An element that holds much of the page tells little of any one block in it, so
+what wide elements are and are called makes features of its own; what html and
+body are called, none.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from pyspark.sql import functions as F
 from ledgerline.llm.common import bounded
 
 #: Labelled pages the model is trained on, and the seed that lays them out.
-TRAINING_PAGES = 600
+TRAINING_PAGES = 1200
 TRAINING_SEED = 7
 
 _TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
@@ -53,35 +57,73 @@ ENDS = {"li": ({"li", "p"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd", "p"}, {"d
 NAMES = {
     "ad": "ad ads advert adverts advertisement sponsor sponsored promo promotion dfp banner", "nav": "nav navbar navigation menu breadcrumb breadcrumbs pagination pager tabs toc skip",
     "header": "header masthead topbar top logo branding", "footer": "footer bottom copyright colophon legal", "side": "side sidebar aside rail widget widgets secondary complementary related recommended popular trending more",
-    "comment": "comment comments reply replies disqus discussion respond reader", "notice": "notice notices cookie cookies consent gdpr alert message banner popup modal overlay warning privacy",
+    "comment": "comment comments reply replies disqus discussion respond reader response responses feedback reaction reactions opinions guestbook talkback conversation thoughts remarks", "notice": "notice notices cookie cookies consent gdpr alert message banner popup modal overlay warning privacy",
     "form": "form newsletter subscribe subscription signup login search contact poll", "share": "share sharing social follow twitter facebook tags tag meta byline author bio", "main": "article content main post entry body story text page prose copy",
 }
 _GROUP = {word: group for group, ws in NAMES.items() for word in ws.split()}
 _LEXICAL = (
     ("cookie", re.compile(r"\b(cookies?|consent|privacy|gdpr)\b", re.I)), ("legal", re.compile(r"©|\(c\)|\ball rights reserved\b|\bterms\b|\bimprint\b", re.I)),
-    ("action", re.compile(r"\b(subscribe|sign ?up|log ?in|share|follow|click|download|buy|reply|register|search|submit|e-?mail)\b", re.I)), ("advert", re.compile(r"\b(advert\w*|sponsored|promot\w+)\b", re.I)),
+    ("talk", re.compile(r"\b(comments?|responses?|replies|reactions?|thoughts on|discussion|feedback)\b", re.I)), ("action", re.compile(r"\b(subscribe|sign ?up|log ?in|share|follow|click|download|buy|reply|register|search|submit|e-?mail)\b", re.I)), ("advert", re.compile(r"\b(advert\w*|sponsored|promot\w+)\b", re.I)),
 )
 
 
-@dataclass(frozen=True, slots=True)
+@dataclass(eq=False, slots=True)
 class Element:
-    """An open element, and what it and all around it say together."""
+    """An open element; what it and all around it say together is known once the page is read."""
 
     name: str = ""
+    up: Element | None = None
+    #: groups of its own names
+    own: frozenset[str] = frozenset()
+    #: number of this chain of element names in its page
+    place: int = 0
+    #: characters of text in it, and whether a main heading is there
+    size: int = 0
+    headed: bool = False
+    #: all elements around, and those of them that hold much of the page
     tags: frozenset[str] = frozenset()
+    wide_tags: frozenset[str] = frozenset()
     groups: frozenset[str] = frozenset()
-    #: groups of the nearest element that has any
+    wide_groups: frozenset[str] = frozenset()
+    #: groups of the nearest element that has any, and whether that is a wide one
     nearest: frozenset[str] = frozenset()
-    #: the nearest sectioning element
+    nearest_wide: bool = False
+    #: the nearest sectioning element that is not wide, or is an article or main
     around: str = "none"
-    #: number of this chain of element names in its page
-    place: int = 0
+
+    def settle(self, total: int, headed: bool) -> None:
+        """Takes over what the element around it says; total and headed are the page's."""
+        up = self.up
+        wide = self.headed and 3 * self.size >= total or not headed and 2 * self.size >= total
+        known = self.name in up.tags
+        self.tags = up.tags if known else up.tags | {self.name}
+        self.wide_tags = up.wide_tags | {self.name} if wide and self.name not in up.wide_tags else up.wide_tags
+        self.groups, self.wide_groups, self.nearest, self.nearest_wide = up.groups, up.wide_groups, up.nearest, up.nearest_wide
+        if self.own and self.name not in ("html", "body"):
+            self.nearest, self.nearest_wide = self.own, wide
+            if wide:
+                self.wide_groups = up.wide_groups | self.own
+            else:
+                self.groups = up.groups | self.own
+        self.around = self.name if self.name in _SECTIONS and (not wide or self.name in ("article", "main")) else up.around
 
 
-_ROOT = Element()
 _SECTIONS = frozenset("article main nav aside footer header form section".split())
 
 
+def _groups(element: str, attributes: str) -> frozenset[str]:
+    """What the names in an element's attributes tell; a name of an article that tells of main text only outweighs its others."""
+    found = []
+    for names in _NAME.findall(attributes):
+        for name in "".join(names).split():
+            own = frozenset(g for part in _PART.findall(name) if (g := _GROUP.get(part.lower())))
+            if own:
+                found.append(own)
+    if element in ("article", "main") and frozenset({"main"}) in found:
+        return frozenset({"main"})
+    return frozenset().union(*found)
+
+
 @dataclass
 class Block:
     text: str
@@ -94,6 +136,8 @@ class _Reader:
 
     def __init__(self) -> None:
         self.blocks: list[Block] = []
+        self.root = Element()
+        self.elements: list[Element] = []
         self.stack: list[Element] = []
         #: for each name the places in the stack, under "#block" those of all block elements but p
         self.where: dict[str, list[int]] = {n: [] for n in (*BLOCK, *OMIT, "foreignobject", "#block")}
@@ -114,7 +158,10 @@ class _Reader:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                self.blocks.append(Block(text, self.stack[-1] if self.stack else _ROOT, self.linked))
+                own = self.stack[-1] if self.stack else self.root
+                own.size += len(text)
+                own.headed |= own.name == "h1"
+                self.blocks.append(Block(text, own, self.linked))
             self.parts = []
         self.linked, self.in_link = 0, False
 
@@ -146,16 +193,22 @@ class _Reader:
         inner, limit = ENDS.get(name) or ((("p",), ("#block",)) if name in BLOCK else ((), ()))
         while (k := self.top(inner)) > self.top(limit):
             self.cut(k)
-        own = frozenset(g for found in _NAME.findall(attributes) for part in _PART.findall("".join(found)) if (g := _GROUP.get(part.lower()))) if "=" in attributes else frozenset()
-        up = self.stack[-1] if self.stack else _ROOT
+        up = self.stack[-1] if self.stack else self.root
         place = self.places.setdefault((up.place, name), len(self.places) + 1)
-        tags = up.tags if name in up.tags else up.tags | {name}
         self.where[name].append(len(self.stack))
         if name in BLOCK and name != "p":
             self.where["#block"].append(len(self.stack))
-        self.stack.append(Element(name, tags, up.groups | own if own else up.groups, own or up.nearest, name if name in _SECTIONS else up.around, place))
+        self.stack.append(Element(name, up, _groups(name, attributes) if "=" in attributes else frozenset(), place))
+        self.elements.append(self.stack[-1])
         self.omitted += name in OMIT
 
+    def settle(self) -> None:
+        for e in reversed(self.elements):
+            e.up.size += e.size
+            e.up.headed |= e.headed
+        for e in self.elements:
+            e.settle(self.root.size, self.root.headed)
+
 
 class _Tags:
     """Where tags end: past the first ">" outside of quotes, or if there is none past the first ">"."""
@@ -217,6 +270,7 @@ def blocks(page: str) -> list[Block]:
         look = at
     r.text(page[at:])
     r.flush()
+    r.settle()
     return r.blocks
 
 
@@ -252,19 +306,30 @@ def _bucket(n: float, edges: tuple[float, ...]) -> int:
     return sum(n >= e for e in edges)
 
 
+_ANCESTORS = frozenset("nav aside footer header form ul ol table blockquote figure button dialog details label fieldset section".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+
 def features(page: list[Block]) -> list[list[str]]:
-    out = []
+    out, under = [], False
     repeated = Counter(b.element.place for b in page)
     for i, b in enumerate(page):
         e, length, density = b.element, len(b.text), b.linked / max(1, len(b.text))
         inside = "article" if "article" in e.tags else "main" if "main" in e.tags else "none"
         f = ["bias", f"tag={e.name}", f"in={inside}", f"around={e.around}", f"length={_bucket(length, (20, 60, 120, 250, 500))}", f"links={_bucket(density, (0.01, 0.3, 0.7))}"]
-        f += [f"ancestor={n}" for n in e.tags if n in ("nav", "aside", "footer", "header", "form", "ul", "ol", "table", "blockquote", "figure", "button", "dialog", "details", "label", "fieldset", "section")]
-        f += [f"name={g}" for g in e.groups] + [f"near={g}" for g in e.nearest]
-        f += [f"says={k}" for k, p in _LEXICAL if length < 400 and p.search(b.text)]
+        f += [f"ancestor={n}" for n in e.tags & _ANCESTORS if n not in e.wide_tags] + [f"wide-ancestor={n}" for n in e.wide_tags & _ANCESTORS]
+        f += [f"name={g}" for g in e.groups] + [f"wide-name={g}" for g in e.wide_groups]
+        f += [f"{'wide-near' if e.nearest_wide else 'near'}={g}" for g in e.nearest]
+        says = [k for k, p in _LEXICAL if length < 400 and p.search(b.text)]
+        f += [f"says={k}" for k in says]
+        if e.name in _HEADINGS:
+            under = "talk" in says
+        if under:
+            f.append("under=talk")
         f.append(f"stop={b.text[-1] in '.!?…:;”\"' }")
         f.append(f"place={_bucket(i / max(1, len(page) - 1), (0.05, 0.2, 0.8, 0.95))}")
         f.append(f"like={_bucket(repeated[e.place], (2, 4, 8))}")
+        f.append(f"blocks={_bucket(len(page), (2, 4, 8))}")
         out.append(f)
     return out
 
@@ -345,6 +410,11 @@ def train(pages: list[tuple[list[Block], list[bool]]], steps: int = 150, penalty
 
 # --- labelled pages ---------------------------------------------------------------------------------------------------
 
+#: Names that pages give to what holds all of their text.
+_WIDE = (
+    "comments-open", "single comments-open", "has-sidebar", "header-fixed", "sidebar-right", "no-sidebar", "header-fixed sidebar-right", "with-menu", "nav-open", "page-footer-dark", "ad-free", "banner-top", "share-on", "form-page", "comment-open", "menu-left", "notice-shown",
+    "layout-side", "widget-ready", "site", "wrapper", "container", "page single", "archive tag-news", "login-page", "top", "message-board",
+)
 _SYLLABLES = "ba co de fi gu la me no pi ra se ti vo an er in on st tion ly ment".split()
 
 
@@ -410,8 +480,9 @@ def labelled_page(r: random.Random) -> tuple[list[Block], list[bool]]:
             return f"<{t}{own}>{r.choice(['By ', 'Posted on ', 'Published ', ''])}{_words(r, r.randint(1, 4))} <a href=/x>{_words(r, r.randint(1, 2))}</a></{t}>"
         t = r.choice(["section", "div", "ol", "ul"])
         inner = "li" if t in ("ol", "ul") else r.choice(["div", "p", "article"])
-        own = r.choice(["comments", "comment-list", "reader-comments", "discussion", "comments-area"])
-        head = "" if t in ("ol", "ul") else f"<h2>{_words(r, 1)}</h2>"
+        own = r.choice(["comments", "comment-list", "reader-comments", "discussion", "comments-area", "responses", "feedback", "reactions", "talkback", "opinions", "x1"])
+        said = r.choice(["Comments", "{n} comments", "Responses", "{n} responses", "Discussion", "Reader comments", "Leave a reply", "{n} thoughts on " + _words(r, 2)]).format(n=r.randint(1, 40))
+        head = "" if t in ("ol", "ul") and own != "x1" else f"<h{(h := r.choice((2, 3, 4)))}>{said if own == 'x1' or r.random() < 0.6 else _words(r, 1)}</h{h}>"
         return f'<{t} {r.choice(["class", "id"])}="{own}">{head}' + "".join(f'<{inner}{r.choice(["", " class=comment"])}>' + r.choice(["{}", "<p>{}</p>"]).format(_sentences(r, r.randint(1, 4))) + f"</{inner}>" for _ in range(r.randint(1, 5))) + f"</{t}>"
 
     def main() -> str:
@@ -428,7 +499,7 @@ def labelled_page(r: random.Random) -> tuple[list[Block], list[bool]]:
             elif kind < 0.76:
                 parts.append(f"<p><b>{text}<br>")
             elif kind < 0.82:
-                parts.append(f"<h{(h := r.randint(2, 4))}>{yes}{_words(r, r.randint(1, 6))}</h{h}>")
+                parts.append(f"<h{(h := r.randint(2, 4))}>{yes}{_words(r, r.randint(1, 6))}{' feedback' if r.random() < 0.02 else ''}</h{h}>")
             elif kind < 0.88:
                 parts.append("<ul>" + "".join(f"<li>{yes}{r.choice([_words(r, 4), _sentences(r, 1)])}</li>" for _ in range(r.randint(1, 4))) + "</ul>")
             elif kind < 0.92:
@@ -446,11 +517,18 @@ def labelled_page(r: random.Random) -> tuple[list[Block], list[bool]]:
         if bare:
             own = r.choice(["div", "div", "div", "table><tr><td"])
             return r.choice([f"<{own}>{''.join(parts)}</{own.split('>')[0]}>", "".join(parts)])
-        own = r.choice(['article', 'article', 'article', 'main', 'div class="content"', 'div id="main-content"', 'div class="post"', 'section class="article-body"'])
+        own = r.choice(['article', 'article', 'article', 'main', 'div class="content"', 'div id="main-content"', 'div class="post"', 'section class="article-body"', 'div', f'article class="{r.choice(["post", "hentry", "entry", "article"])} {r.choice(_WIDE)}"'])
         body = f"<{own}>{''.join(parts)}</{own.split()[0]}>"
         return f"<main>{body}</main>" if r.random() < 0.2 else body
 
-    bare = r.random() < 0.15
+    short = r.random()
+    if short < 0.06:  # nothing but a few paragraphs
+        own = r.choice(["{}", "{}", "<div>{}</div>", "<main>{}</main>", "<center>{}</center>"])
+        out.append(own.format(r.choice(["", "", f"<h1>{yes}{_words(r, 3)}</h1>"]) + "".join(f"<p>{yes}{_sentences(r, r.randint(1, 4))}</p>" for _ in range(r.randint(1, 3)))))
+        return _labelled(r, out, yes)
+    if short < 0.08:  # nothing of its own
+        return _labelled(r, [rest(k) for k in r.sample(["nav", "footer", "notice", "nav"], r.randint(1, 2))], yes)
+    bare = r.random() < 0.25
     for kind in ("bare", "bare") if bare else ("notice", "header", "nav", "ad", "form"):
         if r.random() < (0.7 if kind in ("nav", "bare") else 0.35):
             out.append(rest(kind))
@@ -460,8 +538,20 @@ def labelled_page(r: random.Random) -> tuple[list[Block], list[bool]]:
     for kind in () if bare else ("comments", "side", "form", "ad", "share", "notice", "nav", "footer"):
         if r.random() < (0.7 if kind == "footer" else 0.25):
             out.append(rest(kind))
-    page = "<!DOCTYPE html><html><head><title>x</title></head><body>" + "".join(out) + "</body></html>"
-    found = blocks(page)
+    return _labelled(r, out, yes)
+
+
+def _labelled(r: random.Random, parts: list[str], yes: str) -> tuple[list[Block], list[bool]]:
+    """The page of these parts, sometimes within elements that hold much of it."""
+    wide = r.random()
+    if wide < 0.15:
+        own = r.choice([f'div class="{r.choice(_WIDE)}"', f'div id="{r.choice(_WIDE).split()[0]}"', 'form id="aspnetForm"', "form", 'form name="form1" id="form1"', f'section class="{r.choice(_WIDE)}"'])
+        parts = [f"<{own}>", *parts, f"</{own.split()[0]}>"]
+    elif wide < 0.3 and len(parts) > 1:
+        k = r.randrange(len(parts))
+        parts = [*parts[:k], f'<div class="{r.choice(_WIDE)}">', *parts[k:], "</div>"]
+    named = f' class="{r.choice(_WIDE)}"' if r.random() < 0.3 else ""
+    found = blocks(f"<!DOCTYPE html><html><head><title>x</title></head><body{named}>{''.join(parts)}</body></html>")
     labels = [b.text.startswith(yes) for b in found]
     for b in found:
         b.text = b.text.removeprefix(yes)

@@ -148,6 +148,33 @@ def test_layouts_by_hand(kind):
     assert H.main_text(LAYOUTS[kind], H.trained()).split("\n\n") == MAIN[kind]
 
 
+_TEXT = ("A title of it", "The first paragraph of this page says something, and it goes on for a while.", "A second one follows, which is about as long as the first and ends here.")
+_ARTICLE = f"<article><h1>{_TEXT[0]}</h1><p>{_TEXT[1]}</p><p>{_TEXT[2]}</p></article>"
+_NAV, _FOOT = '<nav><ul><li><a href=/>Home</a></li><li><a href=/x>About</a></li></ul></nav>', "<footer><p>&copy; 2020 Someone</p></footer>"
+_TALK = "<p>I liked this a lot, thanks for it.</p><p>So did I, please write more.</p>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        *(f'<body class="{c}">{a}{_ARTICLE}{b}</body>' for c in ("single comments-open", "header-fixed sidebar-right", "has-sidebar nav-open ads") for a, b in (("", ""), (_NAV, _FOOT))),
+        *(f"{a}{_ARTICLE.replace('<article>', '<article class="post comment-open">')}{b}" for a, b in (("", ""), (_NAV, _FOOT))),
+        f'<form id="aspnetForm">{_NAV}<div class="content">{_ARTICLE.replace("article", "div")}</div>{_FOOT}</form>',
+        f'<div id="wrapper" class="has-sidebar">{_NAV}{_ARTICLE}<aside class="sidebar"><h3>More</h3><p>Another page that you may want to read.</p></aside></div>',
+        _ARTICLE.replace("</article>", f'<section id="responses"><h2>Two responses</h2>{_TALK}</section></article>'),
+        f'{_NAV}{_ARTICLE}<section id="feedback"><h2>Feedback</h2>{_TALK}</section>{_FOOT}',
+    ],
+)
+def test_names_of_what_holds_the_page_tell_nothing_of_its_parts(page):
+    assert H.main_text(page, H.trained()).split("\n\n") == [*_TEXT]
+
+
+@pytest.mark.parametrize("texts", [_TEXT[1:2], _TEXT[1:], _TEXT])
+def test_a_few_paragraphs_are_a_page(texts):
+    for around in ("{}", "<body>{}</body>", "<div>{}</div>"):
+        assert H.main_text(around.format("".join(f"<p>{t}</p>" for t in texts)), H.trained()).split("\n\n") == [*texts]
+
+
 def test_pages(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     texts = {r.page_id: r.html for r in pages.collect()}
