@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 #: White space with what Java's \s lacks: no-break and other Unicode spaces.
 SPACE = r"[\s   -     　﻿]"
+EDGES = " \t\n\r\x0b\x0c\u00a0\ufeff"
 # Letters with marks and their base letters (Latvian, Lithuanian, Estonian).
 MARKED = "ĀāČčĒēĢģĪīĶķĻļŅņŠšŪūŽžĄąĘęĖėĮįŲųÕõÄäÖöÜü"
 PLAIN = "AaCcEeGgIiKkLlNnSsUuZzAaEeEeIiUuOoAaOoUu"
@@ -22,6 +23,11 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, SPACE + "+", " "))
 
 
+def strip(text: Column) -> Column:
+    """Without white space at the ends."""
+    return F.btrim(text, F.lit(EDGES))
+
+
 def strip_marks(text: Column) -> Column:
     return F.translate(text, MARKED, PLAIN)
 

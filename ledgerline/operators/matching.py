@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerline.functions.text import osa_distance, strip_marks, token_jaccard
+from ledgerline.storage import materialize
 
 THRESHOLD = 0.85
 # Legal forms that are no part of a name.
@@ -76,33 +81,163 @@ def mismatches(reports: DataFrame, companies: DataFrame, threshold: float = THRE
     return missing.unionByName(unlike.join(best, "name", "left").select(F.col("doc").alias("id"), F.lit("unlike_catalogue").alias("reason"), "suggested_company_id"))
 
 
-def _keys(tokens: Column, raw: Column | None, ticker: Column | None) -> Column:
-    """What two names share if they match at all: three letters in a row of the padded name, a word, or the ticker."""
-    padded = F.concat(F.lit("  "), F.array_join(tokens, " "), F.lit("  "))
-    grams = F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.concat(F.lit("g:"), F.substr(padded, i, F.lit(3))))
-    words = F.transform(tokens, lambda x: F.concat(F.lit("w:"), x))
-    extra = F.transform(raw, lambda x: F.concat(F.lit("t:"), x)) if raw is not None else F.array(F.concat(F.lit("t:"), F.lower(F.nullif(ticker, F.lit("")))))
-    return F.array_distinct(F.filter(F.concat(grams, words, extra), lambda x: x.isNotNull()))
+#: Letters in a row by which names are compared before any distance is.
+GRAM = 3
+#: Least threshold at which near names must share some of them: a swap touches GRAM + 1, and so many edits leave one.
+LEAST = (GRAM + 1) / (GRAM + 2)
+
+
+def _grams(tokens: Column) -> Column:
+    """Each three letters in a row of the padded name, numbered where they come again."""
+    padded = F.concat(F.lit("  "), _joined(tokens), F.lit("  "))
+    grams = F.transform(F.sequence(F.lit(1), F.length(padded) - GRAM + 1), lambda i: F.substr(padded, i, F.lit(GRAM)))
+    numbered = lambda g: F.transform(g, lambda x, i: F.concat(F.lit("g:"), x, F.size(F.filter(F.slice(g, F.lit(1), i), lambda y: y == x)).cast("string")))
+    return F.transform(F.array(grams), numbered)[0]
+
+
+def _keys(rows: DataFrame, own: str, tokens: str, threshold: float) -> DataFrame:
+    """(own, kind, key, need): all keys of a name, and how many of a kind, the rarest first, must do.
+
+    Names whose letters are alike by the threshold differ in k letters at most,
+    so in k * (GRAM + 1) grams; words in what of a word set may be missing.
+    """
+    t, n = F.col(tokens), F.length(_joined(F.col(tokens)))
+    edits = F.floor((1 - threshold) / threshold * n + 1e-9)
+    of = lambda keys, kind, need: F.transform(keys, lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("key"), need.cast("int").alias("need")))
+    words = F.array_distinct(F.transform(t, lambda x: F.concat(F.lit("w:"), x)))
+    both = F.concat(of(_grams(t), "g", edits * (GRAM + 1) + 1), of(words, "w", F.floor((1 - threshold) * F.size(words) + 1e-9) + 1))
+    return rows.select(own, F.explode(both).alias("k")).select(own, "k.kind", "k.key", "k.need")
+
+
+def _candidates(names: DataFrame, companies: DataFrame, threshold: float) -> DataFrame:
+    """(doc, company_id) of all pairs whose letters or words may be alike by the threshold, or that share a ticker.
 
+    Of each name only its rarest keys are joined, by how many companies have
+    them; two near names share one of those.  So common letters meet nowhere.
+    """
+    left, right = _keys(names, "doc", "x", threshold), _keys(companies, "company_id", "y", threshold)
+    common = right.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+
+    def rarest(keys: DataFrame, own: str) -> DataFrame:
+        turn = F.row_number().over(W.partitionBy(own, "kind").orderBy(F.coalesce("n", F.lit(0)), "key"))
+        return keys.join(common, "key", "left").withColumn("turn", turn).where("turn <= need").select(own, "key")
+
+    listed = companies.where(F.coalesce("ticker", F.lit("")) != "").select("company_id", F.lower("ticker").alias("key"))
+    by_ticker = names.select("doc", F.explode(F.array_distinct("raw")).alias("key")).join(listed, "key")
+    return rarest(left, "doc").join(rarest(right, "company_id"), "key").select("doc", "company_id").unionByName(by_ticker.select("doc", "company_id")).distinct()
+
+
+def _named(names: DataFrame, audit: bool) -> DataFrame:
+    return names.select("doc", "name", name_tokens(F.col("name"), audit).alias("x"), raw_tokens(F.col("name")).alias("raw")).where(F.size("x") > 0)
 
-def suggest_companies(names: DataFrame, companies: DataFrame) -> DataFrame:
-    """An audit's suggestion: the best company with any likeness above zero that shares a word, a ticker or three letters in a row."""
-    return match_companies(names, companies, 0.0, audit=True)
+
+def _listed(companies: DataFrame, audit: bool) -> DataFrame:
+    rows = companies.select(F.col("id").alias("company_id"), "ord", "ticker", name_tokens(F.col("name"), audit).alias("y"))
+    return rows.where(F.size("y") > 0) if audit else rows
 
 
 def match_companies(names: DataFrame, companies: DataFrame, threshold: float = THRESHOLD, audit: bool = False) -> DataFrame:
     """(doc, name, company_id, confidence): the company each name fits best, if by ``threshold`` or more.
 
-    names (doc, name), companies (id, name, ticker, ord).  Of equally good
-    companies the first by ord.  A name within an edit for every seven letters
-    shares three letters in a row with the other, so candidates come from an
-    equi-join and not from all pairs.
+    names (doc, name) with each doc once, companies (id, name, ticker, ord).  Of
+    equally good companies the first by ord.  Pairs come from an equi-join of
+    rare keys that misses none; that needs a threshold of LEAST or more, else
+    see best_companies().
     """
-    n = names.select("doc", F.col("name"), name_tokens(F.col("name"), audit).alias("x"), raw_tokens(F.col("name")).alias("raw")).where(F.size("x") > 0)
-    c = companies.select(F.col("id").alias("company_id"), "ord", F.col("ticker"), name_tokens(F.col("name"), audit).alias("y"))
-    left = n.select("doc", "x", "raw", "name", F.explode(_keys(F.col("x"), F.col("raw"), None)).alias("key"))
-    right = c.select("company_id", "ord", "ticker", "y", F.explode(_keys(F.col("y"), None, F.col("ticker"))).alias("key"))
-    pairs = left.join(right, "key").drop("key").dropDuplicates(["doc", "company_id"])
-    scored = with_confidence(pairs, threshold).where((F.col("confidence") > 0) & (F.col("confidence") >= threshold))
+    if threshold < LEAST:
+        raise ValueError(f"threshold below {LEAST}: use best_companies()")
+    n, c = _named(names, audit), _listed(companies, audit)
+    # written once, as the pairs are read twice: those whose letters decide, and the rest
+    pairs = materialize(_candidates(n, c, threshold).join(n, "doc").join(c, "company_id"), "name-pairs")
+    scored = with_confidence(pairs, threshold).where(F.col("confidence") >= threshold)
     best = F.row_number().over(W.partitionBy("doc").orderBy(F.col("confidence").desc(), "ord"))
     return scored.withColumn("n_", best).where("n_ = 1").select("doc", "name", "company_id", "confidence")
+
+
+# --- the best of all, however unlike ----------------------------------------------------------------------------------
+
+#: Rows of names and of companies that meet in one task.
+NAME_BLOCK, COMPANY_BLOCK = 1_000, 20_000
+_BUCKETS = 64
+
+
+def osa_many(a: str, others: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Edits and swaps of neighbours between a name and each of many (a column of letter codes each), all at once."""
+    width, n = others.shape
+    before, last = None, np.repeat(np.arange(width + 1, dtype=np.int32)[:, None], n, 1)
+    codes = [ord(x) for x in a]
+    for i, x in enumerate(codes):
+        row = np.empty_like(last)
+        row[0] = i + 1
+        same = others == x
+        for j in range(width):
+            best = np.minimum(np.minimum(last[j + 1], row[j]) + 1, last[j] + ~same[j])
+            if i and j:
+                swap = same[j - 1] & (others[j] == codes[i - 1])
+                best = np.where(swap, np.minimum(best, before[j - 1] + 1), best)
+            row[j + 1] = best
+        before, last = last, row
+    return last[lengths, np.arange(n)]
+
+
+def _bags(texts: Iterable[str]) -> np.ndarray:
+    """How often letters come in each text, some letters together."""
+    return np.array([np.bincount([ord(x) % _BUCKETS for x in t], minlength=_BUCKETS) for t in texts], np.int16).reshape(-1, _BUCKETS)
+
+
+def _best_of_block(names: pd.DataFrame, companies: pd.DataFrame) -> pd.DataFrame:
+    """For each name the best company of the block: (doc, confidence, ord, company_id)."""
+    if companies.empty:
+        return pd.DataFrame([], columns=["doc", "confidence", "ord", "company_id"])
+    companies = companies.sort_values("ord", kind="stable").reset_index(drop=True)
+    texts = [" ".join(y) for y in companies["y"]]
+    lengths, bags = np.array([len(t) for t in texts]), _bags(texts)
+    codes = np.zeros((max(1, lengths.max(initial=1)), len(texts)), np.int32)
+    for k, t in enumerate(texts):
+        codes[: len(t), k] = [ord(x) for x in t]
+    sets, by_word, by_ticker = [set(y) for y in companies["y"]], {}, {}
+    for k, (words, ticker) in enumerate(zip(sets, companies["ticker"])):
+        for w in words:
+            by_word.setdefault(w, []).append(k)
+        if ticker:
+            by_ticker.setdefault(ticker.lower(), []).append(k)
+    out = []
+    for doc, x, raw in zip(names["doc"], names["x"], names["raw"]):
+        a, words = " ".join(x), set(x)
+        score = np.zeros(len(texts))
+        for k in {k for w in words for k in by_word.get(w, ())}:
+            score[k] = len(words & sets[k]) / len(words | sets[k])
+        for k in {k for w in raw for k in by_ticker.get(w, ())}:
+            score[k] = 1.0
+        longest = np.maximum(lengths, len(a))
+        most = np.minimum(bags, _bags([a])).sum(1) / longest  # no distance makes more of it
+        tried = np.argsort(-most, kind="stable")[:64]
+        for part in (tried, None):
+            if part is None:
+                part = np.setdiff1d(np.flatnonzero((most >= score.max()) & (most > score)), tried)
+            if len(part):
+                score[part] = np.maximum(score[part], 1 - osa_many(a, codes[:, part], lengths[part]) / longest[part])
+        k = int(score.argmax())  # the first of the best
+        if score[k] > 0:
+            out.append((doc, float(score[k]), companies["ord"][k], companies["company_id"][k]))
+    return pd.DataFrame(out, columns=["doc", "confidence", "ord", "company_id"])
+
+
+def best_companies(names: DataFrame, companies: DataFrame, audit: bool = True) -> DataFrame:
+    """(doc, name, company_id, confidence): the company each name fits best, by however little above 0; equal ones by ord.
+
+    Names that fit one by THRESHOLD or more have it from match_companies().
+    What is left is compared with all companies, a block of names with a block
+    of companies at a time; a bound from the letters that two names share
+    leaves few distances to work out.  names (doc, name) with each doc once.
+    """
+    sure = match_companies(names, companies, THRESHOLD, audit)
+    n, c = _named(names.join(sure.select("doc"), "doc", "left_anti"), audit), _listed(companies, audit)
+    parts, blocks = (max(1, -(-df.count() // size)) for df, size in ((n, NAME_BLOCK), (c, COMPANY_BLOCK)))
+    all_of = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    left = n.select("doc", "x", "raw", F.pmod(F.xxhash64("doc"), F.lit(parts)).cast("int").alias("part"), all_of(blocks).alias("block"))
+    right = c.select("company_id", "ord", "ticker", "y", F.pmod(F.xxhash64("company_id"), F.lit(blocks)).cast("int").alias("block"), all_of(parts).alias("part"))
+    types = {f.name: f.dataType.simpleString() for f in (*left.schema, *right.schema)}
+    found = left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInPandas(_best_of_block, f"doc {types['doc']}, confidence double, ord {types['ord']}, company_id {types['company_id']}")
+    best = found.groupBy("doc").agg(F.max(F.struct("confidence", (-F.col("ord")).alias("first"), "company_id")).alias("b"))
+    return sure.unionByName(n.select("doc", "name").join(best, "doc").select("doc", "name", "b.company_id", "b.confidence"))

@@ -9,13 +9,8 @@ from pyspark.sql import functions as F
 from ledgerline.functions.labels import canonical_id, compare_rank
 from ledgerline.functions.text import SECTIONS, section_name
 from ledgerline.operators.matching import mismatches
+from ledgerline.operators.snapshots import SNAPSHOT  # noqa: F401  what these rules read
 
-#: A snapshot's columns; any of its parts may be null.
-SNAPSHOT = (
-    "struct<company_name: string, report_period: string, metrics: array<struct<label: string, value: double>>, "
-    "trends: struct<periods: array<string>, revenue: array<double>, ebitda: array<double>, net_profit: array<double>, fcf: array<double>>, "
-    "breakdown: struct<segments: array<string>, geographies: array<string>>, narratives: array<struct<section: string, text: string>>>"
-)
 SERIES = ("revenue", "ebitda", "net_profit", "fcf")
 # Figures that a filing should have, and how bad an audit's finding is.
 CORE = ("revenue", "ebitda", "net_profit", "free_cash_flow")
@@ -37,15 +32,19 @@ def _twice(names: Column, squeeze: bool) -> Column:
     return F.size(own) > F.size(F.array_distinct(own))
 
 
+def _part_names(parts: Column) -> Column:
+    return F.transform(parts, lambda x: x["name"])
+
+
 def _finite(series: Column) -> Column:
-    return F.exists(series, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.exists(series, lambda x: F.coalesce(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
 
 
 def issue_codes(snapshot: Column, mismatch: Column) -> Column:
     """The codes that hold, in the order of ISSUES."""
     s = lambda name: snapshot[name]
     trends, metrics, told = s("trends"), s("metrics"), s("narratives")
-    n = F.size(F.coalesce(metrics, F.array().cast("array<struct<label: string, value: double>>")))
+    n = F.coalesce(F.size(metrics), F.lit(0))
     nulls = F.size(F.filter(metrics, lambda m: m["value"].isNull()))
     have = F.transform(F.filter(metrics, lambda m: m["value"].isNotNull()), lambda m: canonical_id(m["label"]))
     periods = F.coalesce(trends["periods"], F.array().cast("array<string>"))
@@ -64,9 +63,9 @@ def issue_codes(snapshot: Column, mismatch: Column) -> Column:
         "duplicate_trend_periods": _twice(periods, False),
         "trend_series_length_mismatch": trends.isNotNull() & any_of(lengths),
         "all_null_trends": (F.size(periods) > 0) & ~any_of(some),
-        "duplicate_revenue_breakdown_entries": F.coalesce(_twice(s("breakdown")["segments"], True), F.lit(False)) | F.coalesce(_twice(s("breakdown")["geographies"], True), F.lit(False)),
+        "duplicate_revenue_breakdown_entries": F.coalesce(_twice(_part_names(s("breakdown")["segments"]), True), F.lit(False)) | F.coalesce(_twice(_part_names(s("breakdown")["geographies"]), True), F.lit(False)),
         "non_canonical_narrative_sections": F.exists(names, lambda x: ~section_name(x).isin(*SECTIONS)),
-        "missing_executive_summary": (F.size(told) > 0) & ~F.exists(told, lambda x: section_name(x["section"]) == "executive_summary"),
+        "missing_executive_summary": (F.size(told) > 0) & ~F.exists(told, lambda x: F.coalesce(section_name(x["section"]) == "executive_summary", F.lit(False))),
     }
     assert list(rules) == list(ISSUES)
     return F.array_compact(F.array(*(F.when(F.coalesce(v, F.lit(False)), F.lit(k)) for k, v in rules.items())))
@@ -87,7 +86,7 @@ def audit(reports: DataFrame, companies: DataFrame) -> DataFrame:
 
 def has_content(snapshot: Column) -> Column:
     """Whether a filing has a metric or a narrative of more than MEANINGFUL characters."""
-    told = F.exists(snapshot["narratives"], lambda x: F.length(x["text"]) > MEANINGFUL)
+    told = F.exists(snapshot["narratives"], lambda x: F.coalesce(F.length(x["text"]) > MEANINGFUL, F.lit(False)))
     return F.coalesce(F.size(snapshot["metrics"]) > 0, F.lit(False)) | F.coalesce(told, F.lit(False))
 
 
@@ -154,3 +153,12 @@ def retry_delay(attempt: Column, chance: Column, status: Column, retry_after: Co
 def open_chunks(wanted: DataFrame, done: DataFrame) -> DataFrame:
     """Chunks (doc, chunk) still to be read when a run is taken up again."""
     return wanted.join(done.select("doc", "chunk"), ["doc", "chunk"], "left_anti")
+
+
+def company_reports(reports: DataFrame) -> DataFrame:
+    """(company_id, place, id, revenue, ebitda, net_profit, fcf, guidance): each company's reports, newest year first, then by type, with their previews."""
+    from ledgerline.operators.completion import previews
+
+    own = W.partitionBy("company_id").orderBy(F.col("fiscal_year").desc(), "report_type", "id")
+    placed = reports.select("company_id", "id", F.row_number().over(own).alias("place"), F.col("snapshot.guidance").alias("guidance"))
+    return placed.join(previews(reports).withColumnRenamed("doc", "id"), "id", "left").select("company_id", "place", "id", *SERIES, "guidance")

@@ -33,14 +33,18 @@ _T = f"regexp_replace({_U}, '\\s+', '', 'g')"
 UNIT = f"CASE WHEN {_U} = '' THEN 1 WHEN regexp_matches({_U}, 'bn|billion|miljards?') THEN 1000000000 WHEN regexp_matches({_T}, '\\beurm\\b|million|mln|milj|\\bmn\\b') OR (regexp_matches({_T}, '\\bm\\b') AND regexp_matches({_T}, 'eur|€|usd|\\$') AND NOT regexp_matches({_T}, 'thousand|k\\b')) THEN 1000000 WHEN regexp_matches({_U}, {re2(M.UNIT_THOUSAND)}) THEN 1000 ELSE 1 END"
 _E = "lower(concat_ws(' ', nullif(snippet, ''), nullif(rationale, '')))"
 EVIDENCE = f"CASE WHEN regexp_matches({_E}, 'bn|billion|miljards?') THEN 1000000000 WHEN regexp_matches({_E}, {re2(M.TEXT_MILLION)}) THEN 1000000 WHEN regexp_matches({_E}, {re2(M.TEXT_THOUSAND)}) THEN 1000 ELSE 1 END"
-#: Metrics with what normalization needs, and with it.
-SCALED = f"""m AS (SELECT *, {UNIT} AS u, {EVIDENCE} AS e, {_RATIO('label')} AS ratio, {_SUM('label')} AND value IS NOT NULL AS summed, {canonical_sql('label')} AS id, regexp_replace({_U}, '\\s+', '', 'g') IN ('', 'eur', '€', 'euro') AS plain FROM {_M}),
+def scaled_sql(rows: str) -> str:
+    """CTEs up to scaled: metrics with what normalization needs, and their value in whole euro."""
+    return f"""m AS (SELECT *, {UNIT} AS u, {EVIDENCE} AS e, {_RATIO('label')} AS ratio, {_SUM('label')} AND value IS NOT NULL AS summed, {canonical_sql('label')} AS id, regexp_replace({_U}, '\\s+', '', 'g') IN ('', 'eur', '€', 'euro') AS plain FROM {rows}),
 agreed AS (SELECT doc, arg_max(e, (n, e)) AS w FROM (SELECT doc, e, count(*) AS n FROM m WHERE e > 1 GROUP BY ALL HAVING count(*) >= 2) GROUP BY doc),
 whole AS (SELECT doc, count(*) FILTER (summed) AS sums, max(abs(value)) FILTER (summed) AS top, bool_or(abs(value) <> floor(abs(value))) FILTER (summed) AS broken, bool_or(greatest(u, e) = 1000000) AS million FROM m GROUP BY doc),
 scaled AS (SELECT m.*, CASE WHEN value IS NULL OR ratio THEN value WHEN u <> 1 AND value <> 0 THEN value * u WHEN NOT plain OR NOT summed OR abs(value) >= 1000000 THEN value WHEN e > 1 THEN value * e WHEN w > 1 THEN value * w
  WHEN sums >= 3 AND top < 10000 AND (broken OR million) THEN value * 1000000 ELSE value END AS euro FROM m LEFT JOIN agreed USING (doc) LEFT JOIN whole USING (doc))"""
 
 
+SCALED = scaled_sql(_M)
+
+
 @query("G2_canonical_id", f"SELECT doc, ord, {canonical_sql('label')} AS metric_id FROM {_M}")
 def canonical(spark: SparkSession, sf: str) -> DataFrame:
     return METRICS.df(spark, sf).select("doc", "ord", L.canonical_id(F.col("label")).alias("metric_id"))
@@ -100,7 +104,11 @@ _WORDS = lambda x: f"list_distinct(regexp_split_to_array(lower({x}), '\\s+'))"
 _NEAR = lambda a, b: f"(levenshtein({a}, {b}) <= 3 OR len(list_intersect({_WORDS(a)}, {_WORDS(b)})) / len(list_distinct(list_concat({_WORDS(a)}, {_WORDS(b)}))) >= 0.85)"
 
 
-@query("C12_near_pairs", f"WITH x AS (SELECT doc, ord, {_KEY} AS key FROM {_M}) SELECT a.doc, a.ord AS i, b.ord AS j FROM x a JOIN x b ON a.doc = b.doc AND a.ord < b.ord WHERE {_NEAR('a.key', 'b.key')}")
+# labels are few, so their distances are worked out once for each pair of labels, not of rows
+_LABELS = f"x AS MATERIALIZED (SELECT doc, ord, {_KEY} AS key FROM {_M}), k AS MATERIALIZED (SELECT DISTINCT key FROM x), near AS MATERIALIZED (SELECT a.key AS ka, b.key AS kb FROM k a, k b WHERE {_NEAR('a.key', 'b.key')})"
+
+
+@query("C12_near_pairs", f"WITH {_LABELS} SELECT a.doc, a.ord AS i, b.ord AS j FROM x a JOIN x b ON a.doc = b.doc AND a.ord < b.ord JOIN near ON ka = a.key AND kb = b.key")
 def near_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return O.near_pairs(METRICS.df(spark, sf))
 
@@ -186,10 +194,9 @@ def first_year(spark: SparkSession, sf: str) -> DataFrame:
     return PERIODS.df(spark, sf).select("doc", "s", P.first_year(F.col("s")).alias("year"))
 
 
-@query("G43_deltas", "SELECT l_orderkey, l_linenumber, l_tax - l_discount AS absolute, CASE WHEN l_discount <> 0 THEN (l_tax - l_discount) / abs(l_discount) * 100 END AS percent, CASE WHEN l_tax <> l_discount THEN l_tax < l_discount END AS favorable FROM lineitem WHERE l_linenumber = 1")
+@query("G43_deltas", "SELECT l_orderkey, l_linenumber, l_tax - l_discount AS absolute, CASE WHEN l_discount <> 0 THEN (l_tax - l_discount) / abs(l_discount) * 100 END AS percent, CASE WHEN l_tax <> l_discount THEN l_tax < l_discount END AS favorable FROM lineitem")
 def deltas(spark: SparkSession, sf: str) -> DataFrame:
-    lines = table(spark, sf, "lineitem").where("l_linenumber = 1")
-    return lines.select("l_orderkey", "l_linenumber", M.delta(F.col("l_discount"), F.col("l_tax"), F.lit(False)).alias("d")).select("l_orderkey", "l_linenumber", "d.*")
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", M.delta(F.col("l_discount"), F.col("l_tax"), F.lit(False)).alias("d")).select("l_orderkey", "l_linenumber", "d.*")
 
 
 @query("G46_clamped_confidence", "SELECT event_id, least(1.0, greatest(0.0, value / 100)) AS confidence FROM events")

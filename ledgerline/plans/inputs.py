@@ -167,7 +167,6 @@ FILED = Made(
         "CAST(" + dealt((0.9, 0.5, 1.0, None), "o_orderkey") + " AS DOUBLE) AS company_confidence", "CAST(" + dealt((0.9, None, 0.2), "o_custkey") + " AS DOUBLE) AS period_confidence",
     ),
 )
-NAMES = Rows("id string, name string, ticker string, ord int", (("c1", "AB Telia Lietuva", "TEL1L", 1), ("c2", "AS Tallink Grupp", "TAL1T", 2), ("c3", "Ignitis grupė, AB", "IGN1L", 3), ("c4", "Latvijas Gāze AS", "GZE1R", 4), ("c5", "LHV Group", "LHV1T", 5), ("c6", "AS LHV Group", None, 6), ("c7", "Harju Elekter Group AS", "HAE1T", 7)))
 #: Company names as filings write them, some with a number that no company has.
 VARIANTS = Made(("o_orderkey AS doc", dealt(("Telia Lietuva, AB", "Tallink Grupp", "Tallnik Grupp", "Grupp Tallink AS", "TAL1T results", "LHV Group", "Unknown Holding", "AS", "Ignitis", "Latvijas Gaze", "", "Harju  Elekter, A/S"), "o_orderkey") + " || CASE WHEN o_custkey % 7 = 0 THEN ' ' || CAST(o_custkey AS STRING) ELSE '' END AS name"))
 STRING = "CAST({} AS STRING)".format

@@ -1,81 +1,118 @@
-"""Queries on whole filings whose snapshots are made from the star schema, with gaps and faults by arithmetic."""
+"""Queries on whole filings (plans/snapshots.py), on their companies, reviews and previews."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ledgerline.functions import text as X
 from ledgerline.functions.money import compact_euro
 from ledgerline.operators import compare as C
 from ledgerline.operators import reviews as R
+from ledgerline.operators import snapshots as S
 from ledgerline.operators import tables as T
-from ledgerline.operators.matching import mismatches, suggest_companies
-from ledgerline.plans.inputs import FILINGS_SQL, companies, filings, table
+from ledgerline.operators.completion import decide, previews
+from ledgerline.operators.matching import LEGAL_FORMS, best_companies, match_companies, mismatches
+from ledgerline.plans.figures import _EXCLUDED, _IDS, _SAYS, canonical_sql, scaled_sql
+from ledgerline.plans.inputs import FILINGS_SQL, filings, table
 from ledgerline.plans.registry import query
+from ledgerline.plans.snapshots import MARKED, SNAP_SQL, catalogue, snapshots
+from ledgerline.plans.texts import MARKS, NAME, TOKENS, canonical_section_sql
 
+# --- names ------------------------------------------------------------------------------------------------------------
 
-def _name(number: Column) -> Column:
-    return F.left(F.md5(number.cast("string").cast("binary")), F.lit(12))
+_RAW = lambda x: TOKENS(x).replace(f" AND t NOT IN ({', '.join(map(repr, LEGAL_FORMS))})", "")
+assert _RAW("x") != TOKENS("x")
 
 
-def catalogue(spark: SparkSession, sf: str) -> DataFrame:
-    """(id, name, ticker, ord): companies under names without any likeness."""
-    return companies(spark, sf).select(F.col("company_id").alias("id"), _name(F.col("company_id")).alias("name"), F.lit(None).cast("string").alias("ticker"), F.col("company_id").alias("ord"))
+def _osa(a: str, b: str) -> str:
+    """Edits and swaps of neighbours between two texts, row by row of the usual table; rows are lists, the row before the last one is kept."""
+    swap = f"CASE WHEN x[1][1] > 1 AND y[1] > 1 AND {a}[x[1][1]] = {b}[y[1] - 1] AND {a}[x[1][1] - 1] = {b}[y[1]] THEN s[1][y[1] - 1] + 1 ELSE 1000000 END"
+    cell = f"least(s[2][y[1] + 1] + 1, r[y[1]] + 1, s[2][y[1]] + ({a}[x[1][1]] <> {b}[y[1]])::INT, {swap})"
+    row = f"list_reduce(list_transform(range(1, length({b}) + 1), lambda j: [j]), lambda r, y: list_append(r, {cell}), [x[1][1]])"
+    return f"list_reduce(list_transform(range(1, length({a}) + 1), lambda i: [[i]]), lambda s, x: [s[2], {row}], [[0], range(0, length({b}) + 1)])[2][length({b}) + 1]"
 
 
-def snapshots(spark: SparkSession, sf: str) -> DataFrame:
-    """filings() with snapshot; a company's number and the year decide what it lacks."""
-    c, y = F.col("company_id"), F.col("fiscal_year")
-    unless = lambda n, value, of=c: F.when(of % n != 0, value)
-    metric = lambda label, value: F.struct(F.lit(label).alias("label"), value.cast("double").alias("value"))
-    metrics = F.when(c % 23 == 0, F.array().cast("array<struct<label: string, value: double>>")).otherwise(F.array(metric("Net profit", unless(4, F.col("net_profit"))), metric("Revenue", unless(6, F.col("revenue"))), metric("Free cash flow", unless(3, F.lit(1.0))), metric("EBITDA", F.lit(2.0))))
-    period = y.cast("string")
-    series = lambda value: F.array(F.lit(None).cast("double"), unless(9, value))
-    trends = F.struct(
-        F.when(y % 3 == 0, F.array(period, F.concat(period, F.lit(" ")))).otherwise(F.array((y - 1).cast("string"), period)).alias("periods"), F.when(c % 5 == 0, F.array(unless(9, F.col("revenue")))).otherwise(series(F.col("revenue"))).alias("revenue"),
-        F.lit(None).cast("array<double>").alias("ebitda"), series(F.col("net_profit")).alias("net_profit"), F.array(F.lit(None).cast("double"), F.lit(None).cast("double")).alias("fcf"),
-    )
-    breakdown = F.struct(F.when(c % 8 == 0, F.array(F.lit("A"), F.lit(" a  "))).otherwise(F.array(F.lit("A"), F.lit("B"))).alias("segments"), F.lit(None).cast("array<string>").alias("geographies"))
-    told = lambda *names: F.array(*(F.struct(F.lit(x).alias("section"), F.when(c % 2 == 0, F.repeat(F.lit("x"), F.lit(60))).otherwise("short").alias("text")) for x in names))
-    narratives = F.when(c % 41 == 0, F.array().cast("array<struct<section: string, text: string>>")).when(c % 10 == 0, told("Highlights of the year", "executiveSummary")).when(c % 7 == 0, told("outlook", "business_overview", "outlook")).otherwise(told("outlook", "letter", "executive_summary"))
-    name = F.when(c % 13 == 0, " ").when(c % 11 == 0, _name(c + 1)).otherwise(_name(c))
-    snapshot = F.struct(name.alias("company_name"), unless(5, period, y).alias("report_period"), metrics.alias("metrics"), unless(31, trends).alias("trends"), unless(37, breakdown).alias("breakdown"), narratives.alias("narratives"))
-    filed = F.when(c % 19 == 0, None).when(c % 17 == 0, c + 1_000_000).otherwise(c)
-    return filings(spark, sf).withColumn("snapshot", F.when(c % 29 != 0, snapshot).cast(R.SNAPSHOT)).withColumn("filed_under", filed)
+def scored_sql(pairs: str, audit: bool) -> str:
+    """CTEs up to scored: pairs (doc, id, ord, name, own, ticker) with their confidence.
 
+    DuckDB's own distances count bytes, so marked letters become digits first;
+    only pairs whose bounds leave the score open get the exact distance.
+    """
+    of = lambda x: TOKENS(MARKS(x)) if audit else TOKENS(x)
+    plain = lambda x: f"translate(array_to_string({x}, ' '), '{MARKED}', '{'0123456789'[: len(MARKED)]}')"
+    return f"""tokens AS (SELECT *, {of('name')} AS x, {of('own')} AS y, {_RAW('name')} AS raw FROM {pairs}), joined AS (SELECT *, {plain('x')} AS a, {plain('y')} AS b,
+ greatest(len(list_intersect(x, y)) / greatest(1, len(list_distinct(list_concat(x, y)))), CASE WHEN list_contains(raw, lower(ticker)) THEN 1.0 ELSE 0.0 END) AS words FROM tokens WHERE len(x) > 0 AND ({'len(y) > 0' if audit else 'true'})),
+bounded AS (SELECT *, greatest(length(a), length(b)) AS longest, levenshtein(a, b) AS far, damerau_levenshtein(a, b) AS near FROM joined),
+open AS (SELECT * FROM (SELECT *, max(greatest(words, 1 - far / longest)) OVER (PARTITION BY doc) AS sure FROM bounded) WHERE greatest(words, 1 - near / longest) >= sure),
+scored AS (SELECT doc, id, ord, greatest(words, 1 - CASE WHEN far = near THEN far ELSE {_osa('a', 'b')} END / longest) AS confidence FROM open)"""
 
-def _filed(spark: SparkSession, sf: str) -> DataFrame:
-    return snapshots(spark, sf).select("id", F.col("filed_under").alias("company_id"), "snapshot")
 
+_EVERY = "(SELECT n.name AS doc, n.name, c.id, c.ord, c.name AS own, c.ticker FROM names n, catalogue c)"
+_NAMES = "names AS (SELECT DISTINCT trim(snapshot.company_name) AS name FROM snap WHERE trim(snapshot.company_name) <> '')"
+_BEST = "SELECT doc AS name, id AS company_id, confidence FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY confidence DESC, ord) AS k FROM scored) WHERE k = 1"
 
-_SAYS = "CASE WHEN company_id % 13 = 0 THEN '' WHEN company_id % 11 = 0 THEN substr(md5(CAST(company_id + 1 AS VARCHAR)), 1, 12) ELSE substr(md5(CAST(company_id AS VARCHAR)), 1, 12) END"
-_WRONG = f"""{FILINGS_SQL}, wrong AS (SELECT id, company_id, CASE WHEN company_id % 17 = 0 THEN 'not_in_catalogue' ELSE 'unlike_catalogue' END AS reason, CASE WHEN company_id % 17 <> 0 THEN s_suppkey END AS suggested_company_id
- FROM filings LEFT JOIN supplier ON s_suppkey = company_id + 1 WHERE company_id % 29 <> 0 AND company_id % 19 <> 0 AND company_id % 13 <> 0 AND (company_id % 17 = 0 OR company_id % 11 = 0))"""
 
+def _said(spark: SparkSession, sf: str) -> DataFrame:
+    names = snapshots(spark, sf).select(F.trim("snapshot.company_name").alias("name")).where("name <> ''").distinct()
+    return names.select(F.col("name").alias("doc"), "name")
 
-@query("J4q_mismatches", f"WITH {_WRONG} SELECT id, reason, suggested_company_id FROM wrong")
-def company_mismatches(spark: SparkSession, sf: str) -> DataFrame:
-    return mismatches(_filed(spark, sf).select("id", "company_id", F.col("snapshot.company_name").alias("extracted")), catalogue(spark, sf))
 
+@query("C5_match_companies", f"WITH {SNAP_SQL}, {_NAMES}, {scored_sql(_EVERY, False)} SELECT name, company_id, round(confidence, 9) AS confidence FROM ({_BEST}) WHERE confidence >= 0.85")
+def match(spark: SparkSession, sf: str) -> DataFrame:
+    """The company of every extracted name that fits one, out of all suppliers."""
+    return match_companies(_said(spark, sf), catalogue(spark, sf)).select("name", "company_id", F.round("confidence", 9).alias("confidence"))
 
-@query("C6_suggestions", f"WITH {FILINGS_SQL} SELECT DISTINCT n AS name, s_suppkey AS company_id, 1.0::DOUBLE AS confidence FROM (SELECT {_SAYS} AS n FROM filings WHERE company_id % 29 <> 0) JOIN supplier ON n = substr(md5(CAST(s_suppkey AS VARCHAR)), 1, 12)")
+
+@query("C6_suggestions", f"WITH {SNAP_SQL}, {_NAMES}, {scored_sql(_EVERY, True)} SELECT name, company_id, round(confidence, 9) AS confidence FROM ({_BEST}) WHERE confidence > 0")
 def suggestions(spark: SparkSession, sf: str) -> DataFrame:
-    """The best company of every extracted name; whole names are the best there can be."""
-    names = snapshots(spark, sf).select(F.trim("snapshot.company_name").alias("name")).where("name <> ''").distinct()
-    return suggest_companies(names.select(F.col("name").alias("doc"), "name"), catalogue(spark, sf)).where("confidence = 1").select("name", "company_id", "confidence")
+    """The best company of every extracted name, however little it fits."""
+    return best_companies(_said(spark, sf), catalogue(spark, sf)).select("name", "company_id", F.round("confidence", 9).alias("confidence"))
 
 
-_CODES = """list_filter([CASE WHEN id IN (SELECT id FROM wrong) THEN 'company_mismatch' END, CASE WHEN NOT s THEN 'missing_snapshot' END, CASE WHEN s AND c % 13 = 0 THEN 'missing_company_metadata' END, CASE WHEN s AND y % 5 = 0 THEN 'missing_report_period_metadata' END,
- CASE WHEN s AND c % 23 = 0 THEN 'zero_metrics' END, CASE WHEN s AND c % 23 <> 0 AND (c % 4 = 0)::INT + (c % 6 = 0)::INT + (c % 3 = 0)::INT >= 2 THEN 'mostly_null_metrics' END, CASE WHEN s AND c % 23 <> 0 AND (c % 4 = 0 OR c % 3 = 0) THEN 'missing_core_metrics' END,
- CASE WHEN s AND c % 31 <> 0 AND y % 3 = 0 THEN 'duplicate_trend_periods' END, CASE WHEN s AND c % 31 <> 0 AND c % 5 = 0 THEN 'trend_series_length_mismatch' END, CASE WHEN s AND c % 31 <> 0 AND c % 9 = 0 THEN 'all_null_trends' END,
- CASE WHEN s AND c % 37 <> 0 AND c % 8 = 0 THEN 'duplicate_revenue_breakdown_entries' END, CASE WHEN s AND c % 41 <> 0 AND (c % 10 = 0 OR c % 7 <> 0) THEN 'non_canonical_narrative_sections' END, CASE WHEN s AND c % 41 <> 0 AND c % 10 <> 0 AND c % 7 = 0 THEN 'missing_executive_summary' END], lambda x: x IS NOT NULL)"""
-_AUDIT = f"WITH {_WRONG}, f AS (SELECT id, company_id AS c, fiscal_year AS y, company_id % 29 <> 0 AS s FROM filings), a AS (SELECT id, c, y, {_CODES} AS codes FROM f)"
-_HIGH = "['company_mismatch', 'missing_snapshot', 'missing_company_metadata', 'missing_report_period_metadata', 'zero_metrics']"
-_MEDIUM = "['missing_core_metrics', 'mostly_null_metrics', 'all_null_trends', 'trend_series_length_mismatch']"
+def _filed(spark: SparkSession, sf: str) -> DataFrame:
+    return snapshots(spark, sf).select("id", F.col("filed_under").alias("company_id"), "snapshot")
+
+
+#: CTEs up to wrong (id, reason, suggested_company_id).
+_WRONG = f"""{SNAP_SQL}, {_NAMES}, judged AS (SELECT id, filed_under, trim(snapshot.company_name) AS said FROM snap WHERE filed_under IS NOT NULL AND trim(snapshot.company_name) <> ''),
+own AS (WITH {scored_sql("(SELECT j.id AS doc, j.said AS name, c.id, c.ord, c.name AS own, c.ticker FROM judged j JOIN catalogue c ON c.id = j.filed_under)", True)} SELECT doc, confidence FROM scored),
+all_best AS (WITH {scored_sql(_EVERY, True)} {_BEST}),
+wrong AS (SELECT j.id, 'not_in_catalogue' AS reason, NULL AS suggested_company_id FROM judged j WHERE filed_under NOT IN (SELECT id FROM catalogue)
+ UNION ALL SELECT j.id, 'unlike_catalogue', CASE WHEN b.confidence >= 0.85 THEN b.company_id END FROM judged j JOIN catalogue c ON c.id = j.filed_under LEFT JOIN own ON own.doc = j.id LEFT JOIN all_best b ON b.name = j.said WHERE coalesce(own.confidence, 0) < 0.85 AND len({TOKENS(MARKS('said'))}) > 0)"""
+
+
+@query("J4q_mismatches", f"WITH {_WRONG} SELECT id, reason, suggested_company_id FROM wrong")
+def company_mismatches(spark: SparkSession, sf: str) -> DataFrame:
+    return mismatches(_filed(spark, sf).select("id", "company_id", F.col("snapshot.company_name").alias("extracted")), catalogue(spark, sf))
 
 
-@query("J5q_report_audit", f"{_AUDIT} SELECT a.id, array_to_string(codes, ',') AS codes, CASE WHEN list_has_any(codes, {_HIGH}) THEN 3 WHEN list_has_any(codes, {_MEDIUM}) THEN 2 ELSE 1 END AS severity, suggested_company_id FROM a LEFT JOIN wrong ON a.id = wrong.id WHERE len(codes) > 0")
+# --- audits -----------------------------------------------------------------------------------------------------------
+
+_SERIES = S.SERIES
+_T, _B, _M, _N = "snapshot.trends", "snapshot.breakdown", "snapshot.metrics", "snapshot.narratives"
+_LEN = lambda x: f"coalesce(len({x}), 0)"
+_TWICE = lambda xs: f"coalesce(len(list_filter({xs}, lambda z: z <> '')) > len(list_distinct(list_filter({xs}, lambda z: z <> ''))), false)"
+_SQUEEZED = lambda parts: f"list_transform({parts}, lambda x: lower(regexp_replace(trim(x.name), '\\s+', ' ', 'g')))"
+_PERIODS = f"coalesce({_T}.periods, [])"
+_HAVE = f"list_transform(list_filter({_M}, lambda m: m.value IS NOT NULL), lambda m: {canonical_sql('m.label')})"
+_HEADED = f"list_transform({_N}, lambda x: {NAME('x.section')})"
+_RULES = {
+    "company_mismatch": "id IN (SELECT id FROM wrong)", "missing_snapshot": "snapshot IS NULL", "missing_company_metadata": "snapshot IS NOT NULL AND trim(coalesce(snapshot.company_name, '')) = ''",
+    "missing_report_period_metadata": "snapshot IS NOT NULL AND trim(coalesce(snapshot.report_period, '')) = ''", "zero_metrics": f"snapshot IS NOT NULL AND {_LEN(_M)} = 0", "mostly_null_metrics": f"{_LEN(_M)} > 0 AND 2 * len(list_filter({_M}, lambda m: m.value IS NULL)) >= len({_M})",
+    "missing_core_metrics": f"{_LEN(_M)} > 0 AND NOT list_has_all({_HAVE}, ['revenue', 'ebitda', 'net_profit', 'free_cash_flow'])", "duplicate_trend_periods": _TWICE(f"list_transform({_PERIODS}, lambda p: lower(trim(p)))"),
+    "trend_series_length_mismatch": f"{_T} IS NOT NULL AND (" + " OR ".join(f"coalesce(len({_T}.{c}) <> len({_PERIODS}), false)" for c in _SERIES) + ")", "all_null_trends": f"{_LEN(_T + '.periods')} > 0 AND NOT (" + " OR ".join(f"{_LEN(f'list_filter({_T}.{c}, lambda v: v IS NOT NULL)')} > 0" for c in _SERIES) + ")",
+    "duplicate_revenue_breakdown_entries": f"{_TWICE(_SQUEEZED(_B + '.segments'))} OR {_TWICE(_SQUEEZED(_B + '.geographies'))}", "non_canonical_narrative_sections": f"{_LEN(f'list_filter({_N}, lambda x: trim(x.section) <> {chr(39) * 2} AND {NAME(chr(120) + '.section')} NOT IN ({', '.join(map(repr, X.SECTIONS))}))')} > 0",
+    "missing_executive_summary": f"{_LEN(_N)} > 0 AND NOT coalesce(list_contains({_HEADED}, 'executive_summary'), false)",
+}
+assert list(_RULES) == list(R.ISSUES)
+_CODES = "list_filter([" + ", ".join(f"CASE WHEN {rule} THEN '{code}' END" for code, rule in _RULES.items()) + "], lambda x: x IS NOT NULL)"
+_AUDIT = f"WITH {_WRONG}, a AS (SELECT id, fiscal_year AS y, {_CODES} AS codes FROM snap)"
+_LEVEL = lambda n: "[" + ", ".join(repr(k) for k, v in R.ISSUES.items() if v == n) + "]"
+
+
+@query("J5q_report_audit", f"{_AUDIT} SELECT a.id, array_to_string(codes, ',') AS codes, CASE WHEN list_has_any(codes, {_LEVEL(3)}) THEN 3 WHEN list_has_any(codes, {_LEVEL(2)}) THEN 2 ELSE 1 END AS severity, suggested_company_id FROM a LEFT JOIN wrong ON a.id = wrong.id WHERE len(codes) > 0")
 def report_audit(spark: SparkSession, sf: str) -> DataFrame:
     return R.audit(_filed(spark, sf), catalogue(spark, sf)).withColumn("codes", F.array_join("codes", ","))
 
@@ -88,39 +125,223 @@ def candidate_status(spark: SparkSession, sf: str) -> DataFrame:
     return s.join(found, "id", "left").select("id", R.candidate_status(state, F.coalesce("codes", F.array().cast("array<string>"))).alias("status"))
 
 
-@query("J7q_without_content", f"WITH {FILINGS_SQL} SELECT id FROM filings WHERE company_id % 29 = 0 OR (company_id % 23 = 0 AND (company_id % 41 = 0 OR company_id % 2 = 1))")
+@query("J7q_without_content", f"WITH {SNAP_SQL} SELECT id FROM snap WHERE NOT ({_LEN(_M)} > 0 OR {_LEN(f'list_filter({_N}, lambda x: length(x.text) > 50)')} > 0)")
 def without_content(spark: SparkSession, sf: str) -> DataFrame:
     return snapshots(spark, sf).where(~R.has_content(F.col("snapshot"))).select("id")
 
 
-@query("G52_kept_series", f"WITH {FILINGS_SQL} SELECT id, CASE WHEN company_id % 9 = 0 THEN '' ELSE 'revenue,net_profit' END AS series FROM filings WHERE company_id % 29 <> 0 AND company_id % 31 <> 0")
+_KEPT = "list_filter([" + ", ".join(f"CASE WHEN {_LEN(f'list_filter({_T}.{c}, lambda v: v IS NOT NULL)')} > 0 THEN '{c}' END" for c in _SERIES) + "], lambda x: x IS NOT NULL)"
+
+
+@query("G52_kept_series", f"WITH {SNAP_SQL} SELECT id, CASE WHEN len({_T}.periods) >= 2 THEN array_to_string({_KEPT}, ',') ELSE '' END AS series FROM snap WHERE {_T} IS NOT NULL")
 def kept_series(spark: SparkSession, sf: str) -> DataFrame:
     return snapshots(spark, sf).where("snapshot.trends is not null").select("id", F.array_join(R.kept_series(F.col("snapshot.trends")), ",").alias("series"))
 
 
-@query("H7_metric_order", f"WITH {FILINGS_SQL} SELECT id, CASE WHEN company_id % 23 = 0 THEN '' ELSE 'Revenue,Free cash flow,EBITDA,Net profit' END AS labels FROM filings WHERE company_id % 29 <> 0")
+_RANK = "CASE WHEN regexp_matches(lower(trim(label)), '\\b(revenue|sales|turnover)\\b') THEN 0 WHEN regexp_matches(lower(label), '\\b(free cash flow|fcf)\\b') THEN 1 WHEN regexp_matches(lower(label), '\\bebitda\\b') THEN 2 WHEN regexp_matches(lower(label), '\\b(net profit|net income)\\b') THEN 3 WHEN contains(lower(label), 'margin') THEN 4 ELSE 10 END"
+#: A row for each metric of a filing, by its place from 0.
+_METRIC_ROWS = f"metric_rows AS (SELECT id AS doc, CAST(ord AS INTEGER) AS ord, m.label AS label, m.value AS value, m.unit AS unit, m.period AS period, m.snippet AS snippet, CAST(NULL AS VARCHAR) AS rationale, m.confidence AS confidence FROM (SELECT id, generate_subscripts({_M}, 1) - 1 AS ord, unnest({_M}) AS m FROM snap WHERE snapshot IS NOT NULL))"
+
+
+@query("H7_metric_order", f"WITH {SNAP_SQL}, {_METRIC_ROWS} SELECT id, coalesce(labels, '') AS labels FROM snap LEFT JOIN (SELECT doc, array_to_string(list(label ORDER BY {_RANK}, ord), ',') AS labels FROM metric_rows GROUP BY doc) ON doc = id WHERE snapshot IS NOT NULL")
 def metric_order(spark: SparkSession, sf: str) -> DataFrame:
     return snapshots(spark, sf).where("snapshot is not null").select("id", F.array_join(F.transform(R.ranked_metrics(F.col("snapshot.metrics")), lambda m: m["label"]), ",").alias("labels"))
 
 
-@query("H11_section_order", f"WITH {FILINGS_SQL} SELECT id, CASE WHEN company_id % 41 = 0 THEN '' WHEN company_id % 10 = 0 THEN 'Highlights of the year,executiveSummary' WHEN company_id % 7 = 0 THEN 'business_overview,outlook' ELSE 'executive_summary,outlook,letter' END AS sections FROM filings WHERE company_id % 29 <> 0")
+_TOLD_ROWS = f"told AS (SELECT id, ord, m.section AS section, m.text AS text FROM (SELECT id, generate_subscripts({_N}, 1) - 1 AS ord, unnest({_N}) AS m FROM snap WHERE snapshot IS NOT NULL))"
+
+
+@query("H11_section_order", f"""WITH {SNAP_SQL}, {_TOLD_ROWS}, ranked AS (SELECT *, list_position([{', '.join(map(repr, X.SECTIONS))}], section) AS rank, row_number() OVER (PARTITION BY id, section ORDER BY ord) AS k FROM told)
+SELECT id, coalesce(sections, '') AS sections FROM snap LEFT JOIN (SELECT id, array_to_string(list(coalesce(section, '-') ORDER BY coalesce(rank, 99), ord), ',') AS sections FROM ranked WHERE rank IS NULL OR k = 1 GROUP BY id) USING (id) WHERE snapshot IS NOT NULL""")
 def section_order(spark: SparkSession, sf: str) -> DataFrame:
-    return snapshots(spark, sf).where("snapshot is not null").select("id", F.array_join(F.transform(R.in_section_order(F.col("snapshot.narratives")), lambda x: x["section"]), ",").alias("sections"))
+    return snapshots(spark, sf).where("snapshot is not null").select("id", F.array_join(F.transform(R.in_section_order(F.col("snapshot.narratives")), lambda x: F.coalesce(x["section"], F.lit("-"))), ",").alias("sections"))
 
 
-@query("H10_segments_by_size", f"WITH {FILINGS_SQL} SELECT id, row_number() OVER (PARTITION BY company_id, fiscal_year ORDER BY abs(net_profit) DESC, report_type) AS place FROM filings WHERE report_type <> 'annual'")
+@query("H10_segments_by_size", f"""WITH {SNAP_SQL}, parts AS (SELECT id, ord, m.name AS name, m.value AS value FROM (SELECT id, generate_subscripts({_B}.segments, 1) AS ord, unnest({_B}.segments) AS m FROM snap WHERE snapshot IS NOT NULL) WHERE m.value IS NOT NULL)
+SELECT id, row_number() OVER (PARTITION BY id ORDER BY abs(value) DESC, ord) AS place, name, value, round(CASE WHEN sum(abs(value)) OVER (PARTITION BY id) > 0 THEN abs(value) / sum(abs(value)) OVER (PARTITION BY id) END, 9) AS share, round(CASE WHEN max(abs(value)) OVER (PARTITION BY id) > 0 THEN abs(value) / max(abs(value)) OVER (PARTITION BY id) END, 9) AS bar FROM parts""")
 def segments_by_size(spark: SparkSession, sf: str) -> DataFrame:
-    own = W.partitionBy("company_id", "fiscal_year").orderBy(F.abs("net_profit").desc(), "report_type")
-    return filings(spark, sf).where("report_type <> 'annual'").select("id", F.row_number().over(own).cast("long").alias("place"))
+    """The parts of each filing's revenue, the largest first."""
+    ranked = snapshots(spark, sf).select("id", F.posexplode(S.ranked_parts(F.col("snapshot.breakdown.segments"))).alias("at", "p"))
+    return ranked.select("id", (F.col("at") + 1).cast("long").alias("place"), "p.name", "p.value", F.round("p.share", 9).alias("share"), F.round("p.bar", 9).alias("bar"))
 
 
-@query("F14_timeline", f"WITH {FILINGS_SQL} SELECT id, row_number() OVER (PARTITION BY company_id ORDER BY score DESC) AS place, CASE WHEN net_profit > 0 THEN 'positive' WHEN net_profit < 0 THEN 'negative' ELSE 'neutral' END AS tone FROM filings")
+@query("F14_timeline", f"""WITH {SNAP_SQL} SELECT company_id, id, row_number() OVER (PARTITION BY company_id ORDER BY score DESC, id DESC) AS place, coalesce(snapshot.tone, '—') AS tone, snapshot.guidance AS guidance,
+ CASE WHEN coalesce(snapshot.tone, '') = '' THEN CASE WHEN snapshot.tone IS NULL THEN 'neutral' ELSE 'not_detected' END WHEN contains(lower(snapshot.tone), 'very positive') THEN 'very_positive' WHEN contains(lower(snapshot.tone), 'positive') THEN 'positive' WHEN contains(lower(snapshot.tone), 'cautious') THEN 'cautious' WHEN contains(lower(snapshot.tone), 'negative') THEN 'negative' ELSE 'neutral' END AS bucket
+FROM snap WHERE snapshot.tone IS NOT NULL OR snapshot.outlook IS NOT NULL OR snapshot.guidance IS NOT NULL OR snapshot.risks IS NOT NULL""")
 def timeline(spark: SparkSession, sf: str) -> DataFrame:
-    """A company's reports, newest first, with the tone of each."""
-    rank = F.when(F.col("report_type") == "annual", 6).otherwise(F.substring("report_type", 2, 1).try_cast("int"))
-    own = W.partitionBy("company_id").orderBy((F.col("fiscal_year") * 10 + rank).desc())
-    tone = F.when(F.col("net_profit") > 0, "positive").when(F.col("net_profit") < 0, "negative").otherwise("neutral")
-    return filings(spark, sf).select("id", F.row_number().over(own).cast("long").alias("place"), tone.alias("tone"))
+    """A company's reports, newest first, with the tone of each and how it is shown."""
+    return S.timeline(snapshots(spark, sf)).withColumn("place", F.col("place").cast("long")).withColumn("bucket", S.tone_bucket(F.col("tone")))
+
+
+# --- repair, texts, brief ---------------------------------------------------------------------------------------------
+
+_CHART = lambda x: f"trim(regexp_replace(strip_accents(lower({x})), '[^a-z0-9]+', ' ', 'g'))"
+_PARTS_OF = lambda kind: f"(SELECT id, '{kind}' AS kind, ord, trim(m.name) AS name, m.value AS value FROM (SELECT id, generate_subscripts({_B}.{kind}, 1) AS ord, unnest({_B}.{kind}) AS m FROM snap WHERE snapshot IS NOT NULL) WHERE trim(m.name) <> '' AND m.value IS NOT NULL)"
+_JOINED = lambda expr, order: f"coalesce(array_to_string(list({expr} ORDER BY {order}), '|'), '')"
+_SHOWN = lambda v: f"coalesce(CAST(CAST(round({v}) AS BIGINT) AS VARCHAR), '-')"
+_FIT = " + ".join(f"coalesce((len({_T}.{c}) <> n)::INT, 0)" for c in _SERIES)
+_PCT = lambda c: f"CASE WHEN {c}_ <> 0 AND abs(({c} - {c}_) / abs({c}_) * 100) > 500 THEN 1 ELSE 0 END"
+_REPAIR = f"""WITH {SNAP_SQL}, {_METRIC_ROWS}, {_TOLD_ROWS},
+first AS (SELECT *, row_number() OVER (PARTITION BY doc, trim(lower(label)) ORDER BY ord) AS k FROM metric_rows),
+met AS (SELECT doc, count(*) FILTER (k > 1) AS duplicate_labels, count(*) FILTER (k = 1 AND value IS NULL AND coalesce(unit, '') = '') AS dropped_metrics, coalesce(array_to_string(list(label ORDER BY ord) FILTER (k = 1 AND (value IS NOT NULL OR coalesce(unit, '') <> '')), '|'), '') AS labels FROM first GROUP BY doc),
+named AS (SELECT id, ord, trim(text) AS text, coalesce(nullif(trim(section), ''), 'other') AS given FROM told WHERE trim(text) <> ''), placed AS (SELECT *, {canonical_section_sql('given')} AS section FROM named),
+sections AS (SELECT id, section, min(ord) AS ord, string_agg(text, chr(10) || chr(10) ORDER BY ord) AS text FROM placed GROUP BY ALL), nar AS (SELECT id, {_JOINED("section || ':' || text", 'ord')} AS narratives, bool_or(section = 'executive_summary') AS told FROM sections GROUP BY id), ren AS (SELECT id, count(DISTINCT given) AS renamed FROM placed WHERE {NAME('given')} <> section GROUP BY id),
+parts AS (SELECT id, kind, min(ord) AS ord, arg_min(name, ord) AS name, sum(value) AS value, count(*) - 1 AS merged FROM ({_PARTS_OF('segments')} UNION ALL {_PARTS_OF('geographies')}) GROUP BY id, kind, {_CHART('name')}),
+kinds AS (SELECT id, kind, count(*) AS n, sum(merged) AS merged, {_JOINED(f"name || '=' || {_SHOWN('value')}", 'ord')} AS shown FROM parts GROUP BY ALL), brk AS (SELECT id, max(n) AS n, sum(merged) AS merged, {_JOINED('shown', "kind DESC")} AS shown FROM kinds GROUP BY id),
+per AS (SELECT id, list_filter(list_transform({_T}.periods, lambda p: trim(p)), lambda p: p <> '') AS ps FROM snap WHERE {_T} IS NOT NULL), fit AS (SELECT id, {_FIT} AS refitted FROM snap JOIN (SELECT id, len(ps) AS n FROM per) USING (id)),
+slots AS (SELECT s.id, i, ps[i] AS period, {', '.join(f'{_T}.{c}[i] AS {c}' for c in _SERIES)} FROM snap s JOIN per USING (id), LATERAL (SELECT unnest(range(1, len(ps) + 1)) AS i)),
+mer AS (SELECT id, period, min(i) AS i, count(*) - 1 AS merged, {', '.join(f'arg_min({c}, i) FILTER ({c} IS NOT NULL) AS {c}' for c in _SERIES)} FROM slots GROUP BY ALL), lags AS (SELECT *, {', '.join(f'lag({c}) OVER (PARTITION BY id ORDER BY i) AS {c}_' for c in _SERIES[:3])} FROM mer),
+tre AS (SELECT id, count(*) AS n, sum(merged) AS merged, sum({' + '.join(map(_PCT, _SERIES[:3]))}) AS wild, {', '.join(f'count({c}) AS n_{c}' for c in _SERIES)}, {_JOINED('period', 'i')} AS periods, {', '.join(f"{_JOINED(_SHOWN(c), 'i')} AS s_{c}" for c in _SERIES)} FROM lags GROUP BY id),
+x AS (SELECT s.id, {_T} IS NOT NULL AS has_t, {_B} IS NOT NULL AS has_b, {', '.join(f'{_T}.{c} IS NOT NULL AS h_{c}' for c in _SERIES)}, tre.* EXCLUDE (id), brk.n AS parts, brk.merged AS merged_parts, brk.shown FROM snap s LEFT JOIN tre ON tre.id = s.id LEFT JOIN brk ON brk.id = s.id WHERE snapshot IS NOT NULL),
+y AS (SELECT *, has_t AND (coalesce(n, 0) < 2 OR NOT ({' OR '.join(f'h_{c} AND n_{c} > 0' for c in _SERIES)})) AS gone, has_b AND coalesce(parts, 0) < 2 AS lost FROM x)
+SELECT y.id, CAST(coalesce(duplicate_labels, 0) AS INTEGER) AS duplicate_labels, CAST(coalesce(dropped_metrics, 0) AS INTEGER) AS dropped_metrics, CAST(coalesce(renamed, 0) AS INTEGER) AS renamed_sections, NOT coalesce(told, false) AS missing_summary, CAST(coalesce(merged_parts, 0) AS INTEGER) AS merged_parts, lost AS breakdown_dropped,
+ CAST(coalesce(refitted, 0) AS INTEGER) AS series_refitted, CAST(coalesce(y.merged, 0) AS INTEGER) AS merged_periods, CAST(CASE WHEN has_t THEN {' + '.join(f'(h_{c} AND coalesce(n_{c}, 0) = 0)::INT' for c in _SERIES)} ELSE 0 END AS INTEGER) AS empty_series, gone AS trends_dropped, CAST(CASE WHEN gone THEN 0 ELSE coalesce(wild, 0) END AS INTEGER) AS implausible_changes,
+ coalesce(labels, '') AS labels, coalesce(narratives, '') AS narratives, CASE WHEN has_b AND NOT lost THEN shown END AS parts, CASE WHEN has_t AND NOT gone THEN periods END AS periods, {', '.join(f'CASE WHEN has_t AND NOT gone AND h_{c} AND n_{c} > 0 THEN s_{c} END AS {c}' for c in _SERIES)}
+FROM y LEFT JOIN met ON met.doc = y.id LEFT JOIN nar ON nar.id = y.id LEFT JOIN ren ON ren.id = y.id LEFT JOIN fit ON fit.id = y.id"""
+
+
+@query("J6q_repair", _REPAIR)
+def repaired(spark: SparkSession, sf: str) -> DataFrame:
+    """Every filing repaired: what is left of it as text, and the twelve counts of what was done."""
+    r = snapshots(spark, sf).where("snapshot is not null").select("id", S.repair(F.col("snapshot")).alias("r")).select("id", "r.snapshot", "r.warnings")
+    shown = lambda xs: F.array_join(F.transform(xs, lambda v: F.coalesce(F.round(v).cast("long").cast("string"), F.lit("-"))), "|")
+    parts = lambda xs: F.array_join(F.transform(xs, lambda p: F.concat(p["name"], F.lit("="), F.round(p["value"]).cast("long").cast("string"))), "|")
+    w, s = F.col("warnings"), F.col("snapshot")
+    both = F.array_join(F.filter(F.array(parts(s["breakdown"]["segments"]), parts(s["breakdown"]["geographies"])), lambda x: x.isNotNull()), "|")
+    lists = ("duplicate_labels", "renamed_sections", "empty_series")
+    return r.select(
+        "id", *((F.size(w[c]) if c in lists else w[c]).alias(c) for c in ("duplicate_labels", "dropped_metrics", "renamed_sections", "missing_summary", "merged_parts", "breakdown_dropped", "series_refitted", "merged_periods", "empty_series", "trends_dropped", "implausible_changes")),
+        F.array_join(F.transform(s["metrics"], lambda m: m["label"]), "|").alias("labels"), F.array_join(F.transform(s["narratives"], lambda x: F.concat(x["section"], F.lit(":"), x["text"])), "|").alias("narratives"),
+        F.when(s["breakdown"].isNotNull(), both).alias("parts"), F.array_join(s["trends"]["periods"], "|").alias("periods"), *(shown(s["trends"][c]).alias(c) for c in S.SERIES),
+    )
+
+
+_TEXTS = f"""texts AS (SELECT id, 'metric:' || i || ':label' AS path, m.label AS text, true AS is_label FROM (SELECT id, generate_subscripts({_M}, 1) - 1 AS i, unnest({_M}) AS m FROM snap WHERE snapshot IS NOT NULL)
+ UNION ALL SELECT id, 'narrative:' || ord || ':text', text, false FROM told UNION ALL SELECT id, 'sentiment:tone', snapshot.tone, false FROM snap UNION ALL SELECT id, 'sentiment:outlook', snapshot.outlook, false FROM snap
+ UNION ALL SELECT id, 'sentiment:risk:' || i, t, false FROM (SELECT id, generate_subscripts(snapshot.risks, 1) - 1 AS i, unnest(snapshot.risks) AS t FROM snap WHERE snapshot IS NOT NULL))"""
+
+
+@query("G55_collect_texts", f"WITH {SNAP_SQL}, {_TOLD_ROWS}, {_TEXTS} SELECT id AS doc, path, text, is_label FROM texts WHERE trim(text, ' ' || chr(9) || chr(10)) <> ''")
+def collect_texts(spark: SparkSession, sf: str) -> DataFrame:
+    return S.collect_texts(snapshots(spark, sf))
+
+
+_NEW = "CASE WHEN trim(text, ' ' || chr(9) || chr(10)) <> '' AND strlen(text) % 3 <> 0 THEN upper(text) || '!' ELSE text END"
+
+
+@query("G55_apply_texts", f"""WITH {SNAP_SQL}, {_TOLD_ROWS}, {_TEXTS}, new AS (SELECT id, path, {_NEW} AS text FROM texts)
+SELECT s.id, {', '.join(f"(SELECT array_to_string(list(coalesce(text, '-') ORDER BY CAST(split_part(path, ':', {k}) AS INTEGER)), '|') FROM new n WHERE n.id = s.id AND starts_with(path, '{head}')) AS {name}" for name, head, k in (('labels', 'metric:', 2), ('narratives', 'narrative:', 2), ('risks', 'sentiment:risk:', 3)))},
+ (SELECT text FROM new n WHERE n.id = s.id AND path = 'sentiment:tone') AS tone, (SELECT text FROM new n WHERE n.id = s.id AND path = 'sentiment:outlook') AS outlook FROM snap s WHERE snapshot IS NOT NULL""")
+def apply_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Two thirds of the texts changed, each in its own place."""
+    s = snapshots(spark, sf).where("snapshot is not null")
+    new = S.collect_texts(s).where("octet_length(text) % 3 <> 0").select("doc", "path", F.concat(F.upper("text"), F.lit("!")).alias("text"))
+    out = S.apply_texts(s, new, F.lit("lv"))
+    joined = lambda xs, f=lambda x: x: F.when(F.size(xs) > 0, F.array_join(F.transform(xs, lambda x: F.coalesce(f(x), F.lit("-"))), "|"))
+    return out.select("id", joined(F.col("snapshot.metrics"), lambda m: m["label"]).alias("labels"), joined(F.col("snapshot.narratives"), lambda x: x["text"]).alias("narratives"), joined(F.col("snapshot.risks")).alias("risks"), "snapshot.tone", "snapshot.outlook")
+
+
+def _paragraphs_sql(name: str, sections: tuple[str, ...], most: int) -> str:
+    """The first distinct lines of the first narrative of each of these sections."""
+    chosen = " UNION ALL ".join(f"SELECT id, {k} AS part, arg_min(text, ord) AS text FROM told WHERE section = '{s}' GROUP BY id" for k, s in enumerate(sections))
+    return f"""{name}_l AS (SELECT id, part, generate_subscripts(string_split(text, chr(10)), 1) AS n, trim(regexp_replace(unnest(string_split(text, chr(10))), '\\s+', ' ', 'g')) AS line FROM ({chosen})),
+{name}_f AS (SELECT id, part, n, line, row_number() OVER (PARTITION BY id, lower(line) ORDER BY part, n) AS k FROM {name}_l WHERE line <> ''), {name} AS (SELECT id, array_to_string(list(line ORDER BY part, n)[1:{most}], '|') AS {name} FROM {name}_f WHERE k = 1 GROUP BY id)"""
+
+
+@query("H12_brief", f"""WITH {SNAP_SQL}, {_METRIC_ROWS}, {_TOLD_ROWS}, {_paragraphs_sql('summary', ('executive_summary', 'management_commentary'), 4)}, {_paragraphs_sql('priorities', ('strategic_priorities',), 3)},
+shown AS (SELECT doc, array_to_string(list(label ORDER BY ord)[1:8], '|') AS metrics FROM metric_rows WHERE regexp_matches(lower(label), '{'|'.join(S.KEY_WORDS)}') GROUP BY doc)
+SELECT s.id, coalesce(metrics, '') AS metrics, coalesce(summary, '') AS summary, coalesce(priorities, '') AS priorities, coalesce(nullif(snapshot.tone, ''), 'Not assessed') AS tone, nullif(snapshot.outlook, '') AS outlook, array_to_string(list_transform(snapshot.risks[1:3], lambda r: coalesce(r, '-')), '|') AS risks, CAST(greatest(len(snapshot.risks) - 3, 0) AS INTEGER) AS more_risks
+FROM snap s LEFT JOIN shown ON doc = s.id LEFT JOIN summary USING (id) LEFT JOIN priorities USING (id) WHERE snapshot IS NOT NULL""")
+def briefs(spark: SparkSession, sf: str) -> DataFrame:
+    b = snapshots(spark, sf).where("snapshot is not null").select("id", S.brief(F.col("snapshot")).alias("b"))
+    risks = F.array_join(F.transform("b.risks", lambda r: F.coalesce(r, F.lit("-"))), "|")
+    return b.select("id", F.array_join(F.transform("b.metrics", lambda m: m["label"]), "|").alias("metrics"), F.array_join("b.summary", "|").alias("summary"), F.array_join("b.priorities", "|").alias("priorities"), "b.tone", "b.outlook", risks.alias("risks"), "b.more_risks")
+
+
+_QUOTED = "'\"' || replace(o_orderpriority, '\"', '') || '\"'"
+_JSON = f"""CASE o_orderkey % 11 WHEN 0 THEN '{{bad' WHEN 1 THEN NULL WHEN 2 THEN '[]' WHEN 3 THEN '"metadata"' WHEN 4 THEN '{{"progress": {{"step": 3}}}}' WHEN 5 THEN '{{"metrics": 5, "metadata": {{"companyName": 7}}}}'
+ELSE '{{"metadata": {{"companyName": ' || {_QUOTED} || '}}, "metrics": [{{"label": "Revenue", "value": ' || CASE o_orderkey % 4 WHEN 0 THEN '"1,2' || CAST(o_custkey AS STRING) || '"' WHEN 1 THEN 'null' WHEN 2 THEN '"n/a"' ELSE CAST(o_custkey AS STRING) || '.5' END || '}}, {{"label": 5, "value": true}}, {{"value": "' || CAST(o_orderkey AS STRING) || '"}}], "sentiment": {{"riskFactors": ["a", 1, null]}}}}' END"""
+
+
+@query("G49_snapshots", f"""WITH r AS (SELECT o_orderkey AS id, {_JSON} AS raw FROM orders), p AS (SELECT *, json_valid(raw) AS good FROM r),
+j AS (SELECT id, raw, CASE WHEN good THEN raw::JSON END AS j FROM p), k AS (SELECT *, CASE WHEN raw IS NULL THEN NULL WHEN j IS NULL THEN 'not_json' WHEN json_type(j) <> 'OBJECT' THEN 'not_an_object' WHEN NOT (json_exists(j, '$.metadata') OR json_exists(j, '$.metrics')) THEN 'no_snapshot' END AS reason FROM j),
+m AS (SELECT id, reason, j, CASE WHEN json_type(j, '$.metrics') = 'ARRAY' THEN json_extract(j, '$.metrics[*]') END AS ms FROM k)
+SELECT id, good AS ok, reason, CASE WHEN json_type(m.j, '$.metadata.companyName') = 'VARCHAR' THEN m.j ->> '$.metadata.companyName' END AS company, CASE WHEN good THEN CAST(CASE WHEN json_type(m.j, '$.metrics') = 'ARRAY' THEN len(ms) END AS INTEGER) END AS n,
+ CASE WHEN good THEN (SELECT sum(CASE WHEN json_type(x, '$.value') = 'VARCHAR' THEN TRY_CAST(replace(x ->> '$.value', ',', '') AS DOUBLE) WHEN json_type(x, '$.value') IN ('DOUBLE', 'BIGINT', 'UBIGINT', 'HUGEINT') THEN CAST(x ->> '$.value' AS DOUBLE) END) FROM (SELECT unnest(ms) AS x)) END AS total,
+ CASE WHEN good THEN CAST((SELECT count(*) FROM (SELECT unnest(ms) AS x) WHERE json_type(x, '$.label') = 'VARCHAR') AS INTEGER) END AS labelled FROM (SELECT m.*, raw IS NOT NULL AND reason IS NULL AS good FROM m JOIN r USING (id)) m""")
+def parsed_snapshots(spark: SparkSession, sf: str) -> DataFrame:
+    """JSON texts read into snapshots; what is none has the reason."""
+    rows = table(spark, sf, "orders").selectExpr("o_orderkey AS id", f"{_JSON} AS raw")
+    bad = S.rejected_snapshots(rows, "raw").select("id", "reason")
+    s = rows.withColumn("s", S.parse_snapshot(F.col("raw"))).join(bad, "id", "left")
+    metrics = F.col("s.metrics")
+    total = F.aggregate(F.filter(metrics, lambda m: m["value"].isNotNull()), F.lit(None).cast("double"), lambda a, m: F.coalesce(a, F.lit(0.0)) + m["value"])
+    labelled = F.coalesce(F.size(F.filter(metrics, lambda m: m["label"].isNotNull())), F.lit(0))
+    return s.select("id", F.col("s").isNotNull().alias("ok"), "reason", F.col("s.company_name").alias("company"), F.size(metrics).alias("n"), total.alias("total"), F.when(F.col("s").isNotNull(), labelled).alias("labelled"))
+
+
+# --- previews, completion ---------------------------------------------------------------------------------------------
+
+_HEAD = ", ".join(f"arg_min(euro, (CASE WHEN id = '{i}' THEN 0 ELSE 1 END, ord)) FILTER (id = '{i}' OR ({_SAYS[n]})) AS {n}" for n, i in _IDS.items())
+
+
+def previews_sql(rows: str) -> str:
+    """CTEs up to previews (doc, revenue, ebitda, net_profit, fcf) of rows (id, snapshot)."""
+    long = " UNION ALL ".join(f"SELECT id AS doc, '{c}' AS series, len({_T}.{c}) AS n, generate_subscripts({_T}.{c}, 1) AS idx, unnest({_T}.{c}) AS value FROM {rows} WHERE snapshot IS NOT NULL" for c in _SERIES)
+    return f"""metric_rows AS (SELECT id AS doc, CAST(ord AS INTEGER) AS ord, m.label AS label, m.value AS value, m.unit AS unit, m.period AS period, m.snippet AS snippet, CAST(NULL AS VARCHAR) AS rationale, m.confidence AS confidence FROM (SELECT id, generate_subscripts({_M}, 1) - 1 AS ord, unnest({_M}) AS m FROM {rows} WHERE snapshot IS NOT NULL)),
+{scaled_sql('metric_rows')}, figures AS (SELECT doc, {_HEAD} FROM scaled WHERE value IS NOT NULL AND NOT {_EXCLUDED} GROUP BY doc), modal AS (SELECT doc, arg_max(s, (n, s)) AS stated FROM (SELECT doc, greatest(u, e) AS s, count(*) AS n FROM m GROUP BY ALL) WHERE s > 1 AND n >= 2 GROUP BY doc),
+long AS ({long}), targets AS ({' UNION ALL '.join(f"SELECT doc, '{c}' AS series, {c} AS target FROM figures" for c in _SERIES)}),
+mult AS (SELECT doc, series, arg_min(z, (d, idx, z)) AS multiplier FROM (SELECT l.doc, l.series, idx, z, abs(ln(abs(value * z) / abs(target))) AS d FROM long l JOIN targets USING (doc, series), (VALUES (1), (1000), (1000000)) AS q(z) WHERE value <> 0 AND target <> 0) GROUP BY ALL),
+common AS (SELECT doc, arg_max(multiplier, (n, multiplier)) AS common FROM (SELECT doc, multiplier, count(*) AS n FROM mult GROUP BY ALL) GROUP BY doc),
+ends AS (SELECT l.*, coalesce(multiplier, common) AS s, stated, max(abs(value)) OVER w >= 100000 AND min(CASE WHEN value <> 0 THEN abs(value) END) OVER w < 1000 AS mixed FROM long l LEFT JOIN mult USING (doc, series) LEFT JOIN common USING (doc) LEFT JOIN modal USING (doc) WINDOW w AS (PARTITION BY l.doc, l.series)),
+euros AS (SELECT doc, series, CASE WHEN s = 1000 AND mixed AND abs(value) > 0 AND abs(value) < 1000 THEN value * 1000000 WHEN s IS NOT NULL THEN value * s WHEN stated > 1 AND abs(value) < 1000000 THEN value * stated ELSE value END AS value FROM ends WHERE idx = n),
+previews AS (SELECT r.id AS doc, {', '.join(f"coalesce(any_value(f.{c}), max(e.value) FILTER (series = '{c}')) AS {c}" for c in _SERIES)} FROM {rows} r LEFT JOIN figures f ON f.doc = r.id LEFT JOIN euros e ON e.doc = r.id WHERE snapshot IS NOT NULL GROUP BY r.id)"""
+
+
+@query("K2_company_reports", f"WITH {SNAP_SQL}, {previews_sql('snap')} SELECT company_id, row_number() OVER (PARTITION BY company_id ORDER BY fiscal_year DESC, report_type) AS place, id, revenue, ebitda, net_profit, fcf, guidance FROM (SELECT company_id, fiscal_year, report_type, id, p.revenue, p.ebitda, p.net_profit, p.fcf, snapshot.guidance AS guidance FROM snap LEFT JOIN previews p ON doc = id)")
+def company_reports(spark: SparkSession, sf: str) -> DataFrame:
+    """A company's reports, newest first, with the previews that their snapshots give."""
+    return R.company_reports(snapshots(spark, sf)).select("company_id", F.col("place").cast("long").alias("place"), "id", *S.SERIES, "guidance")
+
+
+@query("K4_unmatched", f"WITH {SNAP_SQL} SELECT id, row_number() OVER (ORDER BY fiscal_year DESC, id) AS place, trim(snapshot.company_name) AS extracted FROM snap WHERE filed_under IS NULL")
+def unmatched(spark: SparkSession, sf: str) -> DataFrame:
+    """The queue of reports without a company, newest year first."""
+    s = snapshots(spark, sf).where("filed_under is null").select("id", F.concat(F.lit("y"), (9999 - F.col("fiscal_year")).cast("string")).alias("late"), F.trim("snapshot.company_name").alias("extracted"))
+    return T.numbered(s, "late", "id").select("id", F.col("place").cast("long").alias("place"), "extracted")
+
+
+_CONTEXT = "CASE h % 3 WHEN 0 THEN NULL WHEN 1 THEN company_id ELSE CASE WHEN h % 7 = 0 THEN company_id + 1000000 ELSE company_id END END"
+_PERIOD = lambda p, g: f"nullif(regexp_extract(period, '{p}', {g}), '')"
+_YEAR_OF = f"CAST(coalesce({_PERIOD('(?i)^(?:Q[1-4]|FY|H[12])\\s*(\\d{4})$', 1)}, {_PERIOD('^(\\d{4})-\\d{2}-\\d{2}$', 1)}, {_PERIOD('^(\\d{4})$', 1)}) AS INTEGER)"
+_TYPE_OF = "CASE WHEN period ILIKE 'q%' THEN lower(substr(period, 1, 2)) WHEN period ILIKE 'h%' THEN 'semi-annual' WHEN contains(period, '-06-30') THEN 'q2' ELSE 'annual' END"
+_JOBS = f"""{SNAP_SQL}, jobs AS (SELECT id, {_CONTEXT} AS context, snapshot.language AS language, snapshot, coalesce(trim(snapshot.company_name), '') AS said, coalesce(trim(snapshot.report_period), '') AS period, h AS ord FROM snap WHERE h % 4 <> 0),
+reports AS (SELECT 'r' || id AS id, filed_under AS company_id, fiscal_year, report_type, coalesce(snapshot.language, 'en') AS language, snapshot FROM snap WHERE h % 4 = 0)"""
+_COMPLETION = f"""WITH {_JOBS}, read AS (SELECT *, said <> '' AND period <> '' AS told, {_YEAR_OF} AS year, {_TYPE_OF} AS kind FROM jobs),
+names AS (SELECT DISTINCT said AS name FROM read WHERE said <> ''), best AS (WITH {scored_sql(_EVERY, False)} SELECT * FROM ({_BEST}) WHERE confidence >= 0.85),
+fits AS (WITH {scored_sql("(SELECT j.id AS doc, j.said AS name, c.id, c.ord, c.name AS own, c.ticker FROM read j JOIN catalogue c ON c.id = j.context)", False)} SELECT doc FROM scored WHERE confidence >= 0.85),
+mapped AS (SELECT r.*, CASE WHEN context IS NOT NULL AND context NOT IN (SELECT id FROM catalogue) THEN 'not_found' WHEN context IS NOT NULL AND r.id IN (SELECT doc FROM fits) THEN 'verified' WHEN context IS NOT NULL THEN 'conflict' WHEN b.company_id IS NOT NULL THEN 'matched' ELSE 'unmatched' END AS mapping, b.company_id AS best FROM read r LEFT JOIN best b ON b.name = r.said),
+placed AS (SELECT *, CASE mapping WHEN 'verified' THEN context WHEN 'matched' THEN best END AS company FROM mapped), both_kinds AS (SELECT id, snapshot FROM placed WHERE told AND year IS NOT NULL UNION ALL SELECT id, snapshot FROM reports WHERE company_id IS NOT NULL), {previews_sql('both_kinds')},
+balance AS (SELECT doc, median(euro) AS balance, count(*) AS balances FROM scaled WHERE id IN ('total_assets', 'equity', 'liabilities') AND euro > 0 GROUP BY doc),
+past AS (SELECT r.company_id, r.fiscal_year, r.report_type, abs(p.revenue) AS revenue FROM reports r LEFT JOIN previews p ON p.doc = r.id WHERE r.company_id IS NOT NULL),
+usual AS (SELECT company_id, median(revenue) AS usual FROM past WHERE revenue > 0 GROUP BY company_id), annual AS (SELECT company_id, fiscal_year, max(revenue) AS annual FROM past WHERE report_type = 'annual' GROUP BY ALL),
+facts AS (SELECT j.id, j.kind, p.revenue AS r, abs(p.revenue) AS size, abs(p.net_profit) AS net, abs(p.fcf) AS free, balance, balances, usual, annual FROM placed j JOIN previews p ON p.doc = j.id LEFT JOIN balance b ON b.doc = j.id LEFT JOIN usual u ON u.company_id = j.company LEFT JOIN annual a ON a.company_id = j.company AND a.fiscal_year = j.year WHERE j.told AND j.year IS NOT NULL),
+wrong AS (SELECT id, list_filter([CASE WHEN size > 0 AND balances >= 2 AND r > 0 AND (balance / size > 100 OR balance / size < 0.01) THEN 'balance_sheet_scale_mismatch' END, CASE WHEN size > 0 AND free / size > 3 THEN 'cash_flow_exceeds_revenue' END, CASE WHEN r > 0 AND (r / usual > 10 OR r / usual < 0.1) THEN 'history_extreme_change' END,
+ CASE WHEN size > 0 AND net / size > 2 THEN 'net_profit_exceeds_revenue' END, CASE WHEN kind = 'semi-annual' AND size > 1.5 * annual THEN 'semi_annual_exceeds_annual' END], lambda x: x IS NOT NULL) AS codes FROM facts),
+asked AS (SELECT j.id, j.ord, j.company, j.year, j.kind, j.language FROM placed j LEFT JOIN wrong w ON w.id = j.id WHERE told AND year IS NOT NULL AND coalesce(len(codes), 0) = 0),
+turns AS (SELECT a.*, CASE WHEN company IS NOT NULL AND language IS NOT NULL THEN row_number() OVER w ELSE 1 END AS turn, first_value(a.id) OVER w AS first, (SELECT min(r.id) FROM reports r WHERE r.company_id = a.company AND r.fiscal_year = a.year AND r.report_type = a.kind AND r.language = a.language) AS held FROM asked a WINDOW w AS (PARTITION BY company, year, kind, language ORDER BY ord, id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+SELECT j.id, CASE WHEN NOT told THEN 'no_metadata' WHEN j.year IS NULL THEN 'no_period' WHEN len(codes) > 0 THEN 'failed' WHEN held IS NOT NULL OR turn > 1 THEN 'duplicate' ELSE 'created' END AS outcome, CASE WHEN told THEN j.company END AS company_id, CASE WHEN told THEN mapping END AS mapping, CASE WHEN told THEN j.year END AS fiscal_year,
+ CASE WHEN told AND j.year IS NOT NULL THEN j.kind END AS report_type, coalesce(array_to_string(codes, ','), '') AS warnings, CASE WHEN held IS NOT NULL THEN held WHEN turn > 1 THEN first END AS duplicate_of FROM placed j LEFT JOIN wrong w ON w.id = j.id LEFT JOIN turns t ON t.id = j.id"""
+
+
+@query("J8q_completion", _COMPLETION)
+def completion(spark: SparkSession, sf: str) -> DataFrame:
+    """Three quarters of the filings as jobs, the rest as the reports there are."""
+    s = snapshots(spark, sf)
+    jobs = s.where("h % 4 <> 0").selectExpr("id", f"{_CONTEXT} AS company_id", "snapshot.language AS language", "h AS ord", "snapshot")
+    reports = s.where("h % 4 = 0").selectExpr("concat('r', id) AS id", "filed_under AS company_id", "fiscal_year", "report_type", "coalesce(snapshot.language, 'en') AS language", "CAST(NULL AS STRING) AS job_id", "snapshot")
+    found = decide(jobs, catalogue(spark, sf), reports, 2025)
+    return found.select("id", "outcome", "company_id", "mapping", "fiscal_year", "report_type", F.array_join("warnings", ",").alias("warnings"), "duplicate_of")
 
 
 @query("C10_rerun_metrics", f"""WITH {FILINGS_SQL} SELECT id AS pair, 'canonical:revenue' AS key, revenue AS a, CASE WHEN company_id % 3 = 0 THEN revenue * 2 ELSE revenue END AS b FROM filings UNION ALL SELECT id, 'canonical:net_profit', net_profit, CASE WHEN company_id % 4 <> 0 THEN net_profit END FROM filings
@@ -141,28 +362,12 @@ def history(spark: SparkSession, sf: str) -> DataFrame:
     return R.with_history(snapshots(spark, sf).select("id", F.col("filed_under").alias("company_id"), "fiscal_year")).select("id", F.col("others").cast("long").alias("others"), "same_year")
 
 
-@query("K4_unmatched", f"WITH {FILINGS_SQL} SELECT id, row_number() OVER (ORDER BY fiscal_year DESC, id) AS place, CASE WHEN company_id % 29 <> 0 THEN {_SAYS} END AS extracted FROM filings WHERE company_id % 19 = 0")
-def unmatched(spark: SparkSession, sf: str) -> DataFrame:
-    """The queue of reports without a company, newest year first."""
-    s = snapshots(spark, sf).where("filed_under is null").select("id", F.concat(F.lit("y"), (9999 - F.col("fiscal_year")).cast("string")).alias("late"), F.trim("snapshot.company_name").alias("extracted"))
-    return T.numbered(s, "late", "id").select("id", F.col("place").cast("long").alias("place"), "extracted")
-
-
-@query("K2_company_reports", f"WITH {FILINGS_SQL} SELECT company_id, row_number() OVER (PARTITION BY company_id ORDER BY fiscal_year DESC, report_type) AS place, id, CASE WHEN company_id % 29 <> 0 AND company_id % 23 <> 0 AND company_id % 6 <> 0 THEN revenue END AS revenue, CASE WHEN company_id % 29 <> 0 AND company_id % 23 <> 0 AND company_id % 4 <> 0 THEN net_profit END AS net_profit FROM filings")
-def company_reports(spark: SparkSession, sf: str) -> DataFrame:
-    """A company's reports with the previews that their snapshots give."""
-    value = lambda label: F.element_at(F.filter("snapshot.metrics", lambda m: m["label"] == label), 1)["value"]
-    safe = lambda label: F.when(F.size(F.col("snapshot.metrics")) > 0, value(label))
-    own = W.partitionBy("company_id").orderBy(F.col("fiscal_year").desc(), "report_type")
-    return snapshots(spark, sf).select("company_id", F.row_number().over(own).cast("long").alias("place"), "id", safe("Revenue").alias("revenue"), safe("Net profit").alias("net_profit"))
-
-
-_RAW = "CASE event_id % 5 WHEN 0 THEN '[\"' || event_type || '\", ' || event_id || ', null, {\"a\": \"b\"}, \"x\"]' WHEN 1 THEN '[\"' || event_type WHEN 2 THEN '{\"a\": [\"b\"]}' WHEN 3 THEN '[]' END"
+_WARNED = "CASE event_id % 5 WHEN 0 THEN '[\"' || event_type || '\", ' || event_id || ', null, {\"a\": \"b\"}, \"x\"]' WHEN 1 THEN '[\"' || event_type WHEN 2 THEN '{\"a\": [\"b\"]}' WHEN 3 THEN '[]' END"
 
 
-@query("G50_warning_texts", f"SELECT event_id, CASE WHEN event_id % 5 = 0 THEN event_type || '|x' ELSE '' END AS warnings FROM (SELECT event_id, event_type, {_RAW} AS raw FROM events)")
+@query("G50_warning_texts", f"SELECT event_id, CASE WHEN event_id % 5 = 0 THEN event_type || '|x' ELSE '' END AS warnings FROM (SELECT event_id, event_type, {_WARNED} AS raw FROM events)")
 def warning_texts(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").select("event_id", F.array_join(R.warning_texts(F.expr(_RAW)), "|").alias("warnings"))
+    return table(spark, sf, "events").select("event_id", F.array_join(R.warning_texts(F.expr(_WARNED)), "|").alias("warnings"))
 
 
 @query("G48_evidence", "SELECT l_orderkey, l_linenumber, nullif(concat_ws(' · ', CASE WHEN l_partkey % 3 <> 0 THEN CAST(floor(l_discount * 100 + 0.5) AS BIGINT) || '% confidence' END, CASE WHEN l_suppkey % 4 <> 0 THEN 'page ' || (l_suppkey % 4) END, CASE WHEN l_orderkey % 2 = 0 THEN 'chunk ' || l_linenumber END), '') AS caption FROM lineitem")

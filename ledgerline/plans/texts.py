@@ -7,8 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerline.functions import text as X
-from ledgerline.operators.matching import match_companies, name_tokens
-from ledgerline.plans.inputs import CLASS_TEXTS, FILES, HTML, ITEMS, LINES, MESSAGES, NAMES, NARRATIVES, VARIANTS, table
+from ledgerline.operators.matching import name_tokens
+from ledgerline.plans.inputs import CLASS_TEXTS, FILES, HTML, ITEMS, LINES, MESSAGES, NARRATIVES, VARIANTS, table
 from ledgerline.plans.registry import query, re2
 from ledgerline.sources import files as S
 from ledgerline.sources import html as P
@@ -92,11 +92,11 @@ def byte_range(spark: SparkSession, sf: str) -> DataFrame:
 _MANIFEST = "SELECT o_orderkey AS file, CASE WHEN o_custkey % 9 = 0 THEN -1 ELSE o_custkey END AS company_slug, CASE WHEN o_orderkey % 11 = 0 THEN 'weekly' ELSE 'annual' END AS report_type FROM orders"
 
 
-@query("A15_manifest_errors", f"WITH m AS ({_MANIFEST}) SELECT file, 'unknown company' AS problem FROM m WHERE company_slug NOT IN (SELECT c_custkey FROM customer) UNION ALL SELECT file, 'no such file' FROM m WHERE file NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 2) UNION ALL SELECT file, 'unknown report type' FROM m WHERE report_type = 'weekly'")
+@query("A15_manifest_errors", f"WITH m AS ({_MANIFEST}) SELECT file, 'unknown company' AS problem FROM m WHERE company_slug NOT IN (SELECT c_custkey FROM customer) UNION ALL SELECT file, 'no such file' FROM m WHERE file NOT IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING count(*) >= 2) UNION ALL SELECT file, 'unknown report type' FROM m WHERE report_type = 'weekly'")
 def manifest_errors(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders")
     manifest = o.select(F.col("o_orderkey").alias("file"), F.when(F.col("o_custkey") % 9 == 0, F.lit(-1).cast("long")).otherwise(F.col("o_custkey")).alias("company_slug"), F.when(F.col("o_orderkey") % 11 == 0, "weekly").otherwise("annual").alias("report_type"), F.lit("en").alias("output_language"))
-    files = table(spark, sf, "lineitem").where("l_linenumber = 2").select(F.col("l_orderkey").alias("file"))
+    files = table(spark, sf, "lineitem").groupBy("l_orderkey").count().where("count >= 2").select(F.col("l_orderkey").alias("file"))
     return S.check_manifest(manifest, table(spark, sf, "customer").select(F.col("c_custkey").alias("slug")), files, ("annual",), ("en",))
 
 
@@ -134,11 +134,16 @@ def word_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     return t.join(after, "doc_id").select(F.col("doc_id").alias("a"), "b", X.word_jaccard(F.col("text"), F.col("next_text")).alias("jaccard"))
 
 
-_NAME = "lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(section), '([a-z0-9])([A-Z])', '\\1_\\2', 'g'), '[\\s-]+', '_', 'g'), '[^a-zA-Z0-9_]', '', 'g'), '_+', '_', 'g'))"
+NAME = lambda x: "lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(" + x + "), '([a-z0-9])([A-Z])', '\\1_\\2', 'g'), '[\\s-]+', '_', 'g'), '[^a-zA-Z0-9_]', '', 'g'), '_+', '_', 'g'))"
+_NAME = NAME("section")
 _ALIAS = " ".join(f"WHEN {_NAME} IN ({', '.join(repr(n) for n in names)}) THEN '{target}'" for target, names in X.SECTION_ALIASES.items())
 
 
-@query("G7_sections", f"SELECT doc, ord, {_NAME} AS name, CASE WHEN {_NAME} IN ({', '.join(map(repr, X.SECTIONS))}) THEN {_NAME} {_ALIAS} ELSE 'other' END AS canonical FROM {NARRATIVES.sql}")
+def canonical_section_sql(x: str) -> str:
+    return f"CASE WHEN {NAME(x)} IN ({', '.join(map(repr, X.SECTIONS))}) THEN {NAME(x)} {_ALIAS.replace(_NAME, NAME(x))} ELSE 'other' END"
+
+
+@query("G7_sections", f"SELECT doc, ord, {_NAME} AS name, {canonical_section_sql('section')} AS canonical FROM {NARRATIVES.sql}")
 def sections(spark: SparkSession, sf: str) -> DataFrame:
     return NARRATIVES.df(spark, sf).select("doc", "ord", X.section_name(F.col("section")).alias("name"), X.canonical_section(F.col("section")).alias("canonical"))
 
@@ -237,23 +242,14 @@ def line_counts(spark: SparkSession, sf: str) -> DataFrame:
     return lines.groupBy("doc_id", "line").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
 
 
-_TOK = lambda x: f"list_filter(regexp_split_to_array(regexp_replace(lower(regexp_replace({x}, '(?i)\\ba\\s*/\\s*s\\b', ' ', 'g')), '[.,;:()''\"„“”’/\\\\&]', ' ', 'g'), '\\s+'), lambda t: t <> '' AND t NOT IN ('ab', 'as', 'ou', 'oü', 'uab', 'sia', 'ipas', 'asa', 'oyj', 'plc', 'ltd', 'inc'))"
+TOKENS = lambda x: f"list_filter(regexp_split_to_array(regexp_replace(lower(regexp_replace({x}, '(?i)\\ba\\s*/\\s*s\\b', ' ', 'g')), '[.,;:()''\"„“”’/\\\\&]', ' ', 'g'), '\\s+'), lambda t: t <> '' AND t NOT IN ('ab', 'as', 'ou', 'oü', 'uab', 'sia', 'ipas', 'asa', 'oyj', 'plc', 'ltd', 'inc'))"
 
 
-@query("G18_name_tokens", f"SELECT doc, array_to_string({_TOK('name')}, ' ') AS tokens FROM {VARIANTS.sql}")
+@query("G18_name_tokens", f"SELECT doc, array_to_string({TOKENS('name')}, ' ') AS tokens FROM {VARIANTS.sql}")
 def name_words(spark: SparkSession, sf: str) -> DataFrame:
     return VARIANTS.df(spark, sf).select("doc", F.array_join(name_tokens(F.col("name")), " ").alias("tokens"))
 
 
-# this SQL's distance counts bytes and repeated swaps; the names have two letters of more bytes and no such swaps
-@query("C5_match_companies", f"""WITH n AS (SELECT doc, {_TOK('name')} AS x, list_filter(regexp_split_to_array(lower(name), '\\s+'), lambda t: t <> '') AS raw FROM {VARIANTS.sql}), c AS (SELECT id, ticker, ord, {_TOK('name')} AS y FROM {NAMES.sql}),
-s AS (SELECT doc, id, ord, greatest(1 - damerau_levenshtein(translate(array_to_string(x, ' '), 'āė', '12'), translate(array_to_string(y, ' '), 'āė', '12')) / greatest(length(array_to_string(x, ' ')), length(array_to_string(y, ' '))),
- len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), CASE WHEN list_contains(raw, lower(ticker)) THEN 1.0 ELSE 0.0 END) AS confidence FROM n, c WHERE len(x) > 0)
-SELECT doc, id AS company_id, round(confidence, 9) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY confidence DESC, ord) AS k FROM s WHERE confidence >= 0.85) WHERE k = 1""")
-def match(spark: SparkSession, sf: str) -> DataFrame:
-    return match_companies(VARIANTS.df(spark, sf), NAMES.df(spark)).select("doc", "company_id", F.round("confidence", 9).alias("confidence"))
-
-
 @query("G22_message_parts", f"SELECT id, nullif(regexp_extract(message, 'company=(\\w+)', 1), '') AS company, nullif(regexp_extract(message, 'type=([\\w-]+)', 1), '') AS kind FROM {MESSAGES.sql}")
 def message_parts(spark: SparkSession, sf: str) -> DataFrame:
     part = lambda p: F.nullif(F.regexp_extract("message", p, 1), F.lit(""))

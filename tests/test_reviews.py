@@ -67,16 +67,19 @@ def test_mismatches(spark):
 
 
 def test_audit_of_odd_snapshots(spark):
-    schema = f"id int, company_id int, snapshot {R.SNAPSHOT}"
+    nothing = dict.fromkeys(("company_name", "report_period", "language", "metrics", "narratives", "tone", "outlook", "risks", "guidance", "breakdown", "trends"))
+    metrics = lambda *xs: [(label, value, None, None, None, None) for label, value in xs]
     series = lambda periods, revenue: (periods, revenue, None, None, None)
+    named = nothing | {"company_name": "x", "report_period": "2024"}
+    core = metrics(("Revenue", 1.0), ("EBITDA", 1.0), ("Net profit", 1.0), ("Free cash flow", 1.0))
     rows = [
         (1, None, None),
-        (2, None, (None, None, None, None, None, None)),
-        (3, None, ("x", "2024", [("Revenue", 1.0), ("EBITDA", 1.0), ("Net profit", 1.0), ("Free cash flow", 1.0)], series(["2023", "2024"], [None, 2.0]), (["A", "B"], None), [("Executive Summary", "t")])),
-        (4, None, ("x", "2024", [("Revenue", None), (None, 1.0)], series(["2024", " 2024"], [float("nan")]), (["A", "a"], ["x  y", "X y "]), [("", "t"), ("letter", "t")])),
-        (5, None, ("x", "2024", [("Revenue", 1.0), ("EBITDA", 1.0), ("Net profit", 1.0), ("Free cash flow", 1.0)], series([], []), None, [])),
+        (2, None, nothing),
+        (3, None, named | {"metrics": core, "trends": series(["2023", "2024"], [None, 2.0]), "breakdown": ([("A", 1.0), ("B", 2.0)], None), "narratives": [("Executive Summary", "t")]}),
+        (4, None, named | {"metrics": metrics(("Revenue", None), (None, 1.0)), "trends": series(["2024", " 2024"], [float("nan")]), "breakdown": ([("A", 1.0), ("a", None)], [("x  y", 1.0), ("X y ", 1.0)]), "narratives": [("", "t"), ("letter", "t"), (None, None)]}),
+        (5, None, named | {"metrics": core, "trends": series([], []), "narratives": []}),
     ]
-    found = {x.id: (x.codes, x.severity) for x in R.audit(spark.createDataFrame(rows, schema), spark.createDataFrame([], "id int, name string, ticker string, ord int")).collect()}
+    found = {x.id: (x.codes, x.severity) for x in R.audit(spark.createDataFrame(rows, f"id int, company_id int, snapshot {R.SNAPSHOT}"), spark.createDataFrame([], "id int, name string, ticker string, ord int")).collect()}
     assert found[1] == (["missing_snapshot"], 3)
     assert found[2] == (["missing_company_metadata", "missing_report_period_metadata", "zero_metrics"], 3)
     assert found[4] == (["mostly_null_metrics", "missing_core_metrics", "duplicate_trend_periods", "trend_series_length_mismatch", "all_null_trends", "duplicate_revenue_breakdown_entries", "non_canonical_narrative_sections", "missing_executive_summary"], 2)
