@@ -13,7 +13,7 @@ from ledgerline.operators import checks as K
 from ledgerline.operators import matching as M
 from ledgerline.operators import reviews as R
 from ledgerline.operators import tables as T
-from ledgerline.streaming.limits import _step, limited
+from ledgerline.streaming.limits import _step, after_block, limited, summary
 
 
 def test_limits_of_random_events(spark):
@@ -31,6 +31,38 @@ def test_limits_of_random_events(spark):
     assert sorted(((x.key or 0), x.seq, x.failures, x.limited) for x in got.collect()) == sorted(((k or 0), *x) for k, *x in want)
 
 
+def test_limits_of_a_busy_key(spark):
+    """Nearly all events are of one key and close together; ranges cut it, and the plain fold agrees."""
+    r, t0 = random.Random(8), dt.datetime(2024, 1, 1)
+    for kinds, gap in ((["failure"] * 30 + ["other"], 9), (["failure"] * 200 + ["reset"], 30), (["failure", "other"], 61)):
+        at, rows = 0, []
+        for i in range(4000):
+            at += r.choice([0, 1, gap])
+            rows.append((1 if i % 10 else r.randrange(2, 5), i, t0 + dt.timedelta(seconds=at), r.choice(kinds)))
+        want = []
+        for key in (1, 2, 3, 4):
+            opened, n = None, 0
+            for k, i, ts, kind in [x for x in rows if x[0] == key]:
+                opened, n = _step(opened, n, ts.timestamp(), kind, 60)
+                want.append((k, i, 0 if opened is None or ts.timestamp() - opened > 60 else n))
+        got = limited(spark.createDataFrame(rows, "key int, seq long, ts timestamp, kind string").repartition(5)).collect()
+        assert sorted((x.key, x.seq, x.failures) for x in got) == sorted(want)
+
+
+def test_blocks_are_put_together():
+    r = random.Random(9)
+    for _ in range(3000):
+        at, rows = 0, []
+        for _ in range(r.randrange(12)):
+            at += r.randrange(8)
+            rows.append((at, r.choice(["failure"] * 6 + ["other", r.choice(["other", "reset"])])))
+        opened, n = r.choice([(None, 0), (-r.randrange(1, 15), r.randrange(1, 5))])
+        want = (opened, n)
+        for at, kind in rows:
+            want = _step(*want, at, kind, 10)
+        assert after_block(opened, n, *summary([x for x in rows if x[1] != "other"], 10), 10) == want
+
+
 def test_history_without_the_own_row(spark):
     r = random.Random(4)
     rows = [(f"d{i}", r.choice([1, 1, 1, 2, 3, 4]), r.choice([2020, 2021]), r.choice(["annual", "q1"]), r.choice([None, 0.0, -3.0, 5.0, 5.0, float(r.randrange(1, 90))])) for i in range(60)] + [("alone", 9, 2020, "annual", 1.0)]
