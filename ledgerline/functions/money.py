@@ -52,17 +52,53 @@ def half_up(value: Column, digits: int = 0) -> Column:
     return F.floor(value * scale + 0.5) / scale
 
 
-def compact_euro(value: Column) -> Column:
-    """€1.2B, €34M, €56K, €7, or a dash."""
+def fixed(value: Column, digits: int) -> Column:
+    """With so many decimals, half away from zero."""
+    return F.when(value.isNotNull(), F.format_string(f"%.{digits}f", F.signum(value) * half_up(F.abs(value), digits)))
+
+
+def grouped(value: Column, digits: int = 2) -> Column:
+    """1,234.5: with thousands commas, up to so many decimals, half away from zero."""
+    text = F.format_string(f"%,.{digits}f", F.signum(value) * half_up(F.abs(value), digits))
+    return F.when(value.isNotNull(), F.regexp_replace(text, r"\.?0+$", "") if digits else text)
+
+
+def _short(value: Column, billions: int, millions: int, small: Column) -> Column:
     size = F.abs(value)
-    number = lambda v, d: F.format_string(f"%.{d}f", v)
-    return (
-        F.when(value.isNull(), F.lit("—"))
-        .when(size >= 1e9, F.concat(F.lit("€"), number(value / 1e9, 1), F.lit("B")))
-        .when(size >= 1e6, F.concat(F.lit("€"), number(value / 1e6, 0), F.lit("M")))
-        .when(size >= 1e3, F.concat(F.lit("€"), number(value / 1e3, 0), F.lit("K")))
-        .otherwise(F.concat(F.lit("€"), F.regexp_replace(value.cast("string"), r"\.0$", "")))
-    )
+    return F.when(size >= 1e9, F.concat(fixed(value / 1e9, billions), F.lit("B"))).when(size >= 1e6, F.concat(fixed(value / 1e6, millions), F.lit("M"))).when(size >= 1e3, F.concat(fixed(value / 1e3, 0), F.lit("K"))).otherwise(small)
+
+
+def plain_number(value: Column) -> Column:
+    """As few digits as tell the number."""
+    return F.regexp_replace(value.cast("string"), r"\.0$", "")
+
+
+def compact_euro(value: Column, billions: int = 1, millions: int = 0) -> Column:
+    """€1.2B, €34M, €56K, €7.25, or a dash; small values keep all their digits."""
+    return F.coalesce(F.concat(F.lit("€"), _short(value, billions, millions, plain_number(value))), F.lit("—"))
+
+
+def axis_number(value: Column) -> Column:
+    """1.2B, 3.4M, 56K, 7.25, as on the axis of a chart."""
+    return _short(value, 1, 1, plain_number(value))
+
+
+def metric_text(value: Column, unit: Column) -> Column:
+    """A metric's value with its unit: amounts of money as €1.23B, €3.4M, €56K or €7.25, others as 1,234.5 and the unit, or a dash."""
+    u = F.trim(F.coalesce(unit, F.lit("")))
+    money = F.concat(F.lit("€"), _short(value, 2, 1, grouped(value, 3)))
+    other = F.when(u == "", grouped(value)).otherwise(F.concat(grouped(value), F.lit(" "), u))
+    return F.coalesce(F.when(F.lower(u).rlike(r"€|eur|usd|\$"), money).otherwise(other), F.lit("—"))
+
+
+def signed_percent(value: Column) -> Column:
+    """+12.3% or -4.0%."""
+    return F.concat(F.when(value > 0, "+").otherwise(""), fixed(value, 1), F.lit("%"))
+
+
+def share_percent(value: Column) -> Column:
+    """12.3% from ten on, else 1.23%."""
+    return F.concat(F.when(value >= 10, fixed(value, 1)).otherwise(fixed(value, 2)), F.lit("%"))
 
 
 def delta(a: Column, b: Column, higher_better: Column) -> Column:

@@ -68,3 +68,19 @@ def align(pairs: DataFrame, trends: DataFrame, value: str) -> DataFrame:
     last = lambda s: F.max(F.when(F.col("side") == s, F.struct("idx", "v")))["v"]
     grouped = rows.groupBy("pair", "period").agg(F.min(F.struct("side", "idx")).alias("at"), last("a").alias("a"), last("b").alias("b"))
     return grouped.withColumn("place", F.row_number().over(W.partitionBy("pair").orderBy("at"))).drop("at")
+
+
+# Metrics that a review shows first, in this order.
+REVIEW_ORDER = ("revenue", "ebitda", "net_profit", "free_cash_flow", "operating_cash_flow", "total_assets", "equity", "liabilities")
+
+
+def in_review_order(metrics: DataFrame) -> DataFrame:
+    """(doc, key, label, place): each metric of a filing once, by its id or its label, those of REVIEW_ORDER first, then by label.
+
+    The first label of a key is shown; labels sort by their lower-case letters'
+    code points, then as they are.
+    """
+    keyed = metrics.withColumn("key", F.coalesce(L.canonical_id(F.col("label")), F.trim(F.lower("label"))))
+    one = keyed.groupBy("doc", "key").agg(F.min_by("label", "ord").alias("label"))
+    rank = F.coalesce(*(F.when(F.col("key") == k, F.lit(i)) for i, k in enumerate(REVIEW_ORDER)), F.lit(98))
+    return one.withColumn("place", F.row_number().over(W.partitionBy("doc").orderBy(rank, F.lower("label"), "label", "key")))

@@ -84,6 +84,13 @@ def audit(reports: DataFrame, companies: DataFrame) -> DataFrame:
     return coded.where(F.size("codes") > 0).select("id", "codes", level.alias("severity"), "suggested_company_id")
 
 
+def audit_report(found: DataFrame) -> DataFrame:
+    """(code, reports, severity): how many reports of audit() have each finding."""
+    each = found.select("id", F.explode("codes").alias("code"))
+    level = F.coalesce(*(F.when(F.col("code") == k, F.lit(v)) for k, v in ISSUES.items()))
+    return each.groupBy("code").agg(F.count(F.lit(1)).alias("reports")).withColumn("severity", level)
+
+
 def has_content(snapshot: Column) -> Column:
     """Whether a filing has a metric or a narrative of more than MEANINGFUL characters."""
     told = F.exists(snapshot["narratives"], lambda x: F.coalesce(F.length(x["text"]) > MEANINGFUL, F.lit(False)))

@@ -9,6 +9,7 @@ from ledgerline.operators import checks as K
 from ledgerline.plans.figures import canonical_sql
 from ledgerline.plans.inputs import FILED, FILINGS_SQL, METRICS, NARRATIVES, TRENDS, filings, table
 from ledgerline.plans.registry import query, re2
+from ledgerline.storage import materialize
 
 _M = f"(SELECT *, {canonical_sql('label')} AS id FROM {METRICS.sql})"
 _LOW = "confidence < 0.6"
@@ -44,7 +45,7 @@ UNION ALL SELECT id, 'balance_sheet_scale_mismatch' FROM n WHERE company_id % 7
 
 @query("J3q_sanity", _SANE)
 def sanity(spark: SparkSession, sf: str) -> DataFrame:
-    f = filings(spark, sf)
+    f = materialize(filings(spark, sf), "filings")
     n = f.select(
         F.col("id").alias("doc"), "company_id", "fiscal_year", F.when(F.col("report_type") == "q4", "semi-annual").otherwise(F.col("report_type")).alias("report_type"),
         F.when((F.col("company_id") % 4 == 0) & (F.col("report_type") == "q1"), F.col("revenue") * 50).otherwise(F.col("revenue")).alias("revenue"), F.when(F.col("company_id") % 6 == 0, F.col("net_profit") * 5).otherwise(F.col("net_profit")).alias("net_profit"), F.lit(None).cast("double").alias("fcf"),

@@ -12,6 +12,7 @@ from ledgerline.plans.figures import canonical_sql, period_key_sql
 from ledgerline.plans.inputs import BREAKDOWN, FILED, FILINGS_SQL, METRICS, NARRATIVES, TRENDS, Made, dealt, filings, table
 from ledgerline.plans.registry import SQL, query
 from ledgerline.plans.texts import MARKS, SQUEEZE
+from ledgerline.storage import materialize
 
 _T, _B, _N = TRENDS.sql, BREAKDOWN.sql, NARRATIVES.sql
 _LONG = f"SELECT doc, idx, period, 'revenue' AS series, revenue AS value FROM {_T} UNION ALL SELECT doc, idx, period, 'ebitda', ebitda FROM {_T} UNION ALL SELECT doc, idx, period, 'net_profit', net_profit FROM {_T} UNION ALL SELECT doc, idx, period, 'fcf', fcf FROM {_T}"
@@ -166,7 +167,7 @@ def pair_metrics(spark: SparkSession, sf: str) -> DataFrame:
 @query("E21_tally", f"WITH {FILINGS_SQL}, p AS (SELECT a.id AS pair, a.revenue AS ra, b.revenue AS rb, a.net_profit AS na, b.net_profit AS nb FROM filings a JOIN filings b ON b.company_id = a.company_id + 1 AND b.report_type = a.report_type AND b.fiscal_year = a.fiscal_year) SELECT pair, 2 * (ra > rb)::INT + (na > nb)::INT AS score_a, 2 * (rb > ra)::INT + (nb > na)::INT AS score_b, 3 AS total FROM p")
 def tally(spark: SparkSession, sf: str) -> DataFrame:
     """Each report against the next company's of the same year and kind."""
-    f = filings(spark, sf)
+    f = materialize(filings(spark, sf), "filings")
     other = f.select(F.col("id").alias("b"), (F.col("company_id") - 1).alias("company_id"), "fiscal_year", "report_type")
     pairs = f.select(F.col("id").alias("pair"), F.col("id").alias("a"), "company_id", "fiscal_year", "report_type").join(other, ["company_id", "fiscal_year", "report_type"]).select("pair", "a", "b")
     rows = f.select(F.col("id").alias("doc"), F.expr("stack(2, 0, 'Revenue', revenue, 1, 'Net profit', net_profit) as (ord, label, value)"))

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ledgerline.functions import money as M
 from ledgerline.functions import text as X
-from ledgerline.functions.money import compact_euro
 from ledgerline.operators import compare as C
 from ledgerline.operators import reviews as R
 from ledgerline.operators import snapshots as S
@@ -117,6 +117,12 @@ def report_audit(spark: SparkSession, sf: str) -> DataFrame:
     return R.audit(_filed(spark, sf), catalogue(spark, sf)).withColumn("codes", F.array_join("codes", ","))
 
 
+@query("K12_audit_report", f"{_AUDIT}, e AS (SELECT id, unnest(codes) AS code FROM a WHERE len(codes) > 0) SELECT code, count(*) AS reports, CASE WHEN code IN ({', '.join(repr(k) for k, v in R.ISSUES.items() if v == 3)}) THEN 3 WHEN code IN ({', '.join(repr(k) for k, v in R.ISSUES.items() if v == 2)}) THEN 2 ELSE 1 END AS severity FROM e GROUP BY code")
+def audit_report(spark: SparkSession, sf: str) -> DataFrame:
+    """How many reports have each finding."""
+    return R.audit_report(R.audit(_filed(spark, sf), catalogue(spark, sf)))
+
+
 @query("J9q_candidate_status", f"{_AUDIT} SELECT id, CASE WHEN y % 11 = 0 OR len(codes) > 0 THEN 'failed_quality' ELSE 'pending_review' END AS status FROM a")
 def candidate_status(spark: SparkSession, sf: str) -> DataFrame:
     s = snapshots(spark, sf)
@@ -357,6 +363,16 @@ def rerun_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return C.pair_metrics(f.select(F.col("id").alias("pair"), F.col("id").alias("a"), rerun.alias("b")), rows).select("pair", "key", "a", "b")
 
 
+_ORDER = "['revenue', 'ebitda', 'net_profit', 'free_cash_flow', 'operating_cash_flow', 'total_assets', 'equity', 'liabilities']"
+
+
+@query("H8_rerun_order", f"""WITH {SNAP_SQL}, {_METRIC_ROWS}, k AS (SELECT doc, label, ord, coalesce({canonical_sql('label')}, lower(trim(label))) AS key FROM metric_rows), g AS (SELECT doc, key, arg_min(label, ord) AS label FROM k GROUP BY ALL)
+SELECT doc, key, label, row_number() OVER (PARTITION BY doc ORDER BY coalesce(list_position({_ORDER}, key), 99), lower(label), label, key) AS place FROM g""")
+def rerun_order(spark: SparkSession, sf: str) -> DataFrame:
+    """A filing's metrics in the order of a review: the known ones first, then by label."""
+    return C.in_review_order(S.flat_metrics(snapshots(spark, sf))).select("doc", "key", "label", F.col("place").cast("long").alias("place"))
+
+
 @query("C13_history", f"WITH {FILINGS_SQL}, f AS (SELECT id, CASE WHEN company_id % 19 <> 0 THEN CASE WHEN company_id % 17 = 0 THEN company_id + 1000000 ELSE company_id END END AS company, fiscal_year AS y FROM filings) SELECT a.id, count(b.id) AS others, coalesce(bool_or(a.y = b.y), false) AS same_year FROM f a LEFT JOIN f b ON a.company = b.company AND a.id <> b.id GROUP BY a.id")
 def history(spark: SparkSession, sf: str) -> DataFrame:
     return R.with_history(snapshots(spark, sf).select("id", F.col("filed_under").alias("company_id"), "fiscal_year")).select("id", F.col("others").cast("long").alias("others"), "same_year")
@@ -376,9 +392,23 @@ def evidence(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", R.evidence_caption(sure, F.col("l_suppkey") % 4, F.when(F.col("l_orderkey") % 2 == 0, F.col("l_linenumber") - 1)).alias("caption"))
 
 
-@query("G45_compact_euro", f"WITH {FILINGS_SQL} SELECT id, CASE WHEN abs(net_profit) >= 1e9 THEN '€' || printf('%.1f', net_profit / 1e9) || 'B' WHEN abs(net_profit) >= 1e6 THEN '€' || printf('%.0f', net_profit / 1e6) || 'M' WHEN abs(net_profit) >= 1e3 THEN '€' || printf('%.0f', net_profit / 1e3) || 'K' END AS shown FROM filings WHERE abs(net_profit) >= 1e3")
+_FIXED = lambda v, d: f"printf('%.{d}f', sign({v}) * floor(abs({v}) * {10.0**d} + 0.5) / {10.0**d})"
+_GROUPED = lambda v, d: f"regexp_replace(format('{{:,.{d}f}}', sign({v}) * floor(abs({v}) * {10.0**d} + 0.5) / {10.0**d}), '\\.?0+$', '')"
+_SHORT = lambda v, b, m, small: f"CASE WHEN abs({v}) >= 1e9 THEN {_FIXED(f'({v} / 1e9)', b)} || 'B' WHEN abs({v}) >= 1e6 THEN {_FIXED(f'({v} / 1e6)', m)} || 'M' WHEN abs({v}) >= 1e3 THEN {_FIXED(f'({v} / 1e3)', 0)} || 'K' ELSE {small} END"
+_PLAIN = "regexp_replace(CAST(v AS VARCHAR), '\\.0$', '')"
+#: Net profits on several scales, small and null ones too.
+_AMOUNTS = "CASE company_id % 5 WHEN 0 THEN net_profit WHEN 1 THEN net_profit / 1000 WHEN 2 THEN floor(net_profit) * 1000 WHEN 3 THEN NULL ELSE floor(net_profit) / 128 END"
+_UNITS = "CASE fiscal_year % 5 WHEN 0 THEN 'EUR' WHEN 1 THEN ' % ' WHEN 2 THEN NULL WHEN 3 THEN 'usd m' ELSE 'shares' END"
+
+
+@query("G45_compact_euro", f"""WITH {FILINGS_SQL}, x AS (SELECT id, {_AMOUNTS} AS v, trim(coalesce({_UNITS}, '')) AS u FROM filings)
+SELECT id, coalesce('€' || {_SHORT('v', 1, 0, _PLAIN)}, '—') AS shown, coalesce('€' || {_SHORT('v', 2, 1, _PLAIN)}, '—') AS finer, {_SHORT('v', 1, 1, _PLAIN)} AS axis, coalesce(CASE WHEN regexp_matches(lower(u), '€|eur|usd') THEN '€' || {_SHORT('v', 2, 1, _GROUPED('v', 3))} WHEN u = '' THEN {_GROUPED('v', 2)} ELSE {_GROUPED('v', 2)} || ' ' || u END, '—') AS metric,
+ CASE WHEN v > 0 THEN '+' ELSE '' END || {_FIXED('v', 1)} || '%' AS change, CASE WHEN v >= 10 THEN {_FIXED('v', 1)} ELSE {_FIXED('v', 2)} END || '%' AS share FROM x""")
 def compact(spark: SparkSession, sf: str) -> DataFrame:
-    return filings(spark, sf).where("abs(net_profit) >= 1e3").select("id", compact_euro(F.col("net_profit")).alias("shown"))
+    """Amounts of every size as they are shown in tables, charts and lists."""
+    x = filings(spark, sf).selectExpr("id", f"{_AMOUNTS} AS v", f"{_UNITS} AS u")
+    v = F.col("v")
+    return x.select("id", M.compact_euro(v).alias("shown"), M.compact_euro(v, 2, 1).alias("finer"), M.axis_number(v).alias("axis"), M.metric_text(v, F.col("u")).alias("metric"), M.signed_percent(v).alias("change"), M.share_percent(v).alias("share"))
 
 
 _WAIT = "least(1000 * pow(2, event_id % 8), 30000)"
