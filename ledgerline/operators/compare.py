@@ -84,3 +84,35 @@ def in_review_order(metrics: DataFrame) -> DataFrame:
     one = keyed.groupBy("doc", "key").agg(F.min_by("label", "ord").alias("label"))
     rank = F.coalesce(*(F.when(F.col("key") == k, F.lit(i)) for i, k in enumerate(REVIEW_ORDER)), F.lit(98))
     return one.withColumn("place", F.row_number().over(W.partitionBy("doc").orderBy(rank, F.lower("label"), "label", "key")))
+
+
+def comparison(pairs: DataFrame, filings: DataFrame) -> DataFrame:
+    """(pair, score_a, score_b, total, leader, metrics) of pairs (pair, a, b) of filings (id, snapshot), both of which are there.
+
+    Scores are those of tally(), guidance included; leader is a, b or tie.
+    metrics holds each figure of either side once, in the order of a comparison
+    and then by name: (name, a, b, percent, better), with the change from a to b
+    in per cent of a and the side that is better, null where one has no figure
+    or both the same.
+    """
+    from ledgerline.operators.metrics import canonicalize
+    from ledgerline.operators.snapshots import flat_metrics
+    from ledgerline.storage import materialize
+
+    known = filings.where("snapshot is not null").select("id", "snapshot")
+    side = lambda c: known.select(F.col("id").alias(c), F.col("snapshot.guidance").alias(f"said_{c}"))
+    both = pairs.select("pair", "a", "b").join(side("a"), "a").join(side("b"), "b")
+    metrics = canonicalize(flat_metrics(known))
+    paired = materialize(pair_metrics(both, metrics), "compared-metrics")
+    scores = tally(paired, both.select("pair", F.col("said_a").alias("a"), F.col("said_b").alias("b")))
+    d = with_direction(paired)
+    change = F.when(F.col("a") != 0, (F.col("b") - F.col("a")) / F.abs("a") * 100)
+    better = F.when(F.col("a") == F.col("b"), None).when((F.col("a") > F.col("b")) == F.col("higher_better"), "a").when(F.col("a").isNotNull() & F.col("b").isNotNull(), "b")
+    row = F.struct("rank", F.lower("name").alias("low"), "key", "name", "a", "b", change.alias("percent"), better.alias("better"))
+    listed = d.groupBy("pair").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    shown = F.transform("rows", lambda r: F.struct(*(r[c].alias(c) for c in ("name", "a", "b", "percent", "better"))))
+    joined = both.select("pair").join(scores, "pair", "left").join(listed, "pair", "left")
+    points = {c: F.coalesce(c, F.lit(0)) for c in ("score_a", "score_b", "total")}
+    leader = F.when(points["score_a"] > points["score_b"], "a").when(points["score_b"] > points["score_a"], "b").otherwise("tie")
+    empty = F.array().cast("array<struct<name: string, a: double, b: double, percent: double, better: string>>")
+    return joined.select("pair", *(v.alias(k) for k, v in points.items()), leader.alias("leader"), F.coalesce(shown, empty).alias("metrics"))

@@ -101,6 +101,14 @@ def stated_multiplier() -> Column:
     return F.greatest(M.unit_multiplier(F.col("unit")), M.evidence_multiplier(F.col("snippet"), F.col("rationale")))
 
 
+def filing_scaled(metrics: DataFrame) -> DataFrame:
+    """(doc, ord, value) by the unit, or by the scale that most of the filing's metrics state where a plain euro sum below a million states none."""
+    m = with_optional(metrics).join(modal_multiplier(with_optional(metrics), stated_multiplier()), "doc", "left")
+    v, own = F.col("value"), M.by_unit(F.col("value"), F.col("unit"), F.col("label"))
+    plain = (F.coalesce("multiplier", F.lit(1)) > 1) & M.is_plain_euro(F.col("unit")) & L.is_aggregate(F.col("label")) & (F.abs(own) == F.abs(v)) & (F.abs(v) < 1_000_000)
+    return m.select("doc", "ord", F.when(plain, v * F.col("multiplier")).otherwise(own).alias("value"))
+
+
 def canonicalize(metrics: DataFrame) -> DataFrame:
     """Adds canonical_id, original label and unit, and the value in whole euro.
 

@@ -126,6 +126,18 @@ def with_any(df: DataFrame, column: str, values: Sequence[str] | None, allowed:
     return df.where(F.col(column).isin(*chosen)) if chosen else df
 
 
+def search_reports(reports: DataFrame, companies: DataFrame, query: str = "", n: int | None = None) -> DataFrame:
+    """Reports with their company's name and ticker that a search finds, by name, newest year first; n rows at most (clamp_limit()).
+
+    reports (id, company_id, fiscal_year, report_type), companies (id, name,
+    ticker).  The query may stand anywhere in a name or ticker, or begin the
+    year; reports without a company come last.
+    """
+    joined = reports.join(companies.select(F.col("id").alias("company_id"), "name", "ticker"), "company_id", "left")
+    found = search(joined, query, ("name", "ticker"), ("fiscal_year",))
+    return found.orderBy(F.col("name").asc_nulls_last(), F.col("fiscal_year").desc(), "report_type", "id").limit(clamp_limit(n))
+
+
 def clamp_limit(n: int | None, default: int = 200, most: int = 500) -> int:
     return default if n is None else min(max(int(n), 1), most)
 

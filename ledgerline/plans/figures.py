@@ -75,6 +75,14 @@ def modal_multiplier(spark: SparkSession, sf: str) -> DataFrame:
     return O.modal_multiplier(METRICS.df(spark, sf), O.stated_multiplier())
 
 
+_OWN = f"CASE WHEN {_RATIO('label')} THEN value ELSE value * {UNIT} END"
+
+
+@query("G34_filing_scale", f"WITH x AS (SELECT *, greatest({UNIT}, {EVIDENCE}) AS s, {_OWN} AS own FROM {_M}), w AS (SELECT doc, arg_max(s, (n, s)) AS multiplier FROM (SELECT doc, s, count(*) AS n FROM x GROUP BY ALL) WHERE s > 1 AND n >= 2 GROUP BY doc) SELECT doc, ord, CASE WHEN multiplier > 1 AND {_T} IN ('', 'eur', '€', 'euro') AND {_SUM('label')} AND abs(own) = abs(value) AND abs(value) < 1000000 THEN value * multiplier ELSE own END AS value FROM x LEFT JOIN w USING (doc)")
+def filing_scale(spark: SparkSession, sf: str) -> DataFrame:
+    return O.filing_scaled(METRICS.df(spark, sf))
+
+
 _LOW = "lower(trim(label))"
 _SAYS = {
     "revenue": f"NOT regexp_matches({_LOW}, 'palūkan|palukan|komisini|commission|interest income|fee income') AND (regexp_matches({_LOW}, '^(total\\s+)?(revenue|sales|turnover|pajamos|käive|kaive)$|^ie[nņ]ēmumi$|^ie[nņ]mumi$') OR (regexp_matches({_LOW}, '\\brevenue\\b') AND NOT regexp_matches({_LOW}, 'interest|commission')) OR regexp_matches({_LOW}, '\\bpajamos\\b'))",

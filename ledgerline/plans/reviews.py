@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import money as M
 from ledgerline.functions import text as X
+from ledgerline.functions.labels import METRIC_NAMES
 from ledgerline.operators import compare as C
 from ledgerline.operators import reviews as R
 from ledgerline.operators import snapshots as S
@@ -317,6 +318,43 @@ def unmatched(spark: SparkSession, sf: str) -> DataFrame:
     return T.numbered(s, "late", "id").select("id", F.col("place").cast("long").alias("place"), "extracted")
 
 
+_SELLS, _FREES = "regexp_matches(lower(trim({x})), '\\b(revenue|sales|turnover)\\b')".format, "regexp_matches(lower({x}), '\\b(free cash flow|fcf)\\b')".format
+_PILLAR = lambda x: f"(coalesce(({canonical_sql(x)}) IN ('revenue', 'free_cash_flow'), false) OR {_SELLS(x=x)} OR {_FREES(x=x)})"
+_KNOWN = f"coalesce(metric_id, ({canonical_sql('name')}))"
+_HIGHER = f"CASE WHEN {_KNOWN} IN ('liabilities', 'capex') THEN false WHEN {_KNOWN} IS NOT NULL THEN true WHEN regexp_matches(lower(name), '\\b(cost|expense|debt)\\b') THEN false ELSE {_PILLAR('name')} OR regexp_matches(lower(name), 'profit|margin|ebitda|income|eps') END"
+_PLACE = f"CASE WHEN coalesce(metric_id = 'revenue', false) OR {_SELLS(x='name')} THEN 0 WHEN coalesce(metric_id = 'free_cash_flow', false) OR {_FREES(x='name')} THEN 1 WHEN coalesce(metric_id = 'ebitda', false) OR regexp_matches(lower(name), '\\bebitda\\b') THEN 2 WHEN coalesce(metric_id = 'net_profit', false) OR regexp_matches(lower(name), '\\b(net profit|net income)\\b') THEN 3 WHEN contains(lower(name), 'margin') THEN 4 ELSE 10 END"
+_SHOWN_AS = "CASE metric_id " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in METRIC_NAMES.items()) + " END"
+_COUNTED = lambda v: f"coalesce(CAST(CAST(round({v}) AS BIGINT) AS VARCHAR), '-')"
+_GUIDED = lambda c: f"CASE {c} WHEN 'raised' THEN 3 WHEN 'maintained' THEN 2 WHEN 'lowered' THEN 1 ELSE 0 END"
+
+
+@query("K7_compare", f"""WITH {SNAP_SQL}, {_METRIC_ROWS}, {scaled_sql('metric_rows')}, pairs AS (SELECT x.id AS pair, x.id AS a, y.id AS b, x.snapshot.guidance AS ga, y.snapshot.guidance AS gb FROM snap x JOIN snap y ON y.company_id = x.company_id AND y.fiscal_year = x.fiscal_year AND y.report_type = 'annual' AND x.report_type <> 'annual' WHERE x.snapshot IS NOT NULL AND y.snapshot IS NOT NULL),
+keyed AS (SELECT doc, ord, label, euro, coalesce('canonical:' || id, 'label:' || trim(regexp_replace(lower(label), '\\s+', ' ', 'g'))) AS key FROM scaled), sides AS (SELECT pair, 'a' AS side, k.* FROM pairs JOIN keyed k ON doc = a UNION ALL SELECT pair, 'b', k.* FROM pairs JOIN keyed k ON doc = b),
+joined AS (SELECT pair, key, coalesce(arg_max(label, ord) FILTER (side = 'a'), arg_max(label, ord) FILTER (side = 'b')) AS label, arg_max_null(euro, ord) FILTER (side = 'a') AS a, arg_max_null(euro, ord) FILTER (side = 'b') AS b FROM sides GROUP BY ALL),
+named AS (SELECT *, CASE WHEN starts_with(key, 'canonical:') THEN substr(key, 11) END AS metric_id FROM joined), told AS (SELECT *, coalesce({_SHOWN_AS}, label) AS name FROM named),
+judged AS (SELECT *, {_HIGHER} AS higher, CASE WHEN coalesce(metric_id IN ('revenue', 'free_cash_flow'), false) OR {_PILLAR('label')} THEN 2 ELSE 1 END AS weight, {_PLACE} AS rank FROM told),
+points AS (SELECT pair, CASE WHEN (higher AND a > b) OR (NOT higher AND a < b) THEN weight ELSE 0 END AS x, CASE WHEN (higher AND a < b) OR (NOT higher AND a > b) THEN weight ELSE 0 END AS y, weight AS w FROM judged WHERE a IS NOT NULL AND b IS NOT NULL
+ UNION ALL SELECT pair, CASE WHEN {_GUIDED('ga')} >= {_GUIDED('gb')} THEN 2 ELSE 0 END, CASE WHEN {_GUIDED('gb')} >= {_GUIDED('ga')} THEN 2 ELSE 0 END, 2 FROM pairs WHERE {_GUIDED('ga')} > 0 OR {_GUIDED('gb')} > 0),
+scores AS (SELECT pair, sum(x)::BIGINT AS x, sum(y)::BIGINT AS y, sum(w)::BIGINT AS w FROM points GROUP BY pair),
+rows_ AS (SELECT pair, array_to_string(list(name || '=' || {_COUNTED('a')} || '/' || {_COUNTED('b')} || '/' || coalesce(CASE WHEN a = b THEN NULL WHEN (a > b) = higher THEN 'a' WHEN a IS NOT NULL AND b IS NOT NULL THEN 'b' END, '-') ORDER BY rank, lower(name), key), '|') AS metrics FROM judged GROUP BY pair)
+SELECT pair, coalesce(x, 0) AS score_a, coalesce(y, 0) AS score_b, coalesce(w, 0) AS total, CASE WHEN x > y THEN 'a' WHEN y > x THEN 'b' ELSE 'tie' END AS leader, coalesce(metrics, '') AS metrics FROM pairs LEFT JOIN scores USING (pair) LEFT JOIN rows_ USING (pair)""")
+def compared(spark: SparkSession, sf: str) -> DataFrame:
+    """Every other report beside the annual one of its company and year."""
+    s = snapshots(spark, sf)
+    annual = s.where("report_type = 'annual'").select("company_id", "fiscal_year", F.col("id").alias("b"))
+    pairs = s.where("report_type <> 'annual'").select(F.col("id").alias("pair"), F.col("id").alias("a"), "company_id", "fiscal_year").join(annual, ["company_id", "fiscal_year"])
+    count = lambda v: F.coalesce(F.round(v).cast("long").cast("string"), F.lit("-"))
+    shown = F.transform("metrics", lambda m: F.concat(m["name"], F.lit("="), count(m["a"]), F.lit("/"), count(m["b"]), F.lit("/"), F.coalesce(m["better"], F.lit("-"))))
+    return C.comparison(pairs, s).select("pair", *(F.col(c).cast("long").alias(c) for c in ("score_a", "score_b", "total")), "leader", F.array_join(shown, "|").alias("metrics"))
+
+
+@query("K3_for_compare", f"""WITH {SNAP_SQL} SELECT s.id, c.name, s.fiscal_year, s.report_type FROM snap s LEFT JOIN catalogue c ON c.id = s.filed_under WHERE c.name ILIKE '%ta%' OR c.ticker ILIKE '%ta%' OR starts_with(CAST(s.fiscal_year AS VARCHAR), 'ta') ORDER BY c.name NULLS LAST, s.fiscal_year DESC, s.report_type, s.id LIMIT 200""")
+def for_compare(spark: SparkSession, sf: str) -> DataFrame:
+    """What a search for two reports to compare lists, 200 at most."""
+    s = snapshots(spark, sf).select("id", F.col("filed_under").alias("company_id"), "fiscal_year", "report_type")
+    return T.search_reports(s, catalogue(spark, sf), "ta").select("id", "name", "fiscal_year", "report_type")
+
+
 _CONTEXT = "CASE h % 3 WHEN 0 THEN NULL WHEN 1 THEN company_id ELSE CASE WHEN h % 7 = 0 THEN company_id + 1000000 ELSE company_id END END"
 _PERIOD = lambda p, g: f"nullif(regexp_extract(period, '{p}', {g}), '')"
 _YEAR_OF = f"CAST(coalesce({_PERIOD('(?i)^(?:Q[1-4]|FY|H[12])\\s*(\\d{4})$', 1)}, {_PERIOD('^(\\d{4})-\\d{2}-\\d{2}$', 1)}, {_PERIOD('^(\\d{4})$', 1)}) AS INTEGER)"
