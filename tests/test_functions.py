@@ -88,3 +88,14 @@ def test_results_do_not_depend_on_partitions(spark):
     one = sorted(map(tuple, O.dedup(_metrics(spark, rows).coalesce(1)).collect()), key=repr)
     many = sorted(map(tuple, O.dedup(_metrics(spark, rows).repartition(8)).collect()), key=repr)
     assert one == many
+
+
+def test_amounts_of_every_size(spark):
+    rows = [(0, None, None), (1, 0.0, "EUR"), (2, 7.0, "eur"), (3, -7.25, " € "), (4, 999.5, None), (5, 1500.0, "EUR"), (6, -2_500_000.0, "EUR m"), (7, 1.25e9, "USD"), (8, 1234567.125, "shares"), (9, 100.0, "%"), (10, 0.005, "")]
+    df = spark.createDataFrame(rows, "i int, v double, u string").orderBy("i")
+    v = F.col("v")
+    shown = df.select(M.compact_euro(v), M.axis_number(v), M.metric_text(v, F.col("u")), M.signed_percent(v), M.share_percent(v)).collect()
+    assert [r[0] for r in shown] == ["—", "€0", "€7", "€-7.25", "€999.5", "€2K", "€-3M", "€1.3B", "€1M", "€100", "€0.005"]
+    assert [r[1] for r in shown][5:8] == ["2K", "-2.5M", "1.3B"] and shown[0][1] is None
+    assert [r[2] for r in shown] == ["—", "€0", "€7", "€-7.25", "999.5", "€2K", "€-2.5M", "€1.25B", "1,234,567.13 shares", "100 %", "0.01"]
+    assert [r[3] for r in shown][1:5] == ["0.0%", "+7.0%", "-7.3%", "+999.5%"] and [r[4] for r in shown][8:] == ["1234567.1%", "100.0%", "0.01%"]
