@@ -36,7 +36,7 @@ def test_limits_of_a_busy_key(spark):
     r, t0 = random.Random(8), dt.datetime(2024, 1, 1)
     for kinds, gap in ((["failure"] * 30 + ["other"], 9), (["failure"] * 200 + ["reset"], 30), (["failure", "other"], 61)):
         at, rows = 0, []
-        for i in range(4000):
+        for i in range(1500):
             at += r.choice([0, 1, gap])
             rows.append((1 if i % 10 else r.randrange(2, 5), i, t0 + dt.timedelta(seconds=at), r.choice(kinds)))
         want = []
