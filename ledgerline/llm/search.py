@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm.common import bounded, byte_text, materialize
 
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 16 << 20
 BLOCK_TERMS = 50_000
 #: Bytes of items up to which their terms are broadcast; beyond, terms and postings meet by a salted shuffle.
 BROADCAST_BYTES = 8 << 20
