@@ -50,7 +50,7 @@ def unless(cond: str, value: Value) -> Value:
 
 _FIRST = ("Tal", "Teli", "Ign", "Har", "Lat", "Mer", "Olai", "Gri", "Eke", "Kau", "Apr", "Nova", "Inv", "Lin", "Rok", "Žem", "Pie", "Šia", "Snai", "Vil", "Utē", "Äri", "Õun", "Bal", "Pan", "Aug", "Kla", "Sil", "Enef", "Nord", "Arc")
 _SECOND = ("link", "a", "itis", "ju", "vijas", "ko", "ne", "ndeks", "ro", "no", "anga", "tur", "l", "tek", "vest", "da", "kiš", "gė", "uls", "ta", "rus", "dal", "tico", "fa", "ipė", "ve", "it", "mark", "tas")
-_THIRD = ("Grupp", "Lietuva", "grupė", "Elekter", "Gāze", "Holding", "Kapital", "Group", "Baltic", "Farm", "Energia", "Invest", "Trade")
+_THIRD = ("Grupp", "Lietuva", "grupė", "Elekter", "Gāze", "Holding", "Kapital", "Group", "Marine", "Farm", "Energia", "Invest", "Trade")
 _BEFORE, _AFTER = ("AS ", "", "AB ", "", "UAB ", ""), ("", " AS", "", ", AB", "", " SIA", " A/S")
 #: Letters of these names beyond ASCII, small ones.
 MARKED = "žšēäõėā"
