@@ -29,7 +29,15 @@ def _cut(html: Column, pattern: str, end: str) -> Column:
 
 
 def _strip_tags(html: Column) -> Column:
-    return _cut(html, "<[^>]*>", ">")
+    """A space for each tag; what stands after the last > holds none."""
+    rest = F.substring_index(html, ">", -1)
+    head = F.substr(html, F.lit(1), F.length(html) - F.length(rest))
+    return F.concat(F.regexp_replace(head, "<[^>]*>", " "), rest)
+
+
+def _without(html: Column, name: str) -> Column:
+    cut = lambda h: _cut(h, rf"(?is)<{name}[\s>].*?</{name}\s*>", rf"</{name}\s*>")
+    return F.transform(F.array(html), lambda h: F.when(h.rlike(rf"(?i)<{name}[\s>]"), cut(h)).otherwise(h))[0]
 
 
 def html_text(html: Column) -> Column:
@@ -39,8 +47,9 @@ def html_text(html: Column) -> Column:
     is text.
     """
     for name in OMITTED:
-        html = _cut(html, rf"(?is)<{name}[\s>].*?</{name}\s*>", rf"</{name}\s*>")
-    return squeeze(decode_entities(_strip_tags(html)))
+        html = _without(html, name)
+    # each step is computed once, however often the next one names it
+    return squeeze(decode_entities(F.transform(F.array(html), _strip_tags)[0]))
 
 
 def has_keyword(text: Column) -> Column:
