@@ -60,7 +60,7 @@ def patch(df: DataFrame, changes: DataFrame, key: str, columns: Sequence[str]) -
 
 def promote(candidates: DataFrame, reports: DataFrame, chosen: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
     """(candidates, reports) after the pending candidates whose id is in ``chosen`` replace their report's job, key and snapshot."""
-    picked = candidates.join(chosen.select("id").distinct().withColumn("picked_", F.lit(True)), "id", "left").withColumn("go_", F.col("picked_").isNotNull() & (F.col("status") == "pending"))
+    picked = candidates.join(chosen.select("id").distinct().withColumn("picked_", F.lit(True)), "id", "left").withColumn("go_", F.col("picked_").isNotNull() & (F.col("status") == "pending_review"))
     after = picked.withColumn("status", F.when(F.col("go_"), "approved").otherwise(F.col("status"))).withColumn("approved_at", F.when(F.col("go_"), as_of).otherwise(F.col("approved_at")))
     fields = ("job_id", "s3_key", "extracted_json_snapshot")
     winner = last_per_key(picked.where("go_"), ["report_id"], [F.col("created_at"), F.col("id")]).select(F.col("report_id").alias("id"), *(F.col(c).alias(f"new_{c}") for c in fields), F.lit(True).alias("hit_"))
@@ -73,7 +73,7 @@ def promote(candidates: DataFrame, reports: DataFrame, chosen: DataFrame, as_of:
 def reject(candidates: DataFrame, chosen: DataFrame) -> DataFrame:
     """Pending and failed candidates whose id is in ``chosen`` become rejected."""
     picked = candidates.join(chosen.select("id").distinct().withColumn("picked_", F.lit(True)), "id", "left")
-    go = F.col("picked_").isNotNull() & F.col("status").isin("pending", "failed_quality")
+    go = F.col("picked_").isNotNull() & F.col("status").isin("pending_review", "failed_quality")
     return picked.withColumn("status", F.when(go, "rejected").otherwise(F.col("status"))).select(*candidates.columns)
 
 

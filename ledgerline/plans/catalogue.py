@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerline.plans import audits, figures, queue, records, relational, reviews, stores, texts
+from ledgerline.plans import audits, figures, queue, records, relational, requests, reviews, stores, texts
 from ledgerline.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "audits", "figures", "queue", "records", "relational", "reviews", "stores", "texts"]
+__all__ = ["QUERIES", "SQL", "audits", "figures", "queue", "records", "relational", "requests", "reviews", "stores", "texts"]

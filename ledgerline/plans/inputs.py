@@ -225,7 +225,7 @@ REPORTS_NEW = Made(_report("n", "CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END"
 CANDIDATES = Made(
     (
         f"'k' || {STRING('o_orderkey')} AS id", f"'r' || {STRING('o_orderkey - o_orderkey % 2')} AS report_id", f"'jk' || {STRING('o_orderkey')} AS job_id", f"'sk' || {STRING('o_orderkey')} AS s3_key", f"'{{' || {STRING('o_custkey')} || '}}' AS extracted_json_snapshot",
-        dealt(("pending", "failed_quality", "pending", "rejected", "approved"), "o_custkey") + " AS status", "o_orderdate AS created_at", "CAST(NULL AS TIMESTAMP) AS approved_at",
+        dealt(("pending_review", "failed_quality", "pending_review", "rejected", "approved"), "o_custkey") + " AS status", "o_orderdate AS created_at", "CAST(NULL AS TIMESTAMP) AS approved_at",
     ),
 )
 #: Candidates that a reviewer chose, one a report.

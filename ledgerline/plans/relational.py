@@ -195,14 +195,14 @@ def insert_unique(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "D9_promote",
-    f"SELECT r.id, coalesce(k.job_id, r.job_id) AS job_id, coalesce(k.s3_key, r.s3_key) AS s3_key, coalesce(k.extracted_json_snapshot, r.extracted_json_snapshot) AS extracted_json_snapshot FROM {REPORTS.sql} r LEFT JOIN (SELECT * FROM {CANDIDATES.sql} WHERE status = 'pending' AND id IN (SELECT id FROM {CHOSEN.sql})) k ON k.report_id = r.id",
+    f"SELECT r.id, coalesce(k.job_id, r.job_id) AS job_id, coalesce(k.s3_key, r.s3_key) AS s3_key, coalesce(k.extracted_json_snapshot, r.extracted_json_snapshot) AS extracted_json_snapshot FROM {REPORTS.sql} r LEFT JOIN (SELECT * FROM {CANDIDATES.sql} WHERE status = 'pending_review' AND id IN (SELECT id FROM {CHOSEN.sql})) k ON k.report_id = r.id",
 )
 def promote(spark: SparkSession, sf: str) -> DataFrame:
     _, reports = T.promote(CANDIDATES.df(spark, sf), REPORTS.df(spark, sf), CHOSEN.df(spark, sf), F.to_timestamp(F.lit("2024-02-01")))
     return reports.select("id", "job_id", "s3_key", "extracted_json_snapshot")
 
 
-@query("D10_reject", f"SELECT id, CASE WHEN id IN (SELECT id FROM {CHOSEN.sql}) AND status IN ('pending', 'failed_quality') THEN 'rejected' ELSE status END AS status FROM {CANDIDATES.sql}")
+@query("D10_reject", f"SELECT id, CASE WHEN id IN (SELECT id FROM {CHOSEN.sql}) AND status IN ('pending_review', 'failed_quality') THEN 'rejected' ELSE status END AS status FROM {CANDIDATES.sql}")
 def reject(spark: SparkSession, sf: str) -> DataFrame:
     return T.reject(CANDIDATES.df(spark, sf), CHOSEN.df(spark, sf)).select("id", "status")
 

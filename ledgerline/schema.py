@@ -10,7 +10,7 @@ TERMINAL_STATES = ("complete", "failed")
 LANGUAGES = ("en", "et", "lv", "lt")
 REPORT_TYPES = ("annual", "q1", "q2", "q3", "q4", "semi-annual", "other")
 METRIC_IDS = ("revenue", "ebitda", "net_profit", "free_cash_flow", "operating_cash_flow", "capex", "total_assets", "equity", "liabilities", "eps", "dividends")
-CANDIDATE_STATUS = ("pending", "failed_quality", "approved", "rejected")
+CANDIDATE_STATUS = ("pending_review", "failed_quality", "approved", "rejected")
 GUIDANCE = ("raised", "maintained", "lowered")
 DOCUMENT_CLASSES = ("financial_report", "auditor_report", "legal_filing", "prospectus", "press_release", "low_quality_text", "unknown")
 SEVERITIES = ("low", "medium", "high")
