@@ -36,6 +36,8 @@ SUFFIX_RIGHT = 0.7
 PRIOR_OPEN = 0.01
 #: Pseudo-counts of a parent level.
 SMOOTH = 20.0
+#: A host with more than one row in so many gets its prior without a shuffle.
+HOT_HOSTS = 64
 #: Address suffixes that speak for a language.
 SUFFIXES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "ie": "en", "it": "it", "nl": "nl", "pt": "pt", "br": "pt", "pl": "pl", "se": "sv"}
 _UNIT = 1_000_000
@@ -130,8 +132,9 @@ def fit_on(evidence: DataFrame, rows: int = SAMPLE_ROWS) -> TextModel:
     return fit([(bytes(r.text), r.declared) for r in ranked.where(F.col("rank_") <= each).select("text", "declared").collect()])
 
 
-def _posterior(model: TextModel):
+def _posterior(known):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = known.value
         for batch in batches:
             scores = model.scores([x.as_buffer().to_pybytes() for x in batch["bytes"]])
             flat = pa.array(np.round(scores, 6).ravel(), pa.float64())
@@ -165,15 +168,15 @@ def identify(evidence: DataFrame, model: TextModel | None = None, floor: float =
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("has_letter")
     ready = bounded(evidence).select(kept, "declared", "host", "suffix", letter, F.lower(F.coalesce("text", F.lit(""))).cast("binary").alias("bytes"))
     schema = StructType([f for f in ready.schema if f.name != "bytes"]).add("likelihood", ArrayType(DoubleType()))
-    scored = materialize(ready.mapInArrow(_posterior(model), schema), "language-scores")
+    scored = materialize(ready.mapInArrow(_posterior(evidence.sparkSession.sparkContext.broadcast(model)), schema), "language-scores")
 
     # priors: counts of what texts alone say, in millionths so that sums are exact
     says = F.transform(_softmax(F.col("likelihood")), lambda p: F.round(p * _UNIT).cast("long"))
     sums = [F.sum(F.when(F.col("has_letter"), F.col("says")[k]).otherwise(0)).alias(f"n{k}") for k in range(len(names))]
-    by_host = materialize(scored.withColumn("says", says).groupBy("host", "suffix").agg(*sums), "language-hosts")
+    by_host = materialize(scored.withColumn("says", says).groupBy("host", "suffix").agg(F.count(F.lit(1)).alias("rows_"), *sums), "language-hosts")
     add = [F.sum(f"n{k}").alias(f"n{k}") for k in range(len(names))]
     counted = lambda n: F.array(*(F.col(f"n{k}") / _UNIT for k in range(n)))
-    every = by_host.agg(*add).select(counted(len(names)).alias("all_n"))
+    every = by_host.agg(F.sum("rows_").alias("all_rows"), *add).select(counted(len(names)).alias("all_n"), "all_rows")
     by_suffix = by_host.groupBy("suffix").agg(*add).select("suffix", counted(len(names)).alias("suffix_n"))
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
 
@@ -183,7 +186,7 @@ def identify(evidence: DataFrame, model: TextModel | None = None, floor: float =
 
     flat = F.array(*(F.lit((1 - PRIOR_OPEN) / max(1, len(names) - 1) if n != UNDETERMINED else PRIOR_OPEN) for n in names))
     # every has one row
-    prior = by_host.alias("h").join(by_suffix.alias("s"), F.col("h.suffix").eqNullSafe(F.col("s.suffix"))).join(F.broadcast(every)).select("h.host", "h.suffix", smooth(counted(len(names)), smooth(F.col("suffix_n"), smooth(F.col("all_n"), flat))).alias("prior"))
+    prior = by_host.alias("h").join(by_suffix.alias("s"), F.col("h.suffix").eqNullSafe(F.col("s.suffix"))).join(F.broadcast(every)).select("h.host", "h.suffix", smooth(counted(len(names)), smooth(F.col("suffix_n"), smooth(F.col("all_n"), flat))).alias("prior"), (F.col("rows_") * HOT_HOSTS > F.col("all_rows")).alias("hot_"))
     prior = materialize(prior, "language-priors")
 
     def agrees(said: Column, right: float, k: int, name: str) -> Column:
@@ -196,7 +199,11 @@ def identify(evidence: DataFrame, model: TextModel | None = None, floor: float =
     hint = F.coalesce(*(F.when(F.col("e.suffix") == s, F.lit(v)) for s, v in SUFFIXES.items()))
     logs = F.array(*(F.col("likelihood")[k] + F.log(F.col("prior")[k]) + agrees(F.col("declared"), DECLARED_RIGHT, k, n) + agrees(F.col("hint"), SUFFIX_RIGHT, k, n) for k, n in enumerate(names)))
     same = F.col("e.host").eqNullSafe(F.col("p.host")) & F.col("e.suffix").eqNullSafe(F.col("p.suffix"))
-    joined = scored.alias("e").join(prior.alias("p"), same).select("e.*", "p.prior", hint.alias("hint"))
+    # fewer than HOT_HOSTS hosts can have such a share of the rows; no other host's rows fill a task
+    hot, rest = F.broadcast(prior.where("hot_")).alias("p"), prior.where("not hot_").alias("p")
+    e = scored.alias("e")
+    both = e.join(hot, same).select("e.*", "p.prior").unionByName(e.join(hot, same, "left_anti").alias("e").join(rest, same).select("e.*", "p.prior"))
+    joined = both.alias("e").withColumn("hint", hint)
     fused = joined.withColumn("posterior", _softmax(logs))
     best = F.array_max(F.col("posterior"))
     fused = fused.withColumn("confidence", F.round(best, 6)).withColumn("language", F.element_at(F.array(*map(F.lit, names)), F.array_position(F.col("posterior"), best).cast("int")))

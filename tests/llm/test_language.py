@@ -85,11 +85,13 @@ def brute(rows, model, floor=0.5):
     return out
 
 
-def test_against_plain(spark, model):
+def test_against_plain(spark, model, monkeypatch):
     r = random.Random(11)
     ws = "the dog and cat der hund die katze auf berg on hill that mit einem near river qzx é 12 !!".split()
     three = language.fit([(b"the dog and the cat on that hill near the river", "en"), ("der hund und die katze auf dem berg mit einem".encode(), "de"), ("le chien et le chat près de la rivière".encode(), "fr")])
-    for fitted in (model, three):
+    # with all hosts busy, some, and none
+    for fitted, hot in ((model, 64), (three, 22), (model, 1)):
+        monkeypatch.setattr(language, "HOT_HOSTS", hot)
         rows = [(None if r.random() < 0.05 else " ".join(r.choices(ws, k=r.randint(0, 9))), r.choice([None, "en", "de", "fr", "xx"]), r.choice([None, "", "a", "b", "c"]), r.choice([None, "de", "com", "fr", "uk"])) for _ in range(300)]
         df = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "likelihood long, text string, declared string, host string, suffix string").repartition(4)
         found = {x.likelihood: x for x in language.identify(df, fitted).collect()}
