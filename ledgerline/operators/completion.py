@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions.periods import parse_period
 from ledgerline.functions.text import strip
 from ledgerline.operators.checks import sanity
-from ledgerline.operators.matching import THRESHOLD, match_companies, name_tokens, raw_tokens, with_confidence
+from ledgerline.operators.matching import THRESHOLD, match_companies, name_tokens, raw_tokens, reach
 from ledgerline.operators.metrics import canonicalize, modal_multiplier, preview, stated_multiplier
 from ledgerline.operators.records import scaled_series, series_multiplier
 from ledgerline.operators.snapshots import SERIES, flat_metrics
@@ -62,7 +62,7 @@ def with_company(jobs: DataFrame, companies: DataFrame, threshold: float = THRES
     best = match_companies(names.select(F.col("said").alias("doc"), F.col("said").alias("name")), companies, threshold).select(F.col("doc").alias("said"), F.col("company_id").alias("best_"))
     own = jobs.where("company_id is not null").select("id", "said", "company_id").join(companies.select(F.col("id").alias("company_id"), F.col("name").alias("own_"), "ticker"), "company_id")
     pairs = own.select("id", name_tokens(F.col("said")).alias("x"), name_tokens(F.col("own_")).alias("y"), raw_tokens(F.col("said")).alias("raw"), "ticker")
-    fits = with_confidence(pairs.where(F.size("x") > 0), threshold).select("id", (F.col("confidence") >= threshold).alias("fits_"))
+    fits = reach(pairs.where(F.size("x") > 0), threshold).select("id", F.col("fits").alias("fits_"))
     listed = own.select("id", F.lit(True).alias("listed_"))
     joined = jobs.join(best, "said", "left").join(listed, "id", "left").join(fits, "id", "left")
     given = F.col("company_id").isNotNull()

@@ -85,6 +85,21 @@ def test_rare_keys_miss_no_pair(spark, names, threshold):
         M.match_companies(spark.createDataFrame([("a", "a")], "doc string, name string"), spark.createDataFrame(own, COMPANIES), 0.5)
 
 
+def test_equal_names_are_compared_once(spark, monkeypatch):
+    written, materialize = [], M.materialize
+
+    def counted(df, label, *more):
+        out = materialize(df, label, *more)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(M, "materialize", counted)
+    own = [(k, ("AS Tallink Grupp", "Tallink Grupp, AB")[k % 2], f"T{k}L", k) for k in range(300)]
+    said = [("Tlalink Grupp", "Tallink Gruppp")[k % 2] + (" AS", " ", ", AB")[k % 3] + " " * k for k in range(200)] + ["Tlalink Grupp T7L"]
+    got = M.match_companies(spark.createDataFrame([(s, s) for s in said], "doc string, name string"), spark.createDataFrame(own, COMPANIES)).collect()
+    assert {r.doc: r.company_id for r in got} == {s: 7 if "T7L" in s else 0 for s in said} and max(written) <= 300
+
+
 def test_many_distances_at_once():
     import numpy as np
 
