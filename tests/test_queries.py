@@ -52,6 +52,11 @@ def test_plans_push_filters_down(spark, sf_dir):
     assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint,o_totalprice:double>" in plan
 
 
+def test_near_pairs_pass_no_table_through_the_driver(spark, sf_dir):
+    plan = QUERIES["C12_near_pairs"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 LITERAL = {
     "METRICS": "E18_missing_core F9_first_per_label G54_drop_empty G30_label_kinds G37_G38_label_tests G32_G35_canonicalize E23_derive_fcf C12_dedup F13_key_metrics F12_G39_preview",
     "TRENDS": "E14_merge_periods E12_chunk_trends F8_forward_fill F7_implausible F10_repeated_periods",
