@@ -9,7 +9,7 @@ from ledgerline.functions.periods import parse_period
 from ledgerline.functions.text import strip
 from ledgerline.operators.checks import sanity
 from ledgerline.operators.matching import THRESHOLD, match_companies, name_tokens, raw_tokens, reach
-from ledgerline.operators.metrics import canonicalize, modal_multiplier, preview, stated_multiplier
+from ledgerline.operators.metrics import canonicalize, headline_facts, preview, stated_scales
 from ledgerline.operators.records import scaled_series, series_multiplier
 from ledgerline.operators.snapshots import SERIES, flat_metrics
 from ledgerline.operators.tables import insert_unique
@@ -35,9 +35,9 @@ def _last_of_series(filings: DataFrame, doc: str, figures: DataFrame, stated: Da
 def _previews(known: DataFrame, doc: str) -> tuple[DataFrame, DataFrame]:
     """(previews, canonicalized metrics) of filings with a snapshot."""
     flat = flat_metrics(known, doc)
-    metrics = materialize(canonicalize(flat), "canonical-metrics")
+    metrics = materialize(canonicalize(flat, headline_facts()), "canonical-metrics")
     figures = preview(metrics)
-    ends = _last_of_series(known, doc, figures, modal_multiplier(metrics, stated_multiplier()))
+    ends = _last_of_series(known, doc, figures, stated_scales(metrics))
     joined = known.select(F.col(doc).alias("doc")).join(figures, "doc", "left").join(ends.select(F.col("doc"), *(F.col(c).alias(f"end_{c}") for c in SERIES)), "doc", "left")
     return joined.select("doc", *(F.coalesce(c, f"end_{c}").alias(c) for c in SERIES)), metrics
 
