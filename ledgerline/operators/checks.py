@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.labels import canonical_id
 from ledgerline.functions.money import is_finite
-from ledgerline.functions.periods import first_year, years_differ
-from ledgerline.operators.metrics import metric_id, with_optional
+from ledgerline.functions.periods import first_year
+from ledgerline.operators.dictionary import per_value
+from ledgerline.operators.metrics import metric_id, with_metric_id
 
 CONFIDENT = 0.6
 HEADLINE = ("revenue", "ebitda", "net_profit", "free_cash_flow")
@@ -41,12 +42,13 @@ def low_confidence() -> Column:
 
 def headline_issues(metrics: DataFrame, filings: DataFrame) -> DataFrame:
     """(doc, ord, code) of headline metrics with a value: what their evidence lacks.  filings (doc, report_period)."""
-    m = with_optional(metrics).withColumn("id_", metric_id()).where(F.col("id_").isin(*HEADLINE) & is_finite(F.col("value"))).join(filings, "doc")
+    year = lambda df, c, name: per_value(df, [c], {name: first_year(F.col(c))})
+    m = with_metric_id(year(metrics, "period", "year_")).where(F.col("id_").isin(*HEADLINE) & is_finite(F.col("value"))).join(year(filings, "report_period", "own_year_"), "doc")
     rules = {
         "missing_snippet": _blank("snippet"),
         "missing_unit": _blank("unit") & _blank("normalized_unit"),
         "missing_period": _blank("period") & _blank("report_period"),
-        "period_mismatch": years_differ(F.col("period"), F.col("report_period")),
+        "period_mismatch": F.col("year_") != F.col("own_year_"),
         "low_confidence": low_confidence(),
     }
     return codes(m, ["doc", "ord"], rules)
@@ -57,9 +59,9 @@ def quality_gate(filings: DataFrame, metrics: DataFrame, narratives: DataFrame)
 
     Every finding keeps a filing out: the gate's own, and those of headline_issues().
     """
-    m = with_optional(metrics).withColumn("id_", metric_id())
+    m = with_metric_id(metrics, says_core=F.coalesce("original_label", "label").rlike(CORE_WORDS))
     number = is_finite(F.col("value"))
-    core = number & (F.coalesce(F.col("id_").isin(*CORE), F.lit(False)) | F.coalesce("original_label", "label").rlike(CORE_WORDS))
+    core = number & (F.coalesce(F.col("id_").isin(*CORE), F.lit(False)) | F.col("says_core"))
     stats = m.groupBy("doc").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(number).alias("numbers"), F.count_if(F.col("value").isNull()).alias("nulls"), F.count_if(core).alias("cores"), F.count_if(core & low_confidence()).alias("unsure")
     )
