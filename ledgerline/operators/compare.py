@@ -7,15 +7,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerline.functions import labels as L
+from ledgerline.operators.dictionary import per_value
 
 GUIDANCE_RANK = {"raised": 3, "maintained": 2, "lowered": 1}
 PILLAR = 2
 
 
-def metric_key() -> Column:
-    known = F.coalesce("canonical_id", L.canonical_id(F.coalesce("original_label", "label")))
+def with_metric_key(metrics: DataFrame) -> DataFrame:
+    """Adds key: a metric's id, else its label; worked out once for each label."""
     plain = F.trim(F.regexp_replace(F.lower("label"), r"\s+", " "))
-    return F.when(known.isNotNull(), F.concat(F.lit("canonical:"), known)).otherwise(F.concat(F.lit("label:"), plain))
+    known = per_value(metrics, ["label", "original_label"], {"id_": L.canonical_id(F.coalesce("original_label", "label")), "plain_": plain}).withColumn("id_", F.coalesce("canonical_id", "id_"))
+    return known.withColumn("key", F.when(F.col("id_").isNotNull(), F.concat(F.lit("canonical:"), "id_")).otherwise(F.concat(F.lit("label:"), "plain_"))).drop("id_", "plain_")
 
 
 def pair_metrics(pairs: DataFrame, metrics: DataFrame) -> DataFrame:
@@ -26,7 +28,7 @@ def pair_metrics(pairs: DataFrame, metrics: DataFrame) -> DataFrame:
     order they first come, side a before b.
     """
     side = pairs.select("pair", F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("a").alias("doc")), F.struct(F.lit("b").alias("side"), F.col("b").alias("doc")))).alias("s")).select("pair", "s.side", "s.doc")
-    rows = side.join(metrics.withColumn("key", metric_key()).withColumn("amount", F.coalesce("normalized_value", "value")), "doc")
+    rows = side.join(with_metric_key(metrics).withColumn("amount", F.coalesce("normalized_value", "value")), "doc")
     last = lambda s, c: F.max(F.when(F.col("side") == s, F.struct("ord", c)))[c]
     first = F.min(F.struct("side", "ord"))
     label = F.coalesce(last("a", "label"), last("b", "label"))
@@ -34,11 +36,23 @@ def pair_metrics(pairs: DataFrame, metrics: DataFrame) -> DataFrame:
     return grouped.withColumn("place", F.row_number().over(W.partitionBy("pair").orderBy("at"))).drop("at")
 
 
+def _with_name(paired: DataFrame) -> DataFrame:
+    known = F.when(F.startswith(F.col("key"), F.lit("canonical:")), F.substring("key", 11, 100))
+    return paired.withColumn("metric_id", known).withColumn("name", F.coalesce(L.metric_name(F.col("metric_id")), "label"))
+
+
+def _direction() -> dict[str, Column]:
+    return {"weight": L.weight(F.col("metric_id"), F.col("label")), "higher_better": L.higher_is_better(F.col("metric_id"), F.col("name")), "rank": L.compare_rank(F.col("metric_id"), F.col("name"))}
+
+
 def with_direction(paired: DataFrame) -> DataFrame:
     """Adds metric_id, name, weight, higher_better and rank."""
-    known = F.when(F.startswith(F.col("key"), F.lit("canonical:")), F.substring("key", 11, 100))
-    p = paired.withColumn("metric_id", known).withColumn("name", F.coalesce(L.metric_name(F.col("metric_id")), "label"))
-    return p.withColumn("weight", L.weight(F.col("metric_id"), F.col("label"))).withColumn("higher_better", L.higher_is_better(F.col("metric_id"), F.col("name"))).withColumn("rank", L.compare_rank(F.col("metric_id"), F.col("name")))
+    return _with_name(paired).withColumns(_direction())
+
+
+def _directed(paired: DataFrame) -> DataFrame:
+    """with_direction() of a table that is written, worked out once for each key and label."""
+    return per_value(_with_name(paired), ["metric_id", "label", "name"], _direction())
 
 
 def tally(paired: DataFrame, guidance: DataFrame | None = None) -> DataFrame:
@@ -47,7 +61,7 @@ def tally(paired: DataFrame, guidance: DataFrame | None = None) -> DataFrame:
     Equal figures count for neither side.  guidance (pair, a, b) weighs like a
     pillar; equal guidance counts for both.
     """
-    both = with_direction(paired).where(F.col("a").isNotNull() & F.col("b").isNotNull())
+    both = (paired if "higher_better" in paired.columns else with_direction(paired)).where(F.col("a").isNotNull() & F.col("b").isNotNull())
     ahead = F.when(F.col("higher_better"), F.col("a") > F.col("b")).otherwise(F.col("a") < F.col("b"))
     behind = F.when(F.col("higher_better"), F.col("a") < F.col("b")).otherwise(F.col("a") > F.col("b"))
     points = both.select("pair", F.when(ahead, F.col("weight")).otherwise(0).alias("x"), F.when(behind, F.col("weight")).otherwise(0).alias("y"), F.col("weight").alias("w"))
@@ -103,9 +117,9 @@ def comparison(pairs: DataFrame, filings: DataFrame) -> DataFrame:
     side = lambda c: known.select(F.col("id").alias(c), F.col("snapshot.guidance").alias(f"said_{c}"))
     both = pairs.select("pair", "a", "b").join(side("a"), "a").join(side("b"), "b")
     metrics = canonicalize(flat_metrics(known))
-    paired = materialize(pair_metrics(both, metrics), "compared-metrics")
+    paired = _directed(materialize(pair_metrics(both, metrics), "compared-metrics"))
     scores = tally(paired, both.select("pair", F.col("said_a").alias("a"), F.col("said_b").alias("b")))
-    d = with_direction(paired)
+    d = paired
     change = F.when(F.col("a") != 0, (F.col("b") - F.col("a")) / F.abs("a") * 100)
     better = F.when(F.col("a") == F.col("b"), None).when((F.col("a") > F.col("b")) == F.col("higher_better"), "a").when(F.col("a").isNotNull() & F.col("b").isNotNull(), "b")
     row = F.struct("rank", F.lower("name").alias("low"), "key", "name", "a", "b", change.alias("percent"), better.alias("better"))
