@@ -51,6 +51,29 @@ def insert_unique(old: DataFrame, new: DataFrame, keys: Sequence[str], order: Se
     return tuple(joined.where("free_" if want else "not free_").select(*new.columns) for want in (True, False))
 
 
+#: Rows of a key that meet the other side in one task.
+PART = 1_000
+
+
+def null_safe_pairs(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(old_id, new_id) of all rows (id, ...) with the same keys, null being the same as null.
+
+    A key with more than PART rows in old, as those without a company, is cut
+    into parts by id, each of which meets all rows of new with the key; so no
+    task has a whole such key's pairs.
+    """
+    heavy = old.groupBy(*keys).count().where(F.col("count") > PART).select(*keys, F.ceil(F.col("count") / PART).cast("int").alias("parts_"))
+    parts = F.coalesce("parts_", F.lit(1))
+
+    def dealt(df: DataFrame, part: Column) -> DataFrame:
+        joined = df.alias("a").join(F.broadcast(heavy.alias("b")), [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys], "left")
+        return joined.select("a.id", *(F.col(f"a.{k}") for k in keys), part.alias("part_"))
+
+    a, b = dealt(old, F.pmod(F.xxhash64("a.id"), parts).cast("int")), dealt(new, F.explode(F.sequence(F.lit(0), parts - 1)))
+    a, b = (df.select(F.col("id").alias(f"{side}_id"), *(F.col(k).alias(f"{side}_{k}") for k in (*keys, "part_"))) for df, side in ((a, "old"), (b, "new")))
+    return a.join(b, [F.col(f"old_{k}").eqNullSafe(F.col(f"new_{k}")) for k in keys] + [F.col("old_part_") == F.col("new_part_")]).select("old_id", "new_id")
+
+
 def patch(df: DataFrame, changes: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """Partial updates: ``changes`` has the key, values, and set_<column> flags; a set null clears, an unset one leaves."""
     joined = df.alias("a").join(changes.alias("b"), F.col(f"a.{key}") == F.col(f"b.{key}"), "left")

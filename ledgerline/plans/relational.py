@@ -22,9 +22,11 @@ def point_lookup(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("B2_null_safe_match", f"SELECT r.id AS report_id, n.id AS new_id FROM {REPORTS.sql} r JOIN {REPORTS_NEW.sql} n ON r.company_id IS NOT DISTINCT FROM n.company_id AND r.fiscal_year = n.fiscal_year AND r.report_type = n.report_type AND r.language = n.language")
 def null_safe_match(spark: SparkSession, sf: str) -> DataFrame:
-    r, n = REPORTS.df(spark, sf).alias("r"), REPORTS_NEW.df(spark, sf).alias("n")
-    on = F.col("r.company_id").eqNullSafe(F.col("n.company_id")) & (F.col("r.fiscal_year") == F.col("n.fiscal_year")) & (F.col("r.report_type") == F.col("n.report_type")) & (F.col("r.language") == F.col("n.language"))
-    return r.join(n, on).select(F.col("r.id").alias("report_id"), F.col("n.id").alias("new_id"))
+    r, n = REPORTS.df(spark, sf), REPORTS_NEW.df(spark, sf)
+    # of the rest of the key a null matches nothing
+    rest = ["fiscal_year", "report_type", "language"]
+    pairs = T.null_safe_pairs(r.dropna(subset=rest), n.dropna(subset=rest), ["company_id", *rest])
+    return pairs.select(F.col("old_id").alias("report_id"), "new_id")
 
 
 @query("B3_unmatched", f"SELECT id, fiscal_year FROM {REPORTS.sql} r WHERE company_id IS NULL")
