@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions.money import is_finite, parse_amount
 from ledgerline.functions.periods import period_key
 from ledgerline.functions.text import canonical_section, chart_label, normalize_label, section_name
+from ledgerline.operators.dictionary import per_value
 
 SERIES = ("revenue", "ebitda", "net_profit", "fcf")
 SCALES = (1, 1_000, 1_000_000)
@@ -105,8 +106,9 @@ def merge_breakdown(parts: DataFrame) -> DataFrame:
 
     Rows need a name and a finite value.
     """
-    clean = parts.withColumn("name", F.trim("name")).where((F.col("name") != "") & is_finite(F.col("value")))
-    return clean.groupBy("doc", "kind", chart_label(F.col("name")).alias("key_")).agg(F.min("ord").alias("ord"), F.min_by("name", "ord").alias("name"), F.sum("value").alias("value"), (F.count(F.lit(1)) - 1).alias("merged")).drop("key_")
+    named = per_value(parts.withColumn("name", F.trim("name")), ["name"], {"key_": chart_label(F.col("name"))})
+    clean = named.where((F.col("name") != "") & is_finite(F.col("value")))
+    return clean.groupBy("doc", "kind", "key_").agg(F.min("ord").alias("ord"), F.min_by("name", "ord").alias("name"), F.sum("value").alias("value"), (F.count(F.lit(1)) - 1).alias("merged")).drop("key_")
 
 
 def chunk_breakdown(parts: DataFrame) -> DataFrame:

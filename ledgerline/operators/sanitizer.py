@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.money import parse_amount
 from ledgerline.functions.text import canonical_section, section_name
+from ledgerline.operators.dictionary import per_value
 from ledgerline.operators.metrics import drop_empty, first_per_label
 from ledgerline.operators.records import SERIES, implausible_changes, merge_breakdown, merge_periods
 
@@ -21,8 +22,10 @@ def _metrics(metrics: DataFrame) -> DataFrame:
 
 def _narratives(narratives: DataFrame) -> DataFrame:
     given = F.coalesce(F.nullif(F.trim("section"), F.lit("")), F.lit("other"))
-    named = narratives.where(F.trim("text") != "").select("doc", given.alias("given"), section_name(given).alias("name"), canonical_section(given).alias("section"))
-    return named.groupBy("doc").agg(F.count_distinct(F.when(F.col("name") != F.col("section"), F.col("given"))).alias("renamed_sections"), F.max(F.col("section") == "executive_summary").alias("summary_"))
+    told = narratives.where(F.trim("text") != "").select("doc", given.alias("given"))
+    renamed = section_name(F.col("given")) != canonical_section(F.col("given"))
+    named = per_value(told, ["given"], {"renamed": renamed, "section": canonical_section(F.col("given"))})
+    return named.groupBy("doc").agg(F.count_distinct(F.when(F.col("renamed"), F.col("given"))).alias("renamed_sections"), F.max(F.col("section") == "executive_summary").alias("summary_"))
 
 
 def _breakdown(parts: DataFrame) -> DataFrame:
