@@ -10,7 +10,7 @@ from ledgerline.functions.text import strip
 from ledgerline.operators.checks import sanity
 from ledgerline.operators.matching import THRESHOLD, match_companies, name_tokens, raw_tokens, reach
 from ledgerline.operators.metrics import canonicalize, headline_facts, preview, stated_scales
-from ledgerline.operators.records import scaled_series, series_multiplier
+from ledgerline.operators.records import scaled_trends
 from ledgerline.operators.snapshots import SERIES, flat_metrics
 from ledgerline.operators.tables import insert_unique
 from ledgerline.storage import materialize
@@ -24,12 +24,10 @@ def _last_of_series(filings: DataFrame, doc: str, figures: DataFrame, stated: Da
     t = F.col("snapshot.trends")
     wide = F.greatest(*(F.coalesce(F.size(t[c]), F.lit(0)) for c in SERIES))
     rows = filings.where(t.isNotNull() & (wide > 0)).select(F.col(doc).alias("doc"), F.explode(F.sequence(F.lit(0), wide - 1)).alias("idx"), t.alias("t"))
-    trends = rows.select("doc", "idx", F.lit(None).cast("string").alias("period"), *(F.get(F.col("t")[c], F.col("idx")).alias(c) for c in SERIES))
-    targets = figures.select("doc", F.expr(f"stack({len(SERIES)}, {', '.join(f"'{c}', {c}" for c in SERIES)}) as (series, target)"))
-    ends = filings.select(F.col(doc).alias("doc"), *((F.size(t[c]) - 1).alias(f"end_{c}") for c in SERIES))
-    scaled = scaled_series(trends, series_multiplier(trends, targets), stated).join(ends, "doc")
-    last = lambda c: F.max(F.when((F.col("series") == c) & (F.col("idx") == F.col(f"end_{c}")), F.col("value"))).alias(c)
-    return scaled.groupBy("doc").agg(*(last(c) for c in SERIES))
+    trends = rows.select("doc", "idx", *(F.get(F.col("t")[c], F.col("idx")).alias(c) for c in SERIES), *((F.col("idx") == F.size(F.col("t")[c]) - 1).alias(f"last_{c}") for c in SERIES))
+    goals = figures.select("doc", *(F.filter(F.array(c), lambda x: x != 0).alias(c) for c in SERIES))
+    last = lambda c: F.max(F.when(F.col(f"last_{c}"), F.col(c))).alias(c)
+    return scaled_trends(trends, goals, stated).groupBy("doc").agg(*(last(c) for c in SERIES))
 
 
 def _previews(known: DataFrame, doc: str) -> tuple[DataFrame, DataFrame]:

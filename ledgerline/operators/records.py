@@ -64,41 +64,76 @@ def series_change(trends: DataFrame, series: str) -> DataFrame:
     return known.groupBy("doc").agg(at(1).alias("now"), at(2).alias("before")).select("doc", F.when(F.col("before") != 0, (F.col("now") - F.col("before")) / F.abs("before") * 100).alias("percent"))
 
 
+def goals_of(targets: DataFrame) -> DataFrame:
+    """(doc, and of each of SERIES the array of its targets): targets (doc, series, target) by filing; zeros and nulls are none."""
+    of = lambda c: F.collect_list(F.when(F.col("series") == c, F.col("target"))).alias(c)
+    return targets.where("target <> 0").groupBy("doc").agg(*map(of, SERIES))
+
+
+def _with_goals(trends: DataFrame, goals: DataFrame, how: str) -> DataFrame:
+    """Adds of each of SERIES best_, the scale that brings its value nearest to one of its goals, behind how near that is and idx.
+
+    The rows stay as wide as they come, so a filing's rows are dealt once for all series.
+    """
+    joined = trends.join(goals.select("doc", *(F.col(c).alias(f"goals_{c}") for c in SERIES)), "doc", how)
+
+    def best(c: str) -> Column:
+        value = F.col(c)
+        tries = lambda goal: F.array(*(F.struct(F.abs(F.log(F.abs(value * s) / F.abs(goal))).alias("d"), F.col("idx"), F.lit(s).alias("multiplier")) for s in SCALES))
+        return F.when(value != 0, F.array_min(F.flatten(F.transform(f"goals_{c}", tries))))
+
+    return joined.withColumns({f"best_{c}": best(c) for c in SERIES}).drop(*(f"goals_{c}" for c in SERIES))
+
+
 def series_multiplier(trends: DataFrame, targets: DataFrame) -> DataFrame:
     """(doc, series, multiplier): the scale that brings a value of the series nearest to the headline figure.
 
     targets (doc, series, target).  Nearest is by ratio; of equal ones the first
     value, then the smaller scale.
     """
-    long = trends.select("doc", "idx", F.expr(f"stack({len(SERIES)}, {', '.join(f'"{c}", {c}' for c in SERIES)}) as (series, value)".replace('"', "'"))).where("value <> 0")
-    joined = long.join(targets.where("target <> 0"), ["doc", "series"])
-    tried = joined.select("doc", "series", "idx", "value", "target", F.explode(F.array(*map(F.lit, SCALES))).alias("multiplier"))
-    distance = F.abs(F.log(F.abs(F.col("value") * F.col("multiplier")) / F.abs("target")))
-    return tried.groupBy("doc", "series").agg(F.min(F.struct(distance.alias("d"), "idx", "multiplier"))["multiplier"].alias("multiplier"))
+    found = _with_goals(trends.select("doc", "idx", *SERIES), goals_of(targets), "inner").groupBy("doc").agg(*(F.min(f"best_{c}")["multiplier"].alias(c) for c in SERIES))
+    return found.select("doc", _long("multiplier")).where("multiplier is not null")
+
 
+def _long(value: str) -> Column:
+    return F.expr(f"stack({len(SERIES)}, {', '.join(f"'{c}', {c}" for c in SERIES)}) as (series, {value})")
 
-def scaled_series(trends: DataFrame, multipliers: DataFrame, filing: DataFrame) -> DataFrame:
-    """(doc, idx, period, series, value) in whole euro.
 
-    A series without an own scale takes the one most series of the filing have,
-    the larger on ties; without any, small values take the filing's stated scale
-    (doc, multiplier).  In a series of thousands that also holds values of
-    100,000 and more, values below 1,000 are millions.
+def scaled_trends(trends: DataFrame, goals: DataFrame, filing: DataFrame) -> DataFrame:
+    """trends with SERIES in whole euro; goals as of goals_of(), a row a filing, filing (doc, multiplier).
+
+    The scale of a series is that of series_multiplier().  A series without one
+    takes the one most series of the filing have, the larger on ties; without
+    any, small values take the filing's stated scale.  In a series of thousands
+    that also holds values of 100,000 and more, values below 1,000 are millions.
     """
-    long = trends.select("doc", "idx", "period", F.expr(f"stack({len(SERIES)}, {', '.join(f'"{c}", {c}' for c in SERIES)}) as (series, value)".replace('"', "'")))
-    common = multipliers.groupBy("doc", "multiplier").count().groupBy("doc").agg(F.max(F.struct("count", "multiplier"))["multiplier"].alias("common"))
-    own = W.partitionBy("doc", "series")
-    size = F.abs("value")
-    mixed = (F.max(size).over(own) >= 100_000) & (F.min(F.when(size > 0, size)).over(own) < 1_000)
-    joined = long.withColumn("mixed_", mixed).join(multipliers, ["doc", "series"], "left").join(common, "doc", "left").join(filing.withColumnRenamed("multiplier", "stated"), "doc", "left")
-    scale = F.coalesce("multiplier", "common")
-    value = (
-        F.when((scale == 1_000) & F.col("mixed_") & (size > 0) & (size < 1_000), F.col("value") * 1_000_000)
-        .when(scale.isNotNull(), F.col("value") * scale)
-        .when((F.coalesce("stated", F.lit(1)) > 1) & (size < 1_000_000), F.col("value") * F.col("stated"))
-        .otherwise(F.col("value"))
-    )
-    return joined.select("doc", "idx", "period", "series", value.alias("value"))
+    joined = _with_goals(trends, goals, "left").join(filing.select("doc", F.col("multiplier").alias("stated_")), "doc", "left")
+    own = W.partitionBy("doc")
+    facts = {}
+    for c in SERIES:
+        size = F.abs(c)
+        facts[f"scale_{c}"] = F.min(f"best_{c}").over(own)["multiplier"]
+        facts[f"mixed_{c}"] = (F.max(size).over(own) >= 100_000) & (F.min(F.when(size > 0, size)).over(own) < 1_000)
+    marked = joined.withColumns(facts)
+    known = F.filter(F.array(*(F.col(f"scale_{c}") for c in SERIES)), lambda x: x.isNotNull())
+    marked = marked.withColumn("known_", known).withColumn("common_", F.array_max(F.transform("known_", lambda x: F.struct(F.size(F.filter("known_", lambda y: y == x)).alias("n"), x.alias("x"))))["x"])
+
+    def euro(c: str) -> Column:
+        value, size, scale = F.col(c), F.abs(c), F.coalesce(f"scale_{c}", "common_")
+        return (
+            F.when((scale == 1_000) & F.col(f"mixed_{c}") & (size > 0) & (size < 1_000), value * 1_000_000)
+            .when(scale.isNotNull(), value * scale)
+            .when((F.coalesce("stated_", F.lit(1)) > 1) & (size < 1_000_000), value * F.col("stated_"))
+            .otherwise(value)
+        )
+
+    return marked.select(*((euro(c).alias(c) if c in SERIES else F.col(c)) for c in trends.columns))
+
+
+def scaled_series(trends: DataFrame, targets: DataFrame, filing: DataFrame) -> DataFrame:
+    """(doc, idx, period, series, value): scaled_trends() by targets (doc, series, target), a row a value."""
+    scaled = scaled_trends(trends.select("doc", "idx", "period", *SERIES), goals_of(targets), filing)
+    return scaled.select("doc", "idx", "period", _long("value"))
 
 
 def merge_breakdown(parts: DataFrame) -> DataFrame:

@@ -65,8 +65,7 @@ def series_multiplier(spark: SparkSession, sf: str) -> DataFrame:
 x AS (SELECT l.*, coalesce(m.multiplier, common) AS s, t.multiplier AS stated, max(abs(value)) OVER w >= 100000 AND min(CASE WHEN value <> 0 THEN abs(value) END) OVER w < 1000 AS mixed FROM long l LEFT JOIN mult m USING (doc, series) LEFT JOIN common USING (doc) LEFT JOIN {STATED.sql} t USING (doc) WINDOW w AS (PARTITION BY l.doc, l.series))
 SELECT doc, idx, series, CASE WHEN s = 1000 AND mixed AND abs(value) > 0 AND abs(value) < 1000 THEN value * 1000000 WHEN s IS NOT NULL THEN value * s WHEN stated > 1 AND abs(value) < 1000000 THEN value * stated ELSE value END AS value FROM x""")
 def scaled_series(spark: SparkSession, sf: str) -> DataFrame:
-    t = TRENDS.df(spark, sf)
-    return R.scaled_series(t, R.series_multiplier(t, TARGETS.df(spark, sf)), STATED.df(spark, sf)).select("doc", "idx", "series", "value")
+    return R.scaled_series(TRENDS.df(spark, sf), TARGETS.df(spark, sf), STATED.df(spark, sf)).select("doc", "idx", "series", "value")
 
 
 @query("G51_fit_length", f"SELECT doc, n, CAST(len(v) AS INTEGER) AS had, array_to_string(list_transform(list_resize(v, n), lambda x: coalesce(CAST(CAST(floor(x) AS BIGINT) AS VARCHAR), '-')), ',') AS fitted FROM (SELECT doc, list(revenue ORDER BY idx) AS v, CAST(doc % 5 + 1 AS INTEGER) AS n FROM {_T} GROUP BY doc)")

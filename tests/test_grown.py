@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pytest
 
+from ledgerline.operators import records as R
 from ledgerline.operators import tables as T
 from ledgerline.plans import inputs, snapshots
 
@@ -33,3 +34,17 @@ def test_null_safe_pairs_cut_heavy_keys(spark, monkeypatch):
     rows = [tuple(r) for r in got.collect()]
     assert len(rows) == len(want) and set(rows) == want
     assert "part_" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_filings_series_are_scaled_where_its_rows_meet_once(spark):
+    t = spark.createDataFrame([(1, 0, "2023", 5.0, 7.0, None, 0.0), (1, 1, None, 200_000.0, None, None, 3.0), (2, 0, "x", 1.5, None, None, None), (3, 0, "x", 9.0, 2e6, -4.0, None)], "doc int, idx int, period string, revenue double, ebitda double, net_profit double, fcf double")
+    goals = spark.createDataFrame([(1, "revenue", 2e8), (1, "revenue", 0.0), (1, "revenue", None), (1, "ebitda", 7.0), (1, "ebitda", 6_900_000.0), (2, "fcf", 1.0)], "doc int, series string, target double")
+    stated = spark.createDataFrame([(3, 1000), (2, None)], "doc int, multiplier int")
+    got = R.scaled_series(t, goals, stated)
+    values = {(r.doc, r.idx, r.series): r.value for r in got.collect()}
+    # revenue in thousands holds small values, which are millions; ebitda is as it stands; the larger of both for the others
+    assert [values[1, i, c] for c in R.SERIES for i in (0, 1)] == [5e6, 2e8, 7.0, None, None, None, 0.0, 3000.0]
+    assert values[2, 0, "revenue"] == 1.5 and [values[3, 0, c] for c in R.SERIES] == [9000.0, 2e6, -4000.0, None] and len(values) == 16
+    assert {tuple(r) for r in R.series_multiplier(t, goals).collect()} == {(1, "revenue", 1000), (1, "ebitda", 1)}
+    plan = R.scaled_series(t, goals, stated)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc" in plan and plan.count("hashpartitioning(") <= 3 and "series" not in "".join(x for x in plan.split("\n") if "hashpartitioning" in x)
