@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pytest
 
+from ledgerline.operators import metrics as O
 from ledgerline.operators import records as R
 from ledgerline.operators import tables as T
 from ledgerline.plans import inputs, snapshots
@@ -48,3 +49,19 @@ def test_a_filings_series_are_scaled_where_its_rows_meet_once(spark):
     assert {tuple(r) for r in R.series_multiplier(t, goals).collect()} == {(1, "revenue", 1000), (1, "ebitda", 1)}
     plan = R.scaled_series(t, goals, stated)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(doc" in plan and plan.count("hashpartitioning(") <= 3 and "series" not in "".join(x for x in plan.split("\n") if "hashpartitioning" in x)
+
+
+def test_labels_are_compared_once_for_all_filings(spark, monkeypatch):
+    labels = ["Revenue", "Revenues", None, " Revenue", "EBIT", "EBITDA", "", "  ", "Net profit of the year", "Of the net profit year", "müügitulu", "Muugitulu", "Sales"]
+    rows = [(d, i, labels[(d * 7 + i * i * (d % 3 + 1)) % len(labels)], "x" * (i * d % 4) if (i + d) % 5 else None, float(i)) for d in range(60) for i in range(d % 9)]
+    df = spark.createDataFrame(rows, "doc int, ord int, label string, period string, value double")
+    plan = O.dedup(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "levenshtein" not in plan.lower()
+    got = sorted(map(tuple, O.dedup(df).collect()), key=repr)
+    monkeypatch.setattr(O, "LABELS", 3)
+    each = O.dedup(df)
+    assert "levenshtein" in each._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert sorted(map(tuple, each.collect()), key=repr) == got and 0 < len(got) < len(rows)
+    assert sum(r[2] is None for r in got) == sum(r[2] is None for r in rows)
+    nulls = df.where("label is null")
+    assert O.dedup(nulls).count() == nulls.count() > 0 and O.dedup(df.where("false")).count() == 0
