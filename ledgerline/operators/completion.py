@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions.periods import parse_period
 from ledgerline.functions.text import strip
 from ledgerline.operators.checks import sanity
+from ledgerline.operators.dictionary import per_value
 from ledgerline.operators.matching import THRESHOLD, match_companies, name_tokens, raw_tokens, reach
 from ledgerline.operators.metrics import canonicalize, headline_facts, preview, stated_scales
 from ledgerline.operators.records import scaled_trends
@@ -58,11 +59,12 @@ def with_company(jobs: DataFrame, companies: DataFrame, threshold: float = THRES
     """
     names = jobs.where("company_id is null and said <> ''").select("said").distinct()
     best = match_companies(names.select(F.col("said").alias("doc"), F.col("said").alias("name")), companies, threshold).select(F.col("doc").alias("said"), F.col("company_id").alias("best_"))
-    own = jobs.where("company_id is not null").select("id", "said", "company_id").join(companies.select(F.col("id").alias("company_id"), F.col("name").alias("own_"), "ticker"), "company_id")
-    pairs = own.select("id", name_tokens(F.col("said")).alias("x"), name_tokens(F.col("own_")).alias("y"), raw_tokens(F.col("said")).alias("raw"), "ticker")
-    fits = reach(pairs.where(F.size("x") > 0), threshold).select("id", F.col("fits").alias("fits_"))
-    listed = own.select("id", F.lit(True).alias("listed_"))
-    joined = jobs.join(best, "said", "left").join(listed, "id", "left").join(fits, "id", "left")
+    listed = companies.select(F.col("id").alias("company_id"), F.lit(True).alias("listed_"))
+    # a name is compared with its company's once, however many jobs have both
+    own = jobs.where("company_id is not null").select("said", "company_id").distinct().join(companies.select(F.col("id").alias("company_id"), F.col("name").alias("own_"), "ticker"), "company_id")
+    pairs = own.select("said", "company_id", name_tokens(F.col("said")).alias("x"), name_tokens(F.col("own_")).alias("y"), raw_tokens(F.col("said")).alias("raw"), "ticker")
+    fits = reach(materialize(pairs.where(F.size("x") > 0), "own-names"), threshold).select("said", "company_id", F.col("fits").alias("fits_"))
+    joined = jobs.join(best, "said", "left").join(listed, "company_id", "left").join(fits, ["said", "company_id"], "left")
     given = F.col("company_id").isNotNull()
     mapping = F.when(given & F.col("listed_").isNull(), "not_found").when(given & F.coalesce("fits_", F.lit(False)), "verified").when(given, "conflict").when(F.col("best_").isNotNull(), "matched").otherwise("unmatched")
     found = F.when(mapping == "verified", F.col("company_id")).when(mapping == "matched", F.col("best_"))
@@ -92,13 +94,15 @@ def decide(jobs: DataFrame, companies: DataFrame, reports: DataFrame, as_of_year
     s = F.col("snapshot")
     said = F.coalesce(strip(s["company_name"]), F.lit(""))
     period = F.coalesce(strip(s["report_period"]), F.lit(""))
-    read = jobs.withColumn("said", said).withColumn("p_", parse_period(period, as_of_year)).withColumn("told_", (said != "") & (period != ""))
-    placed = with_company(read.select("id", "company_id", "said", "language", "ord", "snapshot", "told_", F.col("p_.fiscal_year").alias("fiscal_year"), F.col("p_.report_type").alias("report_type")), companies)
+    told = jobs.withColumn("said", said).withColumn("period_", period).withColumn("told_", (said != "") & (period != ""))
+    read = per_value(told, ["period_"], {"p_": parse_period(F.col("period_"), as_of_year)})
+    # snapshots are read where they are needed and pass no join
+    placed = with_company(read.select("id", "company_id", "said", "language", "ord", "told_", F.col("p_.fiscal_year").alias("fiscal_year"), F.col("p_.report_type").alias("report_type")), companies)
     placed = materialize(placed, "completion-jobs")
     live = placed.where("told_ and fiscal_year is not null")
 
     past = reports.where("company_id is not null").withColumn("key_", F.coalesce("job_id", F.col("id").cast("string")))
-    mine = live.select(F.concat(F.lit("job "), "id").alias("id"), "snapshot")
+    mine = read.where("told_ and p_.fiscal_year is not null").select(F.concat(F.lit("job "), "id").alias("id"), "snapshot")
     theirs = past.select(F.concat(F.lit("report "), "key_").alias("id"), "snapshot")
     known, metrics = _previews(mine.unionByName(theirs).where("snapshot is not null"), "id")
     known = materialize(known, "completion-previews")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pytest
 
+from ledgerline.operators import completion
 from ledgerline.operators import metrics as O
 from ledgerline.operators import records as R
 from ledgerline.operators import tables as T
@@ -65,3 +66,23 @@ def test_labels_are_compared_once_for_all_filings(spark, monkeypatch):
     assert sum(r[2] is None for r in got) == sum(r[2] is None for r in rows)
     nulls = df.where("label is null")
     assert O.dedup(nulls).count() == nulls.count() > 0 and O.dedup(df.where("false")).count() == 0
+
+
+def test_jobs_of_one_company_compare_a_name_once(spark, monkeypatch):
+    seen = []
+    reach = completion.reach
+    monkeypatch.setattr(completion, "reach", lambda pairs, threshold: seen.append(pairs.count()) or reach(pairs, threshold))
+    companies = spark.createDataFrame([(1, "AS Tallink Grupp", "TAL1T", 1), (2, "Olainfarm", None, 2), (3, "Olainfram", None, 3)], "id long, name string, ticker string, ord long")
+    jobs = [(i, 1 if i % 2 else 2, "Tallink Grupp") for i in range(40)] + [(40, 2, "Olainfram"), (41, 9, "Olainfarm"), (42, None, "Olainfarm"), (43, None, "x"), (44, 1, ""), (45, None, "")]
+    got = {r.id: (r.mapping, r.found) for r in completion.with_company(spark.createDataFrame(jobs, "id long, company_id long, said string"), companies).collect()}
+    assert seen == [3]
+    assert [got[i] for i in (0, 1, 38, 39)] == [("conflict", None), ("verified", 1)] * 2 and len(got) == len(jobs)
+    assert [got[i] for i in range(40, 46)] == [("verified", 2), ("not_found", None), ("matched", 2), ("unmatched", None), ("conflict", None), ("unmatched", None)]
+
+
+def test_fields_of_snapshots_are_those_of_whole_ones(spark, sf_dir):
+    some = snapshots.snapshots(spark, sf_dir, ("company_name", "trends"))
+    whole = snapshots.snapshots(spark, sf_dir)
+    assert some.schema["snapshot"].dataType.names == ["company_name", "trends"]
+    told = lambda df: sorted((tuple(r) for r in df.selectExpr("id", "h", "snapshot is null", "snapshot.company_name", "to_json(snapshot.trends)").collect()), key=repr)
+    assert told(some) == told(whole)
