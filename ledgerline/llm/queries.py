@@ -77,7 +77,7 @@ def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_repeats_of(docs: DataFrame) -> DataFrame:
     """text is what is left, n_chars its code points; a character cut in two shows as U+FFFD."""
     left = repeats.without_repeats(docs).withColumn("text", F.make_valid_utf8(F.col("kept").cast("string")))
-    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_bytes") - F.col("n_removed")).alias("n_kept"), F.length("text").cast("long").alias("n_chars"), "text")
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_bytes") - F.col("n_removed")).alias("n_kept"), F.length("text").cast("long").alias("n_chars"), "text", "n_repeated_words")
 
 
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import bounded, byte_text, materialize
+from ledgerline.llm.passages import repeated_words
 from ledgerline.llm.windows import WINDOW, anchors, core_rows, window_hashes
 
 BLOCK = 84
@@ -166,18 +167,23 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             removed.append(gone)
             count.append(n)
             kept.append(b"".join(out))
-        yield pa.record_batch({"doc_id": batch["doc_id"], "n_bytes": pa.array(size, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(count, pa.int64()), "kept": pa.array(kept, pa.binary())})
+        yield pa.record_batch({"doc_id": batch["doc_id"], "n_bytes": pa.array(size, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(count, pa.int64()), "kept": pa.array(kept, pa.binary()), "n_repeated_words": batch["n_repeated_words"]})
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept (binary).
+    """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept (binary), n_repeated_words.
 
     Removed is every byte that a 400-byte string covers which also starts
     elsewhere, in the same document or another; strings are judged on the input
     and never cross documents.  So rows that repeat a text of 400 bytes or more
-    lose all of it.  Null and empty texts have no bytes; a null doc_id is kept.
+    lose all of it.  n_repeated_words marks what may be too short for that: the
+    words in runs of over 50 that another document holds too (passages.py; rows
+    equal in id and text are one document).  It takes nothing away.
+    Null and empty texts have no bytes; a null doc_id is kept.
     Columns besides doc_id and text are not read.  No rows give no rows.
     """
     spans = repeated_spans(docs).groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    cut = _keyed(docs).join(spans, "key", "left").select("doc_id", "text", "spans")
-    return cut.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    keyed = _keyed(docs)
+    known = spans.join(repeated_words(keyed), "key", "full")
+    cut = keyed.join(known, "key", "left").select("doc_id", "text", "spans", F.coalesce("n_repeated_words", F.lit(0)).cast("long").alias("n_repeated_words"))
+    return cut.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, n_repeated_words long")
