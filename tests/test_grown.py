@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pytest
 
+from ledgerline.functions.text import MARKED, PLAIN
 from ledgerline.operators import completion
 from ledgerline.operators import metrics as O
 from ledgerline.operators import records as R
@@ -68,6 +69,51 @@ def test_labels_are_compared_once_for_all_filings(spark, monkeypatch):
     assert O.dedup(nulls).count() == nulls.count() > 0 and O.dedup(df.where("false")).count() == 0
 
 
+def _near(a: str | None, b: str | None) -> bool:
+    """The rule of near labels, by tables of edits and sets of words."""
+    if a is None or b is None:
+        return False
+    a, b = (" ".join(x.split()).translate(str.maketrans(MARKED, PLAIN)) for x in (a, b))
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        left, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(left[j] + 1, row[-1] + 1, left[j - 1] + (x != y)))
+    p, q = set(a.lower().split(" ")), set(b.lower().split(" "))
+    return row[-1] <= 3 or len(p & q) / len(p | q) >= 0.85
+
+
+def test_near_pairs_compare_a_label_once(spark, monkeypatch):
+    # chains (EPS, EBIT, EBITDA), words in another order, one of seven words missing, marks, blanks
+    words = "one two three fourth fifths sixth seventh"
+    labels = ["Revenue", "Revenues", None, " Revenue", "EPS", "EBIT", "EBITDA", "", "  ", "Net profit of the year", "of the net profit Year", "müügitulu", "Muugitulu", "Sales", words, words[4:], words[8:]]
+    rows = [(d if d % 10 else None, i if i % 11 else None, labels[(d * 7 + i * i * (d % 3 + 1)) % len(labels)]) for d in range(50) for i in range(1, d % 17)]
+    rows += [(7, 3, "EBIT"), (7, 3, "EBIT"), (70, -1, "Revenue"), (70, 10**6, "Revenue")]
+    df = spark.createDataFrame(rows, "doc int, ord int, label string")
+    known = [r for r in rows if r[0] is not None and r[1] is not None]
+    want = sorted((a[0], a[1], b[1]) for a in known for b in known if a[0] == b[0] and a[1] < b[1] and _near(a[2], b[2]))
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    got = O.near_pairs(df)
+    assert sorted(map(tuple, got.collect())) == want and {(70, -1, 10**6), (7, 3, 3)} & set(want) == {(70, -1, 10**6)}
+    # no pair of rows compares texts, and rows of one filing meet by cluster
+    assert "levenshtein" not in plan(got).lower() and "SortMergeJoin [doc" in plan(got) and "cluster" in plan(got) and "Broadcast" not in plan(got)
+    assert O.near_pairs(df.where("false")).count() == O.near_pairs(df.where("label is null")).count() == 0
+    for name, value in (("LABELS", 3), ("_slots", lambda places: None)):
+        with monkeypatch.context() as m:
+            m.setattr(O, name, value)
+            each = O.near_pairs(df)
+            assert "levenshtein" in plan(each).lower() and sorted(map(tuple, each.collect())) == want
+
+
+def test_slots_hold_every_place():
+    places = [((i + 1) * 0x9E3779B97F4A7C15 % 2**64 - 2**63, i // 2) for i in range(400)]
+    slots = O._slots(places)
+    assert all(slots[h % len(slots)] == at for h, at in places)
+    assert O._slots([]) == [None] and O._slots([(5, 0), (5, 1)]) is None
+    near = [[0, 1], [0, 1, 2], [1, 2], [3], [4, 5], [4, 5]]
+    assert O._clusters(near) == [0, 0, 0, 3, 4, 4]
+
+
 def test_jobs_of_one_company_compare_a_name_once(spark, monkeypatch):
     seen = []
     reach = completion.reach
